@@ -16,10 +16,11 @@ def bucket(x: np.ndarray) -> np.ndarray:
     return (x >> np.uint64(64 - BITS)).astype(np.int64)
 
 
-def char_grams(distinct: list[str], sizes=CHAR_SIZES) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of the character n-grams of each word (with a space at either end), and where each word's begin and end."""
+def char_grams(distinct: list[str], sizes=CHAR_SIZES, whole: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets (or whole 64-bit hashes) of the character n-grams of each word (with a space at either end), and where
+    each word's begin and end."""
     if not distinct:
-        return np.zeros(0, np.int64), np.zeros(1, np.int64)
+        return np.zeros(0, np.uint64 if whole else np.int64), np.zeros(1, np.int64)
     lengths = np.fromiter(map(len, distinct), np.int64, len(distinct)) + 2
     chars = np.frombuffer((" " + "  ".join(distinct) + " ").encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     ends = np.concatenate([[0], np.cumsum(lengths)])
@@ -32,7 +33,7 @@ def char_grams(distinct: list[str], sizes=CHAR_SIZES) -> tuple[np.ndarray, np.nd
             h = np.full(len(at), n, np.uint64)
             for k in range(n):
                 h = h * np.uint64(0x100000001B3) + chars[at + k]
-            found.append(bucket(mix(h)))
+            found.append(mix(h) if whole else bucket(mix(h)))
             owners.append(owner[at])
     found, owners = np.concatenate(found), np.concatenate(owners)
     order = np.argsort(owners, kind="stable")

@@ -3,12 +3,13 @@
 Words with look-alike digits or signs, inner separators or stretched letters, and runs of single letters, are decoded by
 Viterbi over a lattice of characters: each raw character may stand for itself, for a letter it resembles, or (separators
 and stretched letters) for nothing, at a channel cost; the paths are weighed by a character trigram model counted over
-all texts. Evidence of a word is the largest smoothed log odds of its pieces (whole word and 4- and 5-character windows)
-in toxic against other training texts; a logistic regression over each text's largest, next and summed evidence gives the
-score. Labels are learned from at most `max_rows` rows of the training folds (those whose hash is least).
+all texts. Evidence of a word is the largest smoothed log odds of its pieces (character windows of SIZES) in toxic against
+other training texts; a logistic regression over each text's three largest words, its distinct words at each level of
+evidence and its length gives the score. Labels are learned from at most `max_rows` rows of the training folds (those
+whose hash is least).
 
 Cases: null and empty texts get the score of a text without evidence; a null doc_id belongs to the fold of an empty id;
-repeated rows score alike; without labels of both classes all scores are the share of label 1 (0.0 if none); other
+repeated rows score alike; without labels of both classes all scores are the share of label 1 (0 or 1; 0 if none); other
 columns are ignored.
 """
 
@@ -23,14 +24,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from korpusflow.llm.common import coded, fold, words
-from korpusflow.llm.ngrams import BITS, calibrate, char_grams
+from korpusflow.llm.ngrams import calibrate, char_grams
 from korpusflow.llm.quality import sampled
 
 MAX_TRAIN_ROWS = 10_000
-SIZES = (4, 5)
+SIZES = (4, 5, 6, 7)
 SMOOTH = 4.0
-#: Evidence from which a word counts towards a text's sum.
-NOTABLE = 2.0
+#: Evidence from which a word counts at each level.
+LEVELS = (1.2, 2.0, 3.0, 4.5)
+FEATURES = 4 + len(LEVELS)
 #: Letters of the character model, and what signs may stand for.
 LETTERS = "abcdefghijklmnopqrstuvwxyzàáâäãåæçèéêëìíîïñòóôöõøùúûüýÿßœ"
 LOOKALIKES = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "€": "e"}
@@ -167,38 +169,53 @@ class Restored:
         return out
 
     def pieces(self) -> tuple[np.ndarray, np.ndarray]:
-        return char_grams(self.distinct, SIZES + ((99,) if False else ()))
+        return char_grams(self.distinct, SIZES, whole=True)
+
+    def by_text(self) -> list[np.ndarray]:
+        """The distinct words of each text, by number."""
+        spelled: dict[int, list[int]] = {}
+        for text, code, _ in self.spelled:
+            spelled.setdefault(text, []).append(code)
+        parts = [self.codes[a:b] for a, b in zip(self.ends, self.ends[1:])]
+        return [np.unique(np.append(p, spelled[i]).astype(np.int64) if i in spelled else p) for i, p in enumerate(parts)]
+
+
+class Odds:
+    """Pieces whose log odds reach the first level: sorted hashes and values, behind a bit map that most pieces miss."""
+
+    def __init__(self, pieces: np.ndarray, values: np.ndarray):
+        by = np.argsort(pieces)
+        self.pieces, self.values = pieces[by], np.append(values[by], 0.0)
+        self.some = np.zeros(1 << 20, bool)
+        self.some[(pieces >> np.uint64(44)).astype(np.int64)] = True
+
+    def of(self, pieces: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(pieces))
+        if len(self.pieces):
+            at = np.flatnonzero(self.some[(pieces >> np.uint64(44)).astype(np.int64)])
+            place = np.minimum(np.searchsorted(self.pieces, pieces[at]), len(self.pieces) - 1)
+            out[at] = np.where(self.pieces[place] == pieces[at], self.values[place], 0.0)
+        return out
 
 
-def evidence(restored: Restored, odds: np.ndarray) -> np.ndarray:
-    """For each text: largest evidence of a word, next largest, and the log of 1 + the sum of what is notable."""
-    n = len(restored.ends) - 1
-    out = np.zeros((n, 3))
+def evidence(restored: Restored, odds: Odds) -> np.ndarray:
+    """For each text: the three largest evidences of its distinct words, the log of 1 + the words at each level, and the
+    log of 1 + all words."""
+    out = np.zeros((len(restored.ends) - 1, FEATURES))
     if not restored.distinct:
         return out
     at, piece_ends = restored.pieces()
     value = np.zeros(len(restored.distinct))
     some = np.diff(piece_ends) > 0
-    value[some] = np.maximum.reduceat(odds[at], piece_ends[:-1][some]) if some.any() else 0
-    extra: dict[int, list[float]] = {}
-    for text, code, _ in restored.spelled:
-        extra.setdefault(text, []).append(value[code])
-    of_token = value[restored.codes]
-    filled = np.flatnonzero(np.diff(restored.ends) > 0)
-    if len(filled):
-        top = np.maximum.reduceat(of_token, restored.ends[filled])
-        out[filled, 0] = np.maximum(top, 0)
-        notable = np.where(of_token >= NOTABLE, of_token, 0.0)
-        out[filled, 2] = np.add.reduceat(notable, restored.ends[filled])
-        for i in filled:
-            if out[i, 0] >= NOTABLE:
-                mine = np.unique(restored.codes[restored.ends[i] : restored.ends[i + 1]])
-                best = np.sort(value[mine])[::-1]
-                out[i, 1] = max(0.0, best[1]) if len(best) > 1 else 0.0
-    for i, values in extra.items():
-        both = sorted([out[i, 0], out[i, 1], *values], reverse=True)
-        out[i] = both[0], both[1], out[i, 2] + sum(v for v in values if v >= NOTABLE)
-    out[:, 2] = np.log1p(out[:, 2])
+    if some.any():
+        value[some] = np.maximum.reduceat(odds.of(at), piece_ends[:-1][some])
+    for i, mine in enumerate(restored.by_text()):
+        found = value[mine]
+        found = np.sort(found[found >= LEVELS[0]])
+        top = found[::-1][:3]
+        out[i, : len(top)] = top
+        out[i, 3:-1] = np.log1p(np.diff(np.append(np.searchsorted(found, LEVELS), len(found))))
+    out[:, -1] = np.log1p(np.diff(restored.ends))
     return out
 
 
@@ -208,36 +225,38 @@ def log_odds(toxic: np.ndarray, clean: np.ndarray, n_toxic: int, n_clean: int) -
 
 
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_ROWS) -> dict:
-    """The model: trigram cube, log odds of each hashed piece, and the regression's weights."""
+    """The model: trigram cube, log odds of notable pieces (seen in two toxic texts at least), and the regression."""
     cube = letter_counts(docs)
     chosen = sampled(labels.withColumn("held", fold(F.col("doc_id")) == 0), "toxic", max_rows, "not held")
     rows = docs.select("doc_id", F.col("text").cast("string")).join(F.broadcast(chosen), "doc_id").select("text", (F.col("label") + 2 * F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(2))).cast("int").alias("kind"))
-    size = 1 << BITS
 
     def count(batches):
         channel = Channel(cube)
-        total, texts = np.zeros((4, size), np.int64), np.zeros(4, np.int64)
         for batch in batches:
             restored, kinds = Restored(batch.column(0), channel), np.asarray(batch.column(1))
             at, ends = restored.pieces()
-            spelled: dict[int, list[int]] = {}
-            for text, code, _ in restored.spelled:
-                spelled.setdefault(text, []).append(code)
-            for i, kind in enumerate(kinds):
-                mine = np.unique(np.append(restored.codes[restored.ends[i] : restored.ends[i + 1]], np.array(spelled.get(i, []), np.int64)))
-                if len(mine):
-                    total[kind][np.unique(np.concatenate([at[ends[c] : ends[c + 1]] for c in mine]))] += 1
-                texts[kind] += 1
-        for kind in range(4):
-            at = np.flatnonzero(total[kind])
-            yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.full(len(at) + 1, kind, np.int32)), pa.array(np.append(total[kind][at], texts[kind]))], ["at", "kind", "n"])
-
-    got = rows.mapInArrow(count, "at long, kind int, n long").groupBy("at", "kind").agg(F.sum("n").alias("n")).toArrow()
-    counts, n = np.zeros((4, size)), np.zeros(4)
-    at, kind, value = (np.asarray(got[c]) for c in ("at", "kind", "n"))
-    counts[kind[at >= 0], at[at >= 0]] = value[at >= 0]
-    n[kind[at < 0]] = value[at < 0]
-    halves = [log_odds(counts[2 * h + 1], counts[2 * h], n[2 * h + 1], n[2 * h]) for h in (0, 1)]
+            found = [np.unique(np.concatenate([at[ends[c] : ends[c + 1]] for c in mine])) if len(mine) else at[:0] for mine in restored.by_text()]
+            for kind in range(4):
+                pieces, n = np.unique(np.concatenate([at[:0], *(f for f, k in zip(found, kinds) if k == kind)]), return_counts=True)
+                # One more row has the texts of this kind.
+                cols = [pa.array(pieces.view(np.int64)), pa.array(np.full(len(pieces), kind, np.int32)), pa.array(n), pa.array(np.zeros(len(pieces), bool))]
+                yield pa.RecordBatch.from_arrays(cols, ["piece", "kind", "n", "texts"])
+                yield pa.RecordBatch.from_arrays([pa.array([0], pa.int64()), pa.array([kind], pa.int32()), pa.array([int((kinds == kind).sum())], pa.int64()), pa.array([True])], ["piece", "kind", "n", "texts"])
+
+    rows_of = rows.mapInArrow(count, "piece long, kind int, n long, texts boolean")
+    by_piece = rows_of.groupBy("texts", "piece").agg(*(F.sum(F.when(F.col("kind") == k, F.col("n")).otherwise(0)).alias(f"n{k}") for k in range(4)))
+    got = by_piece.filter("texts or n1 + n3 >= 2").toArrow()
+    texts, pieces = np.asarray(got["texts"].combine_chunks().cast(pa.int8())).astype(bool), np.asarray(got["piece"]).view(np.uint64)
+    table = np.stack([np.asarray(got[f"n{k}"]).astype(float) for k in range(4)])
+    n = table[:, texts].sum(axis=1)
+    counts, pieces = table[:, ~texts], pieces[~texts]
+
+    def odds_of(toxic, clean):
+        value = log_odds(sum(counts[k] for k in toxic), sum(counts[k] for k in clean), sum(n[k] for k in toxic), sum(n[k] for k in clean))
+        keep = value >= LEVELS[0]
+        return Odds(pieces[keep], value[keep])
+
+    halves = [odds_of([1], [0]), odds_of([3], [2])]
 
     def look(batches):
         channel = Channel(cube)
@@ -245,30 +264,31 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_ROWS) ->
             restored, kinds = Restored(batch.column(0), channel), np.asarray(batch.column(1))
             by_half = [evidence(restored, halves[h]) for h in (0, 1)]  # each half is weighed by the other half's counts
             found = np.where((kinds < 2)[:, None], by_half[1], by_half[0])
-            yield pa.RecordBatch.from_arrays([*(pa.array(found[:, k]) for k in range(3)), pa.array(kinds % 2)], ["a", "b", "c", "y"])
+            yield pa.RecordBatch.from_arrays([*(pa.array(found[:, k]) for k in range(FEATURES)), pa.array(kinds % 2)], [*names, "y"])
 
-    seen = rows.mapInArrow(look, "a double, b double, c double, y int").toArrow()
-    x = np.stack([np.asarray(seen[c]) for c in "abc"], axis=1) if seen.num_rows else np.zeros((0, 3))
+    names = [f"x{k}" for k in range(FEATURES)]
+    seen = rows.mapInArrow(look, ", ".join(f"{n} double" for n in names) + ", y int").toArrow()
+    x = np.stack([np.asarray(seen[c]) for c in names], axis=1) if seen.num_rows else np.zeros((0, FEATURES))
     y = np.asarray(seen["y"]).astype(float) if seen.num_rows else np.zeros(0)
     order = np.lexsort((*x.T, y))
     weights = regression(x[order], y[order])
-    return {"cube": cube, "odds": log_odds(counts[1] + counts[3], counts[0] + counts[2], n[1] + n[3], n[0] + n[2]).astype(np.float32), "weights": weights}
+    return {"cube": cube, "odds": odds_of([1, 3], [0, 2]), "weights": weights}
 
 
 def regression(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> list[float]:
     if not len(y) or y.min() == y.max():
-        return [0.0, 0.0, 0.0, -30.0 if not len(y) or y[0] == 0 else 30.0]
-    z, w = np.hstack([x, np.ones((len(x), 1))]), np.zeros(4)
+        return [0.0] * FEATURES + [-30.0 if not len(y) or y[0] == 0 else 30.0]
+    z, w = np.hstack([x, np.ones((len(x), 1))]), np.zeros(FEATURES + 1)
     for _ in range(60):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        g = z.T @ (p - y) + ridge * np.append(w[:3], 0)
-        hess = (z * (p * (1 - p))[:, None]).T @ z + np.diag([ridge] * 3 + [1e-6])
+        g = z.T @ (p - y) + ridge * np.append(w[:-1], 0)
+        hess = (z * (p * (1 - p))[:, None]).T @ z + np.diag([ridge] * FEATURES + [1e-6])
         step = np.linalg.solve(hess, g)
         w -= np.clip(step, -3, 3)
         if np.abs(step).max() < 1e-8:
             break
     slope, offset = calibrate(z @ w, y)
-    return [*(slope * w[:3]), slope * w[3] + offset]
+    return [*(slope * w[:-1]), slope * w[-1] + offset]
 
 
 def score(docs: DataFrame, model: dict, with_text: bool = False) -> DataFrame:
@@ -278,7 +298,7 @@ def score(docs: DataFrame, model: dict, with_text: bool = False) -> DataFrame:
         channel, weights = Channel(model["cube"]), np.array(model["weights"])
         for batch in batches:
             restored = Restored(batch.column(1), channel)
-            margin = evidence(restored, model["odds"]) @ weights[:3] + weights[3]
+            margin = evidence(restored, model["odds"]) @ weights[:-1] + weights[-1]
             cols = [batch.column(0), pa.array(1 / (1 + np.exp(-np.clip(margin, -30, 30))))]
             yield pa.RecordBatch.from_arrays(cols + ([pa.array(restored.texts(), pa.string())] if with_text else []), ["doc_id", "score", "restored"][: 2 + with_text])
 
@@ -300,7 +320,7 @@ def without_toxic(docs: DataFrame, model: dict, reject_at: float = 0.5) -> DataF
     def run(batches):
         channel, weights = Channel(model["cube"]), np.array(model["weights"])
         for batch in batches:
-            margin = evidence(Restored(batch.column("text"), channel), model["odds"]) @ weights[:3] + weights[3]
+            margin = evidence(Restored(batch.column("text"), channel), model["odds"]) @ weights[:-1] + weights[-1]
             keep = 1 / (1 + np.exp(-np.clip(margin, -30, 30))) < reject_at
             yield pa.RecordBatch.from_arrays([batch.column(n) for n in names], names).filter(pa.array(keep))
 
