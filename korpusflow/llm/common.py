@@ -72,6 +72,8 @@ def words(texts: pa.Array, lower: bool = True) -> tuple[pa.Array, np.ndarray]:
     """Words `[^\\x20\\x09-\\x0D]+` of each text: all words in one array, and where each text's begin and end."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
+    if texts.offset:
+        texts = texts.take(pa.array(np.arange(len(texts))))  # the kernels below misread slices
     texts = pc.fill_null(texts, "")
     if not pa.types.is_large_string(texts.type):
         texts = texts.cast(pa.large_string())
