@@ -1,4 +1,6 @@
-"""Registered queries over the given tables, with their oracle SQL."""
+"""All registered queries over the given tables, and their oracle SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from korpusflow.plans import corpus, retrieval
+
+QUERIES = retrieval.QUERIES | corpus.QUERIES
+ORACLES = retrieval.ORACLES | corpus.ORACLES
