@@ -128,7 +128,8 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     gone = repeated_lines(docs, min_words).groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set("no")).alias("__gone"))
     gone = materialize(gone.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), "__gone"), "gone")
     marked = docs.withColumn("__key", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    joined = marked.join(gone, (place_of(F.col("doc_id")) == F.col("__id")) & (F.col("__key") == F.col("__hash")), "left")
+    # The same kind of join at every size: a switch to a broadcast would only hide what a larger input shuffles.
+    joined = marked.join(gone.hint("merge"), (place_of(F.col("doc_id")) == F.col("__id")) & (F.col("__key") == F.col("__hash")), "left")
     parts = F.split("text", "\n", -1)
     blank = lambda x: F.regexp_replace(x, f"[{GAPS}]+", "") == ""
     # A line without words goes with the line above it: the last line number with a word up to it decides.
