@@ -3,10 +3,11 @@
 A document's set of w-word shingles is hashed once; bin k of the signature holds the least hash of its range, and an
 empty bin borrows from a non-empty one that its own fixed probe sequence names. Bands of the signature give buckets.
 Documents with equal sets are first merged into classes. In each bucket only a star of candidate edges is made, from its
-least document to the others; links are confirmed on full sets. A star alone can miss a link between two leaves, so
-buckets whose members still lie in different components are searched again from a growing, nested choice of further
-centres until every such bucket is one component or all its pairs have been compared: the work of a bucket of copies
-stays linear, and no candidate pair of different components is left out.
+least document to the others; links are confirmed on full sets. A star alone can miss a link between two leaves. So the
+buckets of one centre whose members still lie in different components form a group, and all its pairs of different
+components are compared exactly, but without rows for pairs: members outside the group's largest component are dealt into
+tiles of bounded size with an inverted index of their shingles, every member streams past each tile, and a tile gives out
+only links that join components it has not joined yet.
 
 Cases: null or empty texts and texts without words have an empty set and are linked with nothing; a null doc_id is
 linked with nothing and kept; rows that repeat a doc_id count as one document; texts with fewer than w words are one
@@ -21,13 +22,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from korpusflow.llm.common import coded, discard, hashes, materialize, mix, words
+from korpusflow.llm.common import coded, hashes, materialize, mix, words
 from korpusflow.llm.components import connected_components
 
 BANDS, ROWS = 32, 5
 PROBES = 512
 #: Members that are compared with one copy of a centre's text.
 GROUP = 256
+#: Bounds of a tile: indexed members, their shingles, and members that stream past.
+TILE_MEMBERS, TILE_SHINGLES, TILE_STREAM = 512, 400_000, 4096
 FEATURES = "doc_id long, n_shingles long, key1 long, key2 long, bands array<long>"
 
 
@@ -118,12 +121,12 @@ def confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
     def run(batches):
         centre, sets_of_centre = None, []
         for batch in batches:
-            a, role, b = (np.asarray(batch.column(k)) for k in (0, 2, 3))
+            a, part, role, b = (np.asarray(batch.column(k)) for k in range(4))
             found = []
             for i, mine in enumerate(shingle_sets(batch.column(4), size)):
                 if role[i] == 0:
-                    sets_of_centre = [*sets_of_centre, mine] if centre == a[i] else [mine]  # rows may repeat an id
-                    centre = a[i]
+                    sets_of_centre = [*sets_of_centre, mine] if centre == (a[i], part[i]) else [mine]  # rows may repeat an id
+                    centre = a[i], part[i]
                 elif any(similar(s, mine, percent) for s in sets_of_centre):
                     found.append(i)
             yield pa.RecordBatch.from_arrays([pa.array(a[found]), pa.array(b[found])], ["a", "b"])
@@ -142,6 +145,88 @@ def similar(s: np.ndarray, t: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(s) + len(t) - both)
 
 
+def cross_links(members: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links (a, b) that join the components of each group of (centre, rep, n, component) members, as if every pair of
+    different components in a group had been compared."""
+    members = materialize(members, "minhash-members")
+    by_component = members.groupBy("centre", "component").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("s"))
+    groups = by_component.groupBy("centre").agg(F.max_by("component", F.struct("k", "component")).alias("largest"), F.sum("k").alias("m"), F.sum("s").alias("s"), F.max(F.struct("k", "component", "s")).alias("top"), F.count(F.lit(1)).alias("c"))
+    groups = groups.filter("c > 1").select(
+        "centre", "largest",
+        F.greatest(F.lit(1), F.ceil((F.col("m") - F.col("top.k")) / TILE_MEMBERS), F.ceil((F.col("s") - F.col("top.s")) / TILE_SHINGLES)).cast("int").alias("tiles"),
+        F.greatest(F.lit(1), F.ceil(F.col("m") / TILE_STREAM)).cast("int").alias("parts"),
+    )
+    dealt = members.join(groups, "centre")
+    tile, part = F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int"), F.pmod(F.xxhash64("rep", F.lit(1)), F.col("parts")).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    indexed = dealt.filter("component <> largest").select("centre", tile.alias("tile"), every("parts").alias("part"), F.lit(0).alias("role"), "rep", "component")
+    passing = dealt.select("centre", every("tiles").alias("tile"), part.alias("part"), F.lit(1).alias("role"), "rep", "component")
+    key = ["centre", "tile", "part"]
+    rows = indexed.unionByName(passing).join(texts.withColumnRenamed("id", "rep"), "rep").select(*key, "role", "rep", "component", "text")
+    rows = rows.repartition(*key).sortWithinPartitions(*key, "role", "rep")
+
+    def run(batches):
+        now, tile = None, None
+        for batch in batches:
+            places = list(zip(*(batch.column(k).to_pylist() for k in range(3))))
+            role, rep, component = (np.asarray(batch.column(k)) for k in (3, 4, 5))
+            found = []
+            for i, mine in enumerate(shingle_sets(batch.column(6), size)):
+                if places[i] != now:
+                    now, tile = places[i], Tile(percent)
+                if role[i] == 0:
+                    tile.add(int(rep[i]), int(component[i]), mine)
+                else:
+                    found += tile.links(int(rep[i]), int(component[i]), mine)
+            yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    return materialize(rows.mapInArrow(run, "a long, b long").distinct(), "minhash-links")
+
+
+class Tile:
+    """Indexed members of a group, and the components that links have joined so far."""
+
+    def __init__(self, percent: int):
+        self.percent, self.reps, self.components, self.sets, self.parent, self.index = percent, [], [], [], {}, None
+
+    def add(self, rep: int, component: int, mine: np.ndarray):
+        self.reps.append(rep)
+        self.components.append(component)
+        self.sets.append(mine)
+
+    def root(self, x: int) -> int:
+        while (up := self.parent.get(x, x)) != x:
+            x = up
+        return x
+
+    def links(self, rep: int, component: int, mine: np.ndarray) -> list[tuple[int, int]]:
+        if not self.sets:
+            return []
+        if self.index is None:
+            every, owner = np.concatenate(self.sets), np.repeat(np.arange(len(self.sets)), [len(s) for s in self.sets])
+            by = np.argsort(every, kind="stable")
+            shingles, starts = np.unique(every[by], return_index=True)
+            self.index = shingles, np.append(starts, len(every)), owner[by]
+            self.sizes = np.array([len(s) for s in self.sets])
+        shingles, starts, owner = self.index
+        at = np.minimum(np.searchsorted(shingles, mine), len(shingles) - 1)
+        at = at[shingles[at] == mine]
+        counts = np.diff(starts)[at]
+        if not counts.sum():
+            return []
+        ends = np.cumsum(counts)
+        entries = np.arange(ends[-1]) + np.repeat(starts[at] - (ends - counts), counts)
+        both = np.bincount(owner[entries], minlength=len(self.sets))
+        out = []
+        for j in np.flatnonzero((both > 0) & (100 * both >= self.percent * (len(mine) + self.sizes - both))):
+            x, y = self.root(component), self.root(self.components[j])
+            if x != y:
+                self.parent[max(x, y)] = min(x, y)
+                if rep != self.reps[j]:
+                    out.append((min(rep, self.reps[j]), max(rep, self.reps[j])))
+        return out
+
+
 def near_duplicates(df: DataFrame, size: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable by links), kept (doc_id = component_id), for every
     row of (doc_id, text). Links: 100 * intersection >= percent * union of the sets of `size`-word shingles."""
@@ -150,42 +235,23 @@ def near_duplicates(df: DataFrame, size: int = 5, percent: int = 80, bands: int
     classes = materialize(linkable.groupBy("key1", "key2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")), "minhash-classes")
     heads = linkable.join(classes.select("key1", "key2", F.col("rep").alias("doc_id")), ["key1", "key2", "doc_id"], "left_semi")
     entries = heads.select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), F.explode("bands").alias("bucket"))
-    shared = entries.groupBy("bucket").agg(F.min("rep").alias("centre"), F.max("rep").alias("last"), F.count(F.lit(1)).alias("m")).filter("centre < last")
+    shared = entries.groupBy("bucket").agg(F.min("rep").alias("centre"), F.max("rep").alias("last")).filter("centre < last")
     open_buckets = materialize(entries.join(shared.drop("last"), "bucket"), "minhash-buckets")
     sizes_fit = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)
+    ids = open_buckets.select(F.col("rep").alias("id")).distinct()
     texts = df.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string"))
+    texts = materialize(texts.join(ids.hint("merge"), "id", "left_semi"), "minhash-texts")  # of candidates only
 
     own = open_buckets.filter("rep = centre").select("bucket", F.col("n").alias("cn"))
     star = open_buckets.filter("rep > centre").join(own, "bucket").filter(sizes_fit(F.col("n"), F.col("cn"))).select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct()
-    links = materialize(confirmed(star, texts, size, percent), "minhash-links")
+    links = confirmed(star, texts, size, percent)
     # A doc_id with several texts is one document: its classes are linked.
-    several = linkable.join(classes, ["key1", "key2"]).groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).filter("a < b or doc_id > a")
-    bridges = materialize(several.filter("a < b").select("a", "b").distinct(), "minhash-bridges")
-    links = links.unionByName(bridges)
+    several = linkable.join(classes, ["key1", "key2"]).groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b"))
+    links = materialize(links.unionByName(several.filter("a < b").select("a", "b").distinct()), "minhash-links")
     labels = connected_components(links)
-
-    tried, centres = 1, 8
-    while True:
-        known = labels.select(F.col("node").alias("rep"), "component")
-        now = open_buckets.join(known, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-        split = now.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("bucket")
-        # Centres are nested: those whose hash is divisible by 2^level, about `centres` in a bucket of m.
-        at_level = lambda k: F.col("m") <= k if k < 1 else F.pmod(F.xxhash64("rep"), F.pow(F.lit(2), F.greatest(F.lit(0), F.floor(F.log2(F.col("m") / k)))).cast("long")) == 0
-        was = (F.col("rep") == F.col("centre")) if tried == 1 else (F.col("rep") == F.col("centre")) | at_level(tried)
-        left = materialize(now.join(split, "bucket").withColumn("was", was).withColumn("is", was | at_level(centres)).filter((F.lit(tried) == 1) | (F.col("m") > tried)), "minhash-open")
-        ask = left.filter("`is` and not was").select("bucket", F.col("rep").alias("p"), F.col("n").alias("pn"), F.col("component").alias("pc"))
-        pairs = (
-            left.filter("not was").join(ask, "bucket").filter((F.col("component") != F.col("pc")) & (~F.col("is") | (F.col("p") < F.col("rep"))) & sizes_fit(F.col("n"), F.col("pn")))
-            .select(F.least("p", "rep").alias("a"), F.greatest("p", "rep").alias("b")).distinct()
-        )
-        pairs = materialize(pairs, "minhash-pairs")
-        if left.isEmpty():
-            break
-        if not pairs.isEmpty():
-            links = materialize(links.unionByName(confirmed(pairs, texts, size, percent)).distinct(), "minhash-links")
-            labels = connected_components(links)
-        discard(left, pairs)
-        tried, centres = centres, centres * 8
+    members = open_buckets.select("centre", "rep", "n").distinct().join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    found = cross_links(members, texts, size, percent)
+    labels = connected_components(links.unionByName(found))
 
     by_class = classes.join(labels.select(F.col("node").alias("rep"), F.col("component")), "rep", "left").select("key1", "key2", F.coalesce("component", "rep").alias("component"))
     rows_out = f.join(by_class, ["key1", "key2"], "left")
