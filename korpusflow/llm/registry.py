@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from korpusflow.llm import bpe, contamination, html, lines, minhash, ppm, quality, secrets, toxicity, warc
 from korpusflow.llm.common import read_table
+from korpusflow.llm.oracles import ORACLES  # noqa: F401
 
 
 def vocabulary_path() -> str:
@@ -58,4 +59,3 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_minhash, op2_bpe, op3_warc, op4_quality, op5_decontamination, op6_ppm, op7_html, op8_line_dedup, op9_toxicity, op10_secrets)}
-ORACLES: dict[str, str] = {}
