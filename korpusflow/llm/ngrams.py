@@ -35,12 +35,25 @@ def char_grams(distinct: list[str], sizes=CHAR_SIZES, whole: bool = False) -> tu
                 h = h * np.uint64(0x100000001B3) + chars[at + k]
             found.append(mix(h) if whole else bucket(mix(h)))
             owners.append(owner[at])
+    if len(sizes) == 1:
+        return found[0], np.concatenate([[0], np.cumsum(np.bincount(owners[0], minlength=len(distinct)))])
     found, owners = np.concatenate(found), np.concatenate(owners)
     order = np.argsort(owners, kind="stable")
     counts = np.bincount(owners, minlength=len(distinct))
     return found[order], np.concatenate([[0], np.cumsum(counts)])
 
 
+def best_piece(distinct: list[str], sizes, value_of) -> np.ndarray:
+    """The largest value of each word's character n-grams (0 without any), one size at a time."""
+    best = np.zeros(len(distinct))
+    for n in sizes:
+        pieces, ends = char_grams(distinct, (n,), whole=True)
+        some = np.diff(ends) > 0
+        if some.any():
+            best[some] = np.maximum(best[some], np.maximum.reduceat(value_of(pieces), ends[:-1][some]))
+    return best
+
+
 def sums(values: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Sum of each run of values."""
     total = np.concatenate([[0.0], np.cumsum(values, dtype=np.float64)])
@@ -55,7 +68,6 @@ class Grams:
         self.codes, self.distinct = coded(flat)
         h = hashes(self.distinct)
         self.word = bucket(h)
-        self.chars, self.char_ends = char_grams(self.distinct)
         with np.errstate(over="ignore"):
             of_token = h[self.codes] if len(h) else h
             self.pairs = bucket(mix(of_token[:-1] * np.uint64(0xC2B2AE3D27D4EB4F) + of_token[1:]))
@@ -66,11 +78,11 @@ class Grams:
 
     def sparse(self) -> list[tuple[np.ndarray, np.ndarray]]:
         """Buckets and values of each text: counts over the number of its words."""
-        out = []
+        out, (chars, char_ends) = [], char_grams(self.distinct)
         for a, b in zip(self.ends, self.ends[1:]):
             codes = self.codes[a:b]
             parts = [self.word[codes], self.pairs[a : max(a, b - 1)][self.paired[a : max(a, b - 1)]]]
-            parts += [self.chars[self.char_ends[c] : self.char_ends[c + 1]] for c in codes]
+            parts += [chars[char_ends[c] : char_ends[c + 1]] for c in codes]
             at, counts = np.unique(np.concatenate(parts), return_counts=True)
             out.append((at, counts / max(1, b - a)))
         return out
@@ -79,7 +91,10 @@ class Grams:
         """Weights times the values of sparse(), without making them."""
         if not len(self.codes):
             return np.zeros(len(self.ends) - 1)
-        per_word = weights[self.word] + sums(weights[self.chars], self.char_ends)
+        per_word = weights[self.word].astype(np.float64)
+        for n in CHAR_SIZES:  # one size at a time bounds what is held
+            chars, char_ends = char_grams(self.distinct, (n,))
+            per_word += sums(weights[chars], char_ends)
         total = sums(per_word[self.codes], self.ends)
         pairs = np.where(self.paired, weights[self.pairs], 0.0) if len(self.pairs) else np.zeros(0)
         total += sums(np.append(pairs, 0.0), self.ends)

@@ -24,11 +24,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from korpusflow.llm.common import coded, fold, words
-from korpusflow.llm.ngrams import calibrate, char_grams
+from korpusflow.llm.ngrams import best_piece, calibrate, char_grams
 from korpusflow.llm.quality import sampled
 
 MAX_TRAIN_ROWS = 10_000
 SIZES = (4, 5, 6, 7)
+#: Restored words that a worker remembers.
+KNOWN_WORDS = 50_000
 SMOOTH = 4.0
 #: Evidence from which a word counts at each level.
 LEVELS = (1.2, 2.0, 3.0, 4.5)
@@ -89,9 +91,11 @@ class Channel:
     def restore(self, word: str) -> str:
         got = self.known.get(word)
         if got is None:
-            if len(self.known) > 200_000:
+            if len(self.known) > KNOWN_WORDS:
                 self.known.clear()
-            got = self.known[word] = self.decode(word) if SUSPECT.search(word) else word
+            if not SUSPECT.search(word):
+                return word
+            got = self.known[word] = self.decode(word)
         return got
 
     def decode(self, word: str) -> str:
@@ -204,11 +208,7 @@ def evidence(restored: Restored, odds: Odds) -> np.ndarray:
     out = np.zeros((len(restored.ends) - 1, FEATURES))
     if not restored.distinct:
         return out
-    at, piece_ends = restored.pieces()
-    value = np.zeros(len(restored.distinct))
-    some = np.diff(piece_ends) > 0
-    if some.any():
-        value[some] = np.maximum.reduceat(odds.of(at), piece_ends[:-1][some])
+    value = best_piece(restored.distinct, SIZES, odds.of)
     for i, mine in enumerate(restored.by_text()):
         found = value[mine]
         found = np.sort(found[found >= LEVELS[0]])
