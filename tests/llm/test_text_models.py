@@ -110,7 +110,7 @@ def test_ppm_matches_definition(spark):
     for t in training:
         words.update([*(t or "").encode().lower().split(), None])
     n, v = sum(words.values()), len(words)
-    model = BrutePpm(training, 4)
+    model = BrutePpm(training, ppm.ORDER)
     for top in (400_000, 2):
         got = ppm.score(df, top_words=top).collect()
         assert len(got) == len(rows)
