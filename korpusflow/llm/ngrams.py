@@ -107,9 +107,13 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, steps: in
     w, bias = np.zeros(size), 0.0
     if not len(rows) or labels.min() == labels.max():
         return w, 0.0 if not len(rows) else (4.0 if labels[0] else -4.0)
-    row = np.repeat(np.arange(len(rows)), [len(r[0]) for r in rows])
-    used, col = np.unique(np.concatenate([r[0] for r in rows]), return_inverse=True)
-    val = np.concatenate([r[1] for r in rows])
+    row = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r[0]) for r in rows])
+    col = np.concatenate([r[0] for r in rows]).astype(np.int32)
+    used = np.flatnonzero(np.bincount(col, minlength=size))
+    place = np.zeros(size, np.int32)
+    place[used] = np.arange(len(used), dtype=np.int32)
+    col = place[col]
+    val = np.concatenate([r[1] for r in rows]).astype(np.float32)
     share = np.where(labels == 1, 0.5 / labels.sum(), 0.5 / (len(labels) - labels.sum()))
     u, m, v = np.zeros(len(used) + 1), np.zeros(len(used) + 1), np.zeros(len(used) + 1)
     for t in range(1, steps + 1):

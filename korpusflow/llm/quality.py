@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from korpusflow.llm.common import coded, hashes, mix, words
 from korpusflow.llm.ngrams import Grams, calibrate, fit
 
-MAX_TRAIN_ROWS = 4000
+MAX_TRAIN_ROWS = 2000
 KEEP_AT = 0.5
 WINDOW = 8
 SYMBOLS = b"#*$%&|<>"
@@ -40,14 +40,15 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows:
         for batch in batches:
             rows = Grams(batch.column(2)).sparse()
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array([r[0].astype(np.int32) for r in rows], pa.list_(pa.int32())), pa.array([r[1] for r in rows], pa.list_(pa.float64()))],
+                [batch.column(0), batch.column(1), pa.array([r[0].astype(np.int32) for r in rows], pa.list_(pa.int32())), pa.array([r[1].astype(np.float32) for r in rows], pa.list_(pa.float32()))],
                 ["doc_id", "label", "at", "value"],
             )
 
     rows = docs.select("doc_id", F.col("text").cast("string")).join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text")
-    got = rows.mapInArrow(run, "doc_id long, label int, at array<int>, value array<double>").toArrow().sort_by("doc_id")
+    got = rows.mapInArrow(run, "doc_id long, label int, at array<int>, value array<float>").toArrow().sort_by("doc_id")
     y = np.asarray(got["label"]).astype(float) if got.num_rows else np.zeros(0)
-    x = [(np.asarray(a.values), np.asarray(v.values)) for a, v in zip(got["at"], got["value"])]
+    x = [(np.asarray(a.values).copy(), np.asarray(v.values).copy()) for a, v in zip(got["at"], got["value"])]
+    del got
     held = np.array([i % 5 == 0 for i in range(len(y))], bool)
     w, bias = fit([r for r, h in zip(x, held) if not h], y[~held])
     margins = np.array([(w[a] * v).sum() + bias for (a, v), h in zip(x, held) if h])
