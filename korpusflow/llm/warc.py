@@ -129,9 +129,14 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0) -> DataFra
     return materialize(told.mapInArrow(run, MANIFEST), "warc-manifest")
 
 
+def escaped(key: str) -> F.Column:
+    """The key as a block's line holds it: the order of blocks and look-ups is that of this form."""
+    return F.replace(F.replace(F.col(key), F.lit("\n"), F.lit("%0A")), F.lit(" "), F.lit("%20"))
+
+
 def build_index(manifest: DataFrame, folder: str, block_captures: int = BLOCK_CAPTURES) -> DataFrame:
     """Write the captures' blocks and return the directory: block_no (in key order), first_key, last_key, index_file, offset, size."""
-    captures = manifest.select("capture_key", F.to_json(F.struct("page_id", "file", "offset", "size")).alias("entry"))
+    captures = manifest.select(escaped("capture_key").alias("capture_key"), F.to_json(F.struct("page_id", "file", "offset", "size")).alias("entry"))
     n = manifest.sparkSession.conf.get("spark.sql.shuffle.partitions")
     ordered = captures.repartitionByRange(int(n), "capture_key", F.xxhash64("entry")).sortWithinPartitions("capture_key", "entry")
 
@@ -160,7 +165,7 @@ def build_index(manifest: DataFrame, folder: str, block_captures: int = BLOCK_CA
         for batch in batches:
             rows = []
             for key, entry in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                held.append((key.replace("\n", "%0A").replace(" ", "%20"), entry))
+                held.append((key, entry))
                 if len(held) >= block_captures:
                     rows.append(put())
             if rows:
@@ -184,7 +189,7 @@ def lookup(keys: DataFrame, directory: DataFrame, folder: str) -> DataFrame:
     """Captures of each (lookup_id, capture_key): lookup_id, capture_key, page_id, file, offset, size. A key with no
     capture has no row; a key with several captures has a row for each, from every block that it reaches into."""
     chunked, top = with_top(directory)
-    asked = keys.filter("lookup_id is not null and capture_key is not null").withColumn("capture_key", F.regexp_replace(F.regexp_replace("capture_key", "\n", "%0A"), " ", "%20"))
+    asked = keys.filter("lookup_id is not null and capture_key is not null").withColumn("capture_key", escaped("capture_key"))
     sparse = sorted(top.toArrow().to_pylist(), key=lambda x: (x["low"], x["high"], x["chunk"]))  # one row in about a million captures
     lows, highs, numbers = ([x[k] for x in sparse] for k in ("low", "high", "chunk"))
 
@@ -277,5 +282,5 @@ def archive_and_read(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     folder = scratch_path(spark, "warc")
     manifest = write_archives(pages, folder, min_bytes)
     directory = build_index(manifest, folder)
-    keys = manifest.select("capture_key").distinct().select(F.xxhash64("capture_key").alias("lookup_id"), "capture_key")
+    keys = manifest.select(escaped("capture_key").alias("capture_key")).distinct().select(F.xxhash64("capture_key").alias("lookup_id"), "capture_key")
     return read_records(lookup(keys, directory, folder), folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")

@@ -48,6 +48,13 @@ def test_lookup_over_many_blocks(spark, tmp_path):
     assert got == {i: {r[0] for r in rows if warc.url_key(r[1]) == key} for i, key in asked[:80]}
 
 
+def test_spaces_in_keys(spark):
+    ends = ["a b", "a!b", "a$b", 'a"b', "a%20b", "a b c", "a!", "a", "a  b", "a#b", "a%b", "a'b"]
+    rows = [(i, f"http://h/{x}", f"page {i}") for i, x in enumerate(ends)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert sorted((tuple(r) for r in warc.archive_and_read(df).collect()), key=str) == warc_brute(rows)
+
+
 @needs_tables
 def test_warc_query(spark):
     from korpusflow.llm.registry import QUERIES
