@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -99,6 +100,50 @@ def hashes(distinct: list[str]) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh3_64_intdigest, distinct), np.uint64, len(distinct))
 
 
+#: Bytes whose powers are held at once by token_hashes (a longer word alone goes on its own).
+HASH_BYTES = 1 << 19
+BASE, BASE_INVERSE = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
+
+
+@lru_cache(maxsize=2)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """BASE and its inverse to the powers 0 to n - 1, modulo 2^64."""
+    factors = np.full((2, n), [[BASE], [BASE_INVERSE]], np.uint64)
+    factors[:, 0] = 1
+    up, down = np.cumprod(factors, axis=1, dtype=np.uint64)
+    return up, down
+
+
+@lru_cache(maxsize=1)
+def _byte_values() -> np.ndarray:
+    return mix(np.arange(1, 257, dtype=np.uint64))
+
+
+def token_hashes(flat: pa.Array) -> np.ndarray:
+    """A 64-bit hash of each word of a large_string array: a polynomial in its bytes, for all words at once."""
+    n = len(flat)
+    out = np.zeros(n, np.uint64)
+    if not n:
+        return out
+    _, ends, data = flat.buffers()
+    ends = np.frombuffer(ends, np.int64)[flat.offset : flat.offset + n + 1]
+    raw = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+    a = 0
+    while a < n:
+        b = max(a + 1, int(np.searchsorted(ends, ends[a] + HASH_BYTES, "right")) - 1)
+        part = raw[ends[a] : ends[b]]
+        size = HASH_BYTES
+        while size < len(part):
+            size *= 2
+        up, down = _powers(size)
+        total = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(_byte_values()[part] * up[: len(part)], out=total[1:])
+        at = ends[a : b + 1] - ends[a]
+        out[a:b] = (total[at[1:]] - total[at[:-1]]) * down[np.minimum(at[:-1], size - 1)]
+        a = b
+    return mix(out)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Spread a 64-bit number's bits (two multiply-xorshift rounds)."""
     x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
