@@ -19,8 +19,8 @@ PARAGRAPH = re.compile(r"(?m)^[ \t]*\((?P<label>\d+)\)\s+")
 ITEM = re.compile(r"(?m)^[ \t]*(?P<label>[a-zçğıöşü])\)\s+")
 SUBITEM = re.compile(r"(?m)^[ \t]*(?P<label>\d+|[ivxlcdm]+)\)\s+")
 ABBREVIATIONS = frozenset("av dr prof doç yrd md mad vd vb vs bkz s sy no nr ltd şti a.ş t.c tic san cad sok mah apt e k hmk tbk ik tmk hgk ygk ibk ör yy hd cd".split())
+CAPITALS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZÇĞİÖŞÜ")
 TARGET_CHARS, MAX_CHARS, OVERLAP_CHARS, MIN_SECTION_CHARS = 1400, 2000, 200, 400
-SENTENCE_END = re.compile(r"(?<=[.!?…])\s+(?=[\"“'(]?[A-ZÇĞİÖŞÜ])")
 MARKERS = "document_id string, start int, level int, unit_type string, label string, last int, heading string"
 
 
@@ -128,25 +128,36 @@ def split_long(text: str, max_chars: int = 3000) -> list[tuple[int, int]]:
     return out
 
 
+def ends_sentence(word: str, following: str) -> bool:
+    """Whether a sentence ends between two words: not after an abbreviation, an initial or an ordinal."""
+    opening = following.lstrip("\"“'(")[:1]
+    if word[-1:] not in (".", "!", "?", "…") or opening not in CAPITALS or len(following) - len(following.lstrip("\"“'(")) > 1:
+        return False
+    bare = word.rstrip(".").lstrip("(\"“'")
+    return not word.endswith(".") or not (bare.lower() in ABBREVIATIONS or bare.isdigit() or len(bare) == 1)
+
+
 def sentences(text: str, max_chars: int = MAX_CHARS) -> list[str]:
-    """Sentences; no cut after an abbreviation, an initial or an ordinal; longer ones are cut between words."""
+    """Sentences, as words with single spaces; one over max_chars is cut between words, and a longer word by itself."""
     out: list[str] = []
-    for piece in SENTENCE_END.split(text):
-        last = out[-1].rsplit(None, 1)[-1].rstrip(".").lstrip("(\"“'") if out and out[-1].endswith(".") else None
-        if last is not None and (last.lower() in ABBREVIATIONS or len(last) == 1 or last.isdigit()):
-            out[-1] += " " + piece
+    now: list[str] = []
+    words = text.split()
+    for word, following in zip(words, [*words[1:], ""]):
+        now.append(word)
+        if not following or ends_sentence(word, following):
+            out += _within(now, max_chars)
+            now = []
+    return out
+
+
+def _within(words: list[str], max_chars: int) -> list[str]:
+    lines: list[str] = []
+    for word in words:
+        if lines and len(lines[-1]) + 1 + len(word) <= max_chars:
+            lines[-1] += " " + word
         else:
-            out.append(piece)
-    cut: list[str] = []
-    for s in out:
-        while len(s) > max_chars:
-            space = s.rfind(" ", 1, max_chars)
-            space = space if space > 0 else max_chars
-            cut.append(s[:space].strip())
-            s = s[space:].strip()
-        if s:
-            cut.append(s)
-    return cut
+            lines += [word[k : k + max_chars] for k in range(0, len(word), max_chars)]
+    return lines
 
 
 def chunk_paragraphs(rows: list[tuple], target: int = TARGET_CHARS, most: int = MAX_CHARS, overlap: int = OVERLAP_CHARS, least: int = MIN_SECTION_CHARS) -> list[tuple]:
@@ -246,6 +257,22 @@ def repeated_edges(pages: DataFrame, edge: int = 2, longest: int = 60) -> DataFr
     return counts.join(total, "document_id").filter(F.col("n") >= F.greatest(F.lit(3), F.ceil(F.col("pages") / 2))).select("document_id", "edge_line", F.col("n"))
 
 
+def is_page_number(line):
+    """3, - 3 -, 3/12, Sayfa 3 / 12."""
+    bare = F.regexp_replace(F.regexp_replace(F.lower(line), "^\\s*sayfa", ""), "[\\s-]", "")
+    numbers = F.split(bare, "/")
+    return (F.size(numbers) <= 2) & F.forall(numbers, lambda n: n.rlike("^[0-9]+$") & (F.length(n) <= 4))
+
+
+def begins_item(line):
+    """Whether a line's first word is a bullet, or a number or letter with its mark."""
+    first = F.get(F.split(line, r"\s+", 2), F.lit(0))
+    mark, rest = F.substring(first, -1, 1), F.substring(first, F.lit(1), F.length(first) - 1)
+    numbered = rest.rlike(r"^\d{1,3}$") & mark.isin(".", ")", "-")
+    lettered = (F.length(rest) == 1) & rest.rlike(r"^\p{Ll}$") & mark.isin(".", ")")
+    return line.rlike(r"\s") & (first.isin("-", "•", "*", "–") | numbered | lettered)
+
+
 def strip_edges(pages: DataFrame, repeated: DataFrame) -> DataFrame:
     """Pages without page numbers and repeated lines among the two lines at either end."""
     lines = pages.select("document_id", "page", F.posexplode(F.split("text", "\n")).alias("no", "line"))
@@ -254,7 +281,7 @@ def strip_edges(pages: DataFrame, repeated: DataFrame) -> DataFrame:
     count = lambda w: F.sum(F.col("some").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0))
     placed = filled.withColumn("top", count(down)).withColumn("bottom", count(up)).withColumn("edge_line", F.regexp_replace(F.trim("line"), "[0-9]", "#"))
     marked = placed.join(repeated.select("document_id", "edge_line", F.lit(True).alias("again")), ["document_id", "edge_line"], "left")
-    noise = F.coalesce("again", F.lit(False)) | F.lower(F.trim("line")).rlike(r"^(?:sayfa\s*)?-?\s*\d{1,4}\s*(?:/\s*\d{1,4})?\s*-?$")
+    noise = F.coalesce("again", F.lit(False)) | is_page_number(F.col("line"))
     kept = marked.filter(~(F.col("some") & ((F.col("top") <= 2) | (F.col("bottom") <= 2)) & noise))
     body = F.transform(F.array_sort(F.collect_list(F.struct("no", "line"))), lambda x: x["line"])
     return pages.select("document_id", "page").join(kept.groupBy("document_id", "page").agg(F.array_join(body, "\n").alias("text")), ["document_id", "page"], "left").withColumn("text", F.coalesce("text", F.lit("")))
@@ -267,7 +294,7 @@ def rebuild_paragraphs(lines: DataFrame) -> DataFrame:
 
     order = Window.partitionBy("document_id").orderBy("no")
     some = lines.withColumn("line", F.trim("line")).withColumn("median", F.expr("percentile(length(line), 0.5)").over(Window.partitionBy("document_id")))
-    last, item = F.lag("line").over(order), F.col("line").rlike(r"^(?:\d{1,3}[.)-]|[a-zçğıöşü][.)]|[-•*–])\s")
+    last, item = F.lag("line").over(order), begins_item(F.col("line"))
     fresh = last.isNull() | (last == "") | is_heading(F.col("line")) | is_heading(last) | item | (last.rlike(r"[.!?:…]$") & (F.length(last) < F.col("median") * 0.8))
     numbered = some.withColumn("paragraph", F.sum(fresh.cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0))).filter("line <> ''")
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("no", "line"))), lambda x: x["line"]), "\n")

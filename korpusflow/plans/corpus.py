@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from korpusflow.functions import dates, text
-from korpusflow.operators import citations, corpus, pack, relational, search, segment, temporal
+from korpusflow.operators import citations, corpus, lawrefs, pack, relational, search, segment, temporal
 from korpusflow.plans.common import chunks, questions, sql_bm25, sql_top, table
 from korpusflow.sources import files, pages
 
@@ -126,7 +126,7 @@ def article_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
     law = F.element_at(F.array(*map(F.lit, ("4857 sayılı İş Kanunu'nun ", "HMK'nın ", "Türk Borçlar Kanunu'nun "))), (F.col("o_orderkey") % 3 + 1).cast("int"))
     paragraph = F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit("/"), (F.col("o_custkey") % 9 + 1).cast("string"))).otherwise("")
     sentence = F.concat(F.lit("Mahkemece "), law, (F.col("o_orderkey") % 120 + 1).cast("string"), paragraph, F.lit(". maddesi uyarınca karar verildi."))
-    return temporal.extract_refs(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), sentence.alias("text"), F.lit(None).cast("date").alias("decided")))
+    return lawrefs.extract_refs(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), sentence.alias("text"), F.lit(None).cast("date").alias("decided")))
 
 
 # --- packing and windows -------------------------------------------------------------------------------------------
