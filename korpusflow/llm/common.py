@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from functools import lru_cache
@@ -16,12 +17,18 @@ from pyspark.sql import functions as F
 #: Rows of an Arrow batch: bounds a Python worker's memory at a few MB of text for ordinary rows.
 ARROW_ROWS = 1000
 CHECKPOINT_KEY = "spark.checkpoint.dir"
+#: A key with more than this share of a table's rows, and more than HOT_LEAST of them, is dealt to several tasks.
+HOT_SHARE, HOT_LEAST = 0.001, 200
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from the session; a local one only where none is named (tests)."""
+    """The folder that driver and executors share, from the session. Only a local session may lack it: it gets a folder
+    of this machine; a cluster without one is refused, as each machine would write to its own disk."""
     folder = spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getConf().get(CHECKPOINT_KEY)
     if not folder:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+            raise ValueError(f"set {CHECKPOINT_KEY} to a folder that the driver and all executors of {master} share")
         folder = "file://" + tempfile.mkdtemp(prefix="spark-shared-", dir="/tmp")
         spark.conf.set(CHECKPOINT_KEY, folder)
     return folder
@@ -52,6 +59,23 @@ def discard(*tables: DataFrame) -> None:
             target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def hot_keys(counted: DataFrame, keys: list[str], n: str = "n", share: float = HOT_SHARE, least: int = HOT_LEAST) -> DataFrame:
+    """Keys of a counted table with more than `share` of all its rows, and in how many parts to deal theirs: there are
+    1 / share of them at most, whatever the data."""
+    total = counted.agg(F.sum(n)).first()[0] or 0
+    bound = max(float(least), share * total)
+    return counted.filter(F.col(n) > bound).select(*keys, F.ceil(F.col(n) / bound).cast("int").alias("__parts"))
+
+
+def spread_join(many: DataFrame, one: DataFrame, keys: list[str], hot: DataFrame, salt, how: str = "inner") -> DataFrame:
+    """many joined with one (a row for each key): the rows of hot keys are dealt by `salt` to several tasks, each with a
+    copy of the key's row. The hot keys, at most 1 / HOT_SHARE by hot_keys(), are broadcast."""
+    hot = F.broadcast(hot)
+    dealt = many.join(hot, keys, "left").withColumn("__part", F.when(F.col("__parts").isNotNull(), F.pmod(salt, F.col("__parts"))).otherwise(0).cast("int")).drop("__parts")
+    copies = one.join(hot, keys, "left").withColumn("__part", F.explode(F.sequence(F.lit(0), F.coalesce("__parts", F.lit(1)) - 1))).drop("__parts")
+    return dealt.join(copies, [*keys, "__part"], how).drop("__part")
+
+
 def bounded_batches(spark: SparkSession) -> None:
     """Keep Arrow batches small where the session has Spark's default of 10,000 rows."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"

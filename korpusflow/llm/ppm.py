@@ -1,18 +1,20 @@
 """Language-model scoring by prediction by partial matching, beside a unigram base score.
 
 One pass over the training texts counts words (by 64-bit hash) and the bytes that follow each context of ORDER bytes.
-Counts of shorter contexts are sums of those of longer ones, so the byte trie is a table per order in the shared folder,
-which each Python worker loads. A byte's probability is its share in the longest known context; otherwise the context's
-escape (method C: distinct symbols over symbols seen plus distinct) leads to the next shorter one, where the symbols
-already refused are excluded. Texts are scored as their lower-case words joined by single spaces, with one end byte.
+Counts of shorter contexts are sums of those of longer ones, so the byte trie is a table of contexts per order in the
+shared folder. A byte's probability is its share in the longest known context; otherwise the context's escape (method C:
+distinct symbols over symbols seen plus distinct) leads to the next shorter one, where the symbols already refused are
+excluded. Texts are scored as their lower-case words joined by single spaces, with one end byte.
 
-The trie keeps, per order, its MAX_NODES most frequent nodes (a count threshold from a histogram), which bounds what a
-worker loads; what is dropped escapes to the shorter contexts. Base scores are exact: words among the TOP_WORDS most
-frequent are looked up where the text is, all others by a join with the whole count table.
+Nothing is pruned: a text's bytes whose contexts are among the HOT_NODES most frequent are scored where the text is, by a
+table of ready costs; all others are collected as (text, context and byte, count) rows and joined with their costs, which
+joins with the tables of contexts give, from the longest down. Words are treated alike (TOP_WORDS and a join). So the two
+numbers move work between the table and the join, and never change a score.
 
 Cases: a null text counts as empty and has the end token only; a null doc_id belongs to the fold of an empty id; rows
-that repeat are each scored (and, in training folds, each counted); without training texts bytes are uniform and the base
-score is 0; other columns are ignored.
+that repeat are each scored (and, in training folds, each counted); a very long text is scored in slices of its bytes;
+equal counts at a bound of the tables are split by hash; without training texts bytes are uniform and the base score is 0;
+other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,12 +27,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from korpusflow.llm.common import coded, fold, hashes, materialize, words
+from korpusflow.llm.common import discard, fold, hot_keys, materialize, spread_join, token_hashes, words
 
 ORDER = 5
 HELD_FOLD = 1
-MAX_NODES = 1_000_000
+HOT_NODES = 2_000_000
 TOP_WORDS = 400_000
+#: Into how many parts contexts of two and three bytes are dealt: some are the end of many longer ones.
+SPREAD = {2: 16, 3: 4}
 GATHERED = 500_000
 #: Canonical bytes that are turned into numbers at once (a longer text alone goes on its own), and numbers scored at once.
 SLICE_BYTES, SCORED = 1 << 19, 1 << 17
@@ -120,9 +124,7 @@ def corpus_counts(docs: DataFrame, order: int = ORDER) -> DataFrame:
 
         for batch in batches:
             texts += batch.num_rows
-            codes, distinct = coded(words(batch.column(0))[0])
-            if distinct:
-                tallies[WORD].add(hashes(distinct), np.bincount(codes, minlength=len(distinct)))
+            tallies[WORD].add(*np.unique(token_hashes(words(batch.column(0))[0]), return_counts=True))
             for grams, _ in in_slices(batch.column(0), order):
                 grams.sort()
                 starts = np.flatnonzero(np.append(True, grams[1:] != grams[:-1]))
@@ -140,38 +142,83 @@ def corpus_counts(docs: DataFrame, order: int = ORDER) -> DataFrame:
 
 
 def most_frequent(counts: DataFrame, at_most: int) -> DataFrame:
-    """The rows whose count reaches the least threshold (of two steps per doubling) that at_most rows reach."""
-    level = F.floor(2 * F.log2("n")).cast("int")
+    """About at_most rows with the largest counts: whole levels of them (four to a doubling), and of the level that does
+    not fit a share by hash."""
+    level = F.floor(4 * F.log2("n")).cast("int")
     histogram = sorted(((r["level"], r["count"]) for r in counts.groupBy(level.alias("level")).count().collect()), reverse=True)
-    total, least = 0, None
-    for at, n in histogram:
-        total += n
-        if total > at_most:
+    left, least, share = at_most, 0, 0
+    for least, n in histogram:
+        share = min(1000, 1000 * left // n)
+        if share < 1000:
             break
-        least = at
-    return counts.filter(level >= (least if least is not None else 1 << 20))
+        left -= n
+    return counts.filter((level > least) | ((level == least) & (F.pmod(F.xxhash64("key"), F.lit(1000)) < share)))
 
 
-def trie_tables(counts: DataFrame, order: int = ORDER, max_nodes: int = MAX_NODES) -> str:
-    """Write the byte trie: order, code (context bytes and the byte that follows), n. Returns its place."""
-    grams = counts.filter(F.col("kind") == GRAM).select(F.col("key").alias("code"), "n")
-    tables = []
+def context_tables(counts: DataFrame, order: int = ORDER) -> list[DataFrame]:
+    """For each order from 0 the contexts of so many bytes: context, total and distinct of what follows, symbols (a count
+    for each byte, 256 at most), and what is left in the next shorter context when these symbols are excluded from it."""
+    grams, tables, scratch = counts.filter(F.col("kind") == GRAM).select(F.col("key").alias("code"), "n"), [], []
     for k in range(order, -1, -1):
-        own = grams if k == order else grams.groupBy(F.col("code").bitwiseAND((1 << 8 * (k + 1)) - 1).alias("code")).agg(F.sum("n").alias("n"))
-        own = materialize(own, f"ppm-order-{k}") if k < order else own
-        tables.append(most_frequent(own, max_nodes).select(F.lit(k).alias("order"), "code", "n"))
-        grams = own
-    out = tables[0]
-    for t in tables[1:]:
-        out = out.unionByName(t)
-    return materialize(out, "ppm-trie").__dict__["_scratch"]
+        if k < order:
+            grams = grams.groupBy(F.col("code").bitwiseAND((1 << 8 * (k + 1)) - 1).alias("code")).agg(F.sum("n").alias("n"))
+            grams = materialize(grams, f"ppm-nodes-{k}")
+            scratch.append(grams)
+        entry = F.struct(F.col("code").bitwiseAND(255).cast("int").alias("symbol"), "n")
+        found = grams.groupBy(F.shiftright("code", 8).alias("context")).agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("distinct"), F.map_from_entries(F.collect_list(entry)).alias("symbols"))
+        tables.insert(0, materialize(found, f"ppm-order-{k}"))
+    discard(*scratch)
+    out = [tables[0].withColumns({"left": F.lit(0).cast("long"), "left_distinct": F.lit(0).cast("long")})]
+    for k in range(1, order + 1):
+        below = tables[k - 1].select(F.col("context").alias("suffix"), F.col("total").alias("t"), F.col("distinct").alias("d"), F.col("symbols").alias("s"))
+        own = tables[k].withColumn("suffix", F.col("context").bitwiseAND((1 << 8 * (k - 1)) - 1))
+        refused = F.aggregate(F.map_keys("symbols"), F.lit(0).cast("long"), lambda a, x: a + F.col("s")[x])
+        joined = (own.crossJoin(F.broadcast(below.drop("suffix"))) if k == 1 else own.join(below, "suffix")).withColumns({"left": F.col("t") - refused, "left_distinct": F.col("d") - F.col("distinct")})
+        out.append(materialize(joined.select(*tables[k].columns, "left", "left_distinct"), f"ppm-contexts-{k}"))
+    discard(*tables[1:])
+    return out
+
+
+def known_costs(top: DataFrame) -> DataFrame:
+    """key (context and byte), n and cost (log10 of the probability) of all that was seen at full order."""
+    each = top.select("context", "total", "distinct", F.explode("symbols").alias("symbol", "n"))
+    return each.select((F.shiftleft("context", 8) + F.col("symbol")).alias("key"), "n", F.log10(F.col("n") / (F.col("total") + F.col("distinct"))).alias("cost"))
+
+
+def escaped_costs(codes: DataFrame, tables: list[DataFrame]) -> DataFrame:
+    """key and cost of codes that were not seen at full order: joins with the contexts, one byte shorter each time."""
+    none = F.lit(None).cast("long")
+    now = codes.select("key", F.lit(0.0).alias("cost"), F.lit(False).alias("done"), none.alias("rest"), none.alias("rest_distinct"))
+    root = tables[0].first()
+    for k in range(len(tables) - 1, 0, -1):
+        parts = SPREAD.get(k, 1)
+        level = tables[k].withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+        level = F.broadcast(level) if k == 1 else level  # 256 contexts at most
+        asked = now.withColumn("context", F.shiftright(F.col("key").bitwiseAND((1 << 8 * (k + 1)) - 1), 8)).withColumn("part", F.pmod(F.xxhash64("key"), F.lit(parts)).cast("int"))
+        joined = asked.join(level, ["context", "part"], "left").withColumn("seen", F.col("symbols")[F.col("key").bitwiseAND(255).cast("int")])
+        now = _step(joined, F.col("total"), F.col("distinct"), F.col("seen"), F.col("left"), F.col("left_distinct"))
+    if root is not None:
+        symbols = F.create_map(*(F.lit(x) for pair in root["symbols"].items() for x in pair))
+        now = _step(now.withColumn("seen", symbols[F.col("key").bitwiseAND(255).cast("int")]), F.lit(root["total"]), F.lit(root["distinct"]), F.col("seen"), none, none)
+    rest = max(1, 256 - (root["distinct"] if root is not None else 0))
+    return now.select("key", F.when(F.col("done"), F.col("cost")).otherwise(F.col("cost") - F.log10(F.lit(float(rest)))).alias("cost"))
+
+
+def _step(rows: DataFrame, total, distinct, seen, left, left_distinct) -> DataFrame:
+    """One order further down: where symbols are refused, only what is left of the context counts."""
+    many = F.coalesce("rest_distinct", distinct, F.lit(0))
+    weight = F.coalesce("rest", total, F.lit(0)) + many
+    hit = seen.isNotNull() & (weight > 0)
+    more = F.when(hit, F.log10(seen / weight)).when((many > 0) & (weight > 0), F.log10(many / weight)).otherwise(0.0)
+    cost = F.when(F.col("done"), F.col("cost")).otherwise(F.col("cost") + more)
+    return rows.select("key", cost.alias("cost"), (F.col("done") | hit).alias("done"), left.alias("rest"), left_distinct.alias("rest_distinct"))
 
 
 class Hash:
     """Open-addressed table from 64-bit codes to their place in a list."""
 
     def __init__(self, codes: np.ndarray):
-        self.bits = max(4, int(np.ceil(np.log2(max(1, len(codes)) * 3))))
+        self.bits = max(4, int(np.ceil(np.log2(max(1, len(codes)) * 2))))
         self.keys = np.full(1 << self.bits, np.uint64(0xFFFFFFFFFFFFFFFF))
         self.place = np.full(1 << self.bits, -1, np.int32)
         left, slot = np.arange(len(codes)), self.slots(codes)
@@ -206,137 +253,85 @@ class Hash:
         return out
 
 
-class Trie:
-    """Per order: nodes (context and byte) with their counts, contexts with totals, and totals after exclusion."""
-
-    def __init__(self, table: pa.Table, order: int):
-        self.order, self.levels = order, []
-        orders, codes, n = (np.asarray(table[c].combine_chunks() if isinstance(table[c], pa.ChunkedArray) else table[c]) for c in ("order", "code", "n"))
-        for k in range(order + 1):
-            mine = orders == k
-            own, count = codes[mine].view(np.uint64), n[mine].astype(np.float64)
-            by = np.argsort(own)
-            own, count = own[by], count[by]
-            contexts, starts = np.unique(own >> np.uint64(8), return_index=True)
-            sizes = np.diff(np.append(starts, len(own)))
-            level = {"codes": own, "n": count, "contexts": contexts, "total": np.add.reduceat(count, starts) if len(own) else np.zeros(0), "distinct": sizes.astype(float), "of": np.repeat(np.arange(len(contexts)), sizes)}
-            if k:
-                below = self.levels[-1]
-                mask = np.uint64((1 << 8 * k) - 1)
-                at = self.look(below["codes"], own & mask)
-                refused = np.where(at >= 0, below["n"][at] if len(below["n"]) else 0.0, 0.0)
-                suffix = self.look(below["contexts"], contexts & (mask >> np.uint64(8)))
-                total = np.where(suffix >= 0, below["total"][suffix] if len(below["total"]) else 0.0, 0.0)
-                distinct = np.where(suffix >= 0, below["distinct"][suffix] if len(below["distinct"]) else 0.0, 0.0)
-                level["left"] = np.maximum(0, total - np.bincount(level["of"], refused, len(contexts)))
-                level["left_distinct"] = np.maximum(0, distinct - np.bincount(level["of"], at >= 0, len(contexts)))
-            self.levels.append(level)
-        top = self.levels[-1]
-        self.hash = Hash(top["codes"])
-        weight = top["total"] + top["distinct"]
-        self.top_cost = np.append(np.log10(top["n"] / weight[top["of"]]), 0.0)
-
-    @staticmethod
-    def look(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
-        if not len(table):
-            return np.full(len(keys), -1)
-        at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
-        return np.where(table[at] == keys, at, -1)
-
-    def log10(self, codes: np.ndarray) -> np.ndarray:
-        """log10 of the probability of each code's last byte after the bytes before it."""
-        place = self.hash.find(codes)
-        out = self.top_cost[place]
-        left = np.flatnonzero(place < 0)
-        refused = np.full(len(left), -1)  # the context, one order up, whose symbols are excluded
-        for k in range(self.order, -1, -1):
-            if not len(left):
-                return out
-            level = self.levels[k]
-            mask = np.uint64((1 << 8 * (k + 1)) - 1)
-            mine = codes[left] & mask
-            node = np.full(len(left), -1) if k == self.order else self.look(level["codes"], mine)
-            context = self.look(level["contexts"], mine >> np.uint64(8))
-            total = np.where(context >= 0, level["total"][context] if len(level["total"]) else 0.0, 0.0)
-            distinct = np.where(context >= 0, level["distinct"][context] if len(level["distinct"]) else 0.0, 0.0)
-            if k < self.order and (refused >= 0).any():
-                above, some = self.levels[k + 1], refused >= 0
-                total[some], distinct[some] = above["left"][refused[some]], above["left_distinct"][refused[some]]
-            weight = total + distinct
-            hit = (node >= 0) & (weight > 0)
-            out[left[hit]] += np.log10(level["n"][node[hit]] / weight[hit])
-            escape = ~hit & (distinct > 0) & (weight > 0)
-            out[left[escape]] += np.log10(distinct[escape] / weight[escape])
-            # Without a context here nothing is refused; a context adds its own symbols to what is.
-            left, refused = left[~hit], np.where(context[~hit] >= 0, context[~hit], -1)
-        rest = 256 - (self.levels[0]["distinct"][0] if len(self.levels[0]["distinct"]) else 0)
-        out[left] -= np.log10(max(1.0, rest))
-        return out
-
-
-@lru_cache(maxsize=1)
-def load_trie(path: str, order: int) -> Trie:
+@lru_cache(maxsize=2)
+def load_costs(path: str) -> tuple[Hash, np.ndarray]:
+    """The table of ready costs: places of codes, and costs by place (0 at the end, for codes it lacks)."""
     import pyarrow.dataset as ds
     from pyarrow import fs
 
     filesystem, root = fs.FileSystem.from_uri(path)
-    return Trie(ds.dataset(root, format="parquet", filesystem=filesystem).to_table(columns=["order", "code", "n"]), order)
+    table = ds.dataset(root, format="parquet", filesystem=filesystem).to_table(columns=["key", "cost"])
+    return Hash(np.asarray(table["key"]).view(np.uint64)), np.append(np.asarray(table["cost"]), 0.0)
 
 
-def score(docs: DataFrame, order: int = ORDER, max_nodes: int = MAX_NODES, top_words: int = TOP_WORDS) -> DataFrame:
+def in_lists(parts: list[np.ndarray], kind) -> pa.ListArray:
+    ends = np.concatenate([[0], np.cumsum([len(p) for p in parts])])
+    return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.concatenate([np.zeros(0, kind), *parts]).astype(kind)))
+
+
+def score(docs: DataFrame, order: int = ORDER, hot_nodes: int = HOT_NODES, top_words: int = TOP_WORDS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row."""
     counts = materialize(corpus_counts(docs, order), "lm-counts")
-    trie = trie_tables(counts, order, max_nodes)
     vocabulary = counts.filter(F.col("kind") == WORD).select("key", "n")
     facts = counts.groupBy("kind").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).collect()
     n_words, distinct = next(((r["n"], r["v"]) for r in facts if r["kind"] == WORD), (0, 0))
     texts = next((r["n"] for r in facts if r["kind"] == TEXTS), 0)
     total, types = n_words + texts, distinct + (texts > 0)
     weight = total + 0.5 * (types + 1)
-    top = most_frequent(vocabulary, top_words).toArrow().sort_by("key")
-    # Numbers sort as signed here and are looked up as such.
-    top_keys, top_counts = np.asarray(top["key"]), np.asarray(top["n"]).astype(np.float64)
+    word_cost = lambda n: F.log10((F.coalesce(n, F.lit(0)) + 0.5) / F.lit(float(weight)))
+
+    tables = context_tables(counts, order)
+    known = known_costs(tables[-1])
+    ready = materialize(most_frequent(known, hot_nodes).select("key", "cost"), "ppm-ready").__dict__["_scratch"]
+    ready_words = materialize(most_frequent(vocabulary, top_words).select("key", word_cost(F.col("n")).alias("cost")), "lm-ready").__dict__["_scratch"]
 
     def run(batches):
-        model = load_trie(trie, order)
+        grams_at, gram_costs = load_costs(ready)
+        words_at, word_costs = load_costs(ready_words)
         row = TaskContext.get().partitionId() << 36
         for batch in batches:
             flat, ends = words(batch.column(1))
-            codes, found = coded(flat)
-            keys = hashes(found).view(np.int64)
-            at = np.minimum(np.searchsorted(top_keys, keys), max(0, len(top_keys) - 1))
-            known = top_keys[at] == keys if len(top_keys) else np.zeros(len(keys), bool)
-            cost = np.log10(((top_counts[at] if len(top_keys) else np.zeros(len(keys))) + 0.5) / weight)
-            near = known[codes]
-            sums = np.concatenate([[0.0], np.cumsum(np.where(near, cost[codes], 0.0))])
-            seen = np.concatenate([[0], np.cumsum(near)])
-            bits = [np.zeros(0)]
+            keys = token_hashes(flat)
+            place = words_at.find(keys)
+            sums = np.concatenate([[0.0], np.cumsum(word_costs[place])])
+            seen = np.concatenate([[0], np.cumsum(place >= 0)])
+            far: list[list[np.ndarray]] = [[], [], [], []]
+
+            def collect(codes, missing, code_ends, to):
+                for a, b in zip(code_ends, code_ends[1:]):
+                    mine, n = np.unique(codes[a:b][missing[a:b]], return_counts=True)
+                    far[to].append(mine.view(np.int64))
+                    far[to + 1].append(n)
+
+            collect(keys, place < 0, ends, 0)
+            scores = [np.zeros(0)]
             for grams, byte_ends in in_slices(batch.column(1), order):
-                each = np.concatenate([model.log10(grams[a : a + SCORED]) for a in range(0, len(grams), SCORED)])
-                bits.append(np.add.reduceat(each, byte_ends[:-1]))
-            others, other_counts, other_ends = [], [], [0]
-            for a, b in zip(ends, ends[1:]):
-                mine, n = np.unique(keys[codes[a:b][~near[a:b]]], return_counts=True)
-                others.append(mine)
-                other_counts.append(n)
-                other_ends.append(other_ends[-1] + len(mine))
-            offsets = pa.array(np.array(other_ends, np.int32))
-            as_list = lambda parts, kind: pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(parts).astype(kind) if parts else np.zeros(0, kind)))
+                at = np.concatenate([grams_at.find(grams[a : a + SCORED]) for a in range(0, len(grams), SCORED)])
+                scores.append(np.add.reduceat(gram_costs[at], byte_ends[:-1]))
+                collect(grams, at < 0, byte_ends, 2)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(row + np.arange(batch.num_rows)), pa.array(np.diff(ends) + 1), pa.array(seen[ends[1:]] - seen[ends[:-1]]), pa.array(sums[ends[1:]] - sums[ends[:-1]]), pa.array(np.concatenate(bits)), as_list(others, np.int64), as_list(other_counts, np.int64)],
-                ["doc_id", "row", "n_tokens", "near", "base", "score", "others", "other_counts"],
+                [batch.column(0), pa.array(row + np.arange(batch.num_rows)), pa.array(np.diff(ends) + 1), pa.array(seen[ends[1:]] - seen[ends[:-1]]), pa.array(sums[ends[1:]] - sums[ends[:-1]]), pa.array(np.concatenate(scores)), *(in_lists(f, np.int64) for f in far)],
+                ["doc_id", "row", "n_tokens", "near", "base", "score", "words", "word_counts", "grams", "gram_counts"],
             )
             row += batch.num_rows
 
-    schema = "doc_id long, row long, n_tokens long, near long, base double, score double, others array<long>, other_counts array<long>"
+    schema = "doc_id long, row long, n_tokens long, near long, base double, score double, words array<long>, word_counts array<long>, grams array<long>, gram_counts array<long>"
     scored = materialize(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema), "lm-scored")
-    far = scored.select("row", F.explode(F.arrays_zip("others", "other_counts")).alias("o")).select("row", F.col("o.others").alias("key"), F.col("o.other_counts").alias("tf"))
-    joined = far.join(vocabulary, "key", "left")
-    cost = F.col("tf") * F.log10((F.coalesce("n", F.lit(0)) + 0.5) / F.lit(float(weight)))
-    by_row = joined.groupBy("row").agg(F.sum(cost).alias("far_base"), F.sum(F.when(F.col("n") > 0, F.col("tf")).otherwise(0)).alias("far_known"))
+    pairs = lambda kind, keys, n: F.transform(F.arrays_zip(F.col(keys).alias("key"), F.col(n).alias("tf")), lambda x: F.struct(F.lit(kind).alias("kind"), x["key"].alias("key"), x["tf"].alias("tf")))
+    far = scored.select("row", F.explode(F.concat(pairs(WORD, "words", "word_counts"), pairs(GRAM, "grams", "gram_counts"))).alias("o")).select("row", "o.*")
+    asked = materialize(far.groupBy("kind", "key").agg(F.count(F.lit(1)).alias("n")), "lm-asked")
+    codes = asked.filter(F.col("kind") == GRAM).select("key")
+    at_top = materialize(codes.join(known.select("key", "cost"), "key", "left"), "lm-top")
+    lower = escaped_costs(at_top.filter("cost is null").select("key"), tables)
+    gram_costs_of = at_top.filter("cost is not null").unionByName(lower).select(F.lit(GRAM).alias("kind"), "key", "cost", F.lit(0).cast("long").alias("known"))
+    word_costs_of = asked.filter(F.col("kind") == WORD).select("key").join(vocabulary, "key", "left").select(F.lit(WORD).alias("kind"), "key", word_cost(F.col("n")).alias("cost"), F.when(F.col("n") > 0, 1).otherwise(0).cast("long").alias("known"))
+    costs = materialize(gram_costs_of.unionByName(word_costs_of), "lm-costs")
+    joined = spread_join(far, costs, ["kind", "key"], hot_keys(asked, ["kind", "key"]), F.xxhash64("row"))
+    of_kind = lambda kind: F.sum(F.when(F.col("kind") == kind, F.col("tf") * F.col("cost")).otherwise(0.0))
+    by_row = joined.groupBy("row").agg(of_kind(WORD).alias("far_base"), of_kind(GRAM).alias("far_score"), F.sum(F.col("tf") * F.col("known")).alias("far_known"))
     end_cost = float(np.log10((texts + 0.5) / weight))
     return scored.join(by_row, "row", "left").select(
         "doc_id", (fold(F.col("doc_id")) == HELD_FOLD).alias("held_out"), "n_tokens",
         (F.col("near") + F.coalesce("far_known", F.lit(0)) + F.lit(int(texts > 0))).cast("long").alias("n_known"), F.lit(int(total)).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("far_base", F.lit(0.0)) + F.lit(end_cost)).alias("base_score"), "score",
+        (F.col("base") + F.coalesce("far_base", F.lit(0.0)) + F.lit(end_cost)).alias("base_score"), (F.col("score") + F.coalesce("far_score", F.lit(0.0))).alias("score"),
     )

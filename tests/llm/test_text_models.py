@@ -111,8 +111,8 @@ def test_ppm_matches_definition(spark):
         words.update([*(t or "").encode().lower().split(), None])
     n, v = sum(words.values()), len(words)
     model = BrutePpm(training, ppm.ORDER)
-    for top in (400_000, 2):
-        got = ppm.score(df, top_words=top).collect()
+    for top, nodes in ((400_000, 1_000_000), (2, 40), (0, 0)):  # the bounds of the tables change no score
+        got = ppm.score(df, top_words=top, hot_nodes=nodes).collect()
         assert len(got) == len(rows)
         want = {}
         for d, t in rows:
