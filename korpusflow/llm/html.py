@@ -1,13 +1,21 @@
 """Main text of web pages by two-pass block rules.
 
-A page is cut into blocks at block-level tags. Pass one decides blocks that are clear: by the elements and names that
-enclose them (menus, footers, adverts, forms, comments; articles), by link density, and by stop-word density and length.
-Pass two gives each undecided (short) block the label of its nearest decided neighbours: theirs if both agree, else that
-of the side with less text between.
+A page is cut into blocks at block-level tags. Pass one looks at each block's stop-word density, length and link density:
+a long block of running words is text, a long or serial block of links is not, and short blocks stay undecided. What the
+page itself says is evidence beside that: elements for menus, footers, asides and forms, and plain names of adverts,
+comments and notices, are never text; names that can mean several things (a header, legal, related) only take away a
+block's own claim, so that its neighbours decide; an article's borders keep its blocks' neighbours together. Pass two
+gives each undecided block the label of its nearest decided neighbours in the same region: theirs if both agree, else
+that of the side with less text between; a heading goes with what follows. Where no block of a region is text by itself,
+the undecided ones are text in an article and not elsewhere.
+
+Text in an element that a browser does not show (scripts, styles, controls, fallbacks of players) is left out without
+breaking its sentence; formulas and embedded objects are part of theirs.
 
 Cases: null and empty pages, and pages without main text, give an empty text; unclosed elements end with their parent;
 comments, scripts and styles without an end reach to the page's end; unknown character references stay as they are;
-repeated rows are extracted alike; a null url stays null; other columns are ignored.
+very long pages are read whole; repeated rows are extracted alike; equal distances go with the following block; a null
+url stays null; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,9 +27,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MIN_LONG = 60
-LINKS_AT_MOST = 0.5
+#: Code points from which a block can decide itself, and without stop words (tables, other languages) even so.
+MIN_LONG, MIN_LONG_ALONE = 60, 180
+LINKS_AT_MOST, FEW_LINKS = 0.5, 0.2
 STOPS_AT_LEAST = 0.08
+#: So many linked blocks in a row are a list of links.
+LINK_RUN = 3
 #: Frequent function words of the languages served.
 STOP_WORDS = frozenset("""
 the of and to in is it that for was on are as with by this be from at or an not have he his they which you were a but
@@ -29,68 +40,81 @@ der die und das den von zu mit sich des auf für ist im dem nicht ein eine als a
 de la le et les des en un du une que est pour qui dans a par plus pas au sur ne se ce il sont avec ou son elle
 el los las y del se por con no una su para lo como más pero sus al
 """.split())
-#: Elements by their part in a page.
-SILENT = frozenset("script style noscript template textarea select option button svg math iframe object canvas audio video datalist title".split())
-CHROME = frozenset("nav header footer aside form menu dialog fieldset".split())
+#: Elements by their part in a page. Of the unseen ones those with a box leave a gap between words.
+UNSEEN = frozenset("script style noscript template title annotation annotation-xml".split())
+BOXES = frozenset("textarea select option button svg iframe canvas audio video datalist".split())
+CHROME = frozenset("nav footer aside form menu dialog fieldset".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr img".split())
-BOILER_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|nav\w*|menu\w*|sidebar\w*|side|footer\w*|foot|header|masthead|breadcrumb\w*|cookies?|consent|notice\w*|gdpr|popup|modal|overlay|"
-    r"share\w*|sharing|social\w*|related|recommend\w*|newsletter\w*|subscri\w*|comments?|commentlist|disqus|replies|respond|reactions|login|signup|search\w*|toolbar|pagination|pager|widget\w*|copyright|legal|skip)(?:$|[\s_-])",
+INLINE = frozenset("""
+a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr img
+math mi mn mo ms mtext mrow mfrac msup msub msubsup msqrt mroot mover munder munderover mstyle mpadded semantics object picture ruby rb rt rp output
+""".split())
+#: Words in names that mean boilerplate, and those that can mean other things as well.
+PLAIN_NAMES = re.compile(
+    r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|nav\w*|menu\w*|sidebar\w*|footer\w*|masthead|breadcrumb\w*|cookies?|consent|gdpr|popup|modal|"
+    r"sharing|social\w*|newsletter\w*|subscri\w*|comments?|commentlist|disqus|replies|login|signup|toolbar|pagination|pager)(?:$|[\s_-])",
     re.I,
 )
+DOUBTFUL_NAMES = re.compile(r"(?:^|[\s_-])(?:banner|side|foot|header|notices?|overlay|share\w*|related|recommend\w*|respond|reactions|search\w*|widget\w*|copyright|legal|skip)(?:$|[\s_-])", re.I)
 MAIN_NAMES = re.compile(r"(?:^|[\s_-])(?:article\w*|post-?(?:body|content|text)|entry-?content|main-?content|story-?body|content-?body)(?:$|[\s_-])", re.I)
 BOILER_ROLES = frozenset("navigation banner contentinfo complementary search alert dialog alertdialog menu menubar toolbar form".split())
+#: What an element says of its blocks.
+CHROME_HERE, DOUBTFUL, NOTHING = 2, 1, 0
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([A-Za-z][^\s/><]*)([^<>]*)>", re.S)
 ATTRIBUTE = re.compile(r"""([A-Za-z_:-][\w:.-]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
 SPACE = re.compile(r"\s+")
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 BREAK = " "  # a line break is white space, two in a row end a block
 WORD = re.compile(r"[^\W\d_]+")
 
 
 class Block:
-    __slots__ = ("text", "linked", "chrome", "main", "heading", "label")
+    __slots__ = ("text", "linked", "evidence", "region", "heading", "label")
 
-    def __init__(self, text, linked, chrome, main, heading):
-        self.text, self.linked, self.chrome, self.main, self.heading, self.label = text, linked, chrome, main, heading, None
+    def __init__(self, text, linked, evidence, region, heading):
+        self.text, self.linked, self.evidence, self.region, self.heading, self.label = text, linked, evidence, region, heading, None
 
 
 def attributes(raw: str) -> dict[str, str]:
     return {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(raw)}
 
 
-def part_of_page(tag: str, raw: str, main: bool) -> tuple[bool, bool]:
-    """Whether an element is chrome, and whether it is an article."""
-    chrome, article = tag in CHROME, tag in ("article", "main")
+def part_of_page(tag: str, raw: str, inside: bool) -> tuple[int, bool]:
+    """What an element says of the blocks in it, and whether it is an article. inside: whether it lies in an article."""
+    evidence, article = CHROME_HERE if tag in CHROME else NOTHING, tag in ("article", "main")
+    if tag == "header":  # of the page; that of an article has its title
+        evidence = DOUBTFUL if inside else CHROME_HERE
     if raw:
         found = attributes(raw)
-        names = f"{found.get('class', '')} {found.get('id', '')}"
-        role = found.get("role", "").lower()
-        hidden = "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "")
-        article = article or role in ("main", "article") or bool(MAIN_NAMES.search(names))
-        chrome = chrome or hidden or role in BOILER_ROLES or (tag not in ("html", "body", "article", "main") and bool(BOILER_NAMES.search(names)) and not MAIN_NAMES.search(names))
-    if tag == "header" and main and not raw:  # an article's own header holds its title
-        chrome = False
-    return chrome, article and not chrome
+        names, role = f"{found.get('class', '')} {found.get('id', '')}", found.get("role", "").lower()
+        if "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "") or role in BOILER_ROLES:
+            return CHROME_HERE, False
+        main_name = bool(MAIN_NAMES.search(names))
+        if tag not in ("html", "body") and not (article and not inside) and not main_name:
+            if PLAIN_NAMES.search(names):
+                return CHROME_HERE, False
+            if DOUBTFUL_NAMES.search(names):
+                evidence = max(evidence, DOUBTFUL if inside or tag in HEADINGS else CHROME_HERE)
+        article = article or role in ("main", "article") or main_name
+    return evidence, article and evidence < CHROME_HERE
 
 
 def blocks(page: str) -> list[Block]:
     """The page's blocks in order, with white space made single."""
     found: list[Block] = []
-    stack: list[tuple[str, bool, bool]] = []  # tag, chrome, main
+    stack: list[tuple[str, int, int]] = []  # tag, evidence, region
     text: list[str] = []
-    linked = links = 0
+    linked, link_depth, regions = 0, None, 0
     heading = False
     at = 0
-    skip_to: str | None = None
 
     def flush():
         nonlocal linked
         if text:
             whole = SPACE.sub(" ", "".join(text)).strip()
             if whole:
-                top = stack[-1] if stack else ("", False, False)
-                found.append(Block(whole, min(1.0, linked / len(whole)), top[1], top[2], heading))
+                _, evidence, region = stack[-1] if stack else ("", NOTHING, 0)
+                found.append(Block(whole, min(1.0, linked / len(whole)), evidence, region, heading))
         text.clear()
         linked = 0
 
@@ -99,21 +123,20 @@ def blocks(page: str) -> list[Block]:
         if raw:
             plain = entities.unescape(raw)
             text.append(plain)
-            if links:
+            if link_depth is not None:
                 linked += len(SPACE.sub(" ", plain))
 
     for m in TOKEN.finditer(page):
         if m.start() < at:
             continue
-        if skip_to is None:
-            take(page[at : m.start()])
+        take(page[at : m.start()])
         at = m.end()
         tag = (m[2] or m[5] or "").lower()
         if not tag:
             continue
-        closing, raw = (m[1] if m[2] else m[4]) == "/", m[3] if m[2] else m[6]
-        if tag == "a":
-            links = max(0, links - 1) if closing else links + 1
+        closing, raw = (m[1] if m[2] else m[4]) == "/", (m[3] if m[2] else m[6]) or ""
+        if tag == "a":  # a link ends with its element, with the next link, or with what encloses it
+            link_depth = None if closing or "href" not in raw.lower() else len(stack)
             continue
         if tag == "br":
             if text and text[-1] == BREAK:
@@ -121,27 +144,33 @@ def blocks(page: str) -> list[Block]:
             else:
                 text.append(BREAK)
             continue
-        if tag in SILENT and not closing:
-            end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-            flush()
-            at = end.end() if end else len(page)
+        if tag in UNSEEN or tag in BOXES:
+            if not closing and not raw.endswith("/"):
+                end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
+                at = end.end() if end else len(page)
+                if tag in BOXES and text:
+                    text.append(" ")
             continue
         if tag in INLINE:
             continue
         flush()
-        links = 0
         if closing:
             if any(x[0] == tag for x in stack):
                 while stack.pop()[0] != tag:
                     pass
             heading = False
-        elif tag not in VOID and not (raw or "").endswith("/"):
-            if tag in ("p", "li", "dt", "dd", "tr", "td", "th", "option") and stack and stack[-1][0] == tag:
+        elif tag not in VOID and not raw.endswith("/"):
+            if tag in ("p", "li", "dt", "dd", "tr", "td", "th") and stack and stack[-1][0] == tag:
                 stack.pop()  # these end where the next begins
-            top = stack[-1] if stack else ("", False, False)
-            chrome, main = part_of_page(tag, raw or "", top[2])
-            stack.append((tag, top[1] or chrome, (top[2] or main) and not chrome))
-            heading = len(tag) == 2 and tag[0] == "h" and tag[1].isdigit()
+            _, above, region = stack[-1] if stack else ("", NOTHING, 0)
+            evidence, article = part_of_page(tag, raw, region > 0)
+            if article and not region and above < CHROME_HERE:
+                regions += 1
+                region = regions
+            stack.append((tag, max(above, evidence), region))
+            heading = tag in HEADINGS
+        if link_depth is not None and len(stack) < link_depth:
+            link_depth = None
     if at < len(page):
         rest = page[at:]
         cut = re.search(r"<(?:[A-Za-z/!?]|\Z)", rest)  # a tag that the page's end cuts off
@@ -155,34 +184,51 @@ def stop_density(text: str) -> float:
     return sum(w in STOP_WORDS for w in found) / len(found) if found else 0.0
 
 
+def own_label(b: Block, links_around: int, outside: bool) -> bool | None:
+    """Pass one: what a block is by itself, or None. outside: not in an article, on a page that has one."""
+    if b.evidence == CHROME_HERE or outside:
+        return False
+    long = len(b.text) >= MIN_LONG
+    if b.linked > LINKS_AT_MOST:
+        return False if long or links_around >= LINK_RUN or not b.region else None
+    if b.evidence == DOUBTFUL or not long:
+        return None
+    if stop_density(b.text) >= STOPS_AT_LEAST or (len(b.text) >= MIN_LONG_ALONE and b.linked < FEW_LINKS):
+        return True
+    return None if b.region else False
+
+
+def nearest(found: list[Block]) -> list[tuple[bool | None, int]]:
+    """For each block the label of the last one before it in its region that its own text decided, and the text between."""
+    out, last = [], {}
+    for b in found:
+        label, gap = last.get(b.region, (None, 0))
+        out.append((label, gap))
+        if b.evidence < CHROME_HERE:
+            last[b.region] = (b.label, 0) if b.label is not None else (label, gap + len(b.text))
+    return out
+
+
 def extract(page: str | None) -> str:
     found = blocks(page or "")
-    has_main = any(b.main and not b.chrome for b in found)
-    for b in found:  # pass one
-        if b.chrome:
-            b.label = False
-        elif b.main:
-            b.label = True if b.linked <= LINKS_AT_MOST else None
-        elif b.linked > LINKS_AT_MOST or has_main:
-            b.label = False
-        elif len(b.text) >= MIN_LONG:
-            b.label = stop_density(b.text) >= STOPS_AT_LEAST or (len(b.text) >= 3 * MIN_LONG and b.linked < 0.2)
-    n = len(found)
-    before, after = [(None, 0)] * n, [(None, 0)] * n
-    last = (None, 0)
-    for i in range(n):  # nearest decided neighbour on either side, and the text between
-        before[i] = last
-        last = (found[i].label, 0) if found[i].label is not None else (last[0], last[1] + len(found[i].text))
-    last = (None, 0)
-    for i in range(n - 1, -1, -1):
-        after[i] = last
-        last = (found[i].label, 0) if found[i].label is not None else (last[0], last[1] + len(found[i].text))
-    for b, left, right in zip(found, before, after):  # pass two
+    has_article = any(b.region and b.evidence < CHROME_HERE for b in found)
+    runs = [0] * len(found)
+    for i, b in enumerate(found):  # linked blocks in a row, up to here
+        runs[i] = (runs[i - 1] if i else 0) + 1 if b.linked > LINKS_AT_MOST else 0
+    for i in range(len(found) - 2, -1, -1):  # and in the whole row
+        runs[i] = max(runs[i], runs[i + 1]) if runs[i] and runs[i + 1] else runs[i]
+    for b, run in zip(found, runs):
+        b.label = own_label(b, run, has_article and not b.region)
+    with_text = {b.region for b in found if b.label}
+    before, after = nearest(found), nearest(found[::-1])[::-1]
+    for b, left, right in zip(found, before, after):  # pass two; both sides are of pass one
         if b.label is None:
-            if left[0] is None or right[0] is None or left[0] == right[0]:
-                b.label = bool(right[0] if left[0] is None else left[0])
+            if b.region not in with_text:
+                b.label = b.region > 0
+            elif left[0] is None or right[0] is None or left[0] == right[0]:
+                b.label = right[0] if left[0] is None else left[0]
             else:
-                b.label = bool(right[0] if b.heading or right[1] <= left[1] else left[0])
+                b.label = right[0] if b.heading or right[1] <= left[1] else left[0]
     return "\n".join(b.text for b in found if b.label)
 
 

@@ -85,6 +85,54 @@ def test_density_rules_without_an_article():
     assert html.extract(page) == f"Title\n{long}\nShort.\n{long}"
 
 
+LONG = "The quick brown fox is in the house and it was on the way to the market with all of that."
+
+
+def test_names_alone_do_not_drop_text():
+    for part, want in (
+        (f'<p class="legal">{LONG}</p>', LONG),
+        ('<p class="legal">Short.</p>', "Short."),
+        ('<header class="entry-header"><h2>Title</h2></header>', "Title"),
+        ('<h1 class="page-header">Title</h1>', "Title"),
+        ("<p>The sum <math><mi>x</mi><mo>+</mo><mn>1</mn></math> of the parts is<script>a()</script> here.</p>", "The sum x+1 of the parts is here."),
+        ("<p>See <object data=x><b>the</b> object</object> and <video src=y>no player</video> it.</p>", "See the object and it."),
+        (f'<section id="comments"><p>{LONG}</p></section>', ""),
+        (f'<article class="comment"><p>{LONG}</p></article>', ""),
+        (f"<aside><p>{LONG}</p></aside><form><p>{LONG}</p></form><div class=ad>{LONG}</div>", ""),
+        ("<ul><li><a href=1>One</a></li><li><a href=2>Two</a></li><li><a href=3>Three</a></li></ul>", ""),
+        ("<p><a href=1>One source</a></p>", "One source"),
+        (f"<a href=1><div>{LONG}</div></a>", ""),
+        (f"<p><a name=top>{LONG}</p>", LONG),
+    ):
+        for page in (f"<article><p>{LONG}</p>{part}<p>{LONG}</p></article>", f"<body><nav><a href=1>x</a></nav><main><p>{LONG}</p>{part}<p>{LONG}</p></main><footer>{LONG}</footer>"):
+            assert html.extract(page) == "\n".join([LONG, *([want] if want else []), LONG]), part
+
+
+def test_pages_without_an_article():
+    teaser = f"<a href=1><div>{LONG}</div></a>"
+    words = "Tõepoolest kõik sõnad siin lauses kuuluvad hoopis teise keelde " * 4
+    for body, want in (
+        (f"<div>{teaser}{teaser}</div><h2>Title</h2><p>{LONG}</p><p>Be.</p><p>{LONG}</p>", f"Title\n{LONG}\nBe.\n{LONG}"),
+        (f"<div class=menu>{LONG}</div><div>Home</div><p>{LONG}</p>", f"Home\n{LONG}"),
+        (f"<div><a href=1>Home</a></div><div>Log</div><div><a href=1>About</a></div><p>{LONG}</p>", LONG),
+        (f"<p>{words}</p>", words.strip()),
+        (f"<header>{LONG}</header><div class=header>{LONG}</div>", ""),
+    ):
+        assert html.extract(f"<body>{body}</body>") == want, body
+    assert len(html.extract("<article>" + f"<p>{LONG}</p>" * 20_000)) == 20_000 * (len(LONG) + 1) - 1
+
+
+def test_each_rule_changes_results(monkeypatch):
+    page = f"<body><div><a href=1>Home</a> now</div><p>{LONG}</p><div>{'Xyz Abc ' * 9}</div><p>{LONG}</p><p>ok</p><div><a href=2>{LONG}</a></div>"
+    plain = html.extract(page)
+    for rule, value in (("STOPS_AT_LEAST", 0.0), ("LINKS_AT_MOST", 2.0), ("MIN_LONG", 10_000)):
+        with monkeypatch.context() as m:
+            m.setattr(html, rule, value)
+            assert html.extract(page) != plain, rule
+    monkeypatch.setattr(html, "nearest", lambda found: [(None, 0)] * len(found))
+    assert html.extract(page) != plain
+
+
 @needs_tables
 def test_html_query_keeps_articles_only(spark):
     import re
