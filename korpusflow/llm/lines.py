@@ -12,7 +12,8 @@ intervals name all its lines: copies after the first (by doc_id, then place) are
 Cases: null and empty texts stay as they are; lines without a word are no part of a run and go with the line before them
 when that is deleted; lines are compared with their outer white space removed; rows that repeat both doc_id and text are
 one document and get the same result; a null doc_id sorts before all others; ties of place do not occur; a text that
-loses all lines becomes empty; other columns are passed through untouched.
+loses all lines becomes empty; a text of any length is one sequence of lines; other columns, whatever their names, are
+passed through untouched.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from korpusflow.llm.common import discard, materialize
+from korpusflow.llm.common import discard, hot_keys, materialize, spread_join
 
 MIN_WORDS = 50
 GAPS = "\\x20\\x09-\\x0D"
@@ -40,21 +41,30 @@ def line_table(docs: DataFrame) -> DataFrame:
 
 
 def numbered(pairs: DataFrame, keys: list[str], name: str) -> DataFrame:
-    """Distinct keys that occur more than once, with a number that grows in their sort order, as a written table."""
+    """Distinct keys that occur more than once, their members, and a number that grows in their sort order: a written table."""
     n = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     found = pairs.groupBy(*keys).agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
     ordered = found.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
-    return materialize(ordered.select(*keys, F.monotonically_increasing_id().alias("rank")), name)
+    return materialize(ordered.select(*keys, "members", F.monotonically_increasing_id().alias("rank")), name)
+
+
+def with_rank(suffixes: DataFrame, ranks: DataFrame, keys: list[str], name: str, how: str = "inner") -> DataFrame:
+    """Each suffix with the number of its keys; a line that a large share of all texts have is dealt to several tasks."""
+    hot = hot_keys(ranks, keys, "members")
+    return spread_join(suffixes, ranks.select(*keys, F.col("rank").alias(name)), keys, hot, F.xxhash64("doc_id", "text_hash", "no"), how)
 
 
 def suffix_ranks(lines: DataFrame, depth: int) -> tuple[DataFrame, int]:
-    """Suffixes whose first line repeats: doc_id, text_hash, no, at, n_words and r0, r1 ...: their rank by the first
-    1, 2, 4 ... lines, null where no other suffix has those lines."""
+    """Suffixes whose first line repeats: doc_id, text_hash, no, until (the last line without a word after it, or null at
+    the end), at, n_words and r0, r1 ...: their rank by the first 1, 2, 4 ... lines, null where no other suffix has
+    those lines."""
     ids = numbered(lines, ["h1", "h2"], "line-ids")
     place = Window.partitionBy("doc_id", "text_hash").orderBy("no")
     one_each = lines.dropDuplicates(["doc_id", "text_hash", "no"])
-    ranked = one_each.withColumn("at", F.row_number().over(place)).join(ids.withColumnRenamed("rank", "r0"), ["h1", "h2"])
-    now = materialize(ranked.select("doc_id", "text_hash", "no", "at", "n_words", "r0"), "suffixes")
+    placed = one_each.withColumn("at", F.row_number().over(place)).withColumn("until", F.lead("no").over(place) - 1)
+    ranked = with_rank(placed, ids, ["h1", "h2"], "r0")
+    now = materialize(ranked.select("doc_id", "text_hash", "no", "until", "at", "n_words", "r0"), "suffixes")
+    discard(ids)
     rounds = 1
     while (1 << rounds) <= depth:
         k, half = rounds, 1 << (rounds - 1)
@@ -63,11 +73,11 @@ def suffix_ranks(lines: DataFrame, depth: int) -> tuple[DataFrame, int]:
         on = Window.partitionBy(*key).orderBy("at").rangeBetween(half, half)
         paired = now.withColumn("next", F.when(F.col(f"r{k - 1}").isNotNull(), F.first(f"r{k - 1}").over(on)))
         full = paired.filter("next is not null")
-        ranks = numbered(full, [f"r{k - 1}", "next"], "ranks").withColumnRenamed("rank", f"r{k}")
+        ranks = numbered(full, [f"r{k - 1}", "next"], "ranks")
         if ranks.isEmpty():
             discard(ranks)
             break
-        joined = full.join(ranks, [f"r{k - 1}", "next"], "left").unionByName(paired.filter("next is null").withColumn(f"r{k}", F.lit(None).cast("long")))
+        joined = with_rank(full, ranks, [f"r{k - 1}", "next"], f"r{k}", "left").unionByName(paired.filter("next is null").withColumn(f"r{k}", F.lit(None).cast("long")))
         after = materialize(joined.drop("next"), "suffixes")
         discard(now, ranks)
         now, rounds = after, rounds + 1
@@ -75,9 +85,11 @@ def suffix_ranks(lines: DataFrame, depth: int) -> tuple[DataFrame, int]:
 
 
 def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """doc_id (place_of), text_hash, no of the lines to delete: those in a later copy of a repeated run of min_words words."""
+    """doc_id (place_of), text_hash, no and until (the last line that goes with it, or null: all further ones) of the lines
+    to delete: those in a later copy of a repeated run of min_words words."""
     lines = materialize(line_table(docs), "lines")
     now, rounds = suffix_ranks(lines, min_words)
+    discard(lines)
     key = ["doc_id", "text_hash"]
     # Stretches of adjoining repeated lines; a repeated run lies within one.
     place = Window.partitionBy(*key).orderBy("at")
@@ -91,12 +103,13 @@ def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     sums = words.withColumn("total", F.sum("n_words").over(whole)).filter(F.col("total") >= min_words)
     sums = sums.withColumn("later", F.collect_list("sum").over(ahead)).withColumn("earlier", F.collect_list("before").over(behind))
     sized = sums.select(
-        *key, "no", "at", *(f"r{k}" for k in range(rounds)),
+        *key, "no", "until", "at", *(f"r{k}" for k in range(rounds)),
         F.size(F.filter("later", lambda x: x < F.col("before") + min_words)).alias("short"), F.size("later").alias("ahead"),
         F.size(F.filter("earlier", lambda x: x > F.col("sum") - min_words)).alias("short_back"), F.size("earlier").alias("behind"),
     )
-    sized = sized.select(*key, "no", "at", *(f"r{k}" for k in range(rounds)), F.when(F.col("short") < F.col("ahead"), F.col("short") + 1).alias("prefix"), F.when(F.col("short_back") < F.col("behind"), F.col("short_back") + 1).alias("suffix"))
+    sized = sized.select(*key, "no", "until", "at", *(f"r{k}" for k in range(rounds)), F.when(F.col("short") < F.col("ahead"), F.col("short") + 1).alias("prefix"), F.when(F.col("short_back") < F.col("behind"), F.col("short_back") + 1).alias("suffix"))
     sized = materialize(sized, "sized")
+    discard(now)
 
     def windows(length, start):
         """Windows of `length` lines from `start`: name (level and the ranks of their two overlapping intervals)."""
@@ -113,38 +126,35 @@ def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     first = asked.join(suffixes.withColumnRenamed("at", "start"), [*key, "start"]).withColumn("a", F.element_at("ranks", F.col("level") + 1)).drop("ranks").filter("a is not null")
     named = first.join(suffixes.withColumnRenamed("at", "second"), [*key, "second"]).withColumn("b", F.element_at("ranks", F.col("level") + 1)).drop("ranks").filter("b is not null")
     named = materialize(named.select(*key, "start", "length", "side", "level", "a", "b"), "windows")
-    name = ["length", "level", "a", "b"]
+    # The first window of each name stays; as a row of its own, so that all copies of a name never meet in a task.
     here = F.struct(F.col("doc_id").alias("d"), F.col("text_hash").alias("h"), F.col("start").alias("s"))
-    origin = named.groupBy(*name).agg(F.min(here).alias("origin"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    later = named.join(origin, name).filter(here > F.col("origin"))
+    name = ["length", "level", "a", "b"]
+    first_ones = named.groupBy(*name).agg(F.min(here).alias("o")).select(*name, F.col("o.d").alias("doc_id"), F.col("o.h").alias("text_hash"), F.col("o.s").alias("start"))
+    later = named.join(first_ones, [*name, *key, "start"], "left_anti")
     # A prefix deletes all its lines, a suffix its last one.
     gone = later.select(*key, F.explode(F.when(F.col("side") == 0, F.sequence("start", F.col("start") + F.col("length") - 1)).otherwise(F.array(F.col("start") + F.col("length") - 1))).alias("at")).distinct()
-    return gone.join(sized.select(*key, "at", "no"), [*key, "at"]).select(*key, "no")
+    return gone.join(sized.select(*key, "at", "no", "until"), [*key, "at"]).select(*key, "no", "until")
 
 
 def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """The rows of docs, with their columns, without later copies of repeated line runs of min_words words or more.
     An n_chars column is set to the new length."""
-    gone = repeated_lines(docs, min_words).groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set("no")).alias("__gone"))
-    gone = materialize(gone.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), "__gone"), "gone")
-    marked = docs.withColumn("__key", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    spans = F.array_sort(F.collect_list(F.struct("no", "until")))
+    gone = repeated_lines(docs, min_words).groupBy("doc_id", "text_hash").agg(spans.alias("gone"))
+    gone = materialize(gone, "gone")
+    marked = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), place_of(docs["doc_id"]).alias("doc_id"), F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit(""))).alias("text_hash"))
     # The same kind of join at every size: a switch to a broadcast would only hide what a larger input shuffles.
-    joined = marked.join(gone.hint("merge"), (place_of(F.col("doc_id")) == F.col("__id")) & (F.col("__key") == F.col("__hash")), "left")
-    parts = F.split("text", "\n", -1)
-    blank = lambda x: F.regexp_replace(x, f"[{GAPS}]+", "") == ""
-    # A line without words goes with the line above it: the last line number with a word up to it decides.
-    state = F.aggregate(
-        parts,
-        F.struct(F.lit(0).alias("no"), F.lit(False).alias("off"), F.array().cast("array<string>").alias("kept")),
-        lambda s, x: F.struct(
-            (s["no"] + 1).alias("no"),
-            F.when(blank(x), s["off"]).otherwise(F.array_contains("__gone", s["no"])).alias("off"),
-            F.when(F.when(blank(x), s["off"]).otherwise(F.array_contains("__gone", s["no"])), s["kept"]).otherwise(F.concat(s["kept"], F.array(x))).alias("kept"),
-        ),
-        lambda s: F.array_join(s["kept"], "\n"),
-    )
-    text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(state)
-    out = joined.withColumn("text", text)
+    joined = marked.join(gone.hint("merge"), ["doc_id", "text_hash"], "left")
+    lines = F.split(F.col("row")["text"].cast("string"), "\n", -1)
+    n = F.size("gone")
+    # What lies between the spans stays: stretch k runs from the end of span k - 1 to the begin of span k.
+    first = lambda k: F.when(k == 0, 0).otherwise(F.coalesce(F.get(F.col("gone"), k - 1)["until"], F.size(lines) - 1) + 1)
+    end = lambda k: F.when(k == n, F.size(lines)).otherwise(F.get(F.col("gone"), k)["no"])
+    stretches = F.filter(F.transform(F.sequence(F.lit(0), n), lambda k: F.struct(first(k).alias("first"), (end(k) - first(k)).alias("n"))), lambda s: s["n"] > 0)
+    kept = F.array_join(F.transform(stretches, lambda s: F.array_join(F.slice(lines, s["first"] + 1, s["n"]), "\n")), "\n")
+    touched = F.col("gone").isNotNull()
+    of_row = lambda c: F.col("row").getField(c)
+    new = {c: of_row(c) for c in docs.columns} | {"text": F.when(touched, kept).otherwise(of_row("text"))}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("__gone").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+        new["n_chars"] = F.when(touched, F.length(kept)).otherwise(of_row("n_chars")).cast(docs.schema["n_chars"].dataType)
+    return joined.select(*(x.alias(c) for c, x in new.items()))

@@ -56,6 +56,16 @@ def test_matches_brute_force(spark):
         assert {k: v for k, v in got.items() if v != want[k]} == {}
 
 
+def test_long_text_and_clashing_names(spark):
+    run = [f"line {i} " + " ".join(f"w{k}" for k in range(9)) for i in range(40)]
+    text = "\n".join([f"own {i}" for i in range(100_000)] + run + [""] + [f"more {i}" for i in range(5)] + run)
+    rows = [(1, text, "a", "b", 1), (2, "\n".join(run), "c", "d", 2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, text_hash string, gone string, row int")
+    got = {r.doc_id: r for r in lines.dedup_lines(df).collect()}
+    assert got[1].text == text[: -len("\n".join(["", *run]))] and got[2].text == ""
+    assert (got[1].text_hash, got[1].gone, got[2].row) == ("a", "b", 2) and lines.dedup_lines(df).columns == df.columns
+
+
 def test_defined_cases(spark):
     long = " ".join(f"w{i}" for i in range(60))
     rows = [(2, f"head\n{long}\n\ntail", 9, 1), (1, f"{long}\nother", 9, 2), (1, f"{long}\nother", 9, 2), (3, long, 9, 3)]
