@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from korpusflow.llm.common import discard, materialize
+from korpusflow.llm.common import discard, hot_keys, materialize, spread_join
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -25,15 +25,20 @@ def connected_components(edges: DataFrame) -> DataFrame:
     return materialize(now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots), "components")
 
 
+def _spread(edges: DataFrame, least: DataFrame) -> DataFrame:
+    """Edges with their node's least neighbour; those of a node with very many are dealt to several tasks."""
+    return spread_join(edges, least.select("u", "m"), ["u"], hot_keys(least, ["u"]), F.xxhash64("v"))
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     """Each node's larger neighbours are tied to its least neighbour (or itself)."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-    return both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u > v").distinct()
+    least = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).withColumn("m", F.least("u", "m"))
+    return _spread(both.filter("v > u"), least).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u > v").distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Each node and its smaller neighbours are tied to the least of them."""
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    moved = edges.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    least = edges.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+    moved = _spread(edges, least).select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).filter("u > v").distinct()

@@ -11,7 +11,7 @@ only links that join components it has not joined yet.
 
 Cases: null or empty texts and texts without words have an empty set and are linked with nothing; a null doc_id is
 linked with nothing and kept; rows that repeat a doc_id count as one document; texts with fewer than w words are one
-shingle; ties go to the smallest doc_id; other columns are ignored.
+shingle; a very long text is one set like any other; ties go to the smallest doc_id; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from korpusflow.llm.common import coded, hashes, materialize, mix, words
+from korpusflow.llm.common import discard, hot_keys, materialize, mix, spread_join, token_hashes, words
 from korpusflow.llm.components import connected_components
 
 BANDS, ROWS = 32, 5
@@ -30,15 +30,14 @@ PROBES = 512
 #: Members that are compared with one copy of a centre's text.
 GROUP = 256
 #: Bounds of a tile: indexed members, their shingles, and members that stream past.
-TILE_MEMBERS, TILE_SHINGLES, TILE_STREAM = 512, 400_000, 4096
+TILE_MEMBERS, TILE_SHINGLES, TILE_STREAM = 4096, 2_000_000, 16384
 FEATURES = "doc_id long, n_shingles long, key1 long, key2 long, bands array<long>"
 
 
 def shingle_sets(texts: pa.Array, size: int) -> list[np.ndarray]:
     """Sorted distinct 64-bit shingle hashes of each text."""
     flat, ends = words(texts)
-    codes, distinct = coded(flat)
-    h = hashes(distinct)[codes] if distinct else np.zeros(0, np.uint64)
+    h = token_hashes(flat)
     odd = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0x2545F4914F6CDD1D)]
     with np.errstate(over="ignore"):
         rolled = np.zeros(max(0, len(h) - size + 1), np.uint64)
@@ -112,8 +111,9 @@ def features(df: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
 def confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """Pairs (a, b) whose full sets have 100 * intersection >= percent * union. Members of a centre go to groups of
     bounded size, each with one copy of the centre's text; a task streams over its groups and holds one centre."""
-    counts = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n"))
-    dealt = pairs.join(counts, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / GROUP)).alias("part"))
+    pairs = materialize(pairs, "minhash-star")
+    counts = materialize(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")), "minhash-centres")
+    dealt = spread_join(pairs, counts, ["a"], hot_keys(counts, ["a"]), F.xxhash64("b", F.lit(5))).select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / GROUP)).alias("part"))
     centres = dealt.select("a", "part").distinct().join(texts.withColumnRenamed("id", "a"), "a").select("a", "part", F.lit(0).alias("role"), F.col("a").alias("b"), "text")
     members = dealt.join(texts.withColumnRenamed("id", "b"), "b").select("a", "part", F.lit(1).alias("role"), "b", "text")
     rows = centres.unionByName(members).repartition("a", "part").sortWithinPartitions("a", "part", "role")
@@ -152,11 +152,12 @@ def cross_links(members: DataFrame, texts: DataFrame, size: int, percent: int) -
     by_component = members.groupBy("centre", "component").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("s"))
     groups = by_component.groupBy("centre").agg(F.max_by("component", F.struct("k", "component")).alias("largest"), F.sum("k").alias("m"), F.sum("s").alias("s"), F.max(F.struct("k", "component", "s")).alias("top"), F.count(F.lit(1)).alias("c"))
     groups = groups.filter("c > 1").select(
-        "centre", "largest",
+        "centre", "largest", "m",
         F.greatest(F.lit(1), F.ceil((F.col("m") - F.col("top.k")) / TILE_MEMBERS), F.ceil((F.col("s") - F.col("top.s")) / TILE_SHINGLES)).cast("int").alias("tiles"),
         F.greatest(F.lit(1), F.ceil(F.col("m") / TILE_STREAM)).cast("int").alias("parts"),
     )
-    dealt = members.join(groups, "centre")
+    groups = materialize(groups, "minhash-groups")
+    dealt = spread_join(members, groups.drop("m"), ["centre"], hot_keys(groups, ["centre"], "m"), F.xxhash64("rep", F.lit(5)))
     tile, part = F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int"), F.pmod(F.xxhash64("rep", F.lit(1)), F.col("parts")).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     indexed = dealt.filter("component <> largest").select("centre", tile.alias("tile"), every("parts").alias("part"), F.lit(0).alias("role"), "rep", "component")
@@ -235,18 +236,22 @@ def near_duplicates(df: DataFrame, size: int = 5, percent: int = 80, bands: int
     classes = materialize(linkable.groupBy("key1", "key2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")), "minhash-classes")
     heads = linkable.join(classes.select("key1", "key2", F.col("rep").alias("doc_id")), ["key1", "key2", "doc_id"], "left_semi")
     entries = heads.select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), F.explode("bands").alias("bucket"))
-    shared = entries.groupBy("bucket").agg(F.min("rep").alias("centre"), F.max("rep").alias("last")).filter("centre < last")
-    open_buckets = materialize(entries.join(shared.drop("last"), "bucket"), "minhash-buckets")
+    head = F.min(F.struct("rep", "n")).alias("head")
+    shared = entries.groupBy("bucket").agg(head, F.max("rep").alias("last"), F.count(F.lit(1)).alias("entries")).filter("head.rep < last")
+    shared = materialize(shared.select("bucket", F.col("head.rep").alias("centre"), F.col("head.n").alias("cn"), "entries"), "minhash-shared")
+    in_bucket = spread_join(entries, shared.drop("entries"), ["bucket"], hot_keys(shared, ["bucket"], "entries"), F.xxhash64("rep"))
+    open_buckets = materialize(in_bucket, "minhash-buckets")
     sizes_fit = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)
     ids = open_buckets.select(F.col("rep").alias("id")).distinct()
     texts = df.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string"))
     texts = materialize(texts.join(ids.hint("merge"), "id", "left_semi"), "minhash-texts")  # of candidates only
 
-    own = open_buckets.filter("rep = centre").select("bucket", F.col("n").alias("cn"))
-    star = open_buckets.filter("rep > centre").join(own, "bucket").filter(sizes_fit(F.col("n"), F.col("cn"))).select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct()
+    star = open_buckets.filter("rep > centre").filter(sizes_fit(F.col("n"), F.col("cn"))).select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct()
     links = confirmed(star, texts, size, percent)
     # A doc_id with several texts is one document: its classes are linked.
-    several = linkable.join(classes, ["key1", "key2"]).groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b"))
+    repeated = linkable.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc_id")
+    hot = hot_keys(classes, ["key1", "key2"], "copies")
+    several = spread_join(linkable.join(repeated, "doc_id", "left_semi"), classes, ["key1", "key2"], hot, F.xxhash64("doc_id")).groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b"))
     links = materialize(links.unionByName(several.filter("a < b").select("a", "b").distinct()), "minhash-links")
     labels = connected_components(links)
     members = open_buckets.select("centre", "rep", "n").distinct().join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
@@ -254,6 +259,7 @@ def near_duplicates(df: DataFrame, size: int = 5, percent: int = 80, bands: int
     labels = connected_components(links.unionByName(found))
 
     by_class = classes.join(labels.select(F.col("node").alias("rep"), F.col("component")), "rep", "left").select("key1", "key2", F.coalesce("component", "rep").alias("component"))
-    rows_out = f.join(by_class, ["key1", "key2"], "left")
-    linked = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))
-    return rows_out.select("doc_id", "n_shingles", linked.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    by_class = materialize(by_class, "minhash-components")
+    placed = spread_join(linkable.select("doc_id", "n_shingles", "key1", "key2"), by_class, ["key1", "key2"], hot, F.xxhash64("doc_id")).select("doc_id", "n_shingles", F.col("component").alias("component_id"))
+    alone = f.filter("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    return placed.unionByName(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
