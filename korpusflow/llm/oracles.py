@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from korpusflow.llm.secrets import BASE, COPIED_OWNERS, KINDS
+from korpusflow.llm.secrets import BASE, COPIED_OWNERS, COPIED_REPOSITORIES, KINDS
 
 WARC = """WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages),
 d AS (SELECT page_id, payload_bytes, array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (((('0x' || substr(h, ((i // 4) * 5 + 1)::INT, 5))::BIGINT >> (15 - 5 * (i % 4))) & 31) + 1)::INT, 1)), '') AS payload_digest FROM p),
@@ -13,15 +13,15 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = largest THEN
 def _kind(kind: str) -> str:
     pattern, group, least = KINDS[kind]
     pattern = pattern.replace("'", "''")
-    return f"""SELECT rid, doc_id, owner, '{kind}' AS kind, {list(KINDS).index(kind)} AS no, x.s AS s, x.s + x.n AS e, x.v AS v FROM (
-SELECT rid, doc_id, owner, unnest(list_transform(range(1, len(h) + 1), lambda i: {{s: list_sum(list_transform(g[1:i], lambda y: length(y))) + coalesce(list_sum(list_transform(h[1:i - 1], lambda y: length(y))), 0), n: length(h[i]), v: v[i]}})) AS x
-FROM (SELECT rid, doc_id, owner, string_split_regex(text, '{pattern}') AS g, regexp_extract_all(text, '{pattern}') AS h, regexp_extract_all(text, '{pattern}', {group}) AS v FROM t)) WHERE length(x.v) >= {least}"""
+    return f"""SELECT rid, doc_id, owner, repo, '{kind}' AS kind, {list(KINDS).index(kind)} AS no, x.s AS s, x.s + x.n AS e, x.v AS v FROM (
+SELECT rid, doc_id, owner, repo, unnest(list_transform(range(1, len(h) + 1), lambda i: {{s: list_sum(list_transform(g[1:i], lambda y: length(y))) + coalesce(list_sum(list_transform(h[1:i - 1], lambda y: length(y))), 0), n: length(h[i]), v: v[i]}})) AS x
+FROM (SELECT rid, doc_id, owner, repo, string_split_regex(text, '{pattern}') AS g, regexp_extract_all(text, '{pattern}') AS h, regexp_extract_all(text, '{pattern}', {group}) AS v FROM t)) WHERE length(x.v) >= {least}"""
 
 
 _BASE = ", ".join(f"'{k}'" for k in BASE)
-SECRETS = f"""WITH t AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(source, '') AS owner, coalesce(text, '') AS text FROM documents),
+SECRETS = f"""WITH t AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(source, '') AS owner, coalesce(source, '') || '/' || coalesce(lang, '') AS repo, coalesce(text, '') AS text FROM documents),
 f AS ({' UNION ALL '.join(_kind(k) for k in KINDS)}),
-o AS (SELECT v, count(DISTINCT owner) >= {COPIED_OWNERS} AS copied FROM f GROUP BY v), j AS (SELECT f.*, copied, kind || ':' || s || ':' || e AS span FROM f JOIN o USING (v))
+o AS (SELECT v, count(DISTINCT owner) >= {COPIED_OWNERS} OR count(DISTINCT repo) >= {COPIED_REPOSITORIES} AS copied FROM f GROUP BY v), j AS (SELECT f.*, copied, kind || ':' || s || ':' || e AS span FROM f JOIN o USING (v))
 SELECT t.doc_id, {', '.join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in BASE)}, sha256(coalesce(string_agg(span, ',' ORDER BY s, no) FILTER (kind IN ({_BASE})), '')) AS base_sha256,
 coalesce(string_agg(span, ',' ORDER BY s, no) FILTER (kind IN ({_BASE}) OR NOT copied), '') AS spans, count(*) FILTER (NOT copied) AS n_live, count(*) FILTER (copied) AS n_copied FROM t LEFT JOIN j USING (rid) GROUP BY rid, t.doc_id"""
 ORACLES = {"op3_warc": WARC, "op10_secrets": SECRETS}

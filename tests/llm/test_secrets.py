@@ -45,6 +45,19 @@ def test_ownership_decides_added_spans(spark):
     assert got == {1: ("forge:4:47", 1, 0), 2: ("", 0, 1), 3: ("", 0, 1), 4: ("forge:0:43", 1, 0)}
 
 
+def test_many_repositories_of_one_owner_make_an_example(spark):
+    own, template = "ghp_" + "Q7w" * 13, "ghp_" + "Template" * 5
+    rows = [(i, f"{own if i < 3 else template} end", "a", f"l{i}") for i in range(3 + secrets.COPIED_REPOSITORIES)]
+    got = {r.doc_id: r.spans for r in secrets.secrets(spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")).collect()}
+    assert got == {i: "forge:0:43" if i < 3 else "" for i in got} and len(got) == len(rows)
+
+
+def test_long_texts_and_missing_columns(spark):
+    text = " ".join(f"{i:030x}" for i in range(100_000))
+    row = secrets.secrets(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert (row.n_hex, row.n_live) == (100_000, 100_000) and row.spans.startswith("hex:0:30,hex:31:61") and row.spans.endswith(f"hex:{31 * 99_999}:{31 * 99_999 + 30}")
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
 def test_query(spark):
     from korpusflow.llm.registry import QUERIES
