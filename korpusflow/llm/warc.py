@@ -3,16 +3,17 @@
 Writing: equal payloads are grouped by digest, the largest page_id of a group is the response and the others revisit it;
 each task writes its records, one gzip member each, to a file of its own in the shared folder and returns a manifest row
 per record. A second try of a task writes another file; only files that the manifest names count.
-Index: captures sorted by reversed-host URL key are cut into compressed blocks (level one) and a sparse directory keeps
-each block's first key and place (level two). The directory is itself a sorted table with a sparse top of its own, so
-that what a lookup broadcasts is one row in a few million captures.
-Reading: a lookup finds its block by binary search, range-reads and inflates it, binary-searches its key there, and then
-range-reads the record; lookups are sorted, so a task reads a block once, and reads of records that adjoin are merged.
+Index: captures sorted by reversed-host URL key are cut into compressed blocks (level one). A sparse directory keeps each
+block's first and last key and place (level two); it is itself cut into compressed pages beside the blocks, so that what
+the driver holds is one row for each page: one in about a million captures, and one for each task that wrote.
+Reading: a lookup finds its page by binary search over those rows; lookups are sorted, so a task range-reads a page once,
+finds the block by binary search in it, range-reads and inflates that once, and searches its key there. The record is then
+range-read; reads of records that adjoin are merged.
 
 Cases: a null html is an empty payload; a null url has the empty key; a null page_id is archived but is no one's
 referent (it revisits if a row with an id has its payload, and responds otherwise); rows that repeat a page_id are each
-archived, and the referent of equal payloads is still the largest page_id: of several rows with it, all are responses;
-other columns are ignored.
+archived, and the referent of equal payloads is still the largest page_id: of several rows with it, all are responses; a
+payload of any length is one record; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,10 +31,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from korpusflow.llm.common import materialize, scratch_path
+from korpusflow.llm.common import hot_keys, materialize, scratch_path, spread_join
 
 BLOCK_CAPTURES = 1000
-TOP_EVERY = 1000
+PAGE_BLOCKS = 1000
 #: Records whose gap is under this are fetched by one range read, up to this many bytes.
 MERGE_GAP, MERGE_BYTES = 16 << 10, 8 << 20
 RECORDED_AT = "2024-01-01T00:00:00Z"
@@ -97,8 +98,11 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0) -> DataFra
     """Write every row of (page_id, url, html) and return the manifest, itself a table in the shared folder."""
     html = F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html")
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), html).withColumn("sha", F.sha1(F.col("html").cast("binary")))
-    referents = rows.filter(F.octet_length("html") >= min_bytes).groupBy("sha").agg(F.max("page_id").alias("largest"), F.count(F.lit(1)).alias("n")).filter("n > 1 and largest is not null").drop("n")
-    told = rows.join(referents, "sha", "left").select("page_id", "url", "html", F.when((F.octet_length("html") >= min_bytes) & ~F.col("page_id").eqNullSafe(F.col("largest")), F.col("largest")).alias("refers_to"))
+    referents = rows.filter(F.octet_length("html") >= min_bytes).groupBy("sha").agg(F.max("page_id").alias("largest"), F.count(F.lit(1)).alias("n")).filter("n > 1 and largest is not null")
+    referents = materialize(referents, "warc-referents")
+    # A payload that a large share of the pages have is dealt to several tasks.
+    salt = F.xxhash64(F.coalesce("page_id", F.lit(0)), F.coalesce("url", F.lit("")))
+    told = spread_join(rows, referents.drop("n"), ["sha"], hot_keys(referents, ["sha"]), salt, "left").select("page_id", "url", "html", F.when((F.octet_length("html") >= min_bytes) & ~F.col("page_id").eqNullSafe(F.col("largest")), F.col("largest")).alias("refers_to"))
 
     def run(batches):
         filesystem, root = _filesystem(folder)
@@ -134,8 +138,9 @@ def escaped(key: str) -> F.Column:
     return F.replace(F.replace(F.col(key), F.lit("\n"), F.lit("%0A")), F.lit(" "), F.lit("%20"))
 
 
-def build_index(manifest: DataFrame, folder: str, block_captures: int = BLOCK_CAPTURES) -> DataFrame:
-    """Write the captures' blocks and return the directory: block_no (in key order), first_key, last_key, index_file, offset, size."""
+def build_index(manifest: DataFrame, folder: str, block_captures: int = BLOCK_CAPTURES, page_blocks: int = PAGE_BLOCKS) -> DataFrame:
+    """Write the captures' blocks and the directory's pages; returns the pages' places: low and high (first and last key),
+    blocks, index_file, offset, size."""
     captures = manifest.select(escaped("capture_key").alias("capture_key"), F.to_json(F.struct("page_id", "file", "offset", "size")).alias("entry"))
     n = manifest.sparkSession.conf.get("spark.sql.shuffle.partitions")
     ordered = captures.repartitionByRange(int(n), "capture_key", F.xxhash64("entry")).sortWithinPartitions("capture_key", "entry")
@@ -144,88 +149,110 @@ def build_index(manifest: DataFrame, folder: str, block_captures: int = BLOCK_CA
         filesystem, root = _filesystem(folder)
         task = TaskContext.get()
         name = f"index-{task.partitionId():06d}-{task.taskAttemptId()}-{uuid.uuid4().hex[:8]}.cdx"
-        sink, at, block_no, held = None, 0, 0, []
+        sink, at = None, 0
+        held, blocks, pages = [], [], []  # captures of this block, blocks of this page, pages not yet told
 
-        def put():
-            nonlocal sink, at, block_no
+        def put(lines: list[str]) -> tuple[int, int]:
+            nonlocal sink, at
             if sink is None:
                 filesystem.create_dir(root, recursive=True)
                 sink = filesystem.open_output_stream(f"{root}/{name}", compression=None)
-            packed = zlib.compress("\n".join(f"{k} {e}" for k, e in held).encode("utf-8", "surrogatepass"), 6)
+            packed = zlib.compress("\n".join(lines).encode("utf-8", "surrogatepass"), 6)
             sink.write(packed)
-            row = (task.partitionId() * (1 << 32) + block_no, held[0][0], held[-1][0], name, at, len(packed))
-            at, block_no = at + len(packed), block_no + 1
-            held.clear()
-            return row
-
-        def table(rows):
-            kinds = (pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64())
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["block_no", "first_key", "last_key", "index_file", "offset", "size"])
+            at += len(packed)
+            return at - len(packed), len(packed)
+
+        def end_block():
+            if held:
+                place = put([f"{k} {e}" for k, e in held])
+                blocks.append((held[0][0], held[-1][0], *place))
+                held.clear()
+
+        def end_page():
+            if blocks:
+                pages.append((blocks[0][0], blocks[-1][1], len(blocks), name, *put([" ".join(map(str, b)) for b in blocks])))
+                blocks.clear()
+
+        def told():
+            kinds = (pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64())
+            out = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*pages) if pages else [[]] * 6, kinds)], ["low", "high", "blocks", "index_file", "offset", "size"])
+            pages.clear()
+            return out
 
         for batch in batches:
-            rows = []
-            for key, entry in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                held.append((key, entry))
+            for capture in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                held.append(capture)
                 if len(held) >= block_captures:
-                    rows.append(put())
-            if rows:
-                yield table(rows)
-        if held:
-            yield table([put()])
+                    end_block()
+                    if len(blocks) >= page_blocks:
+                        end_page()
+            if pages:
+                yield told()
+        end_block()
+        end_page()
+        if pages:
+            yield told()
         if sink is not None:
             sink.close()
 
-    schema = "block_no long, first_key string, last_key string, index_file string, offset long, size long"
-    return materialize(ordered.mapInArrow(run, schema), "warc-directory")
+    return materialize(ordered.mapInArrow(run, "low string, high string, blocks long, index_file string, offset long, size long"), "warc-directory")
+
+
+class Index:
+    """Reads pages of the directory and blocks of captures, one of each at a time."""
+
+    def __init__(self, folder: str, pages: list[dict]):
+        self.filesystem, self.root = _filesystem(folder)
+        self.pages, self.page, self.block = pages, None, None
 
+    def inflate(self, file: str, offset: int, size: int) -> list[str]:
+        with self.filesystem.open_input_file(f"{self.root}/{file}") as source:
+            return zlib.decompress(source.read_at(size, offset)).decode("utf-8", "surrogatepass").split("\n")
 
-def with_top(directory: DataFrame, every: int = TOP_EVERY) -> tuple[DataFrame, DataFrame]:
-    """The directory with its chunk number, and each chunk's key range: about one row in `every` blocks."""
-    chunked = directory.withColumn("chunk", F.floor(F.col("block_no") / every).cast("long"))
-    return chunked, chunked.groupBy("chunk").agg(F.min("first_key").alias("low"), F.max("last_key").alias("high"))
+    def open_page(self, no: int):
+        if no != self.page:
+            place = self.pages[no]
+            rows = [x.split(" ") for x in self.inflate(place["index_file"], place["offset"], place["size"])]
+            self.lows, self.highs, self.places = [r[0] for r in rows], [r[1] for r in rows], [(int(r[2]), int(r[3])) for r in rows]
+            self.page, self.block = no, None
+
+    def open_block(self, no: int):
+        if no != self.block:
+            rows = [x.split(" ", 1) for x in self.inflate(self.pages[self.page]["index_file"], *self.places[no])]
+            self.keys, self.entries, self.block = [r[0] for r in rows], [r[1] for r in rows], no
+
+    def captures(self, page: int, key: str):
+        """The entries of a key in a page, from all blocks that it reaches into."""
+        self.open_page(page)
+        for no in range(bisect.bisect_left(self.highs, key), bisect.bisect_right(self.lows, key)):
+            self.open_block(no)
+            for at in range(bisect.bisect_left(self.keys, key), bisect.bisect_right(self.keys, key)):
+                yield json.loads(self.entries[at])
 
 
 def lookup(keys: DataFrame, directory: DataFrame, folder: str) -> DataFrame:
     """Captures of each (lookup_id, capture_key): lookup_id, capture_key, page_id, file, offset, size. A key with no
-    capture has no row; a key with several captures has a row for each, from every block that it reaches into."""
-    chunked, top = with_top(directory)
-    asked = keys.filter("lookup_id is not null and capture_key is not null").withColumn("capture_key", escaped("capture_key"))
-    sparse = sorted(top.toArrow().to_pylist(), key=lambda x: (x["low"], x["high"], x["chunk"]))  # one row in about a million captures
-    lows, highs, numbers = ([x[k] for x in sparse] for k in ("low", "high", "chunk"))
+    capture has no row; a key with several captures has a row for each, from every page and block that it reaches into."""
+    asked = keys.filter("lookup_id is not null and capture_key is not null").select("lookup_id", escaped("capture_key").alias("capture_key"))
+    pages = sorted(directory.toArrow().to_pylist(), key=lambda x: (x["low"], x["high"], x["index_file"], x["offset"]))
+    lows, highs = [x["low"] for x in pages], [x["high"] for x in pages]
 
     def choose(batches):
         for batch in batches:
-            at, chunks = [], []
-            for i, key in enumerate(batch.column(1).to_pylist()):
-                for k in range(bisect.bisect_left(highs, key), bisect.bisect_right(lows, key)):
-                    at.append(i)
-                    chunks.append(numbers[k])
-            picked = batch.take(pa.array(at, pa.int64()))
-            yield pa.RecordBatch.from_arrays([picked.column(0), picked.column(1), pa.array(chunks, pa.int64())], ["lookup_id", "capture_key", "chunk"])
-
-    in_chunk = asked.select("lookup_id", "capture_key").mapInArrow(choose, "lookup_id long, capture_key string, chunk long")
-    spans = chunked.groupBy("chunk").agg(F.array_sort(F.collect_list(F.struct("first_key", "last_key", "block_no", "index_file", "offset", "size"))).alias("blocks"))
-    # A chunk's list has at most TOP_EVERY rows; the key's own blocks are those whose range holds it.
-    placed = in_chunk.join(spans, "chunk").select("lookup_id", "capture_key", F.explode(F.filter("blocks", lambda b: (b["first_key"] <= F.col("capture_key")) & (b["last_key"] >= F.col("capture_key")))).alias("b"))
+            found = [(i, no) for i, key in enumerate(batch.column(1).to_pylist()) for no in range(bisect.bisect_left(highs, key), bisect.bisect_right(lows, key))]
+            picked = batch.take(pa.array([i for i, _ in found], pa.int64()))
+            yield pa.RecordBatch.from_arrays([picked.column(0), picked.column(1), pa.array([no for _, no in found], pa.int64())], ["lookup_id", "capture_key", "page"])
+
+    placed = asked.mapInArrow(choose, "lookup_id long, capture_key string, page long")
     n = int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = placed.select("lookup_id", "capture_key", "b.block_no", "b.index_file", "b.offset", "b.size").repartitionByRange(n, "block_no", "capture_key", "lookup_id").sortWithinPartitions("block_no", "capture_key")
+    ordered = placed.repartitionByRange(n, "page", "capture_key", "lookup_id").sortWithinPartitions("page", "capture_key")
 
     def run(batches):
-        filesystem, root = _filesystem(folder)
-        current, names, entries = None, [], []
+        index = Index(folder, pages)
         for batch in batches:
             out = []
-            for lookup_id, key, block_no, file, offset, size in zip(*(batch.column(k).to_pylist() for k in range(6))):
-                if block_no != current:
-                    with filesystem.open_input_file(f"{root}/{file}") as source:
-                        lines = zlib.decompress(source.read_at(size, offset)).decode("utf-8", "surrogatepass").split("\n")
-                    parts = [x.split(" ", 1) for x in lines]
-                    names, entries, current = [x[0] for x in parts], [x[1] for x in parts], block_no
-                at = bisect.bisect_left(names, key)
-                while at < len(names) and names[at] == key:
-                    e = json.loads(entries[at])
-                    out.append((lookup_id, key, e.get("page_id"), e["file"], e["offset"], e["size"]))
-                    at += 1
+            for lookup_id, key, page in zip(*(batch.column(k).to_pylist() for k in range(3))):
+                out += [(lookup_id, key, e.get("page_id"), e["file"], e["offset"], e["size"]) for e in index.captures(page, key)]
             kinds = (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 6, kinds)], ["lookup_id", "capture_key", "page_id", "file", "offset", "size"])
 

@@ -3,6 +3,8 @@ import hashlib
 import os
 
 import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
 
 from korpusflow.llm import html, warc
 
@@ -39,8 +41,8 @@ def test_lookup_over_many_blocks(spark, tmp_path):
     rows = [(i, f"http://h{i % 7}.example/p/{i // 3}", f"page {i}") for i in range(400)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
     folder = f"file://{tmp_path}"
-    directory = warc.build_index(warc.write_archives(df, folder), folder, block_captures=7)
-    assert directory.count() > 40
+    directory = warc.build_index(warc.write_archives(df, folder), folder, block_captures=7, page_blocks=4)
+    assert directory.agg({"blocks": "sum"}).first()[0] > 40 and directory.count() > 10
     asked = [(i, warc.url_key(rows[i * 5][1])) for i in range(80)] + [(1000, "com,none)/"), (None, "x"), (1001, None)]
     got = {}
     for r in warc.lookup(spark.createDataFrame(asked, "lookup_id long, capture_key string"), directory, folder).collect():
@@ -55,6 +57,20 @@ def test_spaces_in_keys(spark):
     assert sorted((tuple(r) for r in warc.archive_and_read(df).collect()), key=str) == warc_brute(rows)
 
 
+@settings(max_examples=4, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.text(st.sampled_from(list("ab/?&=% !\"#$'+,-.\n\t\r\x0b\x1fé~")), max_size=6), min_size=20, max_size=60))
+def test_odd_urls(spark, ends):
+    rows = [(i, f"http://h.example/{x}", f"page {i % 9}") for i, x in enumerate(ends)] + [(1000, "\n", "x"), (1001, " ", "y"), (1002, "http://h.example", "z")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert sorted((tuple(r) for r in warc.archive_and_read(df).collect()), key=str) == warc_brute(rows)
+
+
+def test_long_and_common_payloads(spark):
+    rows = [(i, f"http://h/{i}", "common" if i % 2 else ("long é" * 700_000 if i == 2 else f"own {i}")) for i in range(1500)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(6)
+    assert sorted((tuple(r) for r in warc.archive_and_read(df).collect()), key=str) == warc_brute(rows)
+
+
 @needs_tables
 def test_warc_query(spark):
     from korpusflow.llm.registry import QUERIES
