@@ -144,7 +144,17 @@ def _byte_values() -> np.ndarray:
 
 
 def token_hashes(flat: pa.Array) -> np.ndarray:
-    """A 64-bit hash of each word of a large_string array: a polynomial in its bytes, for all words at once."""
+    """A 64-bit hash of each word of a large_string array."""
+    return mix(polynomials(flat))
+
+
+def put_together(first: np.ndarray, second: np.ndarray, bytes_of_first: np.ndarray) -> np.ndarray:
+    """The polynomials of words made of two, from theirs."""
+    return first + second * _powers(HASH_BYTES)[0][np.minimum(bytes_of_first, HASH_BYTES - 1)]
+
+
+def polynomials(flat: pa.Array) -> np.ndarray:
+    """A polynomial in the bytes of each word of a large_string array, modulo 2^64, for all words at once."""
     n = len(flat)
     out = np.zeros(n, np.uint64)
     if not n:
@@ -165,7 +175,7 @@ def token_hashes(flat: pa.Array) -> np.ndarray:
         at = ends[a : b + 1] - ends[a]
         out[a:b] = (total[at[1:]] - total[at[:-1]]) * down[np.minimum(at[:-1], size - 1)]
         a = b
-    return mix(out)
+    return out
 
 
 def mix(x: np.ndarray) -> np.ndarray:

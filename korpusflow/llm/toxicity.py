@@ -1,16 +1,17 @@
 """Toxicity behind obfuscation: a noisy channel restores words, hashed evidence over the restored words scores texts.
 
-Words with look-alike digits or signs, inner separators or stretched letters, and runs of single letters, are decoded by
-Viterbi over a lattice of characters: each raw character may stand for itself, for a letter it resembles, or (separators
-and stretched letters) for nothing, at a channel cost; the paths are weighed by a character trigram model counted over
-all texts. Evidence of a word is the largest smoothed log odds of its pieces (character windows of SIZES) in toxic against
-other training texts; a logistic regression over each text's three largest words, its distinct words at each level of
-evidence and its length gives the score. Labels are learned from at most `max_rows` rows of the training folds (those
-whose hash is least).
-
-Cases: null and empty texts get the score of a text without evidence; a null doc_id belongs to the fold of an empty id;
-repeated rows score alike; without labels of both classes all scores are the share of label 1 (0 or 1; 0 if none); other
-columns are ignored.
+Words with look-alike digits or signs, inner separators or stretched letters, and runs of single characters, are decoded
+by Viterbi over a lattice of characters: each raw character may stand for itself, for a letter it resembles, or
+(separators, signs and stretched letters) for nothing, at a channel cost; the paths are weighed by a character trigram
+model counted over all texts. Adjoining words that together spell a word of much evidence are joined. Evidence of a word
+is the largest smoothed log odds of its pieces (character windows of SIZES, and the whole word), by their mean share in
+the words of toxic against other training texts. A logistic regression over each text's three largest words, its distinct
+words and its share of words at each level of evidence, and its length gives the score. Labels are learned from at most
+`max_rows` rows of the training folds (those whose hash is least).
+
+Cases: null and empty texts get the score of a text without evidence; very long texts are scored whole; a null doc_id
+belongs to the fold of an empty id; repeated rows score alike; paths of equal cost are decided by their text; without
+labels of both classes all scores are the share of label 1 (0 or 1; 0 if none); other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from korpusflow.llm.common import coded, fold, words
+from korpusflow.llm.common import coded, fold, mix, polynomials, put_together, words
 from korpusflow.llm.ngrams import best_piece, calibrate, char_grams
 from korpusflow.llm.quality import sampled
 
@@ -34,14 +35,23 @@ KNOWN_WORDS = 50_000
 SMOOTH = 4.0
 #: Evidence from which a word counts at each level.
 LEVELS = (1.2, 2.0, 3.0, 4.5)
-FEATURES = 4 + len(LEVELS)
+#: A word of this evidence is looked for in two or three words side by side, of so many bytes together at most.
+JOINED_FROM, JOINED_BYTES = LEVELS[2], 32
+#: Words that a text counts as having beside its own, and the share of words that smooths the odds.
+SPARE_WORDS, SPARE_SHARE = 20, 0.0025
+#: Shares of words are counted in these units.
+UNIT = 1e-7
+PIECE, WORD, TEXTS = 0, 1, 2
+FEATURES = 4 + 2 * len(LEVELS)
 #: Letters of the character model, and what signs may stand for.
 LETTERS = "abcdefghijklmnopqrstuvwxyzàáâäãåæçèéêëìíîïñòóôöõøùúûüýÿßœ"
 LOOKALIKES = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "€": "e"}
 SEPARATORS = ".-_*~'·"
+#: Signs that may stand for a letter or for nothing.
+SIGNS = "!|+"
 SWAP_COST, DROP_COST, STRETCH_COST = 1.5, 1.5, 0.3
 EDGE = "%&#*.,;:?!\"()[]{}<>|…«»“”„'`~^=/\\+-_"
-SUSPECT = re.compile(r"[^\W\d_][0-9@$!|+€.\-_*~'·]+[^\W\d_]|[0-9@$][^\W\d_]|[^\W\d_][0-9@$](?:[^\W\d_]|$)|([^\W\d_])\1\1")
+SUSPECT = re.compile(r"[0-9@$!|+€]|[^\W\d_][.\-_*~'·]+[^\W\d_]|([^\W\d_])\1\1")
 INDEX = {c: i + 1 for i, c in enumerate(LETTERS)}
 OTHER = len(LETTERS) + 1
 SYMBOLS = OTHER + 1  # 0 is the edge of a word
@@ -93,7 +103,7 @@ class Channel:
         if got is None:
             if len(self.known) > KNOWN_WORDS:
                 self.known.clear()
-            if not SUSPECT.search(word):
+            if not SUSPECT.search(word) or word.isdecimal():  # a number alone is a number
                 return word
             got = self.known[word] = self.decode(word)
         return got
@@ -103,7 +113,7 @@ class Channel:
         states = {(0, 0): (0.0, None)}  # last two symbols: cost, chain of output characters
         for i, c in enumerate(word):
             options = [(c, 0.0)] + [(x, SWAP_COST) for x in LOOKALIKES.get(c, "")]
-            drop = DROP_COST if c in SEPARATORS and i else None
+            drop = DROP_COST if (c in SEPARATORS and i) or c in SIGNS else None
             if i and word[i - 1] == c and (word[i - 2 : i - 1] == c or word[i + 1 : i + 2] == c):
                 drop = STRETCH_COST
             new: dict = {}
@@ -138,28 +148,44 @@ class _Chain:
         return self.text() < other.text()
 
 
+def core(word: str) -> str:
+    """A word without the signs around it; one before it that may stand for a letter stays."""
+    bare = word.lower().strip(EDGE)
+    at = word.lower().find(bare)
+    return word[at - 1] + bare if bare and at > 0 and word[at - 1] in SIGNS else bare
+
+
 class Restored:
     """Restored words of a batch of texts: distinct words, and each text's words by number."""
 
-    def __init__(self, texts: pa.Array, channel: Channel):
+    def __init__(self, texts: pa.Array, channel: Channel, lexicon: "Lexicon | None" = None):
         flat, ends = words(texts)
         codes, distinct = coded(flat)
-        cores = [channel.restore(w.lower().strip(EDGE)) for w in distinct]
-        single = np.fromiter((len(c) == 1 and c.isalpha() for c in cores), bool, len(cores))
+        cores = [channel.restore(core(w)) for w in distinct]
         number = {w: i for i, w in enumerate(dict.fromkeys(cores))}
         self.codes = np.fromiter((number[c] for c in cores), np.int64, len(cores))[codes] if cores else codes
         self.ends, self.spelled = ends, []
-        at = np.flatnonzero(single[codes]) if cores else []
-        names = list(number)
-        if len(at):
-            text_of = np.searchsorted(ends, at, "right")
-            cut = np.flatnonzero((np.diff(at) > 1) | (np.diff(text_of) > 0)) + 1
-            for run, owner in zip(np.split(at, cut), np.split(text_of, cut)):
-                if len(run) >= 3:  # single letters in a row: they may spell a word
-                    word = channel.restore("".join(names[self.codes[k]] for k in run))
-                    self.spelled.append((int(owner[0]) - 1, number.setdefault(word, len(number)), run))
+        for owner, run, word in self.runs(codes, distinct):
+            self.spelled.append((owner, number.setdefault(channel.restore(word), len(number)), run))
+        for owner, run, word in lexicon.joined(self.codes, ends, list(number)) if lexicon else ():
+            self.spelled.append((owner, number.setdefault(word, len(number)), run))
         self.distinct = list(number)
 
+    def runs(self, codes: np.ndarray, distinct: list[str]):
+        """Single characters in a row, with separators between them or not: three or more may spell a word."""
+        plain = [w.lower() if len(w) == 1 else w.lower().strip(EDGE) for w in distinct]
+        short = np.fromiter((len(w) <= 1 for w in plain), bool, len(plain))
+        at = np.flatnonzero(short[codes]) if len(codes) else np.zeros(0, np.int64)
+        if not len(at):
+            return
+        text_of = np.searchsorted(self.ends, at, "right") - 1
+        cut = np.flatnonzero((np.diff(at) > 1) | (np.diff(text_of) > 0)) + 1
+        for run, owner in zip(np.split(at, cut), np.split(text_of, cut)):
+            if len(run) >= 3:
+                word = "".join(w for k in run if (w := plain[codes[k]]).isalnum() or w in LOOKALIKES)
+                if len(word) >= 3 and sum(c.isalpha() for c in word) >= 2:
+                    yield int(owner[0]), run, word
+
     def texts(self) -> list[str]:
         spelled = {int(run[0]): (code, len(run)) for _, code, run in self.spelled}
         out = []
@@ -175,19 +201,52 @@ class Restored:
     def pieces(self) -> tuple[np.ndarray, np.ndarray]:
         return char_grams(self.distinct, SIZES, whole=True)
 
-    def by_text(self) -> list[np.ndarray]:
-        """The distinct words of each text, by number."""
+    def by_text(self) -> list[tuple[np.ndarray, np.ndarray]]:
+        """The distinct words of each text, by number, and how often it has them."""
         spelled: dict[int, list[int]] = {}
         for text, code, _ in self.spelled:
             spelled.setdefault(text, []).append(code)
         parts = [self.codes[a:b] for a, b in zip(self.ends, self.ends[1:])]
-        return [np.unique(np.append(p, spelled[i]).astype(np.int64) if i in spelled else p) for i, p in enumerate(parts)]
+        return [np.unique(np.append(p, spelled[i]).astype(np.int64) if i in spelled else p, return_counts=True) for i, p in enumerate(parts)]
+
+
+class Lexicon:
+    """Words of much evidence, by the polynomials of their bytes."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys = np.sort(keys)
+        self.some = np.zeros(1 << 16, bool)
+        self.some[(mix(keys) >> np.uint64(48)).astype(np.int64)] = True
+
+    def has(self, keys: np.ndarray) -> np.ndarray:
+        out = self.some[(mix(keys) >> np.uint64(48)).astype(np.int64)]
+        at = np.flatnonzero(out)
+        if len(at):
+            out[at] = self.keys[np.minimum(np.searchsorted(self.keys, keys[at]), len(self.keys) - 1)] == keys[at]
+        return out
+
+    def joined(self, codes: np.ndarray, ends: np.ndarray, names: list[str]):
+        """(text, places, word) of words side by side that together are one of these, as none of them is by itself."""
+        if not len(self.keys) or len(codes) < 2:
+            return
+        own, size = polynomials(pa.array(names, pa.large_string())), np.fromiter((len(w.encode("utf-8", "surrogatepass")) for w in names), np.int64, len(names))
+        alone = self.has(own)
+        text_of = np.repeat(np.arange(len(ends) - 1), np.diff(ends))
+        key, length, free = own[codes], size[codes], ~alone[codes] & (size[codes] > 0)
+        now, now_length, fits = key, length, free
+        for n in (2, 3):
+            now, now_length = put_together(now[:-1], key[n - 1 :], now_length[:-1]), now_length[:-1] + length[n - 1 :]
+            fits = fits[:-1] & free[n - 1 :] & (text_of[: len(now)] == text_of[n - 1 :]) & (now_length <= JOINED_BYTES)
+            for i in np.flatnonzero(fits & self.has(now)) if len(now) else ():
+                yield int(text_of[i]), np.arange(i, i + n), "".join(names[codes[k]] for k in range(i, i + n))
 
 
 class Odds:
-    """Pieces whose log odds reach the first level: sorted hashes and values, behind a bit map that most pieces miss."""
+    """Pieces whose log odds reach the first level: sorted hashes and values, behind a bit map that most pieces miss; and
+    the lexicon of words of much evidence."""
 
-    def __init__(self, pieces: np.ndarray, values: np.ndarray):
+    def __init__(self, pieces: np.ndarray, values: np.ndarray, lexicon: Lexicon):
+        self.lexicon = lexicon
         by = np.argsort(pieces)
         self.pieces, self.values = pieces[by], np.append(values[by], 0.0)
         self.some = np.zeros(1 << 20, bool)
@@ -203,25 +262,31 @@ class Odds:
 
 
 def evidence(restored: Restored, odds: Odds) -> np.ndarray:
-    """For each text: the three largest evidences of its distinct words, the log of 1 + the words at each level, and the
-    log of 1 + all words."""
+    """For each text: the three largest evidences of its distinct words; the log of 1 + its distinct words, and its
+    share of words, at each level; and the log of 1 + all words."""
     out = np.zeros((len(restored.ends) - 1, FEATURES))
     if not restored.distinct:
         return out
     value = best_piece(restored.distinct, SIZES, odds.of)
-    for i, mine in enumerate(restored.by_text()):
-        found = value[mine]
-        found = np.sort(found[found >= LEVELS[0]])
-        top = found[::-1][:3]
+    total = np.diff(restored.ends)
+    for i, (mine, times) in enumerate(restored.by_text()):
+        found, times = value[mine], times[value[mine] >= LEVELS[0]]
+        found = found[found >= LEVELS[0]]
+        top = np.sort(found)[::-1][:3]
         out[i, : len(top)] = top
-        out[i, 3:-1] = np.log1p(np.diff(np.append(np.searchsorted(found, LEVELS), len(found))))
-    out[:, -1] = np.log1p(np.diff(restored.ends))
+        level = np.searchsorted(LEVELS, found, "right") - 1
+        out[i, 3 : 3 + len(LEVELS)] = np.log1p(np.bincount(level, minlength=len(LEVELS)))
+        out[i, 3 + len(LEVELS) : -1] = np.log1p(100 * np.bincount(level, times, len(LEVELS)) / (total[i] + SPARE_WORDS))
+    out[:, -1] = np.log1p(total)
     return out
 
 
 def log_odds(toxic: np.ndarray, clean: np.ndarray, n_toxic: int, n_clean: int) -> np.ndarray:
-    share = n_toxic / max(1, n_toxic + n_clean)
-    return np.log((toxic + SMOOTH * share) / max(1, n_toxic)) - np.log((clean + SMOOTH * (1 - share)) / max(1, n_clean)) if 0 < share < 1 else np.zeros(len(toxic))
+    """From sums of shares of words over the texts of either kind."""
+    part, spare = n_toxic / max(1, n_toxic + n_clean), SMOOTH * SPARE_SHARE
+    if not 0 < part < 1:
+        return np.zeros(len(toxic))
+    return np.log((toxic + spare * part) / n_toxic) - np.log((clean + spare * (1 - part)) / n_clean)
 
 
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_ROWS) -> dict:
@@ -235,34 +300,44 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_ROWS) ->
         for batch in batches:
             restored, kinds = Restored(batch.column(0), channel), np.asarray(batch.column(1))
             at, ends = restored.pieces()
-            found = [np.unique(np.concatenate([at[ends[c] : ends[c + 1]] for c in mine])) if len(mine) else at[:0] for mine in restored.by_text()]
-            for kind in range(4):
-                pieces, n = np.unique(np.concatenate([at[:0], *(f for f, k in zip(found, kinds) if k == kind)]), return_counts=True)
-                # One more row has the texts of this kind.
-                cols = [pa.array(pieces.view(np.int64)), pa.array(np.full(len(pieces), kind, np.int32)), pa.array(n), pa.array(np.zeros(len(pieces), bool))]
-                yield pa.RecordBatch.from_arrays(cols, ["piece", "kind", "n", "texts"])
-                yield pa.RecordBatch.from_arrays([pa.array([0], pa.int64()), pa.array([kind], pa.int32()), pa.array([int((kinds == kind).sum())], pa.int64()), pa.array([True])], ["piece", "kind", "n", "texts"])
-
-    rows_of = rows.mapInArrow(count, "piece long, kind int, n long, texts boolean")
-    by_piece = rows_of.groupBy("texts", "piece").agg(*(F.sum(F.when(F.col("kind") == k, F.col("n")).otherwise(0)).alias(f"n{k}") for k in range(4)))
-    got = by_piece.filter("texts or n1 + n3 >= 2").toArrow()
-    texts, pieces = np.asarray(got["texts"].combine_chunks().cast(pa.int8())).astype(bool), np.asarray(got["piece"]).view(np.uint64)
-    table = np.stack([np.asarray(got[f"n{k}"]).astype(float) for k in range(4)])
-    n = table[:, texts].sum(axis=1)
-    counts, pieces = table[:, ~texts], pieces[~texts]
+            whole = polynomials(pa.array(restored.distinct, pa.large_string()))
+            total = np.diff(restored.ends)
+            found = {(what, kind): [] for what in (PIECE, WORD) for kind in range(4)}
+            for i, (mine, times) in enumerate(restored.by_text()):
+                share = times / (total[i] + SPARE_WORDS)
+                found[WORD, kinds[i]].append((whole[mine], share))
+                if len(mine):
+                    pieces, of = np.unique(np.concatenate([at[ends[c] : ends[c + 1]] for c in mine]), return_inverse=True)
+                    found[PIECE, kinds[i]].append((pieces, np.bincount(of, np.repeat(share, ends[mine + 1] - ends[mine]), len(pieces))))
+            for (what, kind), parts in found.items():
+                keys, of = np.unique(np.concatenate([at[:0].astype(np.uint64), *(p[0] for p in parts)]), return_inverse=True)
+                shares = np.bincount(of, np.concatenate([np.zeros(0), *(p[1] for p in parts)]), len(keys))
+                cols = [pa.array(keys.view(np.int64)), pa.array(np.full(len(keys), kind, np.int32)), pa.array(np.bincount(of, minlength=len(keys))), pa.array(np.rint(shares / UNIT).astype(np.int64)), pa.array(np.full(len(keys), what, np.int32))]
+                yield pa.RecordBatch.from_arrays(cols, ["key", "kind", "n", "share", "what"])
+            texts = np.bincount(kinds, minlength=4)
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(4, np.int64)), pa.array(np.arange(4, dtype=np.int32)), pa.array(texts), pa.array(texts), pa.array(np.full(4, TEXTS, np.int32))], ["key", "kind", "n", "share", "what"])
+
+    rows_of = rows.mapInArrow(count, "key long, kind int, n long, share long, what int")
+    toxic_texts = F.sum(F.when(F.col("kind") % 2 == 1, F.col("n")).otherwise(0))
+    by_key = rows_of.groupBy("what", "key").agg(toxic_texts.alias("n"), *(F.sum(F.when(F.col("kind") == k, F.col("share")).otherwise(0)).alias(f"s{k}") for k in range(4)))
+    got = by_key.filter(f"what = {TEXTS} or n >= 2").toArrow()
+    what, keys = np.asarray(got["what"]), np.asarray(got["key"]).view(np.uint64)
+    table = np.stack([np.asarray(got[f"s{k}"]).astype(float) for k in range(4)])
+    n = table[:, what == TEXTS].sum(axis=1)
+    table *= UNIT
 
     def odds_of(toxic, clean):
-        value = log_odds(sum(counts[k] for k in toxic), sum(counts[k] for k in clean), sum(n[k] for k in toxic), sum(n[k] for k in clean))
-        keep = value >= LEVELS[0]
-        return Odds(pieces[keep], value[keep])
+        value = log_odds(sum(table[k] for k in toxic), sum(table[k] for k in clean), sum(n[k] for k in toxic), sum(n[k] for k in clean))
+        keep = (what == PIECE) & (value >= LEVELS[0])
+        return Odds(keys[keep], value[keep], Lexicon(keys[(what == WORD) & (value >= JOINED_FROM)]))
 
     halves = [odds_of([1], [0]), odds_of([3], [2])]
 
     def look(batches):
         channel = Channel(cube)
         for batch in batches:
-            restored, kinds = Restored(batch.column(0), channel), np.asarray(batch.column(1))
-            by_half = [evidence(restored, halves[h]) for h in (0, 1)]  # each half is weighed by the other half's counts
+            kinds = np.asarray(batch.column(1))
+            by_half = [evidence(Restored(batch.column(0), channel, h.lexicon), h) for h in halves]  # each half is weighed by the other half's counts
             found = np.where((kinds < 2)[:, None], by_half[1], by_half[0])
             yield pa.RecordBatch.from_arrays([*(pa.array(found[:, k]) for k in range(FEATURES)), pa.array(kinds % 2)], [*names, "y"])
 
@@ -297,7 +372,7 @@ def score(docs: DataFrame, model: dict, with_text: bool = False) -> DataFrame:
     def run(batches):
         channel, weights = Channel(model["cube"]), np.array(model["weights"])
         for batch in batches:
-            restored = Restored(batch.column(1), channel)
+            restored = Restored(batch.column(1), channel, model["odds"].lexicon)
             margin = evidence(restored, model["odds"]) @ weights[:-1] + weights[-1]
             cols = [batch.column(0), pa.array(1 / (1 + np.exp(-np.clip(margin, -30, 30))))]
             yield pa.RecordBatch.from_arrays(cols + ([pa.array(restored.texts(), pa.string())] if with_text else []), ["doc_id", "score", "restored"][: 2 + with_text])
@@ -320,7 +395,7 @@ def without_toxic(docs: DataFrame, model: dict, reject_at: float = 0.5) -> DataF
     def run(batches):
         channel, weights = Channel(model["cube"]), np.array(model["weights"])
         for batch in batches:
-            margin = evidence(Restored(batch.column("text"), channel), model["odds"]) @ weights[:-1] + weights[-1]
+            margin = evidence(Restored(batch.column("text"), channel, model["odds"].lexicon), model["odds"]) @ weights[:-1] + weights[-1]
             keep = 1 / (1 + np.exp(-np.clip(margin, -30, 30))) < reject_at
             yield pa.RecordBatch.from_arrays([batch.column(n) for n in names], names).filter(pa.array(keep))
 

@@ -133,15 +133,86 @@ def test_toxicity_held_out(spark):
     labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
     assert len(got) == spark.read.parquet(f"{SF}/documents.parquet").count()
     pairs = [(got[k].predicted, t) for k, t in labels.items() if k in got and got[k].held_out]
-    assert sum(p == t for p, t in pairs) / len(pairs) > 0.93
+    assert sum(p == t for p, t in pairs) / len(pairs) > 0.95 and sum(p and t for p, t in pairs) >= 0.8 * sum(t for _, t in pairs)
 
 
 def test_deobfuscation(spark):
     df = spark.createDataFrame([(1, "the worthless idiot said these idle words to the moron and a loser " * 40)], "doc_id long, text string")
     channel = toxicity.Channel(toxicity.letter_counts(df))
     assert [channel.restore(w) for w in ("1d10t", "m0r0n", "idiiiiot", "l.o.s.e.r", "w0rthl3ss", "words")] == ["idiot", "moron", "idiot", "loser", "worthless", "words"]
-    restored = toxicity.Restored(pa.array(["you i d i o t !", None, "a b", ""], pa.string()), channel)
-    assert restored.texts()[0].split()[:2] == ["you", "idiot"]
+    assert [channel.restore(toxicity.core(w)) for w in ("!diot", "(loser!)", "m-o-r-o-n", "2024")] == ["idiot", "loser", "moron", "2024"]
+    texts = ["you i d i o t !", "an i d 1 0 t here", "1 * d * i * o * t", "a b", None, "", "| a | 1 | 2 |"]
+    restored = toxicity.Restored(pa.array(texts, pa.string()), channel)
+    assert [t.split() for t in restored.texts()[:5]] == [["you", "idiot"], ["an", "idiot", "here"], ["idiot"], ["a", "b"], []]
+
+
+def test_lattice_against_all_paths(spark):
+    df = spark.createDataFrame([(1, "an idle idiot sat on his old boat and lost it " * 5)], "doc_id long, text string")
+    channel = toxicity.Channel(toxicity.letter_counts(df))
+
+    def every(word, i=0):
+        """All output strings of a word with the channel's cost."""
+        if i == len(word):
+            yield "", 0.0
+            return
+        c = word[i]
+        stretched = i and word[i - 1] == c and (word[i - 2 : i - 1] == c or word[i + 1 : i + 2] == c)
+        options = [(c, 0.0)] + [(x, toxicity.SWAP_COST) for x in toxicity.LOOKALIKES.get(c, "")]
+        if stretched:
+            options.append(("", toxicity.STRETCH_COST))
+        elif (c in toxicity.SEPARATORS and i) or c in toxicity.SIGNS:
+            options.append(("", toxicity.DROP_COST))
+        for rest, cost in every(word, i + 1):
+            for x, extra in options:
+                yield x + rest, cost + extra
+
+    def model(word):
+        codes = [0, 0, *(toxicity.INDEX.get(c, toxicity.OTHER) for c in word), 0]
+        return sum(channel.cost[a][b][c] for a, b, c in zip(codes, codes[1:], codes[2:]))
+
+    rng = random.Random(5)
+    for word in ["1d10t", "i.d.i.o.t", "b0@t", "!d!ot", "iiidiot", "a$$", "455", "s4t", "|ost"] + ["".join(rng.choice("ids0145!|.-aot$") for _ in range(rng.randrange(1, 7))) for _ in range(60)]:
+        costs = sorted((cost + model(x), x) for x, cost in every(word))
+        assert channel.decode(word) in {x for v, x in costs if v < costs[0][0] + 1e-9}, word
+
+
+def test_fragments_are_joined():
+    lexicon = toxicity.Lexicon(toxicity.polynomials(pa.array(["idiot", "worthless"], pa.large_string())))
+    channel = toxicity.Channel(np.ones((toxicity.SYMBOLS,) * 3))
+    texts = pa.array(["such an id iot", "wor th less man", "id", "iot idiot", None, "worth", "less"], pa.string())
+    got = toxicity.Restored(texts, channel, lexicon).texts()
+    assert got == ["such an idiot", "worthless man", "id", "iot idiot", "", "worth", "less"]  # no word reaches over two texts
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="no tables")
+def test_toxicity_recall_of_held_out_rows(spark):
+    from korpusflow.llm.registry import QUERIES
+
+    sf = "/root/testdata/sf0.1"
+    judged = QUERIES["op9_toxicity"](spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").filter("held_out")
+    n = {(r.toxic, r.predicted): r["count"] for r in judged.groupBy("toxic", "predicted").count().collect()}
+    assert n[1, 1] >= 0.9 * (n[1, 1] + n.get((1, 0), 0)) and n.get((0, 1), 0) <= 0.02 * n[0, 0]
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="no tables")
+def test_quality_of_held_out_rows(spark):
+    """Trained on four folds of the labels, judged on the fifth."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    held = labels.filter("pmod(doc_id, 5) = 0")
+    found = quality.score(docs.join(held.select("doc_id"), "doc_id", "left_semi"), quality.train(docs, labels.join(held, "doc_id", "left_anti")))
+    judged = found.drop("quality").join(held, "doc_id").filter("not base_failed").selectExpr("kept = (quality = 1) as right").groupBy("right").count().collect()
+    n = {r.right: r["count"] for r in judged}
+    assert n[True] >= 0.98 * (n[True] + n.get(False, 0))
+
+
+def test_quality_labels_that_contradict(spark):
+    rows = [(i, " ".join(f"{'good' if i % 2 else 'bad'}{k}" for k in range(30))) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    plain = [(i, i % 2) for i in range(40)]
+    right = spark.createDataFrame(plain, "doc_id long, quality int")
+    mixed = spark.createDataFrame(plain + [(0, 1), (0, 1)], "doc_id long, quality int")  # the smallest counts
+    a, b = ({r.doc_id: r.kept for r in quality.score(df, quality.train(df, x)).collect()} for x in (right, mixed))
+    assert a == b == {i: i % 2 == 1 for i in range(40)}
 
 
 def test_toxicity_defined_cases(spark):
