@@ -29,8 +29,9 @@ BANDS, ROWS = 32, 5
 PROBES = 512
 #: Members that are compared with one copy of a centre's text.
 GROUP = 256
-#: Bounds of a tile: indexed members, their shingles, and members that stream past.
-TILE_MEMBERS, TILE_SHINGLES, TILE_STREAM = 4096, 2_000_000, 16384
+#: Bounds of a tile: indexed members and their shingles. About as many members stream past a copy of it as it holds, but
+#: not less than TILE_STREAM: so neither side goes out much more often than the other.
+TILE_MEMBERS, TILE_SHINGLES, TILE_STREAM = 4096, 2_000_000, 512
 FEATURES = "doc_id long, n_shingles long, key1 long, key2 long, bands array<long>"
 
 
@@ -154,7 +155,7 @@ def cross_links(members: DataFrame, texts: DataFrame, size: int, percent: int) -
     groups = groups.filter("c > 1").select(
         "centre", "largest", "m",
         F.greatest(F.lit(1), F.ceil((F.col("m") - F.col("top.k")) / TILE_MEMBERS), F.ceil((F.col("s") - F.col("top.s")) / TILE_SHINGLES)).cast("int").alias("tiles"),
-        F.greatest(F.lit(1), F.ceil(F.col("m") / TILE_STREAM)).cast("int").alias("parts"),
+        F.greatest(F.lit(1), F.ceil(F.col("m") / F.greatest(F.lit(TILE_STREAM), F.least(F.lit(TILE_MEMBERS), F.col("m") - F.col("top.k"))))).cast("int").alias("parts"),
     )
     groups = materialize(groups, "minhash-groups")
     dealt = spread_join(members, groups.drop("m"), ["centre"], hot_keys(groups, ["centre"], "m"), F.xxhash64("rep", F.lit(5)))
