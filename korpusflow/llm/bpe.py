@@ -1,11 +1,13 @@
 """Byte-level BPE encoding and decoding with a contiguous rank array per short word.
 
-A word's parts are held as two parallel lists: the part boundaries (with the part's id) and the rank of each adjacent
-pair. The smallest rank is found by scanning, its boundary is deleted and the two neighbouring ranks are refreshed.
+A word is held as its part boundaries and the rank of each adjacent pair of parts, in two parallel lists. The smallest
+rank is found by scanning, its boundary is deleted and the two neighbouring ranks are refreshed from the bytes between
+their boundaries; at the end the bytes between boundaries are looked up.
 Words over LONG_WORD bytes take the same merges from a heap, so that a text without spaces stays near-linear.
 
 Cases: a null text counts as empty and has no ids; empty texts have an empty list; unknown ids (null or out of range)
-decode to nothing; repeated rows are encoded alike; other columns are passed through untouched.
+decode to nothing; repeated rows are encoded alike; very long texts are
+encoded whole; other columns are passed through untouched, but one with the name of the new column is replaced.
 """
 
 from __future__ import annotations
@@ -51,10 +53,15 @@ class Bpe:
             self.piece_bytes[number] = bytes(letters[c] for c in token)
             if len(token) == 1:
                 self.byte_ids[letters[token]] = number
-        self.pairs = {}
+        self.piece_ids = {piece: number for number, piece in enumerate(self.piece_bytes)}
+        self.pairs, self.merges = {}, {}  # by ids, and by the bytes of both parts: rank, and where they meet
         for rank, merge in enumerate(spec["model"]["merges"]):
             left, right = merge.split(" ") if isinstance(merge, str) else merge
             self.pairs[vocab[left], vocab[right]] = rank, vocab[left + right]
+            whole = self.piece_bytes[vocab[left + right]]
+            if whole in self.merges:
+                raise ValueError(f"two merges make {left + right!r}")
+            self.merges[whole] = rank, len(self.piece_bytes[vocab[left]])
         self.added = {x["content"]: x["id"] for x in spec.get("added_tokens", [])}
         for content, number in self.added.items():
             self.piece_bytes += [b""] * (number + 1 - len(self.piece_bytes))
@@ -65,19 +72,25 @@ class Bpe:
         self.pieces = Pieces(self)
         self.words = Words(self)
 
-    def merge_short(self, ids: list[int]) -> list[int]:
-        pairs = self.pairs
-        boundaries = list(range(len(ids) + 1))
-        ranks = [pairs.get(pair, (NO_RANK,))[0] for pair in zip(ids, ids[1:])]
+    def merge_short(self, raw: bytes) -> list[int]:
+        """A part is what lies between two boundaries; ranks[i] is that of parts i and i + 1 together."""
+        merges, ids = self.merges, self.piece_ids
+        boundaries = list(range(len(raw) + 1))
+
+        def rank(i: int) -> int:
+            left, middle, right = boundaries[i : i + 3]
+            found = merges.get(raw[left:right])
+            return found[0] if found and found[1] == middle - left else NO_RANK
+
+        ranks = [found[0] if (found := merges.get(raw[i : i + 2])) else NO_RANK for i in range(len(raw) - 1)]
         while ranks and (least := min(ranks)) < NO_RANK:
             at = ranks.index(least)
-            ids[at] = pairs[ids[at], ids[at + 1]][1]
-            del ids[at + 1], boundaries[at + 1], ranks[at]
+            del boundaries[at + 1], ranks[at]
             if at < len(ranks):
-                ranks[at] = pairs.get((ids[at], ids[at + 1]), (NO_RANK,))[0]
+                ranks[at] = rank(at)
             if at:
-                ranks[at - 1] = pairs.get((ids[at - 1], ids[at]), (NO_RANK,))[0]
-        return ids
+                ranks[at - 1] = rank(at - 1)
+        return [ids[raw[a:b]] for a, b in zip(boundaries, boundaries[1:])]
 
     def merge_long(self, ids: list[int]) -> list[int]:
         pairs, n = self.pairs, len(ids)
@@ -104,8 +117,7 @@ class Bpe:
 
     def encode_word(self, word: str) -> bytes:
         raw = word.encode()
-        ids = [self.byte_ids[b] for b in raw]
-        ids = self.merge_short(ids) if len(ids) <= LONG_WORD else self.merge_long(ids)
+        ids = self.merge_short(raw) if len(raw) <= LONG_WORD else self.merge_long([self.byte_ids[b] for b in raw])
         return np.array(ids, np.int32).tobytes()
 
     def encode_plain(self, text: str) -> bytes:
