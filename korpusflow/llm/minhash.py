@@ -261,6 +261,7 @@ def near_duplicates(df: DataFrame, size: int = 5, percent: int = 80, bands: int
 
     by_class = classes.join(labels.select(F.col("node").alias("rep"), F.col("component")), "rep", "left").select("key1", "key2", F.coalesce("component", "rep").alias("component"))
     by_class = materialize(by_class, "minhash-components")
+    discard(shared, open_buckets, texts, links, found, labels)
     placed = spread_join(linkable.select("doc_id", "n_shingles", "key1", "key2"), by_class, ["key1", "key2"], hot, F.xxhash64("doc_id")).select("doc_id", "n_shingles", F.col("component").alias("component_id"))
     alone = f.filter("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return placed.unionByName(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

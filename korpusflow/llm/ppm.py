@@ -326,7 +326,9 @@ def score(docs: DataFrame, order: int = ORDER, hot_nodes: int = HOT_NODES, top_w
     gram_costs_of = at_top.filter("cost is not null").unionByName(lower).select(F.lit(GRAM).alias("kind"), "key", "cost", F.lit(0).cast("long").alias("known"))
     word_costs_of = asked.filter(F.col("kind") == WORD).select("key").join(vocabulary, "key", "left").select(F.lit(WORD).alias("kind"), "key", word_cost(F.col("n")).alias("cost"), F.when(F.col("n") > 0, 1).otherwise(0).cast("long").alias("known"))
     costs = materialize(gram_costs_of.unionByName(word_costs_of), "lm-costs")
-    joined = spread_join(far, costs, ["kind", "key"], hot_keys(asked, ["kind", "key"]), F.xxhash64("row"))
+    hot = hot_keys(asked, ["kind", "key"])
+    joined = spread_join(far, costs, ["kind", "key"], hot, F.xxhash64("row"))
+    discard(counts, *tables, at_top)
     of_kind = lambda kind: F.sum(F.when(F.col("kind") == kind, F.col("tf") * F.col("cost")).otherwise(0.0))
     by_row = joined.groupBy("row").agg(of_kind(WORD).alias("far_base"), of_kind(GRAM).alias("far_score"), F.sum(F.col("tf") * F.col("known")).alias("far_known"))
     end_cost = float(np.log10((texts + 0.5) / weight))

@@ -1,10 +1,10 @@
 """Quality rules: exact base counts and a calibrated logistic regression over hashed word and character n-grams.
 
-The model is trained on at most `max_rows` labelled rows (the first by a hash of doc_id, so the sample is the same at
-every size), a fifth of which only calibrates it, and scores every whole text in Arrow batches against a fixed threshold.
+The model is trained on at most `max_rows` labelled rows of `max_chars` code points together (the first by a hash of
+doc_id, so the sample is the same at every size), a fifth of which only calibrates it, and scores every whole text in Arrow batches against a fixed threshold.
 
 Cases: a null text counts as empty; texts without words fail the base rule; a null doc_id is scored like any other; rows
-that repeat are scored alike; labels that are null, repeated or contradict (the smallest counts) or whose document is
+that repeat are scored alike; labels that are null, repeated or contradict (the smallest counts, and of texts with one id the least) or whose document is
 missing don't matter; without labels of both classes the model keeps all (or none) that it saw; other columns are ignored.
 """
 
@@ -12,13 +12,13 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from korpusflow.llm.common import coded, hashes, mix, words
+from korpusflow.llm.common import coded, hashes, materialize, mix, words
 from korpusflow.llm.ngrams import Grams, calibrate, fit
 
-MAX_TRAIN_ROWS = 2000
+MAX_TRAIN_ROWS, MAX_TRAIN_CHARS = 2000, 6_000_000
 KEEP_AT = 0.5
 WINDOW = 8
 SYMBOLS = b"#*$%&|<>"
@@ -32,7 +32,7 @@ def sampled(labels: DataFrame, label: str, max_rows: int, where: str = "true") -
     return clean.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows: int = MAX_TRAIN_ROWS) -> dict:
+def train(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows: int = MAX_TRAIN_ROWS, max_chars: int = MAX_TRAIN_CHARS) -> dict:
     """The model: hashed weights, bias, and the calibration's slope and offset."""
     chosen = sampled(labels, label, max_rows)
 
@@ -45,6 +45,11 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows:
             )
 
     rows = docs.select("doc_id", F.col("text").cast("string")).join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text")
+    # Rows that repeat an id are trained on once, so that max_rows bounds them.
+    rows = materialize(rows.groupBy("doc_id", "label").agg(F.min("text").alias("text")), "quality-sample")
+    upto = Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0)  # over max_rows lengths
+    few = rows.select("doc_id", F.coalesce(F.length("text"), F.lit(0)).alias("n")).withColumn("sum", F.sum("n").over(upto)).filter(F.col("sum") <= max_chars)
+    rows = rows.join(F.broadcast(few.select("doc_id")), "doc_id", "left_semi")
     got = rows.mapInArrow(run, "doc_id long, label int, at array<int>, value array<float>").toArrow().sort_by("doc_id")
     y = np.asarray(got["label"]).astype(float) if got.num_rows else np.zeros(0)
     x = [(np.asarray(a.values).copy(), np.asarray(v.values).copy()) for a, v in zip(got["at"], got["value"])]
