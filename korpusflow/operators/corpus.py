@@ -16,13 +16,16 @@ def row_digests(records: DataFrame, order: list[str]) -> DataFrame:
     return records.select(*order, F.sha2(F.to_json(F.struct(*sorted(records.columns))), 256).alias("row_hash"))
 
 
-def corpus_digest(records: DataFrame, order: list[str], by: str) -> DataFrame:
-    """One digest of all records in order: digests of each `by` group, and the digest of those in order of `by`; only one
-    short line a group comes together in the end."""
-    rows = row_digests(records, order)
-    hashes = lambda cols, value: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*cols, value))), lambda x: x[value]), "")
-    groups = rows.groupBy(by).agg(F.sha2(hashes([c for c in order if c != by], "row_hash"), 256).alias("group_hash"), F.count(F.lit(1)).alias("n"))
-    return groups.agg(F.sha2(hashes([by], "group_hash"), 256).alias("digest"), F.sum("n").alias("records"))
+def corpus_digest(records: DataFrame, order: list[str], number: str, bits: int = 12, levels: int = 6) -> DataFrame:
+    """One digest of all records, as a tree: digests of runs of 2^bits record numbers, in order, then of 2^bits of those
+    digests, and so on for `levels` levels (enough for every number), so that no group has more than 2^bits digests, or
+    the records that share a number. digest, records (none without records)."""
+    hashes = lambda value, *cols: F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*cols, value))), lambda x: x[value]), ""), 256)
+    rows = row_digests(records, list(dict.fromkeys([*order, number])))
+    now = rows.groupBy(F.floor(F.col(number) / (1 << bits)).cast("long").alias("no")).agg(hashes("row_hash", *order).alias("hash"), F.count(F.lit(1)).alias("n"))
+    for _ in range(levels - 1):
+        now = now.groupBy(F.floor(F.col("no") / (1 << bits)).cast("long").alias("next")).agg(hashes("hash", "no").alias("hash"), F.sum("n").alias("n")).withColumnRenamed("next", "no")
+    return now.groupBy().agg(hashes("hash", "no").alias("digest"), F.sum("n").alias("records")).filter("records > 0")
 
 
 def artifact_failures(artifacts: DataFrame) -> DataFrame:
@@ -106,12 +109,46 @@ def activate(registry: DataFrame, domain: str, channel: str, backend: str, versi
     return registry.withColumn("activated_at", F.when(chosen, as_of).otherwise(F.col("activated_at"))).withColumn("status", status)
 
 
+def prune_payload(df: DataFrame) -> DataFrame:
+    """What a vector index keeps of a row: all but the text, which hits are joined with later."""
+    return df.drop("text")
+
+
+def write_records(records: DataFrame, path: str, number: str) -> DataFrame:
+    """The records and, beside them, a row with their digest and count; an existing place is refused. Returns that row."""
+    records.write.mode("errorifexists").parquet(f"{path}/records")
+    written = records.sparkSession.read.schema(records.schema).parquet(f"{path}/records")
+    corpus_digest(written, [number], number).write.mode("errorifexists").parquet(f"{path}/manifest")
+    return records.sparkSession.read.parquet(f"{path}/manifest")
+
+
+def read_records(spark, path: str, number: str) -> DataFrame:
+    """The records of write_records, if they still have the digest and count that stand beside them."""
+    records, manifest = spark.read.parquet(f"{path}/records"), spark.read.parquet(f"{path}/manifest").collect()
+    if [tuple(r) for r in corpus_digest(records, [number], number).collect()] != [tuple(r) for r in manifest]:
+        raise ValueError(f"the records in {path} are not those that were written")
+    return records
+
+
+def reparse(artifacts: DataFrame, metadata: DataFrame, run_id: str) -> dict[str, DataFrame]:
+    """ingest() anew from stored artifacts (artifact_id, document_id, content, byte_length, content_hash) with merged
+    metadata (document_id, ...): damaged artifacts become errors. Contents that come twice are parsed once."""
+    damaged = artifact_failures(artifacts)
+    sound = artifacts.join(damaged, "artifact_id", "left_anti").select("document_id", F.decode("content", "UTF-8").alias("text"))
+    out = ingest(sound, artifacts.select("content_hash").filter("false"), run_id)
+    bad = damaged.join(artifacts.select("artifact_id", "document_id"), "artifact_id")
+    errors = bad.select(F.lit(run_id).alias("run_id"), "document_id", F.col("failure").alias("code"), F.lit("document refused: artifact damaged").alias("detail"), F.lit(False).alias("retryable"), F.lit(1).alias("attempt"))
+    out["errors"] = out["errors"].unionByName(errors)
+    out["documents"] = out["artifacts"].select("document_id", "content_hash").join(metadata, "document_id", "left")
+    return out
+
+
 def write_vectors(df: DataFrame, path: str, index_version: str, dims: int) -> DataFrame:
     """An immutable vector index: one row with indexed and truncated. Wrong dimensions or an existing version are refused."""
     if not df.filter(F.size("vec") != dims).isEmpty():
         raise ValueError(f"not all vectors have {dims} dimensions")
     target = f"{path}/index_version={index_version}"
-    df.write.mode("errorifexists").parquet(target)
+    prune_payload(df).write.mode("errorifexists").parquet(target)
     return df.sparkSession.read.parquet(target).agg(F.count(F.lit(1)).alias("indexed"), F.count_if("truncated").alias("truncated"))
 
 

@@ -132,16 +132,22 @@ def stale(rows: DataFrame, ts: str, status: str, minutes: int, as_of: Column) ->
 
 def non_overlapping(intervals: DataFrame, by: list[str]) -> DataFrame:
     """Greedy choice of (start, end) in order of start, the longer first: an interval stays if it begins at or after the
-    end of the last one kept. A fold over each key's sorted intervals."""
-    ordered = F.array_sort(F.collect_list(F.struct(F.col("start"), (-F.col("end")).alias("__back"), F.col("end"))))
+    end of the last one kept. Where one begins after all before it end, the choice starts anew: so only intervals that
+    hang together are folded over as one list."""
+    order = Window.partitionBy(*by).orderBy("start", F.desc("end"))
+    reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    fresh = F.when(reach.isNull() | (F.col("start") >= reach), 1).otherwise(0)
+    islands = intervals.select(*by, F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end")).withColumn("__fresh", fresh)
+    islands = islands.withColumn("__island", F.sum("__fresh").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    ordered = F.array_sort(F.collect_list(F.struct("start", (-F.col("end")).alias("back"), "end")))
     kind = "array<struct<start:bigint,end:bigint>>"
     picked = F.aggregate(
         ordered,
-        F.struct(F.lit(-1).cast("long").alias("at"), F.array().cast(kind).alias("kept")),
-        lambda s, x: F.when(x["start"] >= s["at"], F.struct(x["end"].cast("long").alias("at"), F.concat(s["kept"], F.array(F.struct(x["start"].cast("long").alias("start"), x["end"].cast("long").alias("end")))).cast(kind).alias("kept"))).otherwise(s),
+        F.struct(F.lit(None).cast("long").alias("at"), F.array().cast(kind).alias("kept")),
+        lambda s, x: F.when(s["at"].isNull() | (x["start"] >= s["at"]), F.struct(x["end"].alias("at"), F.concat(s["kept"], F.array(F.struct(x["start"], x["end"]))).cast(kind).alias("kept"))).otherwise(s),
         lambda s: s["kept"],
     )
-    return intervals.groupBy(*by).agg(picked.alias("__kept")).select(*by, F.explode("__kept").alias("k")).select(*by, "k.start", "k.end")
+    return islands.groupBy(*by, "__island").agg(picked.alias("__kept")).select(*by, F.explode("__kept").alias("k")).select(*by, "k.start", "k.end")
 
 
 def thread(messages: DataFrame, generations: DataFrame, citations: DataFrame) -> DataFrame:

@@ -8,10 +8,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from korpusflow.functions.text import TOKENIZER, lexical_tokens, stemming_letters
-from korpusflow.functions.vectors import cosine
+from korpusflow.functions.vectors import cosine, dot, l2_normalize
 
 K1, B = 1.2, 0.75
 RRF_K = 60
+#: Distinct query terms that are sent to every task; more of them are joined by a shuffle.
+BROADCAST_TERMS = 200_000
 
 
 # --- filters -------------------------------------------------------------------------------------------------------
@@ -104,25 +106,39 @@ def query_terms(queries: DataFrame, stemming: str | None = None) -> DataFrame:
     return queries.select("query_id", F.explode(lexical_tokens(F.col("text"), stemming)).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
 
 
-def probe(terms: DataFrame, postings: DataFrame, df: DataFrame, stats: DataFrame, digits: int = 6) -> DataFrame:
-    """query_id, chunk_id, score: the summed weights of the query's terms. stats is one row."""
+def probe(terms: DataFrame, postings: DataFrame, df: DataFrame, stats: DataFrame, digits: int = 6, more: tuple[str, ...] = ()) -> DataFrame:
+    """query_id, chunk_id, score (and more columns of the chunk): the summed weights of the query's terms. stats is one row."""
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * F.col("tf") / (K1 * (1 - B + B * F.col("dl") / F.col("avgdl")) + F.col("tf"))
     joined = postings.join(df, "term").join(terms, "term").crossJoin(F.broadcast(stats.select("n", "avgdl")))
-    return joined.groupBy("query_id", "chunk_id").agg(F.round(F.sum(F.col("qtf") * weight), digits).alias("score")).filter("score > 0")
+    return joined.groupBy("query_id", "chunk_id", *more).agg(F.round(F.sum(F.col("qtf") * weight), digits).alias("score")).filter("score > 0")
 
 
-def bm25_search(queries: DataFrame, chunks: DataFrame, limit: int | None = 10, stemming: str | None = None, filters: dict | None = None) -> DataFrame:
-    """query_id, chunk_id, score, rank. Statistics come from all chunks, filters apply before the ranking (exact), and
-    only terms that a query has leave the scan: the tokens of a text meet the terms before the first shuffle."""
+def bm25_search(queries: DataFrame, chunks: DataFrame, limit: int | None = 10, stemming: str | None = None, filters: dict | None = None, per: str | None = None) -> DataFrame:
+    """query_id, chunk_id, score, rank (and, with `per`, that column of the chunks, within which ranks count). Statistics
+    come from all chunks, filters apply before the ranking (exact), and only terms that a query has leave the scan: the
+    tokens of a text meet the terms before the first shuffle. Texts are tokenised once: each chunk sends one row more,
+    of the empty term, for its length, and all further steps read the same exchange."""
     stemming_letters(stemming)
-    docs = chunks.withColumn("terms", lexical_tokens(F.col("text"), stemming)).withColumn("dl", F.size("terms"))
-    stats = docs.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
     terms = query_terms(queries, stemming)
-    own = docs.select("chunk_id", "dl", matches(filters).alias("wanted"), F.explode("terms").alias("term")).join(terms.select("term").distinct(), "term", "left_semi")
-    postings = own.groupBy("chunk_id", "dl", "wanted", "term").agg(F.count(F.lit(1)).alias("tf"))
-    df = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    return rank_hits(probe(terms, postings.filter("wanted"), df, stats), limit)
+    distinct = terms.select("term").distinct()
+    if distinct.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS:
+        distinct = F.broadcast(distinct)
+    kept = {"dl": F.size("terms")} | ({"wanted": F.col("wanted")} if filters else {}) | ({"part": F.col("part")} if per else {})
+    docs = chunks.select("chunk_id", matches(filters).alias("wanted"), (F.col(per) if per else F.lit(None)).alias("part"), lexical_tokens(F.col("text"), stemming).alias("terms"))
+    rows = docs.select("chunk_id", *(c.alias(n) for n, c in kept.items()), F.explode(F.concat(F.array(F.lit("")), "terms")).alias("term")).withColumn("term", F.coalesce("term", F.lit("")))
+    own = rows.join(distinct.withColumn("asked", F.lit(True)), "term", "left").filter("asked or term = ''")
+    # What is not a key of the grouping can't be filtered below it, and all readers use all columns: so they share the
+    # exchange, and the texts are read and cut once.
+    postings = own.groupBy("term", "chunk_id").agg(F.count(F.lit(1)).alias("tf"), *(F.max(n).alias(n) for n in kept))
+    whole = reduce(lambda a, b: a & b, (F.col(n).isNotNull() | F.col(n).isNull() for n in kept)) & (F.col("tf") > 0)
+    length = F.col("term") == ""
+    stats = postings.agg(F.count_if(length & whole).alias("n"), F.avg(F.when(length, F.col("dl"))).alias("avgdl"))
+    df = postings.groupBy("term").agg(F.count_if(whole).alias("df"))
+    found = probe(terms, postings.filter("wanted") if filters else postings, df, stats, more=("part",) if per else ())
+    if per is None:
+        return rank_hits(found, limit)
+    return rank_hits(found.withColumnRenamed("part", per), limit, ("query_id", per))
 
 
 def search_index(queries: DataFrame, path: str, limit: int | None = 10, df: DataFrame | None = None) -> DataFrame:
@@ -135,30 +151,35 @@ def search_index(queries: DataFrame, path: str, limit: int | None = 10, df: Data
 
 
 def dense_search(queries: DataFrame, vectors: DataFrame, limit: int = 10, filters: dict | None = None, digits: int = 6) -> DataFrame:
-    """query_id, chunk_id, score (cosine), rank of (query_id, vec) against (chunk_id, vec). The stated queries are the
-    small side of the nested loop, which Spark broadcasts only under its size threshold."""
-    asked = queries.select("query_id", F.col("vec").alias("__asked"))
-    scored = vectors.filter(matches(filters)).select("chunk_id", "vec").crossJoin(asked).select("query_id", "chunk_id", F.round(cosine(F.col("__asked"), F.col("vec")), digits).alias("score"))
+    """query_id, chunk_id, score (cosine), rank of (query_id, vec) against (chunk_id, vec). Vectors are normalised once.
+    The stated queries are the small side of the nested loop, which Spark broadcasts only under its size threshold."""
+    asked = queries.select("query_id", l2_normalize(F.col("vec")).alias("__asked"))
+    data = vectors.filter(matches(filters)).select("chunk_id", l2_normalize(F.col("vec")).alias("__vec"))
+    scored = data.crossJoin(asked).select("query_id", "chunk_id", F.round(dot(F.col("__asked"), F.col("__vec")), digits).alias("score"))
     return rank_hits(scored, limit)
 
 
 def dense_search_blocks(queries: DataFrame, vectors: DataFrame, limit: int = 10, block: int = 1024) -> DataFrame:
-    """As dense_search, by matrix products: queries go in blocks of bounded size, and a task keeps `limit` per query."""
+    """As dense_search, by matrix products: queries go in blocks of bounded size, and a task keeps `limit` per query.
+    Ids keep their types, so ties are decided alike."""
     import numpy as np
     import pyarrow as pa
 
-    asked = queries.select(F.col("query_id").cast("string"), F.col("vec").cast("array<double>"))
+    asked = queries.select("query_id", F.col("vec").cast("array<double>").alias("vec"))
+    data = vectors.select("chunk_id", F.col("vec").cast("array<double>").alias("vec"))
+    schema = f"query_id {asked.schema['query_id'].dataType.simpleString()}, chunk_id {data.schema['chunk_id'].dataType.simpleString()}, score double"
     n = max(1, -(-asked.count() // block))
     out = None
     for k in range(n):
         part = asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(n)) == k).toArrow()
-        ids, matrix = part["query_id"].to_pylist(), np.array(part["vec"].to_pylist() or [[]], float)
+        ids, matrix = part["query_id"].combine_chunks(), np.array(part["vec"].to_pylist() or [[]], float)
         matrix = matrix / np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-12)
 
         def run(batches, ids=ids, matrix=matrix):
-            best = [[] for _ in ids]
+            best, kind = [[] for _ in range(len(ids))], None
             for batch in batches:
-                if not batch.num_rows or not ids:
+                kind = batch.column(0).type
+                if not batch.num_rows or not len(ids):
                     continue
                 names = batch.column(0).to_pylist()
                 x = np.array(batch.column(1).to_pylist(), float)
@@ -166,29 +187,67 @@ def dense_search_blocks(queries: DataFrame, vectors: DataFrame, limit: int = 10,
                 for q, row in enumerate(scores):
                     top = np.argpartition(-row, min(limit, len(row)) - 1)[:limit] if len(row) > limit else range(len(row))
                     edge = row[top].min() if len(row) > limit else -2.0
-                    best[q] = sorted(best[q] + [(-round(float(row[i]), 6), names[i]) for i in np.flatnonzero(row >= edge - 1e-6)])[:limit]
-            rows = [(ids[q], c, -s) for q in range(len(ids)) for s, c in best[q]]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.string(), pa.float64()))], ["query_id", "chunk_id", "score"])
+                    best[q] = sorted(best[q] + [(-round(float(row[i]), 6) + 0.0, names[i]) for i in np.flatnonzero(row >= edge - 1e-6)])[:limit]
+            if kind is not None:
+                places = pa.array([q for q in range(len(ids)) for _ in best[q]], pa.int64())
+                columns = [ids.take(places), pa.array([c for b in best for _, c in b], kind), pa.array([-s for b in best for s, _ in b], pa.float64())]
+                yield pa.RecordBatch.from_arrays(columns, ["query_id", "chunk_id", "score"])
 
-        found = vectors.select(F.col("chunk_id").cast("string"), F.col("vec").cast("array<double>")).mapInArrow(run, "query_id string, chunk_id string, score double")
+        found = data.mapInArrow(run, schema)
         out = found if out is None else out.unionByName(found)
     return rank_hits(out, limit)
 
 
-def ann_search(queries: DataFrame, vectors: DataFrame, limit: int = 10, bucket: float = 2.0, tables: int = 8, seed: int = 11, radius: float = 1.2) -> DataFrame:
-    """Approximate dense search: random-projection buckets propose pairs within `radius` of each other as unit vectors,
-    which are then scored exactly. Recall depends on the parameters and is measured against dense_search."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
+def ann_index(vectors: DataFrame, cells: int = 16, fit_rows: int = 20_000, seed: int = 11) -> tuple[DataFrame, DataFrame]:
+    """(cell, chunk_id, vec of unit length) of every row, and (cell, centre): the centres are fitted by k-means on the
+    fit_rows vectors whose id's hash is least."""
+    from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
-    from korpusflow.functions.vectors import l2_normalize
-
-    unit = lambda df, key: df.select(key, "vec", array_to_vector(l2_normalize(F.col("vec"))).alias("features"))
-    data, asked = unit(vectors, "chunk_id"), unit(queries, "query_id")
-    model = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=bucket, numHashTables=tables, seed=seed).fit(data)
-    near = model.approxSimilarityJoin(data, asked, radius, distCol="distance")
-    scored = near.select(F.col("datasetB.query_id"), F.col("datasetA.chunk_id"), F.round(cosine(F.col("datasetA.vec"), F.col("datasetB.vec")), 6).alias("score")).distinct()
-    return rank_hits(scored, limit)
+    unit = vectors.select("chunk_id", l2_normalize(F.col("vec")).alias("vec"))
+    sample = unit.orderBy(F.xxhash64("chunk_id"), "chunk_id").limit(fit_rows).select(array_to_vector("vec").alias("features"))
+    centres = [[float(x) for x in c] for c in KMeans(k=cells, seed=seed, maxIter=15).fit(sample).clusterCenters()]
+    table = vectors.sparkSession.createDataFrame([(i, c) for i, c in enumerate(centres)], "cell int, centre array<double>")
+    return unit.withColumn("cell", nearest_cells(F.col("vec"), centres, 1)[0]), table
+
+
+def nearest_cells(vec: Column, centres: list[list[float]], n: int) -> Column:
+    """The n cells whose centres are nearest, nearest first."""
+    far = lambda c: F.aggregate(F.zip_with(vec, F.array(*map(F.lit, c)), lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
+    order = F.array_sort(F.array(*(F.struct(far(c).alias("far"), F.lit(i).alias("cell")) for i, c in enumerate(centres))))
+    return F.transform(F.slice(order, 1, n), lambda x: x["cell"])
+
+
+def ann_search(queries: DataFrame, vectors: DataFrame, limit: int = 10, cells: int = 16, probes: int = 11) -> DataFrame:
+    """Approximate dense search: each query meets the rows of the `probes` cells nearest to it, which are scored exactly;
+    a query that finds fewer than `limit` rows there is searched in all rows. Recall grows with probes / cells, where the
+    work does too, and is measured against dense_search (test_approximate_search_recall)."""
+    index, table = ann_index(vectors, cells)
+    centres = [r["centre"] for r in table.orderBy("cell").collect()]  # `cells` rows
+    asked = queries.select("query_id", l2_normalize(F.col("vec")).alias("__asked"))
+    probed = asked.withColumn("cell", F.explode(nearest_cells(F.col("__asked"), centres, probes)))
+    scored = index.join(probed, "cell").select("query_id", "chunk_id", F.round(dot(F.col("__asked"), F.col("vec")), 6).alias("score"))
+    found = rank_hits(scored, limit)
+    enough = found.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= limit)
+    rest = queries.join(enough, "query_id", "left_anti")
+    return found.join(enough.select("query_id"), "query_id", "left_semi").unionByName(dense_search(rest, vectors, limit).select(*found.columns))
+
+
+def containing(chunks: DataFrame, phrases: DataFrame, words: int = 3) -> DataFrame:
+    """query_id, chunk_id of chunks (chunk_id, text) whose text contains the phrase (query_id, text). A phrase of words + 2
+    words or more is probed by a hash of those after its first, which stand in any text that contains it whole between
+    the same white space; the texts it meets are then compared. Shorter phrases, of the stated set, meet every text."""
+    cut = lambda c: F.split(c, r"\s", -1)
+    key = lambda w, i: F.xxhash64(*(F.get(w, i + k) for k in range(words)))
+    asked = phrases.select("query_id", F.col("text").alias("phrase"), cut(F.col("text")).alias("w"))
+    long = asked.filter(F.size("w") >= words + 2).select("query_id", "phrase", key(F.col("w"), F.lit(1)).alias("key"))
+    places = chunks.select("chunk_id", "text", cut(F.col("text")).alias("w"))
+    keys = places.filter(F.size("w") >= words).select("chunk_id", F.explode(F.transform(F.sequence(F.lit(0), F.size("w") - words), lambda i: key(F.col("w"), i))).alias("key"))
+    near = keys.join(long, "key").select("chunk_id", "query_id", "phrase").distinct()
+    confirmed = near.join(chunks.select("chunk_id", "text"), "chunk_id").filter(F.col("text").contains(F.col("phrase")))
+    short = asked.filter(F.size("w") < words + 2).select("query_id", "phrase")
+    direct = chunks.select("chunk_id", "text").join(short, F.col("text").contains(F.col("phrase")))
+    return confirmed.select("query_id", "chunk_id").unionByName(direct.select("query_id", "chunk_id"))
 
 
 # --- fusion and reranking ------------------------------------------------------------------------------------------
@@ -306,6 +365,20 @@ def merge_parts(hits: DataFrame) -> DataFrame:
     return first.withColumn("source_no", F.row_number().over(Window.partitionBy("query_id").orderBy("first", "chunk_id"))).select("query_id", "source_no", "chunk_id", "parts")
 
 
-def hydrate(hits: DataFrame, corpus: DataFrame) -> DataFrame:
-    """Full rows of the hits: joined after the ranking, so that texts are read for hits only."""
-    return hits.join(corpus, "chunk_id")
+def channel_search(queries: DataFrame, corpus: DataFrame, limit: int = 10, channel: str = "channel", stemming: str | None = "prefix5", filters: dict | None = None) -> DataFrame:
+    """query_id, channel, chunk_id, score, rank: the best of each channel side by side, in one search."""
+    return bm25_search(queries, corpus, limit, stemming, filters, per=channel)
+
+
+def hydrate(hits: DataFrame, corpus: DataFrame, filters: dict | None = None) -> DataFrame:
+    """Full rows of the hits that the filters (a scope's, say) admit: joined after the ranking, so that texts are read for
+    hits only."""
+    return hits.join(corpus.filter(matches(filters)), "chunk_id")
+
+
+def require_reviewed(scope: DataFrame) -> DataFrame:
+    """The scope's rows, if all are reviewed; an unreviewed scope is not to be indexed."""
+    open_rows = scope.filter("review_status is distinct from 'reviewed'").limit(3).collect()
+    if open_rows:
+        raise ValueError(f"scope needs review before it is indexed: {[r.asDict() for r in open_rows]}")
+    return scope

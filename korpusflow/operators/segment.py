@@ -81,6 +81,62 @@ def units(docs: DataFrame, markers: DataFrame | None = None) -> DataFrame:
     return numbered.withColumn("unit_key", F.when(F.col("n") > 1, F.concat("unit_key", F.lit("~"), F.col("n").cast("string"))).otherwise(F.col("unit_key"))).withColumn("review_status", F.when(F.col("n") > 1, "needs_review").otherwise("parsed")).withColumn("content_hash", F.sha2("text", 256)).drop("n")
 
 
+#: The title of a bibliography, and a heading's level and unit type by the shape of its label.
+BIBLIOGRAPHY = "YARARLANILAN KAYNAKLAR"
+CHAPTER_LINE = r"^(BİRİNCİ|İKİNCİ|ÜÇÜNCÜ|DÖRDÜNCÜ|BEŞİNCİ|ALTINCI|YEDİNCİ|SEKİZİNCİ|DOKUZUNCU|ONUNCU)\s+BÖLÜM$"
+DOCTRINE_LEVELS = {"chapter": 1, "section": 2, "part": 3, "paragraph": 4, "item": 5}
+
+
+def doctrine_lines(docs: DataFrame) -> DataFrame:
+    """document_id, start, line, no: the lines of (document_id, text) that have text, with their places."""
+    lines = docs.select(F.col("document_id").cast("string"), F.posexplode(F.split("text", "\n", -1)).alias("at", "raw"))
+    upto = Window.partitionBy("document_id").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    placed = lines.withColumn("begin", F.coalesce(F.sum(F.length("raw") + 1).over(upto), F.lit(0)))
+    some = placed.withColumn("line", F.trim(F.regexp_replace("raw", r"\s+", " "))).filter("line <> ''")
+    start = F.col("begin") + F.length("raw") - F.length(F.regexp_replace("raw", r"^\s+", ""))
+    return some.select("document_id", start.cast("int").alias("start"), "line", F.row_number().over(Window.partitionBy("document_id").orderBy("at")).alias("no"))
+
+
+def doctrine_markers(docs: DataFrame, body_start: DataFrame | None = None) -> DataFrame:
+    """Markers (as scan_markers gives) of the headings of a book: chapters, topics (§), Roman, lettered and lower-case
+    ones, after body_start (document_id, start) and before the bibliography. A chapter's title is the next of three lines
+    in capitals."""
+    lines = doctrine_lines(docs)
+    order = Window.partitionBy("document_id").orderBy("no")
+    bounds = lines.filter(F.col("line") == BIBLIOGRAPHY)
+    if body_start is not None:
+        lines = lines.join(body_start.select(F.col("document_id").cast("string"), F.col("start").alias("body")), "document_id", "left").filter(F.col("start") >= F.coalesce("body", F.lit(0))).drop("body")
+        bounds = bounds.join(body_start.select(F.col("document_id").cast("string"), F.col("start").alias("body")), "document_id", "left").filter(F.col("start") >= F.coalesce("body", F.lit(0)))
+    ends = bounds.groupBy("document_id").agg(F.min("start").alias("bibliography"))
+    capitals = lambda k: F.when((F.upper(F.lead("line", k).over(order)) == F.lead("line", k).over(order)) & ~F.lead("line", k).over(order).startswith("§"), F.lead("line", k).over(order))
+    label = lambda pattern: F.nullif(F.regexp_extract("line", pattern, 1), F.lit(""))
+    roman, title = label(r"^([IVXLCDM]+)\. +\S"), F.regexp_extract("line", r"^\S+ +(.+)$", 1)
+    unit_type = (
+        F.when(label(CHAPTER_LINE).isNotNull(), "chapter").when(F.col("line").rlike(r"^§\s*\S"), "section").when(roman.isNotNull() & (F.upper(title) == title), "part")
+        .when(label(r"^([A-ZÇĞİÖŞÜ])\. +\S").isNotNull(), "paragraph").when(label(r"^([a-zçğıöşü])\) +\S").isNotNull(), "item")
+    )
+    levels = F.create_map(*(F.lit(x) for pair in DOCTRINE_LEVELS.items() for x in pair))
+    heading = F.when(F.col("unit_type") == "chapter", F.concat_ws(" — ", "line", F.coalesce(*(capitals(k) for k in (1, 2, 3))))).when(F.col("unit_type") == "section", F.regexp_replace("line", r"^§\s*\d*\s*\.?\s*", "")).otherwise(title)
+    named = F.coalesce(label(CHAPTER_LINE), label(r"^§\s*(\d+)"), label(r"^([^\s.)]+)[.)]"), F.lit(""))
+    found = lines.withColumn("unit_type", unit_type).withColumn("heading", heading).withColumn("label", named).filter("unit_type is not null")
+    kept = found.join(ends, "document_id", "left").filter(F.col("bibliography").isNull() | (F.col("start") < F.col("bibliography")))
+    return kept.select("document_id", "start", levels[F.col("unit_type")].alias("level"), "unit_type", "label", F.lit(None).cast("int").alias("last"), "heading")
+
+
+def doctrine_units(docs: DataFrame, body_start: DataFrame | None = None) -> DataFrame:
+    """Units of a book with retrieval_eligible. What stands before the body and the bibliography are units of their own,
+    of type metadata, that retrieval leaves out."""
+    rows = docs.select(F.col("document_id").cast("string"), "text")
+    markers = doctrine_markers(docs, body_start)
+    outside = lambda start, label: start.select("document_id", F.col("start").cast("int").alias("start"), F.lit(1).alias("level"), F.lit("metadata").alias("unit_type"), F.lit(label).alias("label"), F.lit(None).cast("int").alias("last"), F.lit(None).cast("string").alias("heading"))
+    last_body = (body_start.select(F.col("document_id").cast("string"), F.col("start").alias("body")) if body_start is not None else rows.select("document_id", F.lit(0).alias("body")))
+    bibliography = doctrine_lines(docs).filter(F.col("line") == BIBLIOGRAPHY).join(last_body, "document_id", "left").filter(F.col("start") >= F.coalesce("body", F.lit(0))).groupBy("document_id").agg(F.min("start").alias("start"))
+    extra = outside(bibliography, "bibliography")
+    if body_start is not None:
+        extra = extra.unionByName(outside(rows.join(last_body.filter("body > 0"), "document_id").select("document_id", F.lit(0).alias("start")), "front_matter"))
+    return units(docs, markers.unionByName(extra)).withColumn("retrieval_eligible", F.col("unit_type") != "metadata")
+
+
 def structure_audit(found: DataFrame, expectations: DataFrame) -> DataFrame:
     """Per document: required article numbers that are missing, those that come twice, numbers outside the range, passed.
     expectations: document_id, first, last, labels array<string>."""
@@ -233,17 +289,29 @@ def coverage_violations(docs: DataFrame, chunks: DataFrame) -> DataFrame:
 
 
 def page_spans(pages: DataFrame) -> DataFrame:
-    """document_id, text and spans (start, end, page) of (document_id, page, text): pages with text joined by a blank line."""
-    order = Window.partitionBy("document_id").orderBy("page")
-    some = pages.filter(F.trim("text") != "").withColumn("end", F.sum(F.length("text") + 2).over(order.rowsBetween(Window.unboundedPreceding, 0)) - 2)
-    spans = some.withColumn("start", F.col("end") - F.length("text"))
-    rows = F.array_sort(F.collect_list(F.struct("page", "text", "start", "end")))
-    return spans.groupBy("document_id").agg(rows.alias("r")).select("document_id", F.array_join(F.transform("r", lambda x: x["text"]), "\n\n").alias("text"), F.transform("r", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["page"].alias("page"))).alias("spans"))
-
-
-def page_at(spans, offset):
-    """The page of an offset, or null."""
-    return F.element_at(F.filter(spans, lambda s: (s["start"] <= offset) & (offset < s["end"])), 1)["page"]
+    """document_id, page, start, end of (document_id, page, text) in the document's text, where pages with text are joined
+    by a blank line. Texts don't travel: a page's place is a running sum of lengths."""
+    some = pages.filter(F.trim("text") != "").select("document_id", "page", F.length("text").alias("n"))
+    upto = Window.partitionBy("document_id").orderBy("page").rowsBetween(Window.unboundedPreceding, 0)
+    return some.withColumn("end", F.sum(F.col("n") + 2).over(upto) - 2).select("document_id", "page", (F.col("end") - F.col("n")).alias("start"), "end")
+
+
+def joined_pages(pages: DataFrame) -> DataFrame:
+    """document_id, text: pages with text joined by a blank line; a document is one text, and one row."""
+    rows = F.array_sort(F.collect_list(F.struct("page", "text")))
+    return pages.filter(F.trim("text") != "").groupBy("document_id").agg(F.array_join(F.transform(rows, lambda x: x["text"]), "\n\n").alias("text"))
+
+
+def page_at(offsets: DataFrame, spans: DataFrame) -> DataFrame:
+    """document_id, offset, page of (document_id, offset): the page whose span holds the offset, or null. The last page that
+    begins at or before it is found in one pass over both, in order of place."""
+    rows = spans.select("document_id", F.col("start").alias("at"), F.lit(0).alias("asked"), "page", "end").unionByName(
+        offsets.select("document_id", F.col("offset").alias("at"), F.lit(1).alias("asked"), F.lit(None).cast("long").alias("page"), F.lit(None).cast("long").alias("end")), allowMissingColumns=True
+    )
+    before = Window.partitionBy("document_id").orderBy("at", "asked").rowsBetween(Window.unboundedPreceding, 0)
+    last = F.last(F.when(F.col("asked") == 0, F.struct("page", "end")), True).over(before)
+    found = rows.withColumn("last", last).filter("asked = 1")
+    return found.select("document_id", F.col("at").alias("offset"), F.when(F.col("at") < F.col("last.end"), F.col("last.page")).alias("page"))
 
 
 def repeated_edges(pages: DataFrame, edge: int = 2, longest: int = 60) -> DataFrame:

@@ -8,8 +8,15 @@ from pyspark.sql import functions as F
 from korpusflow.functions.text import TR_LETTERS, token_pattern
 
 
+TEXTS = ("documents", "pages", "conversations")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A given table. Texts cost much more to work on than to read: where a file's layout gives fewer tasks than there
+    are cores, its rows are dealt out; a large table has more and is read as it lies."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if name in TEXTS and df.rdd.getNumPartitions() < cores else df
 
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -214,9 +214,9 @@ def normalize_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", F.md5(text.normalize(F.col("text"))).alias("text_md5"))
 
 
-@plan("""SELECT doc_id, regexp_replace(regexp_replace(translate(lower(translate(source || ' ' || lang || ' ' || left(text, 40), 'Iİ', 'ıi')), 'çğıöşüáàâäãåéèêëíìîïñòóôõúùûýÿ', 'cgiosuaaaaaaeeeeiiiinoooouuuyy'), '[^0-9a-z]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug FROM documents""")
+@plan("""SELECT doc_id, md5(regexp_replace(regexp_replace(translate(lower(translate(source || ' ' || lang || ' ' || text, 'Iİ', 'ıi')), 'çğıöşüáàâäãåéèêëíìîïñòóôõúùûýÿ', 'cgiosuaaaaaaeeeeiiiinoooouuuyy'), '[^0-9a-z]+', '-', 'g'), '^-+|-+$', '', 'g')) AS slug_md5 FROM documents""")
 def slugs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", text.slug(F.concat_ws(" ", "source", "lang", F.substring("text", 1, 40))).alias("slug"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(text.slug(F.concat_ws(" ", "source", "lang", "text"))).alias("slug_md5"))
 
 
 @plan("""WITH p AS (SELECT doc_id, unnest(regexp_split_to_array(text, '\\n\\s*\\n')) AS t FROM documents) SELECT doc_id, count(*) AS n, sum(length(regexp_replace(t, '^\\s+|\\s+$', '', 'g'))) AS chars FROM p WHERE regexp_replace(t, '^\\s+|\\s+$', '', 'g') <> '' GROUP BY doc_id""")
@@ -267,14 +267,23 @@ def legal_units(spark: SparkSession, sf_dir: str) -> DataFrame:
 @plan("""WITH p AS (SELECT source || '/' || lang || '/' || (doc_id % 13) AS d, doc_id, text FROM documents WHERE trim(text) <> ''), s AS (SELECT d, doc_id, sum(length(text) + 2) OVER (PARTITION BY d ORDER BY doc_id) - 2 AS e, length(text) AS n FROM p)
 SELECT d AS document_id, doc_id AS page, e - n AS start, e AS "end" FROM s""")
 def page_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spans = segment.page_spans(as_pages(spark, sf_dir)).select("document_id", F.explode("spans").alias("s"))
-    return spans.select("document_id", "s.page", "s.start", "s.end")
+    return segment.page_spans(as_pages(spark, sf_dir))
 
 
-@plan("""SELECT conv_id AS query_id, turn AS position, title FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, lower(trim(title)) ORDER BY turn) AS k FROM (SELECT conv_id, turn, left(text, 2 + (turn % 3)::INT) AS title FROM conversations)
+@plan("""WITH p AS (SELECT source || '/' || lang || '/' || (doc_id % 13) AS d, doc_id, text FROM documents WHERE trim(text) <> ''), s AS (SELECT d, doc_id, sum(length(text) + 2) OVER (PARTITION BY d ORDER BY doc_id) - 2 AS e, length(text) AS n FROM p),
+o AS (SELECT DISTINCT d, doc_id * 97 AS o FROM p)
+SELECT o.d AS document_id, o.o AS "offset", max(s.doc_id) AS page FROM o LEFT JOIN s ON s.d = o.d AND o.o >= s.e - s.n AND o.o < s.e GROUP BY o.d, o.o""")
+def page_at_offset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The page at an offset of each document's text."""
+    pages = as_pages(spark, sf_dir)
+    offsets = pages.filter(F.trim("text") != "").select("document_id", (F.col("page") * 97).alias("offset")).distinct()
+    return segment.page_at(offsets, segment.page_spans(pages))
+
+
+@plan("""SELECT conv_id AS query_id, turn AS position, title FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, lower(trim(title)) ORDER BY turn) AS k FROM (SELECT conv_id, turn, regexp_extract(text, '^\\S+') AS title FROM conversations)
 WHERE length(lower(trim(title))) >= 3) WHERE k = 1) WHERE n <= 2""")
 def distinct_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("query_id"), F.col("turn").alias("position"), F.expr("left(text, cast(2 + turn % 3 as int))").alias("title"))
+    q = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("query_id"), F.col("turn").alias("position"), F.regexp_extract("text", r"^\S+", 0).alias("title"))
     return citations.distinct_queries(q, 2).select("query_id", "position", "title")
 
 
@@ -293,10 +302,11 @@ def ingest_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.ingest(docs, none, "run-1")["outcomes"]
 
 
-@plan("""SELECT document_id, body_md5 FROM (SELECT source AS document_id, md5(string_agg(md5(text), chr(10) ORDER BY doc_id)) AS body_md5 FROM documents GROUP BY source)""")
+@plan("""SELECT doc_id // 16 AS document_id, md5(string_agg(md5(text), chr(10) ORDER BY doc_id)) AS body_md5 FROM documents GROUP BY doc_id // 16""")
 def document_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = table(spark, sf_dir, "documents").select("source", "doc_id", F.md5("text").alias("text"))
-    return relational.document_text(c, "source", "doc_id").select(F.col("source").alias("document_id"), F.md5("body").alias("body_md5"))
+    """Sixteen rows in a row are the chunks of a document."""
+    c = table(spark, sf_dir, "documents").select(F.floor(F.col("doc_id") / 16).cast("long").alias("document_id"), "doc_id", F.md5("text").alias("text"))
+    return relational.document_text(c, "document_id", "doc_id").select("document_id", F.md5("body").alias("body_md5"))
 
 
 # --- lifecycle, audits, citations ----------------------------------------------------------------------------------
@@ -314,11 +324,15 @@ def fingerprint_dupes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relational.duplicates(table(spark, sf_dir, "documents").select(F.sha2("text", 256).alias("content_hash")), ["content_hash"])
 
 
-@plan("""WITH r AS (SELECT source, doc_id, sha256(to_json({doc_id: doc_id, source: source, text_hash: md5(text)})::VARCHAR) AS h FROM documents), g AS (SELECT source, sha256(string_agg(h, '' ORDER BY doc_id, h)) AS gh, count(*) AS n FROM r GROUP BY source)
-SELECT sha256(string_agg(gh, '' ORDER BY source)) AS digest, sum(n)::BIGINT AS records FROM g""")
+LEVEL = ", g{k} AS (SELECT no // 4096 AS no, sha256(string_agg(h, '' ORDER BY no, h)) AS h, sum(n) AS n FROM g{j} GROUP BY no // 4096)"
+
+
+@plan(f"""WITH r AS (SELECT source, doc_id, sha256(to_json({{doc_id: doc_id, source: source, text_hash: md5(text)}})::VARCHAR) AS h FROM documents), g0 AS (SELECT doc_id // 4096 AS no, sha256(string_agg(h, '' ORDER BY doc_id, h)) AS h, count(*) AS n FROM r GROUP BY doc_id // 4096)
+{''.join(LEVEL.format(k=k, j=k - 1) for k in range(1, 6))}
+SELECT sha256(string_agg(h, '' ORDER BY no)) AS digest, sum(n)::BIGINT AS records FROM g5""")
 def corpus_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = table(spark, sf_dir, "documents").select("doc_id", "source", F.md5("text").alias("text_hash"))
-    return corpus.corpus_digest(records, ["source", "doc_id"], "source")
+    return corpus.corpus_digest(records, ["doc_id"], "doc_id")
 
 
 @plan("""WITH c AS (SELECT doc_id AS citation_id, CASE WHEN doc_id % 9 = 0 THEN doc_id + 1000000000 ELSE doc_id END AS chunk, CASE WHEN doc_id % 7 = 0 THEN 'xx' ELSE lang END AS lang, source FROM documents)

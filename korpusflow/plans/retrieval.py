@@ -49,19 +49,23 @@ def index_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
 
 
-@plan("""WITH s AS (SELECT q.vec_id AS query_id, e.vec_id AS chunk_id, round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 6) AS score
+DENSE = """WITH s AS (SELECT q.vec_id AS query_id, e.vec_id AS chunk_id, round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 6) AS score
   FROM embeddings q, embeddings e WHERE q.vec_id % 50 = 0)
-SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM s) WHERE rank <= 10""")
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM s) WHERE rank <= 10"""
+
+
+@plan(DENSE)
 def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     data = vectors(spark, sf_dir)
     asked = data.filter("chunk_id % 50 = 0").select(F.col("chunk_id").alias("query_id"), "vec")  # the stated query set
     return search.dense_search(asked, data, 10).select("query_id", "chunk_id", "score", F.col("rank").cast("long"))
 
 
-@plan()
+@plan(DENSE)
 def dense_topk_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     data = vectors(spark, sf_dir)
-    return search.dense_search_blocks(data.filter("chunk_id % 50 = 0").select(F.col("chunk_id").alias("query_id"), "vec"), data, 10)
+    found = search.dense_search_blocks(data.filter("chunk_id % 50 = 0").select(F.col("chunk_id").alias("query_id"), "vec"), data, 10)
+    return found.select("query_id", "chunk_id", "score", F.col("rank").cast("long"))
 
 
 @plan()
@@ -72,10 +76,10 @@ def ann_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @plan("""WITH r AS (SELECT doc_id, list_transform(range(16), lambda i: ('0x' || substr(sha256(text), (i * 2 + 1)::INT, 2))::INT / 127.5 - 1.0) AS v FROM documents),
 n AS (SELECT doc_id, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS norm FROM r)
-SELECT doc_id, round(v[1] / norm, 6) AS e0, round(v[2] / norm, 6) AS e1, round(v[16] / norm, 6) AS e15 FROM n""")
+SELECT doc_id, array_to_string(list_transform(v, lambda x: round(x / norm * 1000000)::BIGINT), ',') AS parts FROM n""")
 def hash_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = table(spark, sf_dir, "documents").select("doc_id", hash_embed(F.col("text")).alias("v"))
-    return v.select("doc_id", *(F.round(F.col("v")[k], 6).alias(f"e{k}") for k in (0, 1, 15)))
+    return v.select("doc_id", F.array_join(F.transform("v", lambda x: F.round(x * 1000000).cast("long").cast("string")), ",").alias("parts"))
 
 
 COORD = """coord AS (SELECT query_id, chunk_id, lang, count(*)::DOUBLE AS score FROM bm25_tf JOIN bm25_q USING (term) GROUP BY query_id, chunk_id, lang)"""
@@ -108,16 +112,15 @@ def pool_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM f) WHERE rank <= 10""")
 def rrf_multi_domain(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = chunks(spark, sf_dir)
-    hits = search.bm25_search(questions(spark, sf_dir), docs, None).drop("rank").join(docs.select("chunk_id", F.col("lang").alias("domain")), "chunk_id")
-    return search.fuse_domains(search.rank_hits(hits, 10, ("query_id", "domain")), 10).select("query_id", "chunk_id", "score", F.col("rank").cast("long"))
+    hits = search.bm25_search(questions(spark, sf_dir), docs, 10, per="lang").withColumnRenamed("lang", "domain")
+    return search.fuse_domains(hits, 10).select("query_id", "chunk_id", "score", F.col("rank").cast("long"))
 
 
 @plan(f"""WITH {sql_bm25()}, d AS (SELECT *, row_number() OVER (PARTITION BY query_id, lang ORDER BY score DESC, chunk_id) AS r FROM bm25)
 SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY r, lang, chunk_id) AS position FROM d WHERE r <= 5""")
 def round_robin_interleave(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = chunks(spark, sf_dir)
-    hits = search.bm25_search(questions(spark, sf_dir), docs, None).drop("rank").join(docs.select("chunk_id", "lang"), "chunk_id")
-    top = search.rank_hits(hits, 5, ("query_id", "lang"))
+    top = search.bm25_search(questions(spark, sf_dir), docs, 5, per="lang")
     return rel.round_robin(top, "query_id", "lang", "rank", "chunk_id").select("query_id", "chunk_id", F.col("position").cast("long"))
 
 
@@ -126,8 +129,8 @@ m AS (SELECT query_id, chunk_id, min((lang, r)) AS first FROM d WHERE r <= 5 GRO
 SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY first, chunk_id) AS source_no FROM m""")
 def merge_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = chunks(spark, sf_dir)
-    hits = search.bm25_search(questions(spark, sf_dir), docs, None).drop("rank").join(docs.select("chunk_id", F.col("lang").alias("part")), "chunk_id")
-    return search.merge_parts(search.rank_hits(hits, 5, ("query_id", "part"))).select("query_id", "chunk_id", F.col("source_no").cast("long"))
+    hits = search.bm25_search(questions(spark, sf_dir), docs, 5, per="lang").withColumnRenamed("lang", "part")
+    return search.merge_parts(hits).select("query_id", "chunk_id", F.col("source_no").cast("long"))
 
 
 @plan(f"""WITH {sql_bm25()}, top AS ({sql_top('bm25', 25)}),
@@ -145,9 +148,8 @@ GOLD = "gold AS (SELECT item_id AS query_id, doc_id AS chunk_id FROM benchmark b
 
 
 def gold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that hold an item's text. The items are the stated query set of the nested loop."""
-    docs = chunks(spark, sf_dir).select("chunk_id", F.col("text").alias("body"))
-    return docs.join(questions(spark, sf_dir), F.col("body").contains(F.col("text"))).select("query_id", "chunk_id")
+    """Documents that hold an item's text."""
+    return search.containing(chunks(spark, sf_dir), questions(spark, sf_dir))
 
 
 @plan(f"""WITH {sql_bm25()}, {GOLD}, top AS ({sql_top('bm25', 25)}), r AS (SELECT query_id, min(rank) AS rank FROM top JOIN gold USING (query_id, chunk_id) GROUP BY query_id)
@@ -164,9 +166,8 @@ lab AS (SELECT query_id, chunk_id, max(g) AS rel FROM (SELECT *, 2 AS g FROM gol
 
 def graded(spark: SparkSession, sf_dir: str) -> DataFrame:
     """2 for documents with the whole item, 1 for its first sentence."""
-    docs = chunks(spark, sf_dir).select("chunk_id", F.col("text").alias("body"))
     start = questions(spark, sf_dir).select("query_id", F.concat(F.substring_index("text", ".", 1), F.lit(".")).alias("text"))
-    part = docs.join(start, F.col("body").contains(F.col("text"))).select("query_id", "chunk_id", F.lit(1).alias("relevance"))
+    part = search.containing(chunks(spark, sf_dir), start).withColumn("relevance", F.lit(1))
     return gold(spark, sf_dir).withColumn("relevance", F.lit(2)).unionByName(part).withColumn("review_status", F.lit("reviewed"))
 
 
