@@ -1,6 +1,6 @@
 """All registered queries over the given tables, and their oracle SQL."""
 
-from korpusflow.plans import corpus, retrieval
+from korpusflow.plans import corpus, retrieval, rules
 
-QUERIES = retrieval.QUERIES | corpus.QUERIES
-ORACLES = retrieval.ORACLES | corpus.ORACLES
+QUERIES = retrieval.QUERIES | corpus.QUERIES | rules.QUERIES
+ORACLES = retrieval.ORACLES | corpus.ORACLES | rules.ORACLES
