@@ -350,7 +350,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_ROWS) ->
     return {"cube": cube, "odds": odds_of([1, 3], [0, 2]), "weights": weights}
 
 
-def regression(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> list[float]:
+def regression(x: np.ndarray, y: np.ndarray, ridge: float = 0.5) -> list[float]:
     if not len(y) or y.min() == y.max():
         return [0.0] * FEATURES + [-30.0 if not len(y) or y[0] == 0 else 30.0]
     z, w = np.hstack([x, np.ones((len(x), 1))]), np.zeros(FEATURES + 1)
