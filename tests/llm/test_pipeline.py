@@ -1,6 +1,7 @@
 import os
 
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -46,3 +47,19 @@ def test_run_and_empty_documents(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, SF).count() == 0
+
+
+def test_cases_of_all_stages(spark):
+    plain = spark.read.parquet(f"{SF}/documents.parquet").limit(40)
+    long = "\n".join(f"line {i} of a long text with words {i * 7}" for i in range(30_000))
+    odd = spark.createDataFrame([(None, None, "en", "s", 0), (None, "", "en", "s", 0), (10**6, None, None, None, None), (10**6 + 1, long, "en", "s", 1), (10**6 + 2, "twice", "en", "s", 5), (10**6 + 2, "twice", "en", "s", 5)], plain.schema)
+    extra = ("ids", "decoded", "label", "score", "component_id", "gone", "text_hash", "__gone", "row", "kind")
+    docs = plain.unionByName(odd).select("*", *(F.lit(c).alias(c) for c in extra))
+    stages = dict(corpus_pipeline.STAGES)
+    for name in list(stages)[:-1]:
+        kept = stages[name](spark, docs, SF)
+        assert kept.columns == docs.columns, name
+        rows = kept.filter("doc_id is null or doc_id >= 1000000").select("doc_id", "text", "gone").collect()
+        assert len(rows) == 6 and {r.gone for r in rows} == {"gone"} and any(r.text == long for r in rows), name
+    out = {r.doc_id: r for r in stages["bpe"](spark, docs.filter("doc_id >= 1000000 or doc_id is null"), SF).collect()}
+    assert out[None].ids == [] and out[10**6].n_tokens == 0 and len(out[10**6 + 1].ids) > 100_000
