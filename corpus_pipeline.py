@@ -1,5 +1,11 @@
 """A corpus from documents: toxic texts out, repeated line runs out, one text of each near-duplicate group, benchmark
-passages out, and the rest as tokens. Each stage takes (spark, docs, sf_dir) and works on all that the last one kept."""
+passages out, and the rest as tokens. Each stage takes (spark, docs, sf_dir) and works on all that the last one kept.
+
+Cases, for all stages: a null or empty text is clean, has no lines, no near duplicate and no tokens, and stays; a null
+doc_id is a document like any other, linked with none; rows that repeat are kept or dropped alike (near duplicates go by
+doc_id, so rows of one id stay or go together); ties go to the smallest doc_id; very long texts are worked on whole; an
+empty table gives an empty table of the same columns; further columns, whatever their names, pass through all stages but
+the last."""
 
 from __future__ import annotations
 
@@ -7,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from korpusflow.llm import bpe, contamination, lines, minhash, toxicity
-from korpusflow.llm.common import bounded_batches, read_table, scratch_path
+from korpusflow.llm.common import bounded_batches, discard, materialize, read_table
 from korpusflow.llm.registry import vocabulary_path
 
 
@@ -60,7 +66,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents, each written as Parquet in the shared folder and read again."""
     docs = read_table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        path = scratch_path(spark, f"stage-{name}")
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        kept = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        discard(docs)
+        docs = kept
     return STAGES[-1][1](spark, docs, sf_dir)
