@@ -29,9 +29,10 @@ BANDS, ROWS = 32, 5
 PROBES = 512
 #: Members that are compared with one copy of a centre's text.
 GROUP = 256
-#: Bounds of a tile: indexed members and their shingles. About as many members stream past a copy of it as it holds, but
-#: not less than TILE_STREAM: so neither side goes out much more often than the other.
-TILE_MEMBERS, TILE_SHINGLES, TILE_STREAM = 4096, 2_000_000, 512
+#: A group's indexed members and those that stream past them are dealt alike to about TILES tiles, of so many members at
+#: least and at most; a tile's shingles are bounded too. So small groups are spread out, and of large ones neither side
+#: goes out much more often than the other.
+TILES, LEAST_TILE, TILE_MEMBERS, TILE_SHINGLES = 36, 384, 4096, 2_000_000
 FEATURES = "doc_id long, n_shingles long, key1 long, key2 long, bands array<long>"
 
 
@@ -152,11 +153,10 @@ def cross_links(members: DataFrame, texts: DataFrame, size: int, percent: int) -
     members = materialize(members, "minhash-members")
     by_component = members.groupBy("centre", "component").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("s"))
     groups = by_component.groupBy("centre").agg(F.max_by("component", F.struct("k", "component")).alias("largest"), F.sum("k").alias("m"), F.sum("s").alias("s"), F.max(F.struct("k", "component", "s")).alias("top"), F.count(F.lit(1)).alias("c"))
-    groups = groups.filter("c > 1").select(
-        "centre", "largest", "m",
-        F.greatest(F.lit(1), F.ceil((F.col("m") - F.col("top.k")) / TILE_MEMBERS), F.ceil((F.col("s") - F.col("top.s")) / TILE_SHINGLES)).cast("int").alias("tiles"),
-        F.greatest(F.lit(1), F.ceil(F.col("m") / F.greatest(F.lit(TILE_STREAM), F.least(F.lit(TILE_MEMBERS), F.col("m") - F.col("top.k"))))).cast("int").alias("parts"),
-    )
+    groups = groups.withColumn("u", F.col("m") - F.col("top.k"))
+    side = F.greatest(F.lit(LEAST_TILE), F.least(F.lit(TILE_MEMBERS), F.ceil(F.sqrt(F.col("m").cast("double") * F.col("u") / TILES))))
+    tiles = F.greatest(F.lit(1), F.ceil(F.col("u") / side), F.ceil((F.col("s") - F.col("top.s")) / TILE_SHINGLES))
+    groups = groups.filter("c > 1").select("centre", "largest", "m", tiles.cast("int").alias("tiles"), F.greatest(F.lit(1), F.ceil(F.col("m") / side)).cast("int").alias("parts"))
     groups = materialize(groups, "minhash-groups")
     dealt = spread_join(members, groups.drop("m"), ["centre"], hot_keys(groups, ["centre"], "m"), F.xxhash64("rep", F.lit(5)))
     tile, part = F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int"), F.pmod(F.xxhash64("rep", F.lit(1)), F.col("parts")).cast("int")
