@@ -357,11 +357,11 @@ def quota_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relational.quota_usage(rows)
 
 
-@plan("""SELECT unnest(['documents', 'ready_parses', 'chunks', 'documents_without_parse', 'footer_leaks']) AS "check", unnest([(SELECT count(*) FROM documents), (SELECT count(*) FROM labels WHERE quality = 1), (SELECT count(*) FROM documents), (SELECT count(*) FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)), (SELECT count(*) FROM documents WHERE contains(lower(text), 'oluşturulma tarihi'))]) AS actual""")
+@plan("""SELECT *, CASE "check" WHEN 'documents' THEN 1000 ELSE 0 END AS expected, actual = CASE "check" WHEN 'documents' THEN 1000 ELSE 0 END AS ok FROM (SELECT unnest(['documents', 'ready_parses', 'chunks', 'documents_without_parse', 'footer_leaks']) AS "check", unnest([(SELECT count(*) FROM documents), (SELECT count(*) FROM labels WHERE quality = 1), (SELECT count(*) FROM documents), (SELECT count(*) FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)), (SELECT count(*) FROM documents WHERE contains(lower(text), 'oluşturulma tarihi'))]) AS actual)""")
 def corpus_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), "text")
     parses = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("document_id"), F.when(F.col("quality") == 1, "ready").otherwise("failed").alias("status"))
-    return corpus.corpus_quality(docs, parses, docs, {}).select("check", "actual")
+    return corpus.corpus_quality(docs, parses, docs, {"documents": 1000})
 
 
 @plan("""SELECT user_id AS run_id, count(*) AS discovered, count(*) FILTER (event_type = 'view') AS imported, count(*) FILTER (event_type = 'click') AS duplicate, count(*) FILTER (event_type = 'error') AS failed FROM events GROUP BY user_id""")
@@ -377,13 +377,14 @@ def stale_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relational.stale(e, "ts", "error", 30, F.lit("2024-01-02 00:00:00").cast("timestamp")).select("event_id")
 
 
-@plan("""SELECT url, regexp_replace(lower(regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1)), '^www\\.', '') AS site FROM pages WHERE regexp_matches(lower(url), '^https?://') AND regexp_replace(lower(regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1)), '^www\\.', '') NOT LIKE '%.example.net' AND trim(html) <> '' GROUP BY ALL""")
+@plan("""WITH p AS (SELECT *, regexp_replace(lower(regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1)), '^www\\.', '') AS site FROM pages WHERE regexp_matches(lower(url), '^https?://') AND trim(html) <> '')
+SELECT url, site, CASE WHEN page_id % 2 = 0 THEN 'Page ' || page_id ELSE site END AS title, md5(trim(html)) AS text_md5, CASE WHEN page_id % 3 < 2 THEN DATE '2024-05-01' END AS published FROM p WHERE site NOT LIKE '%.example.net' QUALIFY row_number() OVER (PARTITION BY url ORDER BY page_id) = 1""")
 def web_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "pages")
-    rows = p.select(F.col("page_id").alias("position"), "url", F.lit("").alias("title"), F.col("html").alias("text"), F.lit("2024-05-01").alias("date"))
+    rows = p.select(F.col("page_id").alias("position"), "url", F.when(F.col("page_id") % 2 == 0, F.concat(F.lit(" Page "), F.col("page_id").cast("string"))).otherwise("").alias("title"), F.col("html").alias("text"), F.element_at(F.array(F.lit("2024-05-01"), F.lit("1 May 2024 10:00:00"), F.lit("soon")), (F.col("page_id") % 3 + 1).cast("int")).alias("date"))
     host = F.regexp_replace(F.lower(F.try_parse_url("url", F.lit("HOST"))), r"^www\.", "")
     excluded = p.select(host.alias("host")).filter(F.col("host").endswith(".example.net")).distinct()
-    return files.clean_web_results(rows, excluded).select("url", "site")
+    return files.clean_web_results(rows, excluded).select("url", "site", "title", F.md5("text").alias("text_md5"), "published")
 
 
 @plan("""WITH r AS (SELECT l_suppkey AS query_id, (l_partkey % 9)::VARCHAR AS law, (l_linenumber * 100)::VARCHAR AS article, l_orderkey % 5 AS part FROM lineitem), k AS (SELECT * FROM r WHERE NOT (law = '3' AND article = '300') AND NOT (query_id % 2 = 0 AND law = '1' AND article = '100'))
@@ -394,11 +395,14 @@ def most_cited(spark: SparkSession, sf_dir: str) -> DataFrame:
     return citations.most_cited(refs, covered, refs.filter("law = '3' and article = '300'").select("law", "article").distinct())
 
 
-@plan("""SELECT c_custkey, coalesce(n_name, c_name) AS c_name, c_acctbal FROM customer LEFT JOIN nation ON n_nationkey = c_custkey""")
+@plan("""SELECT c_custkey, coalesce(n_name, c_name) AS c_name, c_acctbal, 'a=' || CASE WHEN n_name IS NULL THEN c_name ELSE n_name END || ',b=' || c_custkey || CASE WHEN n_name IS NULL THEN '' ELSE ',c=new' END AS facts FROM customer LEFT JOIN nation ON n_nationkey = c_custkey""")
 def merge_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stored = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_acctbal")
-    target = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("c_custkey"), F.col("n_name").alias("c_name"))
-    return relational.merge_metadata(stored, target, ["c_custkey"])
+    facts = F.create_map(F.lit("a"), F.col("c_name"), F.lit("b"), F.col("c_custkey").cast("string"))
+    stored = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_acctbal", facts.alias("facts"))
+    target = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("c_custkey"), F.col("n_name").alias("c_name"), F.create_map(F.lit("a"), F.col("n_name"), F.lit("c"), F.lit("new")).alias("facts"))
+    merged = relational.merge_metadata(stored, target, ["c_custkey"], ["facts"])
+    entries = F.array_sort(F.transform(F.map_entries("facts"), lambda e: F.concat(e["key"], F.lit("="), e["value"])))
+    return merged.withColumn("facts", F.array_join(entries, ","))
 
 
 @plan("""SELECT doc_id FROM labels l WHERE NOT EXISTS (SELECT 1 FROM documents d WHERE d.doc_id = l.doc_id AND d.lang = 'en')""")

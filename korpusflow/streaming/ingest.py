@@ -18,15 +18,11 @@ def new_documents(stream: DataFrame, watermark: str | None = None, event_time: s
 def upsert(batch: DataFrame, batch_id: int, sink: str) -> None:
     """Append what the sink does not have; a batch that runs again replaces its own folder."""
     spark = batch.sparkSession
-    part = f"{sink}/batch={batch_id}"
-    try:
-        stored = spark.read.parquet(sink).filter(F.col("batch") != batch_id).select("content_hash")
-        fresh = batch.join(stored, "content_hash", "left_anti")
-    except Exception as error:  # an empty sink has no schema yet
-        if "PATH_NOT_FOUND" not in str(error) and "UNABLE_TO_INFER_SCHEMA" not in str(error):
-            raise
-        fresh = batch
-    fresh.write.mode("overwrite").parquet(part)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(sink)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(folder)  # a sink without a batch reads as empty
+    # Only the hashes are read of what is stored.
+    stored = spark.read.schema("content_hash string, batch long").parquet(sink).filter(F.col("batch") != batch_id).select("content_hash")
+    batch.join(stored, "content_hash", "left_anti").write.mode("overwrite").parquet(f"{sink}/batch={batch_id}")
 
 
 def stream_ingest(spark: SparkSession, source: str, schema: str, checkpoint: str, sink: str, max_files: int = 100) -> StreamingQuery:
