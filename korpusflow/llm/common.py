@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 #: Rows of an Arrow batch: bounds a Python worker's memory at a few MB of text for ordinary rows.
 ARROW_ROWS = 1000
 CHECKPOINT_KEY = "spark.checkpoint.dir"
+#: Bytes of text whose features are held at once, where they take many times as much.
+SLICE_BYTES = 1 << 19
 #: A key with more than this share of a table's rows, and more than HOT_LEAST of them, is dealt to several tasks.
 HOT_SHARE, HOT_LEAST = 0.001, 200
 
@@ -93,6 +95,17 @@ def fold(doc_id) -> F.Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5
 
 
+def row_slices(texts: pa.Array, most: int = SLICE_BYTES):
+    """Slices of an array of texts with about `most` bytes each, one row at least: what is held at once then depends on
+    the longest text, not on the rows of a batch."""
+    upto = np.concatenate([[0], np.cumsum(np.asarray(pc.fill_null(pc.binary_length(texts), 0)).astype(np.int64))])
+    a = 0
+    while a < len(texts):
+        b = max(a + 1, int(np.searchsorted(upto, upto[a] + most, "right")) - 1)
+        yield texts.slice(a, b - a)
+        a = b
+
+
 def words(texts: pa.Array, lower: bool = True) -> tuple[pa.Array, np.ndarray]:
     """Words `[^\\x20\\x09-\\x0D]+` of each text: all words in one array, and where each text's begin and end."""
     if isinstance(texts, pa.ChunkedArray):

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from korpusflow.llm.common import coded, fold, mix, polynomials, put_together, words
+from korpusflow.llm.common import coded, fold, mix, polynomials, put_together, row_slices, words
 from korpusflow.llm.ngrams import best_piece, calibrate, char_grams
 from korpusflow.llm.quality import sampled
 
@@ -52,6 +52,7 @@ SIGNS = "!|+"
 SWAP_COST, DROP_COST, STRETCH_COST = 1.5, 1.5, 0.3
 EDGE = "%&#*.,;:?!\"()[]{}<>|…«»“”„'`~^=/\\+-_"
 SUSPECT = re.compile(r"[0-9@$!|+€]|[^\W\d_][.\-_*~'·]+[^\W\d_]|([^\W\d_])\1\1")
+STRETCHED = re.compile(r"(.)\1\1")
 INDEX = {c: i + 1 for i, c in enumerate(LETTERS)}
 OTHER = len(LETTERS) + 1
 SYMBOLS = OTHER + 1  # 0 is the edge of a word
@@ -65,12 +66,12 @@ def letter_counts(docs: DataFrame) -> np.ndarray:
         table = np.full(0x110000, OTHER, np.int64)
         table[[ord(c) for c in LETTERS]] = np.arange(1, OTHER)
         table[32] = 0
-        for batch in batches:
-            codes, distinct = coded(words(batch.column(0))[0])
+        for part in (p for batch in batches for p in row_slices(batch.column(0))):
+            codes, distinct = coded(words(part)[0])
             if not distinct:
                 continue
             counts = np.bincount(codes, minlength=len(distinct))
-            cores = [w.lower().strip(EDGE) for w in distinct]
+            cores = [bare(w) for w in distinct]
             lengths = np.fromiter(map(len, cores), np.int64, len(cores)) + 3
             chars = table[np.frombuffer(("  " + "   ".join(cores) + " ").encode("utf-32-le", "surrogatepass"), np.uint32)]
             owner = np.repeat(np.arange(len(cores)), lengths)
@@ -99,6 +100,8 @@ class Channel:
         self.known: dict[str, str] = {}
 
     def restore(self, word: str) -> str:
+        if word.isalpha() and not STRETCHED.search(word):
+            return word
         got = self.known.get(word)
         if got is None:
             if len(self.known) > KNOWN_WORDS:
@@ -148,11 +151,17 @@ class _Chain:
         return self.text() < other.text()
 
 
-def core(word: str) -> str:
-    """A word without the signs around it; one before it that may stand for a letter stays."""
-    bare = word.lower().strip(EDGE)
-    at = word.lower().find(bare)
-    return word[at - 1] + bare if bare and at > 0 and word[at - 1] in SIGNS else bare
+def bare(word: str) -> str:
+    """A word in lower case without the signs around it."""
+    return word if word.isascii() and word.isalpha() else word.lower().strip(EDGE)
+
+
+def core(word: str, inner: str) -> str:
+    """The inner part of a word, with a sign before it that may stand for a letter."""
+    if not inner or word[0] == inner[0]:
+        return inner
+    at = word.lower().find(inner)
+    return word[at - 1] + inner if at > 0 and word[at - 1] in SIGNS else inner
 
 
 class Restored:
@@ -161,20 +170,20 @@ class Restored:
     def __init__(self, texts: pa.Array, channel: Channel, lexicon: "Lexicon | None" = None):
         flat, ends = words(texts)
         codes, distinct = coded(flat)
-        cores = [channel.restore(core(w)) for w in distinct]
+        inner = [bare(w) for w in distinct]
+        cores = [channel.restore(core(w, x)) for w, x in zip(distinct, inner)]
         number = {w: i for i, w in enumerate(dict.fromkeys(cores))}
         self.codes = np.fromiter((number[c] for c in cores), np.int64, len(cores))[codes] if cores else codes
         self.ends, self.spelled = ends, []
-        for owner, run, word in self.runs(codes, distinct):
+        for owner, run, word in self.runs(codes, distinct, inner):
             self.spelled.append((owner, number.setdefault(channel.restore(word), len(number)), run))
         for owner, run, word in lexicon.joined(self.codes, ends, list(number)) if lexicon else ():
             self.spelled.append((owner, number.setdefault(word, len(number)), run))
         self.distinct = list(number)
 
-    def runs(self, codes: np.ndarray, distinct: list[str]):
+    def runs(self, codes: np.ndarray, distinct: list[str], inner: list[str]):
         """Single characters in a row, with separators between them or not: three or more may spell a word."""
-        plain = [w.lower() if len(w) == 1 else w.lower().strip(EDGE) for w in distinct]
-        short = np.fromiter((len(w) <= 1 for w in plain), bool, len(plain))
+        short = np.fromiter((len(x) <= 1 for x in inner), bool, len(inner))
         at = np.flatnonzero(short[codes]) if len(codes) else np.zeros(0, np.int64)
         if not len(at):
             return
@@ -182,7 +191,8 @@ class Restored:
         cut = np.flatnonzero((np.diff(at) > 1) | (np.diff(text_of) > 0)) + 1
         for run, owner in zip(np.split(at, cut), np.split(text_of, cut)):
             if len(run) >= 3:
-                word = "".join(w for k in run if (w := plain[codes[k]]).isalnum() or w in LOOKALIKES)
+                signs = (distinct[c].lower() if len(distinct[c]) == 1 else inner[c] for c in codes[run])
+                word = "".join(w for w in signs if w.isalnum() or w in LOOKALIKES)
                 if len(word) >= 3 and sum(c.isalpha() for c in word) >= 2:
                     yield int(owner[0]), run, word
 
@@ -261,6 +271,12 @@ class Odds:
         return out
 
 
+def look_at(texts: pa.Array, channel: Channel, odds: Odds) -> np.ndarray:
+    """The evidence of each text, a few texts at a time."""
+    found = [evidence(Restored(part, channel, odds.lexicon), odds) for part in row_slices(texts)]
+    return np.concatenate([np.zeros((0, FEATURES)), *found])
+
+
 def evidence(restored: Restored, odds: Odds) -> np.ndarray:
     """For each text: the three largest evidences of its distinct words; the log of 1 + its distinct words, and its
     share of words, at each level; and the log of 1 + all words."""
@@ -298,24 +314,32 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_ROWS) ->
     def count(batches):
         channel = Channel(cube)
         for batch in batches:
-            restored, kinds = Restored(batch.column(0), channel), np.asarray(batch.column(1))
-            at, ends = restored.pieces()
-            whole = polynomials(pa.array(restored.distinct, pa.large_string()))
-            total = np.diff(restored.ends)
-            found = {(what, kind): [] for what in (PIECE, WORD) for kind in range(4)}
-            for i, (mine, times) in enumerate(restored.by_text()):
-                share = times / (total[i] + SPARE_WORDS)
-                found[WORD, kinds[i]].append((whole[mine], share))
-                if len(mine):
-                    pieces, of = np.unique(np.concatenate([at[ends[c] : ends[c + 1]] for c in mine]), return_inverse=True)
-                    found[PIECE, kinds[i]].append((pieces, np.bincount(of, np.repeat(share, ends[mine + 1] - ends[mine]), len(pieces))))
-            for (what, kind), parts in found.items():
-                keys, of = np.unique(np.concatenate([at[:0].astype(np.uint64), *(p[0] for p in parts)]), return_inverse=True)
-                shares = np.bincount(of, np.concatenate([np.zeros(0), *(p[1] for p in parts)]), len(keys))
-                cols = [pa.array(keys.view(np.int64)), pa.array(np.full(len(keys), kind, np.int32)), pa.array(np.bincount(of, minlength=len(keys))), pa.array(np.rint(shares / UNIT).astype(np.int64)), pa.array(np.full(len(keys), what, np.int32))]
-                yield pa.RecordBatch.from_arrays(cols, ["key", "kind", "n", "share", "what"])
-            texts = np.bincount(kinds, minlength=4)
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(4, np.int64)), pa.array(np.arange(4, dtype=np.int32)), pa.array(texts), pa.array(texts), pa.array(np.full(4, TEXTS, np.int32))], ["key", "kind", "n", "share", "what"])
+            yield from (x for a, part in starts(batch.column(0)) for x in counted(Restored(part, channel), np.asarray(batch.column(1))[a : a + len(part)]))
+
+    def starts(texts):
+        a = 0
+        for part in row_slices(texts):
+            yield a, part
+            a += len(part)
+
+    def counted(restored, kinds):
+        at, ends = restored.pieces()
+        whole = polynomials(pa.array(restored.distinct, pa.large_string()))
+        total = np.diff(restored.ends)
+        found = {(what, kind): [] for what in (PIECE, WORD) for kind in range(4)}
+        for i, (mine, times) in enumerate(restored.by_text()):
+            share = times / (total[i] + SPARE_WORDS)
+            found[WORD, kinds[i]].append((whole[mine], share))
+            if len(mine):
+                pieces, of = np.unique(np.concatenate([at[ends[c] : ends[c + 1]] for c in mine]), return_inverse=True)
+                found[PIECE, kinds[i]].append((pieces, np.bincount(of, np.repeat(share, ends[mine + 1] - ends[mine]), len(pieces))))
+        for (what, kind), parts in found.items():
+            keys, of = np.unique(np.concatenate([at[:0].astype(np.uint64), *(p[0] for p in parts)]), return_inverse=True)
+            shares = np.bincount(of, np.concatenate([np.zeros(0), *(p[1] for p in parts)]), len(keys))
+            cols = [pa.array(keys.view(np.int64)), pa.array(np.full(len(keys), kind, np.int32)), pa.array(np.bincount(of, minlength=len(keys))), pa.array(np.rint(shares / UNIT).astype(np.int64)), pa.array(np.full(len(keys), what, np.int32))]
+            yield pa.RecordBatch.from_arrays(cols, ["key", "kind", "n", "share", "what"])
+        texts = np.bincount(kinds, minlength=4)
+        yield pa.RecordBatch.from_arrays([pa.array(np.zeros(4, np.int64)), pa.array(np.arange(4, dtype=np.int32)), pa.array(texts), pa.array(texts), pa.array(np.full(4, TEXTS, np.int32))], ["key", "kind", "n", "share", "what"])
 
     rows_of = rows.mapInArrow(count, "key long, kind int, n long, share long, what int")
     toxic_texts = F.sum(F.when(F.col("kind") % 2 == 1, F.col("n")).otherwise(0))
@@ -337,7 +361,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_ROWS) ->
         channel = Channel(cube)
         for batch in batches:
             kinds = np.asarray(batch.column(1))
-            by_half = [evidence(Restored(batch.column(0), channel, h.lexicon), h) for h in halves]  # each half is weighed by the other half's counts
+            by_half = [look_at(batch.column(0), channel, h) for h in halves]  # each half is weighed by the other half's counts
             found = np.where((kinds < 2)[:, None], by_half[1], by_half[0])
             yield pa.RecordBatch.from_arrays([*(pa.array(found[:, k]) for k in range(FEATURES)), pa.array(kinds % 2)], [*names, "y"])
 
@@ -372,10 +396,9 @@ def score(docs: DataFrame, model: dict, with_text: bool = False) -> DataFrame:
     def run(batches):
         channel, weights = Channel(model["cube"]), np.array(model["weights"])
         for batch in batches:
-            restored = Restored(batch.column(1), channel, model["odds"].lexicon)
-            margin = evidence(restored, model["odds"]) @ weights[:-1] + weights[-1]
+            margin = look_at(batch.column(1), channel, model["odds"]) @ weights[:-1] + weights[-1]
             cols = [batch.column(0), pa.array(1 / (1 + np.exp(-np.clip(margin, -30, 30))))]
-            yield pa.RecordBatch.from_arrays(cols + ([pa.array(restored.texts(), pa.string())] if with_text else []), ["doc_id", "score", "restored"][: 2 + with_text])
+            yield pa.RecordBatch.from_arrays(cols + ([pa.array([t for part in row_slices(batch.column(1)) for t in Restored(part, channel, model["odds"].lexicon).texts()], pa.string())] if with_text else []), ["doc_id", "score", "restored"][: 2 + with_text])
 
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     return texts.mapInArrow(run, "doc_id long, score double" + (", restored string" if with_text else ""))
@@ -395,7 +418,7 @@ def without_toxic(docs: DataFrame, model: dict, reject_at: float = 0.5) -> DataF
     def run(batches):
         channel, weights = Channel(model["cube"]), np.array(model["weights"])
         for batch in batches:
-            margin = evidence(Restored(batch.column("text"), channel, model["odds"].lexicon), model["odds"]) @ weights[:-1] + weights[-1]
+            margin = look_at(batch.column("text").cast(pa.string()), channel, model["odds"]) @ weights[:-1] + weights[-1]
             keep = 1 / (1 + np.exp(-np.clip(margin, -30, 30))) < reject_at
             yield pa.RecordBatch.from_arrays([batch.column(n) for n in names], names).filter(pa.array(keep))
 

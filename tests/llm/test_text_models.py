@@ -140,7 +140,7 @@ def test_deobfuscation(spark):
     df = spark.createDataFrame([(1, "the worthless idiot said these idle words to the moron and a loser " * 40)], "doc_id long, text string")
     channel = toxicity.Channel(toxicity.letter_counts(df))
     assert [channel.restore(w) for w in ("1d10t", "m0r0n", "idiiiiot", "l.o.s.e.r", "w0rthl3ss", "words")] == ["idiot", "moron", "idiot", "loser", "worthless", "words"]
-    assert [channel.restore(toxicity.core(w)) for w in ("!diot", "(loser!)", "m-o-r-o-n", "2024")] == ["idiot", "loser", "moron", "2024"]
+    assert [channel.restore(toxicity.core(w, toxicity.bare(w))) for w in ("!diot", "(loser!)", "m-o-r-o-n", "2024")] == ["idiot", "loser", "moron", "2024"]
     texts = ["you i d i o t !", "an i d 1 0 t here", "1 * d * i * o * t", "a b", None, "", "| a | 1 | 2 |"]
     restored = toxicity.Restored(pa.array(texts, pa.string()), channel)
     assert [t.split() for t in restored.texts()[:5]] == [["you", "idiot"], ["an", "idiot", "here"], ["idiot"], ["a", "b"], []]
