@@ -26,11 +26,17 @@ def chamber(head: Column) -> Column:
     number = lambda x: F.regexp_extract(x, r"^(\d{1,2})hukukdairesi$", 1)
     named = lambda x: F.when(number(x) != "", F.concat(number(x).cast("int").cast("string"), F.lit(". Hukuk Dairesi"))).when(x == "hukukgenelkurulu", "Hukuk Genel Kurulu")
     found = F.get(F.filter(F.transform(lines, named), lambda x: x.isNotNull()), F.lit(0))
-    return F.coalesce(found, F.nullif(F.regexp_extract(head, r"(?iu)((?:\d+\.?\s*)?Hukuk Dairesi|Hukuk Genel Kurulu)", 1), F.lit("")))
+    return F.coalesce(found, F.nullif(F.regexp_extract(spaced(head), r"(?iu)((?:\d+\.? ?)?hukuk (?:dairesi|genel kurulu))", 1), F.lit("")))
 
 
-def labelled(head: Column, word: str, letter: str, value: str) -> Column:
-    return F.nullif(F.regexp_extract(head, rf"(?iu)(?:{word}|{letter}\.)\s*(?:No\.?\s*)?[:：]?\s*({value})", 1), F.lit(""))
+def spaced(head: Column) -> Column:
+    """The header with single spaces, without "no" and colons: a label is then followed by its value."""
+    return F.regexp_replace(F.regexp_replace(head, r"(?iu)\bno\b\.?|[:：]", " "), r"\s+", " ")
+
+
+def labelled(head: Column, labels: str, value: str) -> Column:
+    """The value that comes first after one of the labels."""
+    return F.nullif(F.regexp_extract(spaced(head), rf"(?iu)(?<!\p{{L}})(?:{labels}) ?({value})", 1), F.lit(""))
 
 
 def outcome_date(text: Column) -> Column:
@@ -46,9 +52,8 @@ def court_metadata(docs: DataFrame) -> DataFrame:
     """document_id, authority, chamber, case_number, decision_number, document_date, and the extracted_* values, of
     (document_id, text) with what was supplied (authority, chamber, ..., document_date; nulls for none)."""
     head = header(F.col("text"))
-    labelled_day = F.nullif(F.regexp_extract(head, rf"(?iu)(?:Karar Tarihi|Tarih)\s*[:：]?\s*({DAY})", 1), F.lit(""))
-    found = {"chamber": chamber(head), "case_number": labelled(head, "Esas", "E", NUMBER), "decision_number": labelled(head, "Karar", "K", NUMBER)}
-    day = parse_date(F.coalesce(outcome_date(F.col("text")), labelled_day))
+    found = {"chamber": chamber(head), "case_number": labelled(head, r"esas|e\.", NUMBER), "decision_number": labelled(head, r"karar|k\.", NUMBER)}
+    day = parse_date(F.coalesce(outcome_date(F.col("text")), labelled(head, "(?:karar )?tarihi?", DAY)))
     return docs.select(
         "document_id", F.coalesce("authority", F.lit("Yargıtay")).alias("authority"), *(F.coalesce(x, F.col(c)).alias(c) for c, x in found.items()),
         F.coalesce(day, F.col("document_date").cast("date")).alias("document_date"), *(x.alias(f"extracted_{c}") for c, x in found.items()),
