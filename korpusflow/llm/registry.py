@@ -1,10 +1,10 @@
-"""Queries op1 to op10 over the given tables, with production parameters, and oracle SQL where SQL can express them."""
+"""Queries op1 to op13 over the given tables, with production parameters, and oracle SQL where SQL can express them."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from korpusflow.llm import bpe, contamination, html, lines, minhash, ppm, quality, secrets, toxicity, warc
+from korpusflow.llm import bpe, contamination, divergence, html, licenses, lines, merkle, minhash, ppm, quality, secrets, toxicity, warc
 from korpusflow.llm.common import read_table
 from korpusflow.llm.oracles import ORACLES  # noqa: F401
 
@@ -58,4 +58,20 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secrets(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash, op2_bpe, op3_warc, op4_quality, op5_decontamination, op6_ppm, op7_html, op8_line_dedup, op9_toxicity, op10_secrets)}
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.source_divergence(read_table(spark, sf_dir, "documents"))
+
+
+def op12_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.licenses(read_table(spark, sf_dir, "documents"))
+
+
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.verified(read_table(spark, sf_dir, "documents"))
+
+
+_ALL = (
+    op1_minhash, op2_bpe, op3_warc, op4_quality, op5_decontamination, op6_ppm, op7_html, op8_line_dedup, op9_toxicity,
+    op10_secrets, op11_divergence, op12_licenses, op13_merkle,
+)
+QUERIES = {f.__name__: f for f in _ALL}
