@@ -15,7 +15,9 @@ def norm(v: Column) -> Column:
 
 
 def l2_normalize(v: Column) -> Column:
-    return F.transform(v, lambda x: x.cast("double") / F.greatest(norm(v), F.lit(1e-12)))
+    """The vector at length 1. Its length is taken once (as the variable of a transform), not for each element."""
+    scaled = lambda n: F.transform(v, lambda x: x.cast("double") / n)
+    return F.get(F.transform(F.array(F.greatest(norm(v), F.lit(1e-12))), scaled), F.lit(0))
 
 
 def cosine(a: Column, b: Column) -> Column:

@@ -115,15 +115,14 @@ class Reader:
                 return (number, i + 1) if known and self.at(i - n - 1) not in OTHER_LAWS else None
         return None
 
-    def take_item(self, i: int) -> tuple[str, int | None, int] | None:
-        """An article's number, its paragraph after a slash, and the place after both and an ordinal ending."""
+    def take_item(self, i: int, named: bool = False) -> tuple[str, int | None, int] | None:
+        """An article's number, its paragraph after a slash (a letter there is not part of it), and the place after both
+        and an ordinal ending. A number that is not named by a word before it must not go on from a sign."""
         number = self.at(i)
-        if not number.isdigit() or len(number) > 3 or self.glued(i):
+        if not number.isdigit() or len(number) > 3 or (not named and self.glued(i)):
             return None
         paragraph, k = None, i + 1
-        if self.at(k) == "/":
-            if not self.at(k + 1).isdigit() or len(self.at(k + 1)) > 2:
-                return None
+        if self.at(k) == "/" and self.at(k + 1).isdigit() and len(self.at(k + 1)) <= 2:
             paragraph, k = int(self.at(k + 1)), k + 2
         ending = k + 1 if self.at(k) == "'" else k
         if self.at(ending)[1:] in ("nci", "ncı", "ncu", "ncü") or self.at(ending) in ("nci", "ncı", "ncu", "ncü"):
@@ -157,7 +156,7 @@ class Reader:
         before = self.take_item(k)
         if before is None:
             word = self.at(k) == "madde" or (self.at(k) in ("m", "md") and self.at(k + 1) == ".")
-            after = self.take_item(k + 1 + (self.at(k) != "madde")) if word else None
+            after = self.take_item(k + 1 + (self.at(k) != "madde"), True) if word else None
             return ([Article(start, prefix + after[0], after[1])], after[2]) if after else None
         series, k = [before], before[2]
         while self.at(k) in (",", "ve", "ile") and (more := self.take_item(k + 1)):

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from korpusflow.functions.text import TOKENIZER, lexical_tokens, stemming_letters
-from korpusflow.functions.vectors import cosine, dot, l2_normalize
+from korpusflow.functions.vectors import cosine, l2_normalize
 
 K1, B = 1.2, 0.75
 RRF_K = 60
@@ -150,87 +150,42 @@ def search_index(queries: DataFrame, path: str, limit: int | None = 10, df: Data
     return rank_hits(probe(query_terms(queries, stemming), postings, counts, stats), limit)
 
 
-def dense_search(queries: DataFrame, vectors: DataFrame, limit: int = 10, filters: dict | None = None, digits: int = 6) -> DataFrame:
-    """query_id, chunk_id, score (cosine), rank of (query_id, vec) against (chunk_id, vec). Vectors are normalised once.
-    The stated queries are the small side of the nested loop, which Spark broadcasts only under its size threshold."""
-    asked = queries.select("query_id", l2_normalize(F.col("vec")).alias("__asked"))
-    data = vectors.filter(matches(filters)).select("chunk_id", l2_normalize(F.col("vec")).alias("__vec"))
-    scored = data.crossJoin(asked).select("query_id", "chunk_id", F.round(dot(F.col("__asked"), F.col("__vec")), digits).alias("score"))
-    return rank_hits(scored, limit)
+def unit_rows(df: DataFrame, name: str) -> DataFrame:
+    """(name, vec of unit length) of the rows that have a vector."""
+    return df.filter(F.col("vec").isNotNull() & (F.size("vec") > 0)).select(name, l2_normalize(F.col("vec")).alias("vec"))
 
 
-def dense_search_blocks(queries: DataFrame, vectors: DataFrame, limit: int = 10, block: int = 1024) -> DataFrame:
-    """As dense_search, by matrix products: queries go in blocks of bounded size, and a task keeps `limit` per query.
-    Ids keep their types, so ties are decided alike."""
+def dense_search(
+    queries: DataFrame, vectors: DataFrame, limit: int = 10, filters: dict | None = None, digits: int = 6, block: int = 2048, part_rows: int = 16_384,
+) -> DataFrame:
+    """query_id, chunk_id, score (cosine), rank of (query_id, vec) against (chunk_id, vec), exactly. Rows are dealt to parts
+    and queries to blocks of bounded size; each part meets each block once, as one product of matrices, of which `limit`
+    rows a query remain. Rows and queries without a vector are left out; ids keep their types, ties go to the least."""
     import numpy as np
     import pyarrow as pa
+    import pyarrow.compute as pc
 
-    asked = queries.select("query_id", F.col("vec").cast("array<double>").alias("vec"))
-    data = vectors.select("chunk_id", F.col("vec").cast("array<double>").alias("vec"))
+    asked, data = unit_rows(queries, "query_id"), unit_rows(vectors.filter(matches(filters)), "chunk_id")
+    blocks, parts = max(1, -(-asked.count() // block)), max(1, -(-data.count() // part_rows))
     schema = f"query_id {asked.schema['query_id'].dataType.simpleString()}, chunk_id {data.schema['chunk_id'].dataType.simpleString()}, score double"
-    n = max(1, -(-asked.count() // block))
-    out = None
-    for k in range(n):
-        part = asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(n)) == k).toArrow()
-        ids, matrix = part["query_id"].combine_chunks(), np.array(part["vec"].to_pylist() or [[]], float)
-        matrix = matrix / np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-12)
-
-        def run(batches, ids=ids, matrix=matrix):
-            best, kind = [[] for _ in range(len(ids))], None
-            for batch in batches:
-                kind = batch.column(0).type
-                if not batch.num_rows or not len(ids):
-                    continue
-                names = batch.column(0).to_pylist()
-                x = np.array(batch.column(1).to_pylist(), float)
-                scores = matrix @ (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)).T
-                for q, row in enumerate(scores):
-                    top = np.argpartition(-row, min(limit, len(row)) - 1)[:limit] if len(row) > limit else range(len(row))
-                    edge = row[top].min() if len(row) > limit else -2.0
-                    best[q] = sorted(best[q] + [(-round(float(row[i]), 6) + 0.0, names[i]) for i in np.flatnonzero(row >= edge - 1e-6)])[:limit]
-            if kind is not None:
-                places = pa.array([q for q in range(len(ids)) for _ in best[q]], pa.int64())
-                columns = [ids.take(places), pa.array([c for b in best for _, c in b], kind), pa.array([-s for b in best for s, _ in b], pa.float64())]
-                yield pa.RecordBatch.from_arrays(columns, ["query_id", "chunk_id", "score"])
-
-        found = data.mapInArrow(run, schema)
-        out = found if out is None else out.unionByName(found)
-    return rank_hits(out, limit)
-
-
-def ann_index(vectors: DataFrame, cells: int = 16, fit_rows: int = 20_000, seed: int = 11) -> tuple[DataFrame, DataFrame]:
-    """(cell, chunk_id, vec of unit length) of every row, and (cell, centre): the centres are fitted by k-means on the
-    fit_rows vectors whose id's hash is least."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-
-    unit = vectors.select("chunk_id", l2_normalize(F.col("vec")).alias("vec"))
-    sample = unit.orderBy(F.xxhash64("chunk_id"), "chunk_id").limit(fit_rows).select(array_to_vector("vec").alias("features"))
-    centres = [[float(x) for x in c] for c in KMeans(k=cells, seed=seed, maxIter=15).fit(sample).clusterCenters()]
-    table = vectors.sparkSession.createDataFrame([(i, c) for i, c in enumerate(centres)], "cell int, centre array<double>")
-    return unit.withColumn("cell", nearest_cells(F.col("vec"), centres, 1)[0]), table
-
-
-def nearest_cells(vec: Column, centres: list[list[float]], n: int) -> Column:
-    """The n cells whose centres are nearest, nearest first."""
-    far = lambda c: F.aggregate(F.zip_with(vec, F.array(*map(F.lit, c)), lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
-    order = F.array_sort(F.array(*(F.struct(far(c).alias("far"), F.lit(i).alias("cell")) for i, c in enumerate(centres))))
-    return F.transform(F.slice(order, 1, n), lambda x: x["cell"])
-
-
-def ann_search(queries: DataFrame, vectors: DataFrame, limit: int = 10, cells: int = 16, probes: int = 11) -> DataFrame:
-    """Approximate dense search: each query meets the rows of the `probes` cells nearest to it, which are scored exactly;
-    a query that finds fewer than `limit` rows there is searched in all rows. Recall grows with probes / cells, where the
-    work does too, and is measured against dense_search (test_approximate_search_recall)."""
-    index, table = ann_index(vectors, cells)
-    centres = [r["centre"] for r in table.orderBy("cell").collect()]  # `cells` rows
-    asked = queries.select("query_id", l2_normalize(F.col("vec")).alias("__asked"))
-    probed = asked.withColumn("cell", F.explode(nearest_cells(F.col("__asked"), centres, probes)))
-    scored = index.join(probed, "cell").select("query_id", "chunk_id", F.round(dot(F.col("__asked"), F.col("vec")), 6).alias("score"))
-    found = rank_hits(scored, limit)
-    enough = found.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= limit)
-    rest = queries.join(enough, "query_id", "left_anti")
-    return found.join(enough.select("query_id"), "query_id", "left_semi").unionByName(dense_search(rest, vectors, limit).select(*found.columns))
+
+    def matrix(column):
+        return np.asarray(column.combine_chunks().flatten(), float).reshape(len(column), -1)
+
+    def run(left, right):
+        q = row = np.zeros(0, np.int64)
+        score = np.zeros(0)
+        if left.num_rows and right.num_rows:
+            scores = np.round(matrix(left["vec"]) @ matrix(right["vec"]).T, digits) + 0.0
+            by_id = np.asarray(pc.sort_indices(right["chunk_id"]))
+            top = by_id[np.argsort(-scores[:, by_id], axis=1, kind="stable")[:, :limit]]
+            q, row, score = np.repeat(np.arange(len(top)), top.shape[1]), top.ravel(), np.take_along_axis(scores, top, 1).ravel()
+        return pa.table([left["query_id"].take(pa.array(q)), right["chunk_id"].take(pa.array(row)), pa.array(score)], ["query_id", "chunk_id", "score"])
+
+    spread = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = asked.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")).withColumn("part", spread(parts))
+    right = data.withColumn("part", F.pmod(F.xxhash64("chunk_id"), F.lit(parts)).cast("int")).withColumn("block", spread(blocks))
+    return rank_hits(left.groupBy("part", "block").cogroup(right.groupBy("part", "block")).applyInArrow(run, schema), limit)
 
 
 def containing(chunks: DataFrame, phrases: DataFrame, words: int = 3) -> DataFrame:
@@ -343,12 +298,14 @@ def visible_files(files: DataFrame, scopes: DataFrame) -> DataFrame:
 
 
 def private_search(queries: DataFrame, chunks: DataFrame, files: DataFrame, scopes: DataFrame, query_vectors: DataFrame, pool: int = 12, limit: int = 8) -> DataFrame:
-    """Tenant-scoped hybrid search: each query sees the chunks of its own visible files only."""
+    """Tenant-scoped hybrid search: each query sees the chunks of its own visible files only. Passages match by any term
+    and rank by their covers."""
+    from korpusflow.operators import covers  # it ranks by this module
+
     seen = visible_files(files, scopes)
     own = seen.join(chunks, "file_id")
-    asked = queries.select("query_id", F.array_distinct(lexical_tokens(F.col("text"), "prefix5")).alias("q"))
-    scored = own.join(asked, "query_id").withColumn("score", F.size(F.array_intersect("q", F.array_distinct(lexical_tokens(F.col("text"), "prefix5")))).cast("double"))
-    lexical = rank_hits(scored.filter("score > 0").select("query_id", "chunk_id", "score"), pool)
+    mine = queries.join(seen.select("query_id", "file_id"), "query_id").select("query_id", "text", "file_id")
+    lexical = covers.cover_search(mine, chunks.select("chunk_id", "file_id", "text"), pool, shared=["file_id"])
     near = own.join(query_vectors.select("query_id", F.col("vec").alias("__q")), "query_id").select("query_id", "chunk_id", F.round(cosine(F.col("__q"), F.col("vec")), 6).alias("score"))
     fused = fuse(union_rankings(lexical=lexical, vector=rank_hits(near, pool)), pool)
     return rerank(fused.select("query_id", "chunk_id", "score", "rank"), queries, chunks, limit)

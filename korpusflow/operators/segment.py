@@ -3,82 +3,77 @@ so only that runs in Arrow batches; intervals, hierarchy and keys are windows an
 
 from __future__ import annotations
 
+import itertools
 import re
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Levels of containers, markers of units, abbreviations, limits in characters.
-LEVELS = {"KİTAP": (1, "book"), "KISIM": (2, "part"), "BÖLÜM": (3, "chapter"), "AYIRIM": (4, "section")}
-ARTICLE_TYPES = {"": "article", "EK": "additional_article", "GEÇİCİ": "temporary_article", "EK GEÇİCİ": "additional_temporary_article", "MÜKERRER": "repeated_article"}
-HEADING = re.compile(r"(?m)^(?P<label>[A-ZÇĞİÖŞÜ]+|[IVXLCDM]+|\d+)\s+(?P<kind>KİTAP|KISIM|BÖLÜM|AYIRIM)[ \t]*$")
-ARTICLE = re.compile(r"(?im)^(?P<prefix>EK\s+GEÇİCİ|GEÇİCİ|EK|MÜKERRER)?[ \t]*M[ \t]*ADDE[ \t]*(?P<label>(?:\d+|[lıİI]\d*)(?:/[A-ZÇĞİÖŞÜ])?)(?:[ \t]+İLA[ \t]+(?P<last>\d+))?[ \t]*(?:[-–—.]|(?=\n|$|\()|(?=[A-ZÇĞİÖŞÜ]))")
-ANNEX = re.compile(r"(?im)^(?P<label>EK[-– ]?\d+|\(?[IVXLCDM]+\)?\s+SAYILI\s+(?:CETVEL|LİSTE))\b.*$")
-PARAGRAPH = re.compile(r"(?m)^[ \t]*\((?P<label>\d+)\)\s+")
-ITEM = re.compile(r"(?m)^[ \t]*(?P<label>[a-zçğıöşü])\)\s+")
-SUBITEM = re.compile(r"(?m)^[ \t]*(?P<label>\d+|[ivxlcdm]+)\)\s+")
+from korpusflow.operators.markers import Marker, markers_of, nested
+
+#: Abbreviations, limits in characters.
 ABBREVIATIONS = frozenset("av dr prof doç yrd md mad vd vb vs bkz s sy no nr ltd şti a.ş t.c tic san cad sok mah apt e k hmk tbk ik tmk hgk ygk ibk ör yy hd cd".split())
 CAPITALS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZÇĞİÖŞÜ")
 TARGET_CHARS, MAX_CHARS, OVERLAP_CHARS, MIN_SECTION_CHARS = 1400, 2000, 200, 400
 MARKERS = "document_id string, start int, level int, unit_type string, label string, last int, heading string"
+UNITS = MARKERS + ", represented array<string>, repaired boolean, unit_index int, end int, unit_path array<string>, text string"
+#: Rows of units that a batch holds at most: a unit's text is part of its parent's, so a long text gives much of it.
+BATCH_UNITS = 2000
 
 
-def markers_of(text: str) -> list[tuple]:
-    """(start, level, unit type, label, last of a range, heading) of every marker; of two at one place, the container."""
-    found = [(m.start(), *LEVELS[m["kind"]], m["label"], None, m[0].strip()) for m in HEADING.finditer(text)]
-    for m in ARTICLE.finditer(text):
-        kind = " ".join((m["prefix"] or "").upper().replace("I", "İ").split()).replace("GEÇICI", "GEÇİCİ")
-        number = re.sub("^[lıİI]", "1", m["label"]).upper()
-        found.append((m.start(), 5, ARTICLE_TYPES.get(kind, "article"), number, int(m["last"]) if m["last"] else None, None))
-    found += [(m.start(), 1, "annex", " ".join(m["label"].split()), None, None) for m in ANNEX.finditer(text)]
-    for level, unit, pattern in ((6, "paragraph", PARAGRAPH), (7, "item", ITEM), (8, "subitem", SUBITEM)):
-        found += [(m.start(), level, unit, m["label"], None, None) for m in pattern.finditer(text)]
-    first: dict[int, tuple] = {}
-    for x in sorted(found, key=lambda x: (x[0], x[1])):
-        first.setdefault(x[0], x)
-    return list(first.values())
+def kept_columns(schema: str) -> list[tuple[str, pa.DataType]]:
+    kinds = {"string": pa.string(), "int": pa.int32(), "boolean": pa.bool_(), "array<string>": pa.list_(pa.string())}
+    return [(name, kinds[kind]) for name, kind in (x.split() for x in schema.split(", "))]
 
 
-def scan_markers(docs: DataFrame) -> DataFrame:
-    """document_id, start, level, unit_type, label, last, heading of (document_id, text) rows."""
+def in_batches(schema: str, rows_of):
+    """A mapInArrow function: the rows that rows_of gives for each row of (document_id, text, ...), some at a time."""
 
     def run(batches):
+        columns = kept_columns(schema)
         for batch in batches:
-            rows = [(d, *m) for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for m in markers_of(t or "")]
-            kinds = (pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.int32(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], [x.split()[0] for x in MARKERS.split(", ")])
+            rows = (r for row in zip(*(c.to_pylist() for c in batch.columns)) for r in rows_of(*row))
+            while some := list(itertools.islice(rows, BATCH_UNITS)):
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in some], t) for k, (_, t) in enumerate(columns)], [n for n, _ in columns])
+
+    return run
 
-    return docs.select(F.col("document_id").cast("string"), "text").mapInArrow(run, MARKERS)
+
+def scan_markers(docs: DataFrame) -> DataFrame:
+    """document_id, start, level, unit_type, label, last (of a range), heading of (document_id, text) rows."""
+    found = lambda d, t: ((d, m.start, m.level, m.unit_type, m.label, m.last, m.heading) for m in markers_of(t or ""))
+    return docs.select(F.col("document_id").cast("string"), F.col("text").cast("string")).mapInArrow(in_batches(MARKERS, found), MARKERS)
+
+
+def unit_rows(document_id, text, given=None):
+    text = text or ""
+    found = markers_of(text) if given is None else [Marker(*(x[c] for c in ("start", "level", "unit_type", "label", "last", "heading"))) for x in given]
+    for i, (m, end, path) in enumerate(nested(found, len(text)), 1):
+        body = text[m.start : end].rstrip()
+        yield document_id, m.start, m.level, m.unit_type, m.label, m.last, m.heading, m.represented, m.repaired, i, m.start + len(body), path, body
 
 
 def units(docs: DataFrame, markers: DataFrame | None = None) -> DataFrame:
     """Units with interval, text, key, parent and path. A unit ends where the next of its level or above begins; its
-    parent is the nearest unit above of a lower level; a key that comes again gets ~2, ~3 and is for review."""
-    markers = markers if markers is not None else scan_markers(docs)
-    texts = docs.select(F.col("document_id").cast("string"), "text")
-    order = Window.partitionBy("document_id").orderBy("start")
-    later = order.rowsBetween(1, Window.unboundedFollowing)
-    m = markers.withColumn("unit_index", F.row_number().over(order))
-    ends = F.lit(None).cast("int")
-    for level in range(8, 0, -1):  # the nearest later marker of this level or above
-        ends = F.when(F.col("level") == level, F.min(F.when(F.col("level") <= level, F.col("start"))).over(later)).otherwise(ends)
-    m = m.withColumn("next", ends)
-    element = F.concat_ws(":", "unit_type", "label")
-    before = order.rowsBetween(Window.unboundedPreceding, 0)
-    # The last element at each level, void when a marker of a lower level came after it.
-    for level in range(1, 9):
-        own = F.last(F.when(F.col("level") == level, F.struct("start", element.alias("e"))), True).over(before)
-        reset = F.max(F.when(F.col("level") < level, F.col("start"))).over(before)
-        m = m.withColumn(f"p{level}", F.when((F.col("level") >= level) & (reset.isNull() | (own["start"] >= reset)), own["e"]))
-    path = F.array_compact(F.array(*(f"p{k}" for k in range(1, 9))))
-    joined = m.join(texts, "document_id").withColumn("char_end", F.coalesce("next", F.length("text")))
-    body = F.substring("text", F.col("start") + 1, F.col("char_end") - F.col("start"))
-    out = joined.select("document_id", "unit_index", "unit_type", "label", "last", "heading", path.alias("unit_path"), F.col("start").alias("char_start"), (F.col("start") + F.length(F.rtrim(F.regexp_replace(body, r"\s+$", "")))).alias("char_end"), F.regexp_replace(body, r"\s+$", "").alias("text"))
-    key = out.withColumn("unit_key", F.array_join("unit_path", "/"))
+    parent is the nearest unit above of a lower level; a key that comes again gets ~2, ~3 and is for review. Markers,
+    nesting and texts come from one pass over each text; given markers (as scan_markers has them) replace its own."""
+    texts = docs.select(F.col("document_id").cast("string"), F.col("text").cast("string"))
+    if markers is not None:
+        fields = [c for c, _ in kept_columns(MARKERS)[1:]]
+        by_text = markers.groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("given"))
+        texts = texts.join(by_text, "document_id").select("document_id", "text", "given")
+    found = texts.mapInArrow(in_batches(UNITS, unit_rows), UNITS)
+    key = F.array_join("unit_path", "/")
+    parent = F.when(F.size("unit_path") > 1, F.array_join(F.slice("unit_path", F.lit(1), F.size("unit_path") - 1), "/"))
     again = F.row_number().over(Window.partitionBy("document_id", "unit_key").orderBy("unit_index"))
-    numbered = key.withColumn("n", again).withColumn("parent_key", F.when(F.size("unit_path") > 1, F.array_join(F.slice("unit_path", F.lit(1), F.size("unit_path") - 1), "/")))
-    return numbered.withColumn("unit_key", F.when(F.col("n") > 1, F.concat("unit_key", F.lit("~"), F.col("n").cast("string"))).otherwise(F.col("unit_key"))).withColumn("review_status", F.when(F.col("n") > 1, "needs_review").otherwise("parsed")).withColumn("content_hash", F.sha2("text", 256)).drop("n")
+    numbered = found.withColumn("unit_key", key).withColumn("parent_key", parent).withColumn("n", again)
+    repeated = F.col("n") > 1
+    named = F.when(repeated, F.concat("unit_key", F.lit("~"), F.col("n").cast("string"))).otherwise(F.col("unit_key"))
+    return numbered.select(
+        "document_id", "unit_index", "unit_type", "label", "last", "heading", "represented", "repaired", "unit_path", F.col("start").alias("char_start"), F.col("end").alias("char_end"),
+        "text", named.alias("unit_key"), "parent_key", F.when(repeated, "needs_review").otherwise("parsed").alias("review_status"), F.sha2("text", 256).alias("content_hash"),
+    )
 
 
 #: The title of a bibliography, and a heading's level and unit type by the shape of its label.
@@ -140,10 +135,8 @@ def doctrine_units(docs: DataFrame, body_start: DataFrame | None = None) -> Data
 def structure_audit(found: DataFrame, expectations: DataFrame) -> DataFrame:
     """Per document: required article numbers that are missing, those that come twice, numbers outside the range, passed.
     expectations: document_id, first, last, labels array<string>."""
-    from korpusflow.functions.text import article_range
-
     articles = found.filter("unit_type = 'article'")
-    represented = articles.withColumn("all", F.when(F.col("last").isNotNull(), article_range(F.col("label").try_cast("int"), F.col("last"))).otherwise(F.array("label")))
+    represented = articles.withColumn("all", F.coalesce("represented", F.when(F.col("label").isNotNull(), F.array("label"))))
     by_document = represented.groupBy("document_id").agg(F.array_distinct(F.flatten(F.collect_list("all"))).alias("have"), F.array_sort(F.collect_set(F.when(F.col("review_status") == "needs_review", F.col("label")))).alias("duplicated"))
     joined = expectations.join(by_document, "document_id", "left")
     have = F.coalesce("have", F.array().cast("array<string>"))

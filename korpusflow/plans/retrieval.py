@@ -9,8 +9,9 @@ from korpusflow.functions.text import lexical_tokens
 from korpusflow.functions.vectors import hash_embed
 from korpusflow.operators import evaluate as ev
 from korpusflow.operators import relational as rel
-from korpusflow.operators import search
+from korpusflow.operators import ann, search
 from korpusflow.plans.common import chunks, questions, sql_bm25, sql_stems, sql_top, table, vectors
+from korpusflow.sources import scratch
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -63,15 +64,39 @@ def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @plan(DENSE)
 def dense_topk_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with small parts and blocks, so that many meet."""
     data = vectors(spark, sf_dir)
-    found = search.dense_search_blocks(data.filter("chunk_id % 50 = 0").select(F.col("chunk_id").alias("query_id"), "vec"), data, 10)
-    return found.select("query_id", "chunk_id", "score", F.col("rank").cast("long"))
+    asked = data.filter("chunk_id % 50 = 0").select(F.col("chunk_id").alias("query_id"), "vec")
+    return search.dense_search(asked, data, 10, block=16, part_rows=200).select("query_id", "chunk_id", "score", F.col("rank").cast("long"))
 
 
 @plan()
 def ann_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Approximate neighbours from the compressed index."""
+    data = vectors(spark, sf_dir)
+    asked = data.filter("chunk_id % 50 = 0").select(F.col("chunk_id").alias("query_id"), "vec")
+    return ann.ann_search(asked, stored_index(spark, data), 10)[0]
+
+
+def stored_index(spark: SparkSession, data: DataFrame) -> ann.Index:
+    """The index, written once in the shared folder and read back."""
+    path = scratch.path(spark, "ann")
+    ann.write_index(ann.build_index(data), path)
+    return ann.read_index(spark, path)
+
+
+@plan("SELECT count(*) AS queries, 10 * count(*) AS wanted, true AS recall_reached, true AS few_scored FROM embeddings WHERE vec_id % 50 = 0")
+def ann_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recall of the approximate search against the exact one (0.9 at least), and whether it scored under a fifth of all
+    rows for a query, on average."""
     data = vectors(spark, sf_dir)
-    return search.ann_search(data.filter("chunk_id % 50 = 0").select(F.col("chunk_id").alias("query_id"), "vec"), data, 10)
+    asked = data.filter("chunk_id % 50 = 0").select(F.col("chunk_id").alias("query_id"), "vec")
+    found, counts = ann.ann_search(asked, stored_index(spark, data), 10)
+    measured = ann.recall(found, search.dense_search(asked, data, 10))
+    rows = data.agg(F.count(F.lit(1)).alias("n"), F.lit(0).alias("one"))
+    mean = counts.agg(F.avg("scored").alias("scored"), F.lit(0).alias("one"))
+    both = measured.withColumn("one", F.lit(0)).join(mean, "one").join(rows, "one")
+    return both.select("queries", "wanted", (F.col("recall") >= 0.9).alias("recall_reached"), (F.col("scored") < F.col("n") / 5).alias("few_scored"))
 
 
 @plan("""WITH r AS (SELECT doc_id, list_transform(range(16), lambda i: ('0x' || substr(sha256(text), (i * 2 + 1)::INT, 2))::INT / 127.5 - 1.0) AS v FROM documents),
