@@ -133,11 +133,13 @@ def coded(flat: pa.Array) -> tuple[np.ndarray, list[str]]:
     return np.asarray(encoded.indices).astype(np.int64), encoded.dictionary.to_pylist()
 
 
-def hashes(distinct: list[str]) -> np.ndarray:
+def hashes(distinct: list) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh3_64_intdigest, distinct), np.uint64, len(distinct))
 
 
-#: Bytes whose powers are held at once by token_hashes (a longer word alone goes on its own).
+#: Words that are told apart at once by token_hashes; bytes whose powers are held at once by polynomials (a longer word alone
+#: goes on its own).
+HASH_WORDS = 1 << 19
 HASH_BYTES = 1 << 19
 BASE, BASE_INVERSE = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
 
@@ -157,8 +159,13 @@ def _byte_values() -> np.ndarray:
 
 
 def token_hashes(flat: pa.Array) -> np.ndarray:
-    """A 64-bit hash of each word of a large_string array."""
-    return mix(polynomials(flat))
+    """A 64-bit hash of each word of a large_string array. Each distinct word is hashed once, some at a time: polynomials
+    modulo 2^64 would give some different words the same value whatever their base."""
+    out = np.zeros(len(flat), np.uint64)
+    for a in range(0, len(flat), HASH_WORDS):
+        encoded = flat.slice(a, HASH_WORDS).dictionary_encode()
+        out[a : a + HASH_WORDS] = hashes(encoded.dictionary.cast(pa.large_binary()).to_pylist())[np.asarray(encoded.indices)]
+    return out
 
 
 def put_together(first: np.ndarray, second: np.ndarray, bytes_of_first: np.ndarray) -> np.ndarray:

@@ -252,8 +252,11 @@ def near_duplicates(df: DataFrame, size: int = 5, percent: int = 80, bands: int
     # A doc_id with several texts is one document: its classes are linked.
     repeated = linkable.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc_id")
     hot = hot_keys(classes, ["key1", "key2"], "copies")
-    several = spread_join(linkable.join(repeated, "doc_id", "left_semi"), classes, ["key1", "key2"], hot, F.xxhash64("doc_id")).groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b"))
-    links = materialize(links.unionByName(several.filter("a < b").select("a", "b").distinct()), "minhash-links")
+    of_id = spread_join(linkable.join(repeated, "doc_id", "left_semi"), classes, ["key1", "key2"], hot, F.xxhash64("doc_id")).select("doc_id", "rep").distinct()
+    least = of_id.groupBy("doc_id").agg(F.min("rep").alias("a"), F.count(F.lit(1)).alias("n"))
+    tied = spread_join(of_id, least.drop("n"), ["doc_id"], hot_keys(least, ["doc_id"]), F.xxhash64("rep"))
+    several = tied.filter("rep > a").select("a", F.col("rep").alias("b")).distinct()
+    links = materialize(links.unionByName(several), "minhash-links")
     labels = connected_components(links)
     members = open_buckets.select("centre", "rep", "n").distinct().join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     found = cross_links(members, texts, size, percent)

@@ -253,15 +253,18 @@ class Hash:
         return out
 
 
-@lru_cache(maxsize=2)
-def load_costs(path: str) -> tuple[Hash, np.ndarray]:
-    """The table of ready costs: places of codes, and costs by place (0 at the end, for codes it lacks)."""
-    import pyarrow.dataset as ds
-    from pyarrow import fs
+def shared_costs(df: DataFrame):
+    """A table of (key, cost) of bounded size (HOT_NODES or TOP_WORDS rows of 16 bytes), for all workers: read by Spark, so
+    it may lie wherever Spark can read, and broadcast as two arrays."""
+    table = df.select("key", "cost").toArrow()
+    return df.sparkSession.sparkContext.broadcast((np.asarray(table["key"]).view(np.uint64), np.append(np.asarray(table["cost"]), 0.0)))
+
 
-    filesystem, root = fs.FileSystem.from_uri(path)
-    table = ds.dataset(root, format="parquet", filesystem=filesystem).to_table(columns=["key", "cost"])
-    return Hash(np.asarray(table["key"]).view(np.uint64)), np.append(np.asarray(table["cost"]), 0.0)
+@lru_cache(maxsize=2)
+def load_costs(shared) -> tuple[Hash, np.ndarray]:
+    """Places of codes, and costs by place (0 at the end, for codes it lacks); made once for each worker."""
+    keys, costs = shared.value
+    return Hash(keys), costs
 
 
 def in_lists(parts: list[np.ndarray], kind) -> pa.ListArray:
@@ -282,8 +285,8 @@ def score(docs: DataFrame, order: int = ORDER, hot_nodes: int = HOT_NODES, top_w
 
     tables = context_tables(counts, order)
     known = known_costs(tables[-1])
-    ready = materialize(most_frequent(known, hot_nodes).select("key", "cost"), "ppm-ready").__dict__["_scratch"]
-    ready_words = materialize(most_frequent(vocabulary, top_words).select("key", word_cost(F.col("n")).alias("cost")), "lm-ready").__dict__["_scratch"]
+    ready = shared_costs(most_frequent(known, hot_nodes))
+    ready_words = shared_costs(most_frequent(vocabulary, top_words).select("key", word_cost(F.col("n")).alias("cost")))
 
     def run(batches):
         grams_at, gram_costs = load_costs(ready)

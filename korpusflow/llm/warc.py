@@ -88,10 +88,21 @@ def parse(member: bytes) -> dict:
     return {"fields": fields, "payload": payload, "length": length}
 
 
+#: Names that Hadoop has for stores which Arrow opens by another name.
+SAME_STORE = {"s3a": "s3", "s3n": "s3", "gs": "gs", "abfss": "abfs", "wasb": "abfs", "wasbs": "abfs", "viewfs": "hdfs"}
+
+
+def store_uri(uri: str) -> str:
+    """A folder's address as Arrow knows it. Archives are files with ranges in them, so a store must be one that Arrow opens
+    (local, s3, gcs, abfs, hdfs), by whichever of its names Hadoop is set up with."""
+    scheme, colon, rest = uri.partition("://")
+    return SAME_STORE.get(scheme, scheme) + colon + rest if colon else uri
+
+
 def _filesystem(uri: str):
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(uri)
+    return fs.FileSystem.from_uri(store_uri(uri))
 
 
 def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0) -> DataFrame:

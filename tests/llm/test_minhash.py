@@ -75,3 +75,23 @@ def test_connected_components(spark):
     want = dict.fromkeys([*range(41), 200], 0) | dict.fromkeys([98, 99, 100], 98) | dict.fromkeys([1000, 1001], 1000)
     assert got == want
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_all_texts_of_one_id_are_linked(spark):
+    text = {k: " ".join(f"{k}{i}" for i in range(12)) for k in "abcdef"}
+    rows = [(1, "a"), (3, "b"), (5, "a"), (5, "b"), (5, "c"), (8, "c"), (9, "d"), (9, "e"), (9, "f"), (7, "e"), (6, "f"), (20, "d"), (30, "b"), (9, "d")]
+    df = spark.createDataFrame([(i, text[k]) for i, k in rows], "doc_id long, text string").repartition(3)
+    got = {(r.doc_id, r.component_id, r.kept) for r in minhash.near_duplicates(df, size=4).collect()}
+    assert got == {(i, 1 if i in (1, 3, 5, 8, 30) else 6, i in (1, 6)) for i, _ in rows}
+
+
+def test_words_that_collide_as_polynomials_differ():
+    import numpy as np
+    import pyarrow as pa
+
+    from korpusflow.llm.common import polynomials, token_hashes
+
+    bits = [bin(i).count("1") % 2 for i in range(2048)]
+    pair = pa.array(["".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits), "x", "x"], pa.large_string())
+    same, apart = polynomials(pair), token_hashes(pair)
+    assert same[0] == same[1] and apart[0] != apart[1] and apart[2] == apart[3] and len(np.unique(apart)) == 3

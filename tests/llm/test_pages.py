@@ -161,3 +161,9 @@ def test_html_query_keeps_articles_only(spark):
         inside = re.search(r"<article>(.*?)(?:</article>|\Z)", pages[r.page_id].html, re.S)[1]
         want = [" ".join(unescape(re.sub(r"<[^>]*>?", "", x)).split()) for x in re.split(r"</?p>|<br>|</?h1>", inside)]
         assert r.text == "\n".join(x for x in want if x) and r.n_chars == len(r.text) and r.url == pages[r.page_id].url
+
+
+def test_stores_are_opened_by_the_name_that_arrow_has():
+    from korpusflow.llm import warc
+
+    assert [warc.store_uri(u) for u in ("s3a://b/x", "wasbs://c/x", "file:///tmp/x", "/tmp/x")] == ["s3://b/x", "abfs://c/x", "file:///tmp/x", "/tmp/x"]
