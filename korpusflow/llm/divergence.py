@@ -35,7 +35,7 @@ from korpusflow.llm.common import hot_keys, materialize, row_slices, spread_join
 #: Documents of its language that a term needs, ranks of part `term`, the whole of which shares are parts.
 LEAST_DOCS, TERM_RANKS, WHOLE = 3, 200, 1_000_000_000
 #: Terms of a bucket, on average. Parts in which a group's terms are ranked first. Cells worked on at once.
-BUCKET, RANK_PARTS, CELLS = 1024, 32, 1 << 22
+BUCKET, RANK_PARTS, CELLS = 128, 32, 1 << 22
 SLICE = 1 << 22
 
 #: A byte as terms have it: letters (A to Z lowered) and what is not ASCII; anything else is a space.
