@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from korpusflow.functions.text import lexical_tokens, states_legal_fact
@@ -95,7 +95,8 @@ def most_cited(refs: DataFrame, covered: DataFrame, boilerplate: DataFrame, n: i
     return counts.withColumn("k", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("n"), "first_part", "law", "article"))).filter(F.col("k") <= n).drop("k")
 
 
-def snapshot(df: DataFrame, channel: str) -> DataFrame:
-    """One shape for corpus, file and web evidence; absent fields are null."""
+def snapshot(df: DataFrame, channel: str | Column) -> DataFrame:
+    """One shape for corpus, file and web evidence; absent fields are null. The channel is a name, or what a column says."""
     fields = ("source_id", "title", "text", "location", "url", "content_hash", "page_start", "page_end")
-    return df.select(F.lit(channel).alias("channel"), *(F.col(f).cast("string") if f in df.columns else F.lit(None).cast("string").alias(f) for f in fields))
+    named = F.lit(channel) if isinstance(channel, str) else channel
+    return df.select(named.alias("channel"), *(F.col(f).cast("string") if f in df.columns else F.lit(None).cast("string").alias(f) for f in fields))

@@ -21,12 +21,23 @@ def header(text: Column) -> Column:
 
 
 def chamber(head: Column) -> Column:
-    """The first line that is a chamber's name, however it is spaced; else such a name within a line."""
-    lines = F.transform(F.split(head, "\n", -1), lambda x: F.regexp_replace(slug(x), "-", ""))
-    number = lambda x: F.regexp_extract(x, r"^(\d{1,2})hukukdairesi$", 1)
-    named = lambda x: F.when(number(x) != "", F.concat(number(x).cast("int").cast("string"), F.lit(". Hukuk Dairesi"))).when(x == "hukukgenelkurulu", "Hukuk Genel Kurulu")
-    found = F.get(F.filter(F.transform(lines, named), lambda x: x.isNotNull()), F.lit(0))
-    return F.coalesce(found, F.nullif(F.regexp_extract(spaced(head), r"(?iu)((?:\d+\.? ?)?hukuk (?:dairesi|genel kurulu))", 1), F.lit("")))
+    """The chamber that the first line made of its name alone names, else the first that is named within a line. Its words
+    are compared, so signs and spacing between them don't matter."""
+    words = lambda x: F.filter(F.split(slug(x), "-"), lambda w: w != "")
+    lines = F.transform(F.split(head, "\n", -1), words)
+    whole = F.filter(F.transform(lines, lambda w: F.when(F.size(w) <= 3, named_at(w, F.size(w) - 2))), lambda x: x.isNotNull())
+    said = words(head)
+    within = F.filter(F.transform(F.sequence(F.lit(0), F.size(said)), lambda i: named_at(said, i)), lambda x: x.isNotNull())
+    return F.coalesce(F.get(whole, F.lit(0)), F.get(within, F.lit(0)))
+
+
+def named_at(words: Column, i: Column) -> Column:
+    """The chamber whose name has "hukuk" at a place: a chamber's number stands before it; the board has none."""
+    at = lambda k: F.get(words, (i + k).cast("int"))
+    number = at(-1).try_cast("int")
+    one = F.when((at(0) == "hukuk") & (at(1) == "dairesi"), F.concat(F.coalesce(F.concat(number.cast("string"), F.lit(". ")), F.lit("")), F.lit("Hukuk Dairesi")))
+    board = F.when((at(-1) == "hukuk") & (at(0) == "genel") & (at(1) == "kurulu"), "Hukuk Genel Kurulu")
+    return F.when(i >= 0, F.coalesce(one, board))
 
 
 def spaced(head: Column) -> Column:

@@ -6,14 +6,17 @@ opening word to the next. What a note means is read by column expressions, and i
 
 from __future__ import annotations
 
+import datetime
 import re
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from korpusflow.functions.dates import ONES
-from korpusflow.functions.text import fold, slug
+from korpusflow.functions.text import slug
+from korpusflow.operators import lawrefs
 from korpusflow.operators.relational import smallest_container
 
 #: What may stand between a note's opening word and its colon (other openings: anything short), the court,
@@ -96,29 +99,115 @@ def first_group(text: Column, pattern: str, group: int = 1) -> Column:
     return F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))
 
 
-def slashed(day: Column) -> Column:
-    return F.try_to_date(day, "d/M/yyyy")
+READ = "source_law_number string, source_law_article string, case_number string, decision_number string, event_date date, official_gazette_date date, delay_months int, named date"
+#: Months by their words; twelve is the one number of two words that notes have.
+MONTHS = {w: n for n, w in enumerate([*ONES[1:], "on"], 1)}
+#: Characters between the gazette's name and its date, and between a date and "takes effect".
+TO_GAZETTE_DATE, TO_EFFECT = 100, 60
+
+
+class Note:
+    """A note as words, numbers and signs, from which each fact is taken where it stands."""
+
+    def __init__(self, text: str):
+        self.tokens = lawrefs.tokens(lawrefs.folded(text))
+        self.end = next((i for i in range(len(self.tokens)) if self.later(i)), len(self.tokens))
+
+    def at(self, i: int) -> str:
+        return self.tokens[i].text if 0 <= i < len(self.tokens) else ""
+
+    def later(self, i: int) -> bool:
+        """Whether "months later" stands here."""
+        return self.at(i) == "ay" and self.at(i + 1) == "sonra"
+
+    def pair(self, i: int) -> str | None:
+        """A year, a slash and a number."""
+        whole = len(self.at(i)) == 4 and self.at(i).isdigit() and self.at(i + 1) == "/" and self.at(i + 2).isdigit()
+        return f"{self.at(i)}/{self.at(i + 2)}" if whole else None
+
+    def day(self, i: int) -> datetime.date | None:
+        """Day, month and year with slashes; None if there is no such day."""
+        parts = [self.at(i + k) for k in (0, 2, 4)]
+        if self.at(i + 1) == self.at(i + 3) == "/" and all(p.isdigit() for p in parts) and len(parts[0]) <= 2 and len(parts[1]) <= 2 and len(parts[2]) == 4:
+            try:
+                return datetime.date(*map(int, reversed(parts)))
+            except ValueError:
+                return None
+        return None
+
+    def dated(self, i: int) -> bool:
+        return self.at(i).isdigit() and self.at(i + 1) == self.at(i + 3) == "/" and len(self.at(i + 4)) == 4 and not (self.at(i - 1) == "/" and self.at(i - 2).isdigit())
+
+    def numbered(self, letter: str, begin: int) -> tuple[str, int] | None:
+        """The number after a letter ("E.: 2013/5"), and the place after it."""
+        for i in range(begin, len(self.tokens)):
+            if self.at(i) == letter:
+                k = i + 1
+                while self.at(k) in (".", ":", "："):
+                    k += 1
+                if found := self.pair(k):
+                    return found, k + 3
+        return None
+
+    def law(self) -> tuple[str | None, str | None]:
+        """Law and article after the day of a change ("-6111/12 md.")."""
+        for i in range(len(self.tokens)):
+            if self.at(i) == "-" and (found := self.pair(i + 1)) and self.at(i + 4).startswith(("md", "maddesi")):
+                return tuple(found.split("/"))
+        return None, None
+
+    def rulings(self) -> tuple[str | None, str | None]:
+        case = self.numbered("e", 0)
+        decision = self.numbered("k", case[1]) if case else None
+        return (case[0], decision[0]) if decision else (None, None)
+
+    def gazette(self) -> datetime.date | None:
+        """The first day after the gazette's name, before "months later"."""
+        for i in range(self.end):
+            if self.at(i).startswith("gazete") and self.at(i - 1) in ("resmî", "resmi"):
+                number = next((k for k in range(i + 1, self.end) if self.at(k).isdigit()), None)
+                if number is not None and self.tokens[number].start - self.tokens[i].end <= TO_GAZETTE_DATE and (day := self.day(number)):
+                    return day
+        return None
+
+    def delay(self) -> int | None:
+        before = self.at(self.end - 1) if self.end < len(self.tokens) else ""
+        if before == "iki" and self.at(self.end - 2) == "on":
+            return 12
+        return int(before) if before.isdigit() else MONTHS.get(before)
+
+    def named(self) -> datetime.date | None:
+        """The day in brackets after "months later", if it is said to be when the change takes effect."""
+        for i in range(self.end, len(self.tokens)):
+            if self.later(i) and self.at(i + 2) == "(" and self.at(i + 8) == ")" and (day := self.day(i + 3)):
+                close = self.tokens[i + 8].end
+                for k in range(i + 9, len(self.tokens)):
+                    if self.at(k) == "." or self.tokens[k].start - close > TO_EFFECT + 2:
+                        break
+                    if self.at(k) == "yürürlüğe" and self.at(k + 1).startswith("gir"):
+                        return day
+        return None
+
+    def read(self) -> tuple:
+        first = next((i for i in range(len(self.tokens)) if self.dated(i)), None)
+        return (*self.law(), *self.rulings(), self.day(first) if first is not None else None, self.gazette(), self.delay(), self.named())
+
+
+def read_raw(raw: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([Note(x or "").read() for x in raw], columns=[c.split()[0] for c in READ.split(", ")], dtype=object)
 
 
 def read_notes(notes: DataFrame) -> DataFrame:
     """What notes (raw_annotation) say: event_type, target_type, authority, source law and article, case and decision,
     event, gazette and effective dates, delay_months."""
-    raw, day = F.col("raw_annotation"), r"(\d{1,2}/\d{1,2}/\d{4})"
-    plain, low = slug(raw), F.regexp_replace(fold(raw), r"\s+", " ")
+    plain = slug(F.col("raw_annotation"))
     court = plain.contains(slug(F.lit(COURT)))
     target = F.coalesce(*(F.when(plain.contains(word), kind) for word, kind in TARGETS), F.lit("unit"))
     kind = F.when(court | plain.startswith("iptal"), "annulled").when(plain.startswith("mulga"), "repealed").when(plain.startswith("ek"), "added").otherwise("amended")
-    # Twelve months are the one number of two words that such notes have.
-    words = F.create_map(*(F.lit(x) for n, w in enumerate([*ONES[1:], "on"], 1) for x in (w, n)), F.lit("on iki"), F.lit(12))
-    delay = first_group(low, r"(\d+|on iki|\p{L}+) ay sonra")
-    gazette = slashed(first_group(F.regexp_replace(low, r"ay sonra.*", ""), r"resm[iî] gazete\D{0,100}?" + day))
-    named = slashed(first_group(low, r"ay sonra ?\( ?" + day + r" ?\)[^.]{0,60}yürürlüğe gir"))
-    return notes.select(
-        "*", kind.alias("event_type"), target.alias("target_type"), F.when(court, "Anayasa Mahkemesi").otherwise("Türkiye Büyük Millet Meclisi").alias("authority"),
-        first_group(low, r"-(\d{4})/\d+ ?md").alias("source_law_number"), first_group(low, r"-\d{4}/(\d+) ?md").alias("source_law_article"),
-        first_group(low, r"(?<!\p{L})e\.? ?:? ?(\d{4}/\d+).*?k\.? ?:? ?\d{4}/\d+").alias("case_number"), first_group(low, r"(?<!\p{L})e\.? ?:? ?\d{4}/\d+.*?k\.? ?:? ?(\d{4}/\d+)").alias("decision_number"),
-        slashed(first_group(raw, r"(?<!\d)" + day + r"(?!\d)")).alias("event_date"), gazette.alias("official_gazette_date"), F.coalesce(delay.try_cast("int"), words[delay]).alias("delay_months"), named.alias("__named"),
-    ).withColumn("effective_from", F.coalesce("__named", F.add_months("official_gazette_date", F.col("delay_months")))).drop("__named")
+    authority = F.when(court, "Anayasa Mahkemesi").otherwise("Türkiye Büyük Millet Meclisi")
+    told = notes.select("*", kind.alias("event_type"), target.alias("target_type"), authority.alias("authority"), F.pandas_udf(read_raw, READ)("raw_annotation").alias("__read"))
+    read = told.select(*(c for c in told.columns if c != "__read"), "__read.*")
+    return read.withColumn("effective_from", F.coalesce("named", F.add_months("official_gazette_date", F.col("delay_months")))).drop("named")
 
 
 def extract_events(docs: DataFrame, units: DataFrame) -> DataFrame:

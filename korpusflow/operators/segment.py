@@ -7,9 +7,10 @@ import itertools
 import re
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from korpusflow.functions.text import drop_boilerplate, join_wrapped_lines, readable_letters, turkish_lower
 from korpusflow.operators.markers import Marker, markers_of, nested
 
 #: Abbreviations, limits in characters.
@@ -151,12 +152,36 @@ def paragraphs(docs: DataFrame) -> DataFrame:
     return parts.withColumn("text", F.regexp_replace("text", r"^\s+|\s+$", "")).filter("text <> ''")
 
 
-def sections(docs: DataFrame, header: str = r"(?m)^(?=(?:DAVA|CEVAP|GEREKÇE|SONUÇ|KARAR|HÜKÜM)\b[^\n]{0,40}$)") -> DataFrame:
-    """document_id, part, section, text cut before header lines; what comes before the first is metadata."""
-    parts = docs.select("document_id", F.posexplode(F.split("text", header, -1)).alias("part", "text"))
-    name = F.lower(F.translate(F.regexp_extract("text", r"^(\p{Lu}+)", 1), "ÇĞİÖŞÜI", "cgiosui"))
-    titled = F.col("text").rlike(r"^(?:DAVA|CEVAP|GEREKÇE|SONUÇ|KARAR|HÜKÜM)\b")
-    return parts.filter(F.trim("text") != "").withColumn("section", F.when(titled, name).otherwise("metadata"))
+#: Headers of a decision's sections, and the kinds of those that have several names.
+SECTION_HEADERS = (
+    "HUKUKİ KAVRAMLAR", "HUKUKİ KONULAR", "ANAHTAR KELİMELER", "ÖZET", "İDDİA", "DAVA", "DAVACI İSTEMİ", "DAVACININ İSTEMİ", "SAVUNMA", "CEVAP", "DAVALI CEVABI", "DAVALININ CEVABI",
+    "YARGILAMA SÜRECİ", "UYUŞMAZLIK", "İLK DERECE MAHKEMESİ KARARI", "BÖLGE ADLİYE MAHKEMESİ KARARI", "İSTİNAF", "ÖZEL DAİRE BOZMA KARARI", "BOZMA VE BOZMADAN SONRAKİ YARGILAMA SÜRECİ",
+    "DİRENME KARARI", "TEMYİZ", "GEREKÇE", "HUKUKİ DEĞERLENDİRME", "SONUÇ", "HÜKÜM", "KARAR",
+)
+SECTION_KINDS = {"davacının istemi": "davacı_istemi", "davalının cevabı": "davalı_cevabı", "hukuki değerlendirme": "gerekçe"}
+
+
+def section_header(line: Column) -> Column:
+    """The header that a line consists of, without a Roman number before it and a colon after it; else null."""
+    bare = F.rtrim(F.regexp_replace(F.trim(line), r"\s*:$", ""))
+    first = F.substring_index(bare, " ", 1)
+    number = F.translate(squeezed_capitals(F.translate(first, ".)", "")), "IVXLCDM", "") == ""
+    rest = F.ltrim(F.substr(bare, F.length(first) + 1))
+    known = F.create_map(*(F.lit(x) for h in SECTION_HEADERS for x in (h.replace("İ", "I"), h)))
+    return F.coalesce(known[squeezed_capitals(bare)], F.when(number & first.rlike(r"[.)]$"), known[squeezed_capitals(rest)]))
+
+
+def sections(docs: DataFrame) -> DataFrame:
+    """document_id, part, section, text of a decision (document_id, text): from one header line to the next, by the kind of
+    the header; what comes before the first is metadata."""
+    lines = docs.select("document_id", F.posexplode(F.split("text", "\n", -1)).alias("no", "line")).withColumn("header", section_header(F.col("line")))
+    upto = Window.partitionBy("document_id").orderBy("no").rowsBetween(Window.unboundedPreceding, 0)
+    numbered = lines.withColumn("part", F.count("header").over(upto).cast("int"))
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("no", "line"))), lambda x: x["line"]), "\n")
+    parts = numbered.groupBy("document_id", "part").agg(F.max("header").alias("header"), body.alias("text")).filter(F.trim("text") != "")
+    low = turkish_lower(F.col("header"))
+    kinds = F.create_map(*(F.lit(x) for pair in SECTION_KINDS.items() for x in pair))
+    return parts.select("document_id", "part", F.coalesce(kinds[low], F.regexp_replace(low, " ", "_"), F.lit("metadata")).alias("section"), "text")
 
 
 def split_long(text: str, max_chars: int = 3000) -> list[tuple[int, int]]:
@@ -335,17 +360,56 @@ def begins_item(line):
 
 
 def strip_edges(pages: DataFrame, repeated: DataFrame) -> DataFrame:
-    """Pages without page numbers and repeated lines among the two lines at either end."""
+    """Pages whose first and last lines with text, if they are page numbers or repeated, are emptied, in two rounds: the
+    second line from an end goes only where the one beyond it went. Empty lines within stay."""
     lines = pages.select("document_id", "page", F.posexplode(F.split("text", "\n")).alias("no", "line"))
     filled = lines.withColumn("some", F.trim("line") != "")
-    down, up = Window.partitionBy("document_id", "page").orderBy("no"), Window.partitionBy("document_id", "page").orderBy(F.desc("no"))
-    count = lambda w: F.sum(F.col("some").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    placed = filled.withColumn("top", count(down)).withColumn("bottom", count(up)).withColumn("edge_line", F.regexp_replace(F.trim("line"), "[0-9]", "#"))
+    whole = Window.partitionBy("document_id", "page")
+    count = lambda *by: F.sum(F.col("some").cast("int")).over(whole.orderBy(*by).rowsBetween(Window.unboundedPreceding, 0))
+    placed = filled.withColumn("top", count("no")).withColumn("bottom", count(F.desc("no"))).withColumn("edge_line", F.regexp_replace(F.trim("line"), "[0-9]", "#"))
     marked = placed.join(repeated.select("document_id", "edge_line", F.lit(True).alias("again")), ["document_id", "edge_line"], "left")
-    noise = F.coalesce("again", F.lit(False)) | is_page_number(F.col("line"))
-    kept = marked.filter(~(F.col("some") & ((F.col("top") <= 2) | (F.col("bottom") <= 2)) & noise))
+    marked = marked.withColumn("noise", F.col("some") & (F.coalesce("again", F.lit(False)) | is_page_number(F.col("line"))))
+    outer = lambda side: F.coalesce(F.bool_or((F.col(side) == 1) & F.col("noise")).over(whole), F.lit(False))
+    gone = lambda side: F.col("noise") & ((F.col(side) == 1) | ((F.col(side) == 2) & outer(side)))
+    kept = marked.withColumn("line", F.when(gone("top") | gone("bottom"), "").otherwise(F.col("line")))
     body = F.transform(F.array_sort(F.collect_list(F.struct("no", "line"))), lambda x: x["line"])
-    return pages.select("document_id", "page").join(kept.groupBy("document_id", "page").agg(F.array_join(body, "\n").alias("text")), ["document_id", "page"], "left").withColumn("text", F.coalesce("text", F.lit("")))
+    return kept.groupBy("document_id", "page").agg(F.array_join(body, "\n").alias("text"))
+
+
+def readable_documents(pages: DataFrame, least: int = 20) -> DataFrame:
+    """document_id, pages, readable, accepted: a page is readable with so many letters; a document is refused without any
+    readable page, or if more than half of several pages are not."""
+    counted = pages.groupBy("document_id").agg(F.count(F.lit(1)).alias("pages"), F.count_if(readable_letters(F.coalesce("text", F.lit(""))) >= least).alias("readable"))
+    refused = (F.col("readable") == 0) | ((F.col("pages") > 1) & ((F.col("pages") - F.col("readable")) * 2 > F.col("pages")))
+    return counted.withColumn("accepted", ~refused)
+
+
+def clean_export_pages(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pages of exported decisions without what exports add, and how many pages of each document that changed."""
+    cleaned = pages.withColumn("clean", drop_boilerplate(F.col("text")))
+    counts = cleaned.groupBy("document_id").agg(F.count_if(F.col("clean") != F.col("text")).alias("changed_pages"))
+    return cleaned.withColumn("text", F.col("clean")).drop("clean"), counts
+
+
+def clean_book_pages(pages: DataFrame, titles: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Pages of a book without running headers (a page number, a bar and one of the titles, in either order) and with
+    divided words put together, and how many pages of each document that changed."""
+    named = [squeezed_capitals(F.lit(t)) for t in titles]
+
+    def is_header(line: Column) -> Column:
+        sides = F.transform(F.split(line, r"\|", -1), squeezed_capitals)
+        is_number = lambda x: (x != "") & ((F.translate(x, "0123456789", "") == "") | (F.translate(x, "IVXLCDM", "") == ""))
+        pair = lambda a, b: is_number(F.get(sides, F.lit(a))) & F.get(sides, F.lit(b)).isin(*named)
+        return (F.size(sides) == 2) & (pair(0, 1) | pair(1, 0))
+
+    lines = F.filter(F.split(join_wrapped_lines(F.col("text")), "\n", -1), lambda x: ~F.coalesce(is_header(x), F.lit(False)))
+    cleaned = pages.withColumn("clean", F.array_join(lines, "\n"))
+    counts = cleaned.groupBy("document_id").agg(F.count_if(F.col("clean") != F.col("text")).alias("changed_pages"))
+    return cleaned.withColumn("text", F.col("clean")).drop("clean"), counts
+
+
+def squeezed_capitals(line: Column) -> Column:
+    return F.upper(F.translate(F.trim(F.regexp_replace(line, r"\s+", " ")), "iıİ", "III"))
 
 
 def rebuild_paragraphs(lines: DataFrame) -> DataFrame:

@@ -280,10 +280,10 @@ def page_at_offset(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segment.page_at(offsets, segment.page_spans(pages))
 
 
-@plan("""SELECT conv_id AS query_id, turn AS position, title FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, lower(trim(title)) ORDER BY turn) AS k FROM (SELECT conv_id, turn, regexp_extract(text, '^\\S+') AS title FROM conversations)
+@plan("""SELECT conv_id AS query_id, turn AS position, title FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, lower(trim(title)) ORDER BY turn) AS k FROM (SELECT conv_id, turn, text AS title FROM conversations)
 WHERE length(lower(trim(title))) >= 3) WHERE k = 1) WHERE n <= 2""")
 def distinct_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("query_id"), F.col("turn").alias("position"), F.regexp_extract("text", r"^\S+", 0).alias("title"))
+    q = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("query_id"), F.col("turn").alias("position"), F.col("text").alias("title"))
     return citations.distinct_queries(q, 2).select("query_id", "position", "title")
 
 

@@ -242,14 +242,22 @@ def visible_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.visible_files(owned, scopes).groupBy("query_id").agg(F.count(F.lit(1)).alias("files"))
 
 
-@plan("""WITH c AS (SELECT l_suppkey AS q, l_orderkey * 10 + l_linenumber AS id, l_linenumber % 3 AS part, l_partkey % 9 + 1 AS rank, l_orderkey AS source_no, (l_quantity * 10)::BIGINT AS cost, l_returnflag = 'R' AS is_file FROM lineitem WHERE l_linenumber <= 3 QUALIFY count(*) OVER (PARTITION BY l_orderkey, l_linenumber) = 1)
-SELECT q AS query_id, count(*) AS offered, sum(cost)::BIGINT AS cost FROM c GROUP BY q""")
+@plan("""WITH RECURSIVE c AS (SELECT l_suppkey AS q, (l_orderkey * 10 + l_linenumber)::VARCHAR AS id, l_linenumber % 3 AS part, l_partkey % 9 + 1 AS rank, (l_quantity * 10)::BIGINT AS cost, l_returnflag = 'R' AS is_file, CASE WHEN l_returnflag = 'R' THEN 3000 ELSE 9000 END AS budget
+FROM lineitem QUALIFY count(*) OVER (PARTITION BY l_orderkey, l_linenumber) = 1),
+i AS (SELECT *, row_number() OVER (PARTITION BY q, is_file ORDER BY rank, part, id) AS n FROM c),
+k AS (SELECT q, is_file, n, cost, cost <= budget AS kept, CASE WHEN cost <= budget THEN cost ELSE 0 END AS used FROM i WHERE n = 1
+UNION ALL SELECT i.q, i.is_file, i.n, i.cost, used + i.cost <= budget, used + CASE WHEN used + i.cost <= budget THEN i.cost ELSE 0 END FROM k JOIN i ON i.q = k.q AND i.is_file = k.is_file AND i.n = k.n + 1)
+SELECT q AS query_id, count(*) AS offered, sum(cost)::BIGINT AS cost FROM k WHERE kept GROUP BY q""")
 def offered_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """With budgets that nothing exceeds, packing keeps every candidate once: counted and summed for each supplier."""
+    """What two budgets leave of each supplier's lines, files apart, in the order of rank and part: an item that does not
+    fit is passed over, smaller ones after it may fit."""
     once = F.count(F.lit(1)).over(Window.partitionBy("l_orderkey", "l_linenumber"))
-    rows = table(spark, sf_dir, "lineitem").filter("l_linenumber <= 3").withColumn("times", once).filter("times = 1")
-    c = rows.select(F.col("l_suppkey").alias("query_id"), F.when(F.col("l_returnflag") == "R", "file").otherwise("law").alias("channel"), (F.col("l_linenumber") % 3).alias("part"), (F.col("l_partkey") % 9 + 1).alias("rank"), F.col("l_orderkey").alias("source_no"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).cast("string").alias("id"), (F.col("l_quantity") * 10).cast("long").alias("cost"))
-    kept = pack.pack_parts(c, 1 << 40, 1 << 40)
+    rows = table(spark, sf_dir, "lineitem").withColumn("times", once).filter("times = 1")  # ids are to be unique
+    c = rows.select(
+        F.col("l_suppkey").alias("query_id"), F.when(F.col("l_returnflag") == "R", "file").otherwise("law").alias("channel"), (F.col("l_linenumber") % 3).alias("part"), (F.col("l_partkey") % 9 + 1).alias("rank"),
+        F.col("l_orderkey").alias("source_no"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).cast("string").alias("id"), (F.col("l_quantity") * 10).cast("long").alias("cost"),
+    )
+    kept = pack.pack_parts(c, 9000, 3000)
     return kept.join(c.select("query_id", "id", "cost"), ["query_id", "id"]).groupBy("query_id").agg(F.count(F.lit(1)).alias("offered"), F.sum("cost").alias("cost"))
 
 
@@ -336,13 +344,8 @@ def storage_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", text.storage_path(F.col("source"), F.col("lang"), sha, F.lit(".txt")).alias("path"), index_version(F.col("source"), sha, F.lit("v1")).alias("version"))
 
 
-@plan("""WITH l AS (SELECT lang AS channel, doc_id, length(text) AS n FROM documents) SELECT channel, count(*) AS n, sum(n)::BIGINT AS chars FROM l GROUP BY channel""")
+@plan("""SELECT lang AS channel, doc_id::VARCHAR AS source_id, sha256(text) AS content_hash, md5(text) AS text_md5, NULL::VARCHAR AS title, NULL::VARCHAR AS page_start FROM documents""")
 def evidence_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents in the one shape of evidence, counted by channel."""
-    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("source_id"), "text", "lang")
-    langs = [r["lang"] for r in d.select("lang").distinct().limit(50).collect()]
-    out = None
-    for lang in sorted(langs):
-        part = citations.snapshot(d.filter(F.col("lang") == lang), lang)
-        out = part if out is None else out.unionByName(part)
-    return out.groupBy("channel").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars"))
+    """Every document in the one shape of evidence, its language as channel."""
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("source_id"), "text", "lang", F.sha2("text", 256).alias("content_hash"))
+    return citations.snapshot(d, F.col("lang")).select("channel", "source_id", "content_hash", F.md5("text").alias("text_md5"), "title", "page_start")

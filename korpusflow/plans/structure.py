@@ -6,8 +6,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from korpusflow.operators import catalog, corpus_store, covers, lawrefs, relational, segment, snapshots
 from korpusflow.operators import chunks as chunking
-from korpusflow.operators import corpus_store, covers, lawrefs, relational, segment, snapshots
 from korpusflow.plans.common import chunks, questions, sql_stems, table
 from korpusflow.sources import scratch
 
@@ -209,3 +209,104 @@ def snapshot_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     version = lambda name, parse, begin, end, rows: rows.select(d.cast("string").alias("document_id"), F.lit(name).alias("corpus_version"), F.lit(parse).alias("parse_id"), F.lit(begin).cast("date").alias("valid_from"), end.cast("date").alias("valid_to"))
     versions = version("v1", "p1", "2020-01-01", F.when(d % 2 == 1, "2022-01-01"), docs).unionByName(version("v2", "p2", "2022-01-01", none("date"), docs.filter("doc_id % 2 = 1")))
     return snapshots.snapshot_violations(web.unionByName(file).unionByName(corpus), kept, known, versions, file_chunks, files)
+
+
+# --- catalog, checks, reparsing ------------------------------------------------------------------------------------
+
+
+@plan("""SELECT doc_id AS document_id, CASE WHEN doc_id % 7 <> 0 THEN 'Belge ' || doc_id END AS display_name, CASE WHEN doc_id % 3 = 0 AND doc_id % 2 = 0 THEN doc_id::VARCHAR END AS document_number,
+CASE WHEN doc_id % 3 = 0 AND doc_id % 2 = 0 THEN 'Kanun No. ' || doc_id WHEN doc_id % 3 = 1 AND doc_id % 5 <> 0 THEN CASE WHEN doc_id % 4 = 0 THEN 'E. 2020/' || doc_id ELSE 'E. 2020/' || doc_id || ' / K. 2021/' || doc_id END WHEN doc_id % 3 = 1 AND doc_id % 4 <> 0 THEN 'K. 2021/' || doc_id
+WHEN doc_id % 7 <> 0 THEN 'Belge ' || doc_id ELSE CASE WHEN doc_id % 2 = 0 THEN 'law-' ELSE 'x-' END || doc_id END AS legal_identifier,
+CASE doc_id % 3 WHEN 0 THEN 'Kanun' WHEN 1 THEN 'İçtihat Kararı' ELSE 'Diğer' END AS document_category, CASE WHEN doc_id % 11 <> 0 THEN '2026.' || doc_id % 2 END AS parser_version, CASE WHEN doc_id % 11 <> 0 THEN sha256(text) END AS artifact_hash, CASE WHEN doc_id % 11 = 0 THEN '' WHEN doc_id % 2 = 0 THEN 'v1,v2' ELSE 'v1' END AS versions FROM documents""")
+def document_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as laws, decisions and others, with their parse, artifact and the versions that pin them."""
+    docs, d = table(spark, sf_dir, "documents"), F.col("doc_id")
+    text_id = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))
+    documents = docs.select(
+        d.alias("document_id"), F.when(d % 7 != 0, text_id("Belge ", d)).alias("title"), F.when(d % 3 == 0, "legislation").when(d % 3 == 1, "court_decision").otherwise("doctrine").alias("source_kind"),
+        F.when(d % 3 == 0, "law").when(d % 3 == 1, "court_decision").otherwise("book").alias("document_type"), F.when(d % 2 == 0, text_id("law-", d)).otherwise(text_id("x-", d)).alias("source_document_id"),
+        F.when(d % 5 == 0, "").otherwise(text_id("2020/", d)).alias("case_number"), F.when(d % 4 != 0, text_id("2021/", d)).alias("decision_number"), text_id("p", d).alias("current_parse_id"),
+    )
+    parses = docs.filter("doc_id % 11 <> 0").select(d.alias("document_id"), text_id("p", d).alias("parse_id"), text_id("a", d).alias("artifact_id"), text_id("2026.", d % 2).alias("parser_version"), F.lit("ready").alias("status"))
+    artifacts = docs.select(d.alias("document_id"), text_id("a", d).alias("artifact_id"), F.lit("text/plain").alias("media_type"), F.lit("x").alias("storage_path"), F.sha2("text", 256).alias("content_hash"))
+    pin = lambda v, rows: rows.select(d.alias("document_id"), text_id("p", d).alias("parse_id"), F.lit(v).alias("corpus_version"))
+    pins = pin("v1", docs.filter("doc_id % 11 <> 0")).unionByName(pin("v2", docs.filter("doc_id % 2 = 0 AND doc_id % 11 <> 0"))).unionByName(docs.select(d.alias("document_id"), F.lit("old").alias("parse_id"), F.lit("v0").alias("corpus_version")))
+    found = catalog.catalog(documents, parses, artifacts, pins)
+    return found.select("document_id", "display_name", "document_number", "legal_identifier", "document_category", "parser_version", "artifact_hash", F.array_join("corpus_versions", ",").alias("versions"))
+
+
+@plan("""WITH d AS (SELECT doc_id, doc_id % 3 AS kind, text FROM documents WHERE doc_id % 10 <> 0), n AS (SELECT count(*) AS n, count(*) FILTER (kind = 0) AS laws, count(*) FILTER (kind = 1) AS decisions, count(*) FILTER (doc_id % 8 <> 1) AS ready, count(*) FILTER (doc_id % 9 <> 2) AS parser,
+count(*) FILTER (kind = 1 AND doc_id % 14 = 4) AS lacking, count(*) FILTER (kind = 1 AND doc_id % 5 = 2) AS leaks, count(*) FILTER (kind = 0 AND doc_id % 4 = 2) AS alone, count(*) FILTER (doc_id % 13 <> 5) AS sound FROM d)
+SELECT unnest(['document_count', 'legislation_count', 'decision_count', 'ready_parses', 'parser_version', 'decision_metadata', 'footer_cleanup', 'legal_unit_links', 'artifact_hashes']) AS "check", unnest([n, laws, decisions, ready, parser, lacking, leaks, alone, sound]) AS actual,
+unnest([7, laws, -1, n, n, 0, 0, 0, n]) AS expected, unnest([n = 7, true, decisions = -1, ready = n, parser = n, lacking = 0, leaks = 0, alone = 0, sound = n]) AS ok FROM (SELECT *, laws AS l FROM n)""")
+def corpus_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nine checks of a version of all documents but every tenth, with faults of each kind at known places."""
+    docs, d = table(spark, sf_dir, "documents"), F.col("doc_id")
+    key = d.alias("document_id")
+    none = F.lit(None).cast("string")
+    pins = docs.filter("doc_id % 10 <> 0").select(key, d.alias("parse_id"), F.lit("v").alias("corpus_version"))
+    documents = docs.select(key, F.when(d % 3 == 0, catalog.LAW).when(d % 3 == 1, catalog.DECISION).otherwise("doctrine").alias("source_kind"), F.lit("c").alias("chamber"), F.lit("1").alias("case_number"), F.when(d % 14 == 4, none).otherwise("2").alias("decision_number"), F.lit("2020-01-01").cast("date").alias("document_date"))
+    parses = docs.select(d.alias("parse_id"), F.when(d % 8 == 1, "failed").otherwise("ready").alias("status"), F.when(d % 9 == 2, "old").otherwise("now").alias("parser_version"))
+    leak = F.concat(F.lit("X kullanıcısı tarafından\n"), "text", F.lit(" tarihinde oluşturuldu."))
+    chunk_rows = docs.select(d.alias("parse_id"), F.when(d % 5 == 2, leak).otherwise(F.col("text")).alias("text"))
+    units = docs.select(d.alias("parse_id"), F.lit("u").alias("unit_key"))
+    artifacts = docs.select(key, d.alias("artifact_id"))
+    laws = docs.filter("doc_id % 10 <> 0 AND doc_id % 3 = 0").count()
+    expected = {"document_count": 7, "legislation_count": laws}
+    return catalog.corpus_checks("v", expected, "now", pins, documents, parses, chunk_rows, units, units.filter("parse_id % 4 <> 2"), artifacts, artifacts.filter("artifact_id % 13 = 5").select("artifact_id"))
+
+
+@plan("""SELECT s_suppkey AS document_id, CASE WHEN s_suppkey % 3 = 0 AND s_suppkey % 6 <> 0 THEN 'Yeni ' || s_suppkey ELSE s_name END AS title, CASE WHEN s_suppkey % 3 = 0 AND s_suppkey % 6 <> 0 THEN 'a=new,b=2,c=3' ELSE 'a=1,b=2' END AS meta, CASE WHEN s_suppkey % 3 = 0 THEN 2 ELSE 1 END AS attempt FROM supplier""")
+def merged_reparse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers as stored documents of which every third is parsed again; of those every second fails and stays."""
+    s, k = table(spark, sf_dir, "supplier"), F.col("s_suppkey")
+    told = lambda *pairs: F.create_map(*(F.lit(x) for x in pairs))
+    stored = s.select(k.alias("document_id"), F.col("s_name").alias("title"), told("a", "1", "b", "2").alias("meta"), F.lit(1).alias("attempt"))
+    path = scratch.path(spark, "documents")
+    catalog.write_documents(stored, path, 16)
+    again = s.filter(k % 3 == 0)
+    target = again.select(k.alias("document_id"), F.concat(F.lit("Yeni "), k.cast("string")).alias("title"), told("a", "new", "c", "3").alias("meta"))
+    catalog.reparse_documents(spark, path, scratch.path(spark, "reparse"), target, 16, ["title"], ["meta"], again.filter(k % 6 == 0).select(k.alias("document_id")))
+    entries = F.array_join(F.transform(F.array_sort(F.map_entries("meta")), lambda e: F.concat_ws("=", e["key"], e["value"])), ",")
+    return spark.read.parquet(path).select("document_id", "title", entries.alias("meta"), "attempt")
+
+
+@plan("""WITH h AS (SELECT l_suppkey AS q, 'http://x/' || l_partkey % 40 AS url, l_linenumber AS part, l_orderkey AS rank FROM lineitem),
+f AS (SELECT q, url, min([part, rank]) AS x FROM h GROUP BY q, url), n AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY x[1], x[2], url) AS p FROM f)
+SELECT q AS query_id, 'SOURCE_WEB_' || CASE WHEN p < 10 THEN '0' || p ELSE p::VARCHAR END AS source_id, url, x[1]::BIGINT AS part, x[2]::BIGINT AS rank FROM n""")
+def web_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Web results of several ordered queries, each address once, numbered by its first place."""
+    hits = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("query_id"), F.concat(F.lit("http://x/"), F.col("l_partkey") % 40).alias("url"), F.col("l_linenumber").cast("long").alias("part"), F.col("l_orderkey").cast("long").alias("rank"))
+    return catalog.merge_web_results(hits).select("query_id", "source_id", "url", "part", "rank")
+
+
+PAGE = """concat_ws(chr(10), CASE WHEN doc_id % 3 <> 0 THEN 'BAŞLIK ' || doc_id ELSE 'Giriş metni' END, CASE WHEN doc_id % 4 = 0 THEN '- ' || doc_id % 90 || ' -' ELSE 'Alt ' || source END, '', text, CASE WHEN doc_id % 5 = 0 THEN 'Sayfa ' || doc_id % 90 || ' / 99' ELSE 'son satır' END, CASE WHEN doc_id % 2 = 0 THEN '7/8' ELSE 'DİP NOT' END)"""
+_NOISE = "(trim(y) = 'DİP NOT' OR starts_with(trim(y), 'BAŞLIK ') OR regexp_matches(lower(trim(y)), '^(sayfa)?[ -]*[0-9]{1,4}[ -]*(/[ -]*[0-9]{1,4})?[ -]*$'))"
+
+
+@plan(f"""WITH p AS (SELECT doc_id, string_split({PAGE}, chr(10)) AS l FROM documents), i AS (SELECT doc_id, l, list_filter(range(1, len(l) + 1), lambda k: trim(l[k]) <> '') AS s, list_transform(l, lambda y: {_NOISE}) AS z FROM p),
+g AS (SELECT doc_id, l, list_concat(CASE WHEN z[s[1]] THEN CASE WHEN z[s[2]] THEN [s[1], s[2]] ELSE [s[1]] END ELSE [] END, CASE WHEN z[s[-1]] THEN CASE WHEN z[s[-2]] THEN [s[-1], s[-2]] ELSE [s[-1]] END ELSE [] END) AS gone FROM i)
+SELECT doc_id, md5(array_to_string(list_transform(range(1, len(l) + 1), lambda k: CASE WHEN list_contains(gone, k) THEN '' ELSE l[k] END), chr(10))) AS text_md5 FROM g""")
+def stripped_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as pages with headers, footers and page numbers of several forms, in two rounds from each end."""
+    table(spark, sf_dir, "documents").createOrReplaceTempView("page_documents")
+    pages = spark.sql(f"SELECT 'd' AS document_id, doc_id AS page, {PAGE} AS text FROM page_documents")
+    again = pages.select("document_id", F.explode(F.split("text", "\n")).alias("line")).filter("line = 'DİP NOT' OR startswith(line, 'BAŞLIK ')")
+    repeated = again.select("document_id", F.regexp_replace("line", "[0-9]", "#").alias("edge_line")).distinct()
+    return segment.strip_edges(pages, repeated).select(F.col("page").alias("doc_id"), F.md5("text").alias("text_md5"))
+
+
+DECISION = "CASE k % 9 WHEN 0 THEN 'DAVA:' WHEN 1 THEN 'II. GEREKÇE' WHEN 2 THEN 'Davacının İstemi' WHEN 3 THEN '  HUKUKİ DEĞERLENDİRME : ' WHEN 4 THEN 'İlk Derece Mahkemesi Kararı' WHEN 5 THEN 'Karar metni ' || k WHEN 6 THEN 'SONUÇ: metin' WHEN 7 THEN 'Sonuç' ELSE 'satır ' || k END || chr(10) || 'gövde ' || k"
+
+
+@plan(rf"""WITH o AS (SELECT o_custkey AS d, string_agg({DECISION}, chr(10) ORDER BY k) AS t FROM (SELECT o_custkey, o_orderkey AS k FROM orders) GROUP BY o_custkey),
+l AS (SELECT d, unnest(string_split(t, chr(10))) AS line, unnest(range(len(string_split(t, chr(10))))) AS i FROM o),
+h AS (SELECT *, regexp_extract(upper(translate(line, 'iıİ', 'III')), '^ *(?:[IVX]+[.)] *)?(DAVA|GEREKÇE|DAVACININ ISTEMI|HUKUKI DEĞERLENDIRME|ILK DERECE MAHKEMESI KARARI|SONUÇ|KARAR) *:? *$', 1) AS u FROM l),
+n AS (SELECT *, count(*) FILTER (u <> '') OVER (PARTITION BY d ORDER BY i ROWS UNBOUNDED PRECEDING) AS part FROM h)
+SELECT d AS document_id, part::INT AS part, CASE max(u) WHEN '' THEN 'metadata' WHEN 'DAVA' THEN 'dava' WHEN 'GEREKÇE' THEN 'gerekçe' WHEN 'HUKUKI DEĞERLENDIRME' THEN 'gerekçe' WHEN 'DAVACININ ISTEMI' THEN 'davacı_istemi' WHEN 'ILK DERECE MAHKEMESI KARARI' THEN 'ilk_derece_mahkemesi_kararı' WHEN 'SONUÇ' THEN 'sonuç' ELSE 'karar' END AS section, md5(string_agg(line, chr(10) ORDER BY i)) AS text_md5 FROM n GROUP BY d, part""")
+def decision_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sections of a decision for each customer, with headers in several forms and lines that only look like one."""
+    table(spark, sf_dir, "orders").createOrReplaceTempView("decision_orders")
+    lines = spark.sql(f"SELECT o_custkey, k AS chunk_index, {DECISION} AS text FROM (SELECT o_custkey, o_orderkey AS k FROM decision_orders)")
+    docs = relational.document_text(lines, "o_custkey").select(F.col("o_custkey").alias("document_id"), F.col("body").alias("text"))
+    return segment.sections(docs).select("document_id", "part", "section", F.md5("text").alias("text_md5"))
