@@ -2,12 +2,14 @@
 
 A page is cut into blocks at block-level tags. Pass one looks at each block's stop-word density, length and link density:
 a long block of running words is text, a long or serial block of links is not, and short blocks stay undecided. What the
-page itself says is evidence beside that: elements for menus, footers, asides and forms, and plain names of adverts,
-comments and notices, are never text; names that can mean several things (a header, legal, related) only take away a
-block's own claim, so that its neighbours decide; an article's borders keep its blocks' neighbours together. Pass two
-gives each undecided block the label of its nearest decided neighbours in the same region: theirs if both agree, else
-that of the side with less text between; a heading goes with what follows. Where no block of a region is text by itself,
-the undecided ones are text in an article and not elsewhere.
+page itself says is evidence beside that: elements for menus, footers, asides and forms, and plain names of adverts and
+notices, or of a part with readers' comments, are never text; names of menus outside an article are so too, while in one
+they, and names of other tools of a page (sharing, subscription), make short blocks boilerplate and leave running text; names that can mean several things (a header, legal, related) only take
+away a block's own claim, so that its neighbours decide. An article's borders keep its blocks' neighbours together, and the
+main text is looked for in articles, unless the page has more than twice as much running text outside them: then they are
+teasers. Pass two gives each undecided block the label of its nearest decided neighbours in the same region: theirs if both
+agree, else that of the side with less text between; a heading goes with what follows. Where no block of a region is text
+by itself, the undecided ones are text in an article and not elsewhere.
 
 Text in an element that a browser does not show (scripts, styles, controls, fallbacks of players) is left out without
 breaking its sentence; formulas and embedded objects are part of theirs.
@@ -49,22 +51,27 @@ INLINE = frozenset("""
 a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr img
 math mi mn mo ms mtext mrow mfrac msup msub msubsup msqrt mroot mover munder munderover mstyle mpadded semantics object picture ruby rb rt rp output
 """.split())
-#: Words in names that mean boilerplate, and those that can mean other things as well.
+#: Words in names that mean boilerplate whatever its text; readers' remarks, if a whole part is named so; parts
+#: of a page that hold no running text, so that a block which has it is not one; and words that can mean other things as well.
 PLAIN_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|nav\w*|menu\w*|sidebar\w*|footer\w*|masthead|breadcrumb\w*|cookies?|consent|gdpr|popup|modal|"
-    r"sharing|social\w*|newsletter\w*|subscri\w*|comments?|commentlist|disqus|replies|login|signup|toolbar|pagination|pager)(?:$|[\s_-])",
+    r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|sidebar\w*|footer\w*|cookies?|consent|gdpr|popup|modal|newsletter\w*|login|signup)(?:$|[\s_-])",
     re.I,
 )
+REMARK_NAMES = re.compile(r"(?:^|[\s_-])(?:comments?|commentlist|disqus|replies)(?:$|[\s_-])", re.I)
+TOOL_NAMES = re.compile(r"(?:^|[\s_-])(?:masthead|sharing|social\w*|subscri\w*)(?:$|[\s_-])", re.I)
+MENU_NAMES = re.compile(r"(?:^|[\s_-])(?:nav\w*|menu\w*|breadcrumb\w*|toolbar|pagination|pager)(?:$|[\s_-])", re.I)
 DOUBTFUL_NAMES = re.compile(r"(?:^|[\s_-])(?:banner|side|foot|header|notices?|overlay|share\w*|related|recommend\w*|respond|reactions|search\w*|widget\w*|copyright|legal|skip)(?:$|[\s_-])", re.I)
 MAIN_NAMES = re.compile(r"(?:^|[\s_-])(?:article\w*|post-?(?:body|content|text)|entry-?content|main-?content|story-?body|content-?body)(?:$|[\s_-])", re.I)
 BOILER_ROLES = frozenset("navigation banner contentinfo complementary search alert dialog alertdialog menu menubar toolbar form".split())
 #: What an element says of its blocks.
-CHROME_HERE, DOUBTFUL, NOTHING = 2, 1, 0
+CHROME_HERE, TOOLS, DOUBTFUL, NOTHING = 3, 2, 1, 0
+#: How many times as much running text outside a page's articles shows that these are not its main part.
+MORE_OUTSIDE = 2
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([A-Za-z][^\s/><]*)([^<>]*)>", re.S)
 ATTRIBUTE = re.compile(r"""([A-Za-z_:-][\w:.-]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
 SPACE = re.compile(r"\s+")
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-BREAK = " "  # a line break is white space, two in a row end a block
+BREAK = "  "  # this very object: a line break is white space, two in a row end a block
 WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -91,8 +98,11 @@ def part_of_page(tag: str, raw: str, inside: bool) -> tuple[int, bool]:
             return CHROME_HERE, False
         main_name = bool(MAIN_NAMES.search(names))
         if tag not in ("html", "body") and not (article and not inside) and not main_name:
-            if PLAIN_NAMES.search(names):
+            menu = MENU_NAMES.search(names)
+            if PLAIN_NAMES.search(names) or (tag != "p" and REMARK_NAMES.search(names)) or (menu and not inside):
                 return CHROME_HERE, False
+            if menu or TOOL_NAMES.search(names) or REMARK_NAMES.search(names):
+                evidence = max(evidence, TOOLS)
             if DOUBTFUL_NAMES.search(names):
                 evidence = max(evidence, DOUBTFUL if inside or tag in HEADINGS else CHROME_HERE)
         article = article or role in ("main", "article") or main_name
@@ -139,7 +149,7 @@ def blocks(page: str) -> list[Block]:
             link_depth = None if closing or "href" not in raw.lower() else len(stack)
             continue
         if tag == "br":
-            if text and text[-1] == BREAK:
+            if text and text[-1] is BREAK:
                 flush()
             else:
                 text.append(BREAK)
@@ -184,20 +194,37 @@ def stop_density(text: str) -> float:
     return sum(w in STOP_WORDS for w in found) / len(found) if found else 0.0
 
 
+def is_running(b: Block) -> bool:
+    """Whether a block is running text by itself: long, few links, and stop words or more length."""
+    if len(b.text) < MIN_LONG or b.linked > LINKS_AT_MOST:
+        return False
+    return stop_density(b.text) >= STOPS_AT_LEAST or (len(b.text) >= MIN_LONG_ALONE and b.linked < FEW_LINKS)
+
+
 def own_label(b: Block, links_around: int, outside: bool) -> bool | None:
-    """Pass one: what a block is by itself, or None. outside: not in an article, on a page that has one."""
+    """Pass one: what a block is by itself, or None. outside: not in the part of the page that holds its main text."""
     if b.evidence == CHROME_HERE or outside:
         return False
-    long = len(b.text) >= MIN_LONG
+    if b.evidence == TOOLS:  # running text is none of a page's tools
+        return is_running(b)
     if b.linked > LINKS_AT_MOST:
-        return False if long or links_around >= LINK_RUN or not b.region else None
-    if b.evidence == DOUBTFUL or not long:
+        return False if len(b.text) >= MIN_LONG or links_around >= LINK_RUN or not b.region else None
+    if b.evidence == DOUBTFUL or len(b.text) < MIN_LONG:
         return None
-    if stop_density(b.text) >= STOPS_AT_LEAST or (len(b.text) >= MIN_LONG_ALONE and b.linked < FEW_LINKS):
+    if is_running(b):
         return True
     return None if b.region else False
 
 
+def main_is_outside(found: list[Block]) -> bool:
+    """Whether a page's articles are teasers: by the running text of blocks that nothing speaks against, in and outside them."""
+    inside = outside = 0
+    for b in found:
+        if b.evidence == NOTHING and is_running(b):
+            inside, outside = inside + len(b.text) * (b.region > 0), outside + len(b.text) * (b.region == 0)
+    return outside > MORE_OUTSIDE * inside
+
+
 def nearest(found: list[Block]) -> list[tuple[bool | None, int]]:
     """For each block the label of the last one before it in its region that its own text decided, and the text between."""
     out, last = [], {}
@@ -212,19 +239,20 @@ def nearest(found: list[Block]) -> list[tuple[bool | None, int]]:
 def extract(page: str | None) -> str:
     found = blocks(page or "")
     has_article = any(b.region and b.evidence < CHROME_HERE for b in found)
+    teasers = has_article and main_is_outside(found)
     runs = [0] * len(found)
     for i, b in enumerate(found):  # linked blocks in a row, up to here
         runs[i] = (runs[i - 1] if i else 0) + 1 if b.linked > LINKS_AT_MOST else 0
     for i in range(len(found) - 2, -1, -1):  # and in the whole row
         runs[i] = max(runs[i], runs[i + 1]) if runs[i] and runs[i + 1] else runs[i]
     for b, run in zip(found, runs):
-        b.label = own_label(b, run, has_article and not b.region)
+        b.label = own_label(b, run, has_article and (b.region > 0) == teasers)
     with_text = {b.region for b in found if b.label}
     before, after = nearest(found), nearest(found[::-1])[::-1]
     for b, left, right in zip(found, before, after):  # pass two; both sides are of pass one
         if b.label is None:
             if b.region not in with_text:
-                b.label = b.region > 0
+                b.label = b.region > 0 and not teasers
             elif left[0] is None or right[0] is None or left[0] == right[0]:
                 b.label = right[0] if left[0] is None else left[0]
             else:

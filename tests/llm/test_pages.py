@@ -167,3 +167,32 @@ def test_stores_are_opened_by_the_name_that_arrow_has():
     from korpusflow.llm import warc
 
     assert [warc.store_uri(u) for u in ("s3a://b/x", "wasbs://c/x", "file:///tmp/x", "/tmp/x")] == ["s3://b/x", "abfs://c/x", "file:///tmp/x", "/tmp/x"]
+
+
+LONG = "It was one of the days on which they had to go to the sea and the wind was not with them, as it had been for a week."
+
+
+@pytest.mark.parametrize("page, want", [
+    (f'<article><p>{LONG}</p><p class="comments">{LONG} A</p></article>', f"{LONG}\n{LONG} A"),
+    (f'<article><p>{LONG}</p><div class="comments"><p>{LONG} A</p></div></article>', LONG),
+    (f'<article><h2>Dinner</h2><section class="menu"><p>{LONG}</p><p>Home</p></section></article>', f"Dinner\n{LONG}"),
+    (f'<article><p>{LONG}</p><div class="menu"><a href="x">Home</a> <a href="y">News</a></div></article>', LONG),
+    (f'<div class="subscriber-story"><p>{LONG}</p></div>', LONG),
+    (f'<article><p>{LONG}</p></article><div><p>{LONG} B</p></div>', LONG),
+    (f'<article><p>A short teaser of it.</p></article><div><p>{LONG} B</p><p>{LONG} C</p></div>', f"{LONG} B\n{LONG} C"),
+    (f'<article><p>{LONG}</p></article><div><p>{LONG} B</p><p>{LONG} C</p><p>{LONG} D</p></div>', f"{LONG} B\n{LONG} C\n{LONG} D"),
+    (f'<article><p>{LONG}</p></article><div class="cookie-notice"><p>{LONG} B</p><p>{LONG} C</p><p>{LONG} D</p></div>', LONG),
+    ("<article><p>foo <i>x</i> <br>bar</p></article>", "foo x bar"),
+    ("<article><p>foo <i>x</i> <br> <br>bar</p><p>foo<br><br>bar</p></article>", "foo x bar\nfoo\nbar"),
+])
+def test_names_and_articles_are_evidence(page, want):
+    assert html.extract(page) == want
+
+
+@pytest.mark.parametrize("rule, value", [("STOPS_AT_LEAST", 1.1), ("MIN_LONG", 10**6), ("LINKS_AT_MOST", 2.0), ("MORE_OUTSIDE", 10**6)])
+def test_each_rule_decides(monkeypatch, rule, value):
+    links = "".join(f'<p><a href="{i}">The links of the page and of the day {i}</a></p>' for i in range(4))
+    pages = [f"<div><p>{LONG}</p><p>Short.</p>{links}</div>", f"<article><p>{LONG}</p></article><div><p>{LONG} A</p><p>{LONG} B</p><p>{LONG} C</p></div>", f"<article><p>{LONG}</p>{links}</article>"]
+    before = [html.extract(p) for p in pages]
+    monkeypatch.setattr(html, rule, value)
+    assert [html.extract(p) for p in pages] != before
