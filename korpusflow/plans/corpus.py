@@ -210,7 +210,7 @@ def html_text_parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
 @plan("""WITH l AS (SELECT doc_id, list_transform(string_split(regexp_replace(replace(nfc_normalize(text), chr(173), ''), '\r\n?', chr(10), 'g'), chr(10)), lambda x: trim(regexp_replace(x, '[\\t\\x0B\\f  ]+', ' ', 'g'))) AS a FROM documents)
 SELECT doc_id, md5(regexp_replace(regexp_replace(array_to_string(a, chr(10)), '\\n{3,}', chr(10) || chr(10), 'g'), '^\\s+|\\s+$', '', 'g')) AS text_md5 FROM l""")
 def normalize_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = pages.compose(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return docs.select("doc_id", F.md5(text.normalize(F.col("text"))).alias("text_md5"))
 
 
