@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import sys
 import unicodedata
-from functools import lru_cache, reduce
+from functools import lru_cache
 from typing import NamedTuple
 
 from pyspark.sql import Column
@@ -26,7 +26,7 @@ class Tables(NamedTuple):
     single: tuple[str, str]  # characters that stand for another one
     pairs: tuple[str, str, str]  # characters, and the two that each is made of
     classes: tuple[str, str]  # marks, and a character with the number of their class
-    composed: dict[str, tuple[str, str]]  # by mark: letters, and what they become
+    composed: str  # letter, mark and what they become, one after another: a mark stands only in the middle of three
 
 
 def in_class(chars: list[str]) -> str:
@@ -48,11 +48,7 @@ def tables() -> Tables:
     single = {c: unicodedata.normalize("NFC", c) for c in parts if len(unicodedata.normalize("NFC", c)) == 1 and unicodedata.normalize("NFC", c) != c}
     never = [c for c in parts if len(unicodedata.normalize("NFC", c)) > 1]
     two = {c: p for c, p in parts.items() if len(p) == 2}
-    composed: dict[str, tuple[str, str]] = {}
-    for c, p in two.items():
-        if unicodedata.combining(p[1]) and unicodedata.normalize("NFC", p) == c:
-            letters, becomes = composed.get(p[1], ("", ""))
-            composed[p[1]] = letters + p[0], becomes + c
+    composed = "".join(p + c for c, p in two.items() if unicodedata.combining(p[1]) and unicodedata.normalize("NFC", p) == c)
     join = lambda x: "".join(x)
     return Tables(
         in_class(marks), in_class(never), (join(single), join(single.values())), (join(two), join(p[0] for p in two.values()), join(p[1] for p in two.values())),
@@ -70,13 +66,17 @@ def taken_apart(chars: Column) -> Column:
 
 def together(letter: Column, mark: Column) -> Column:
     """What a letter and a mark become, or null."""
-    found = reduce(lambda so_far, m: so_far.when(mark == m[0], F.translate(letter, *m[1])), tables().composed.items(), F.when(F.lit(False), letter))
-    return F.nullif(found, letter)
+    every = F.lit(tables().composed)
+    place = F.instr(every, F.concat(letter, mark))
+    return F.when(place > 0, F.substr(every, place + 2, F.lit(1)))
 
 
 def composed_cluster(cluster: Column) -> Column:
     """A letter and its marks in canonical composition."""
-    of_class = lambda c: F.when(F.translate(c, *tables().classes) == c, 0).otherwise(F.ascii(F.translate(c, *tables().classes)))
+    def of_class(c: Column) -> Column:
+        number = F.translate(c, *tables().classes)
+        return F.when(number == c, 0).otherwise(F.ascii(number))
+
     placed = F.transform(taken_apart(F.regexp_extract_all(cluster, F.lit("(?s)."), F.lit(0))), lambda c, i: F.struct(of_class(c).alias("class"), i.alias("i"), c.alias("c")))
     begin = F.struct(F.lit("").alias("letter"), F.lit("").alias("rest"), F.lit(0).alias("class"))
 

@@ -235,18 +235,25 @@ def fuse_domains(per_domain: DataFrame, limit: int = 10) -> DataFrame:
     return fuse(per_domain.withColumnRenamed("domain", "source"), limit)
 
 
+def distinct_terms(text: Column) -> Column:
+    return F.array_distinct(lexical_tokens(text, "prefix5"))
+
+
 def lexical_scorer(pairs: DataFrame) -> DataFrame:
     """Default rerank score: share of the query's distinct tokens that the passage has, squashed."""
-    q, p = F.array_distinct(lexical_tokens(F.col("query_text"), "prefix5")), F.array_distinct(lexical_tokens(F.col("text"), "prefix5"))
-    share = F.size(F.array_intersect(q, p)) / F.greatest(F.lit(1), F.size(q))
-    return pairs.withColumn("reranker", F.round(1 / (1 + F.exp(-(8 * share - 4))), 6))
+    q = F.col("query_terms") if "query_terms" in pairs.columns else distinct_terms(F.col("query_text"))
+    share = F.size(F.array_intersect(q, distinct_terms(F.col("text")))) / F.greatest(F.lit(1), F.size(q))
+    return pairs.withColumn("reranker", F.round(1 / (1 + F.exp(-(8 * share - 4))), 6)).drop("query_terms")
 
 
 def rerank(pool: DataFrame, queries: DataFrame, corpus: DataFrame, limit: int, scorer=lexical_scorer) -> DataFrame:
     """Hits scored anew on (query text, passage) pairs and ranked from 1. scorer: pairs to pairs with `reranker`; it gets
-    rows in order of length, so that a batching model pads little."""
-    pairs = pool.join(queries.select("query_id", F.col("text").alias("query_text")), "query_id").join(corpus.select("chunk_id", "text"), "chunk_id")
-    scored = scorer(pairs.sortWithinPartitions(F.length("text")))
+    rows in order of length, so that a batching model pads little. Scoring a pair costs far more than moving it, so pairs
+    are dealt evenly, however few bytes they are; a query's terms are taken before it meets its passages."""
+    asked = queries.select("query_id", F.col("text").alias("query_text"), *([distinct_terms(F.col("text")).alias("query_terms")] if scorer is lexical_scorer else []))
+    pairs = pool.join(asked, "query_id").join(corpus.select("chunk_id", "text"), "chunk_id")
+    tasks = int(pool.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    scored = scorer(pairs.repartition(tasks).sortWithinPartitions(F.length("text")))
     return rank_hits(scored.drop("score", "rank", "text", "query_text").withColumn("score", F.col("reranker")), limit)
 
 

@@ -295,15 +295,27 @@ def cut_chunks(docs: DataFrame, max_chars: int = 3000) -> DataFrame:
     return docs.select(F.col("document_id").cast("string"), "text").mapInArrow(run, schema).withColumn("content_hash", F.sha2("text", 256))
 
 
+def coverage_rows(document_id, text, chunks):
+    """The rules that a document's chunks break, by one walk over them in order."""
+    text, reached, rules = text or "", 0, set()
+    for c in sorted(chunks or [], key=lambda c: (c["char_start"], c["char_end"])):
+        if text[c["char_start"] : c["char_end"]] != c["text"]:
+            rules.add("text_differs")
+        if text[reached : c["char_start"]].strip():
+            rules.add("uncovered_text")
+        reached = max(reached, c["char_end"])
+    if text[reached:].strip():
+        rules.add("uncovered_text")
+    return ((document_id, rule) for rule in sorted(rules))
+
+
 def coverage_violations(docs: DataFrame, chunks: DataFrame) -> DataFrame:
-    """document_id, rule: text outside all chunks that isn't white space, and chunks whose text isn't the text there."""
-    texts = docs.select(F.col("document_id").cast("string"), F.col("text").alias("whole"))
-    joined = chunks.join(texts, "document_id")
-    wrong = joined.filter(F.substring("whole", F.col("char_start") + 1, F.col("char_end") - F.col("char_start")) != F.col("text")).select("document_id", F.lit("text_differs").alias("rule"))
-    reached = F.coalesce(F.max("char_end").over(Window.partitionBy("document_id").orderBy("char_start", "char_end").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    gaps = joined.withColumn("reached", reached).filter(F.trim(F.regexp_replace(F.substring("whole", F.col("reached") + 1, F.greatest(F.lit(0), F.col("char_start") - F.col("reached"))), r"\s", "")) != "").select("document_id", F.lit("uncovered_text").alias("rule"))
-    ends = joined.groupBy("document_id").agg(F.max("char_end").alias("last")).join(texts, "document_id", "right").filter(F.regexp_replace(F.substring("whole", F.coalesce("last", F.lit(0)) + 1, F.length("whole")), r"\s", "") != "").select("document_id", F.lit("uncovered_text").alias("rule"))
-    return wrong.unionByName(gaps).unionByName(ends).distinct()
+    """document_id, rule: text outside all chunks that isn't white space, and chunks whose text isn't the text there. A text
+    meets its chunks once, and is read once."""
+    of_text = chunks.groupBy("document_id").agg(F.collect_list(F.struct("char_start", "char_end", "text")).alias("chunks"))
+    texts = docs.select(F.col("document_id").cast("string"), F.col("text").cast("string")).join(of_text, "document_id", "left")
+    schema = "document_id string, rule string"
+    return texts.mapInArrow(in_batches(schema, coverage_rows), schema)
 
 
 def page_spans(pages: DataFrame) -> DataFrame:
