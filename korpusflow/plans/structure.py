@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from korpusflow.functions.compose import compose
+from korpusflow.functions.text import lexical_form
 from korpusflow.operators import catalog, corpus_store, covers, lawrefs, relational, segment, snapshots
 from korpusflow.operators import chunks as chunking
 from korpusflow.plans.common import chunks, questions, sql_stems, table
@@ -32,12 +33,13 @@ def plan(oracle: str | None = None):
 APART = "CASE doc_id % 4 WHEN 0 THEN replace(text, 'e', 'e' || chr(769)) WHEN 1 THEN replace(replace(text, 'o', 'o' || chr(770) || chr(803)), 'a', 'a' || chr(803) || chr(774)) WHEN 2 THEN replace(text, 'n', chr(8491) || chr(803)) ELSE text END"
 
 
-@plan(f"SELECT doc_id, md5(nfc_normalize({APART})) AS text_md5, length(nfc_normalize({APART})) AS n FROM documents")
+@plan(f"""SELECT doc_id, md5(t) AS text_md5, length(t) AS n, md5(trim(regexp_replace(lower(translate(t, 'Iİ', 'ıi')), '\\s+', ' ', 'g'))) AS lexical_md5 FROM (SELECT doc_id, nfc_normalize({APART}) AS t FROM documents)""")
 def composed_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Canonical composition of texts that need it and of texts that don't."""
     table(spark, sf_dir, "documents").createOrReplaceTempView("apart_documents")
     apart = spark.sql(f"SELECT doc_id, {APART.replace('chr(', 'chr_(')} AS text FROM apart_documents".replace("chr_(769)", "'\u0301'").replace("chr_(770)", "'\u0302'").replace("chr_(803)", "'\u0323'").replace("chr_(774)", "'\u0306'").replace("chr_(8491)", "'\u212b'"))
-    return apart.select("doc_id", compose(F.col("text")).alias("text")).select("doc_id", F.md5("text").alias("text_md5"), F.length("text").cast("long").alias("n"))
+    both = apart.select("doc_id", compose(F.col("text")).alias("text"), lexical_form(F.col("text")).alias("lexical"))
+    return both.select("doc_id", F.md5("text").alias("text_md5"), F.length("text").cast("long").alias("n"), F.md5("lexical").alias("lexical_md5"))
 
 
 # --- citations -----------------------------------------------------------------------------------------------------
