@@ -85,6 +85,11 @@ def bounded_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(ARROW_ROWS))
 
 
+def quoted(name: str) -> F.Column:
+    """A column by its very name, whatever signs it has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from korpusflow.llm.common import discard, hot_keys, materialize, spread_join
+from korpusflow.llm.common import discard, hot_keys, materialize, quoted, spread_join
 
 MIN_WORDS = 50
 GAPS = "\\x20\\x09-\\x0D"
@@ -142,7 +142,7 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     spans = F.array_sort(F.collect_list(F.struct("no", "until")))
     gone = repeated_lines(docs, min_words).groupBy("doc_id", "text_hash").agg(spans.alias("gone"))
     gone = materialize(gone, "gone")
-    marked = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), place_of(docs["doc_id"]).alias("doc_id"), F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit(""))).alias("text_hash"))
+    marked = docs.select(F.struct(*map(quoted, docs.columns)).alias("row"), place_of(docs["doc_id"]).alias("doc_id"), F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit(""))).alias("text_hash"))
     # The same kind of join at every size: a switch to a broadcast would only hide what a larger input shuffles.
     joined = marked.join(gone.hint("merge"), ["doc_id", "text_hash"], "left")
     lines = F.split(F.col("row")["text"].cast("string"), "\n", -1)

@@ -73,3 +73,13 @@ def test_defined_cases(spark):
     got = sorted(tuple(r) for r in lines.dedup_lines(df).collect())
     assert got == sorted([(2, "head\ntail", 9, 1), (1, rows[1][1], 9, 2), (1, rows[1][1], 9, 2), (3, "", 0, 3)])
     assert lines.dedup_lines(df.limit(0)).count() == 0
+
+
+def test_names_with_signs(spark):
+    import corpus_pipeline
+
+    text = "\n".join(["word " * 60, "other " * 60])
+    df = spark.createDataFrame([(1, text, 1, 2), (2, text, 3, 4)], ["doc_id", "text", "a.b", "back`tick"])
+    for stage in (corpus_pipeline.delete_repeated_lines, corpus_pipeline.keep_one_of_near_duplicates):
+        assert stage(spark, df, None).columns == df.columns
+    assert sorted(r["a.b"] for r in lines.dedup_lines(df).collect()) == [1, 3]
