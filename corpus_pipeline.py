@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from korpusflow.llm import bpe, contamination, lines, minhash, toxicity
-from korpusflow.llm.common import bounded_batches, discard, materialize, read_table
+from korpusflow.llm.common import bounded_batches, discard, materialize, quoted, read_table
 from korpusflow.llm.registry import vocabulary_path
 
 
@@ -32,7 +32,7 @@ def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: st
     """The document with the smallest id of each group that five-word shingles link at a similarity of 0.8."""
     bounded_batches(spark)
     found = minhash.near_duplicates(docs, size=5, percent=80).filter(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(found, "doc_id", "left_anti").select(*map(quoted, docs.columns))
 
 
 def reject_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
