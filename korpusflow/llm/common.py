@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 import uuid
@@ -51,7 +52,9 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 
 def discard(*tables: DataFrame) -> None:
-    """Delete tables that materialize() wrote and that no later plan reads."""
+    """Delete tables that materialize() wrote and that no later plan reads, and let Spark delete the shuffle files behind
+    them: it does so once nothing refers to their plans any more, which both sides' collectors have to find out. Steps in a
+    loop would otherwise leave the files of all their rounds until the session ends."""
     for df in tables:
         path = df.__dict__.get("_scratch")
         if path:
@@ -59,6 +62,9 @@ def discard(*tables: DataFrame) -> None:
             jvm = spark.sparkContext._jvm
             target = jvm.org.apache.hadoop.fs.Path(path)
             target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    if tables:
+        gc.collect()
+        tables[0].sparkSession.sparkContext._jvm.System.gc()
 
 
 def hot_keys(counted: DataFrame, keys: list[str], n: str = "n", share: float = HOT_SHARE, least: int = HOT_LEAST) -> DataFrame:

@@ -253,13 +253,16 @@ def near_duplicates(df: DataFrame, size: int = 5, percent: int = 80, bands: int
     repeated = linkable.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc_id")
     hot = hot_keys(classes, ["key1", "key2"], "copies")
     of_id = spread_join(linkable.join(repeated, "doc_id", "left_semi"), classes, ["key1", "key2"], hot, F.xxhash64("doc_id")).select("doc_id", "rep").distinct()
-    least = of_id.groupBy("doc_id").agg(F.min("rep").alias("a"), F.count(F.lit(1)).alias("n"))
-    tied = spread_join(of_id, least.drop("n"), ["doc_id"], hot_keys(least, ["doc_id"]), F.xxhash64("rep"))
-    several = tied.filter("rep > a").select("a", F.col("rep").alias("b")).distinct()
-    links = materialize(links.unionByName(several), "minhash-links")
+    of_id = materialize(of_id, "minhash-repeated")
+    if not of_id.isEmpty():
+        least = materialize(of_id.groupBy("doc_id").agg(F.min("rep").alias("a"), F.count(F.lit(1)).alias("n")), "minhash-least")
+        tied = spread_join(of_id, least.drop("n"), ["doc_id"], hot_keys(least, ["doc_id"]), F.xxhash64("rep"))
+        links = links.unionByName(tied.filter("rep > a").select("a", F.col("rep").alias("b")).distinct())
+    links = materialize(links, "minhash-links")
     labels = connected_components(links)
     members = open_buckets.select("centre", "rep", "n").distinct().join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     found = cross_links(members, texts, size, percent)
+    discard(labels)
     labels = connected_components(links.unionByName(found))
 
     by_class = classes.join(labels.select(F.col("node").alias("rep"), F.col("component")), "rep", "left").select("key1", "key2", F.coalesce("component", "rep").alias("component"))
