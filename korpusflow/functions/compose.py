@@ -26,7 +26,7 @@ class Tables(NamedTuple):
     single: tuple[str, str]  # characters that stand for another one
     pairs: tuple[str, str, str]  # characters, and the two that each is made of
     classes: tuple[str, str]  # marks, and a character with the number of their class
-    composed: str  # letter, mark and what they become, one after another: a mark stands only in the middle of three
+    composed: str  # letter and mark, a colon, and what they become, with commas between
 
 
 def in_class(chars: list[str]) -> str:
@@ -48,7 +48,7 @@ def tables() -> Tables:
     single = {c: unicodedata.normalize("NFC", c) for c in parts if len(unicodedata.normalize("NFC", c)) == 1 and unicodedata.normalize("NFC", c) != c}
     never = [c for c in parts if len(unicodedata.normalize("NFC", c)) > 1]
     two = {c: p for c, p in parts.items() if len(p) == 2}
-    composed = "".join(p + c for c, p in two.items() if unicodedata.combining(p[1]) and unicodedata.normalize("NFC", p) == c)
+    composed = ",".join(f"{p}:{c}" for c, p in two.items() if unicodedata.combining(p[1]) and unicodedata.normalize("NFC", p) == c)
     join = lambda x: "".join(x)
     return Tables(
         in_class(marks), in_class(never), (join(single), join(single.values())), (join(two), join(p[0] for p in two.values()), join(p[1] for p in two.values())),
@@ -65,10 +65,8 @@ def taken_apart(chars: Column) -> Column:
 
 
 def together(letter: Column, mark: Column) -> Column:
-    """What a letter and a mark become, or null."""
-    every = F.lit(tables().composed)
-    place = F.instr(every, F.concat(letter, mark))
-    return F.when(place > 0, F.substr(every, place + 2, F.lit(1)))
+    """What a letter and a mark become, or null. The table is one literal, made of its text when the plan is."""
+    return F.try_element_at(F.expr(f"str_to_map('{tables().composed}', ',', ':')"), F.concat(letter, mark))
 
 
 def composed_cluster(cluster: Column) -> Column:
@@ -90,13 +88,19 @@ def composed_cluster(cluster: Column) -> Column:
     return F.aggregate(F.array_sort(placed), begin, step, lambda s: F.concat(s["letter"], s["rest"]))
 
 
+def among(chars: str, least: int = 0x300) -> str:
+    """A pattern for the characters of a class that has none below a code point: plain letters are told apart by that alone."""
+    return f"[\\x{{{least:X}}}-\\x{{10FFFF}}&&[{chars}]]"
+
+
 def compose(text: Column) -> Column:
     """The text in canonical composition; null for null."""
     t = tables()
-    pattern = rf"(?s)[{t.never}][{t.marks}]*|[^{t.marks}][{t.marks}]+|[{t.marks}]+"
+    mark, never = among(t.marks), among(t.never)
+    letter = f"[\\x{{0}}-\\x{{2FF}}[^{t.marks}]]"
+    pattern = rf"{never}{mark}*|{letter}{mark}+|{mark}+"
     plain = F.translate(text, *t.single)
     gaps, clusters = F.split(plain, pattern, -1), F.regexp_extract_all(plain, F.lit(pattern), F.lit(0))
     whole = F.array_join(F.zip_with(gaps, F.transform(clusters, composed_cluster), lambda g, c: F.concat(g, F.coalesce(c, F.lit("")))), "")
-    quick = text.rlike(r"[\x{300}-\x{10FFFF}]")  # all that can need it, found in few steps
-    needs = text.rlike(rf"[{t.never}{t.marks}{in_class(list(t.single[0]))}]")
-    return F.when(quick & needs, whole).otherwise(text)
+    needs = text.rlike(among(f"{t.never}{t.marks}{in_class(list(t.single[0]))}"))
+    return F.when(needs, whole).otherwise(text)
