@@ -24,6 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from korpusflow.llm.common import give_back
+
 #: Fixed value: the published pre-tokenisation pattern of this vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 LONG_WORD = 96
@@ -179,47 +181,72 @@ def load(path: str) -> Bpe:
     return Bpe(path)
 
 
-def encode(df: DataFrame, vocabulary: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
-    """Append the ids (array of int) of each whole text. vocabulary: a tokenizer file that every executor has.
-    Added tokens in a text count as tokens; none are put in. A null text has no ids."""
-    schema = T.StructType([f for f in df.schema.fields if f.name != ids_col] + [T.StructField(ids_col, T.ArrayType(T.IntegerType(), False), False)])
-    names = [f.name for f in schema.fields[:-1]]
+def ids_of(bpe: Bpe, texts: pa.Array) -> pa.ListArray:
+    found = [bpe.encode(t.as_py()) for t in texts]
+    ends = np.zeros(len(found) + 1, np.int32)
+    np.cumsum([len(x) // 4 for x in found], out=ends[1:])
+    flat = pa.Array.from_buffers(pa.int32(), int(ends[-1]), [None, pa.py_buffer(b"".join(found))])
+    return pa.ListArray.from_arrays(pa.array(ends), flat)
+
+
+def texts_of(bpe: Bpe, pieces: pa.Array, lists: pa.Array) -> pa.Array:
+    """pieces: the bytes of each id, and none for an unknown one."""
+    flat = np.asarray(lists.flatten().fill_null(-1)) if len(lists.flatten()) else np.zeros(0, np.int64)
+    flat = np.where((flat >= 0) & (flat < len(bpe.piece_bytes)), flat, len(bpe.piece_bytes))
+    sizes = np.fromiter((0 if x is None else x for x in lists.value_lengths().to_pylist()), np.int64, len(lists))
+    ends = np.concatenate([[0], np.cumsum(sizes)])
+    lengths = np.fromiter(map(len, bpe.piece_bytes), np.int64, len(bpe.piece_bytes))
+    lengths = np.concatenate([lengths, [0]])[flat]
+    starts = np.concatenate([[0], np.cumsum(lengths)])[ends]
+    raw = b"" if not len(flat) else _joined(pieces.take(pa.array(flat)))
+    return pa.array([raw[a:b].decode("utf-8", "replace") for a, b in zip(starts, starts[1:])], pa.string())
+
+
+def _mapped(df: DataFrame, added: list[T.StructField], change, without: tuple[str, ...] = ()) -> DataFrame:
+    """df with further columns, of which change(batch) gives the arrays; they replace those of their name."""
+    names = [f.name for f in added]
+    kept = [f for f in df.schema.fields if f.name not in (*names, *without)]
+    columns = [f.name for f in kept]
 
     def run(batches):
-        bpe = load(vocabulary)
+        give_back()
         for batch in batches:
-            found = [bpe.encode(t.as_py()) for t in batch.column(text_col)]
-            ends = np.zeros(len(found) + 1, np.int32)
-            np.cumsum([len(x) // 4 for x in found], out=ends[1:])
-            flat = pa.Array.from_buffers(pa.int32(), int(ends[-1]), [None, pa.py_buffer(b"".join(found))])
-            ids = pa.ListArray.from_arrays(pa.array(ends), flat)
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), ids], [*names, ids_col])
+            new = change(batch)
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in columns), *new], [*columns, *names])
+
+    return df.mapInArrow(run, T.StructType([*kept, *added]))
+
+
+def _ids_field(name: str) -> T.StructField:
+    return T.StructField(name, T.ArrayType(T.IntegerType(), False), False)
 
-    return df.mapInArrow(run, schema)
+
+def encode(df: DataFrame, vocabulary: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
+    """Append the ids (array of int) of each whole text. vocabulary: a tokenizer file that every executor has.
+    Added tokens in a text count as tokens; none are put in. A null text has no ids."""
+    return _mapped(df, [_ids_field(ids_col)], lambda batch: [ids_of(load(vocabulary), batch.column(text_col))])
 
 
 def decode(df: DataFrame, vocabulary: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
     """Append the text of each list of ids; bytes that are no UTF-8 become U+FFFD. A null list gives an empty text."""
-    schema = T.StructType([f for f in df.schema.fields if f.name != out_col] + [T.StructField(out_col, T.StringType(), False)])
-    names = [f.name for f in schema.fields[:-1]]
+    added = [T.StructField(out_col, T.StringType(), False)]
+    return _mapped(df, added, lambda batch: [texts_of(load(vocabulary), load_pieces(vocabulary), batch.column(ids_col))])
 
-    def run(batches):
-        bpe = load(vocabulary)
-        pieces = pa.array([*bpe.piece_bytes, b""], pa.binary())
-        for batch in batches:
-            lists = batch.column(ids_col)
-            flat = np.asarray(lists.flatten().fill_null(-1)) if len(lists.flatten()) else np.zeros(0, np.int64)
-            flat = np.where((flat >= 0) & (flat < len(bpe.piece_bytes)), flat, len(bpe.piece_bytes))
-            sizes = np.fromiter((0 if x is None else x for x in lists.value_lengths().to_pylist()), np.int64, len(lists))
-            ends = np.concatenate([[0], np.cumsum(sizes)])
-            lengths = np.fromiter(map(len, bpe.piece_bytes), np.int64, len(bpe.piece_bytes))
-            lengths = np.concatenate([lengths, [0]])[flat]
-            starts = np.concatenate([[0], np.cumsum(lengths)])[ends]
-            raw = b"" if not len(flat) else _joined(pieces.take(pa.array(flat)))
-            texts = [raw[a:b].decode("utf-8", "replace") for a, b in zip(starts, starts[1:])]
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(texts, pa.string())], [*names, out_col])
 
-    return df.mapInArrow(run, schema)
+def encode_and_decode(df: DataFrame, vocabulary: str, text_col: str = "text", ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
+    """The ids of each text and the text that they decode to in place of the text, in one pass: a task has one Python worker,
+    not two."""
+
+    def both(batch):
+        ids = ids_of(load(vocabulary), batch.column(text_col))
+        return [ids, texts_of(load(vocabulary), load_pieces(vocabulary), ids)]
+
+    return _mapped(df, [_ids_field(ids_col), T.StructField(out_col, T.StringType(), False)], both, (text_col,))
+
+
+@lru_cache(maxsize=2)
+def load_pieces(path: str) -> pa.Array:
+    return pa.array([*load(path).piece_bytes, b""], pa.binary())
 
 
 def _joined(values: pa.Array) -> bytes:
@@ -230,8 +257,7 @@ def _joined(values: pa.Array) -> bytes:
 
 def token_digests(df: DataFrame, vocabulary: str) -> DataFrame:
     """doc_id, n_tokens, and the SHA-256 of the ids and of the decoded text, for (doc_id, text) rows."""
-    texts = df.select("doc_id", "text")
-    both = decode(encode(texts, vocabulary).drop("text"), vocabulary)
+    both = encode_and_decode(df.select("doc_id", "text"), vocabulary)
     return both.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import re
 import tempfile
@@ -84,6 +85,16 @@ def spread_join(many: DataFrame, one: DataFrame, keys: list[str], hot: DataFrame
     return dealt.join(copies, [*keys, "__part"], how).drop("__part")
 
 
+def give_back() -> None:
+    """Return to the machine what earlier tasks of this worker have freed: workers are used again, and their allocators keep
+    what they once had."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim is not None:
+        trim(0)
+
+
 def bounded_batches(spark: SparkSession) -> None:
     """Keep Arrow batches small where the session has Spark's default of 10,000 rows."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"

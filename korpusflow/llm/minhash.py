@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from korpusflow.llm.common import discard, hot_keys, materialize, mix, spread_join, token_hashes, words
+from korpusflow.llm.common import discard, give_back, hot_keys, materialize, mix, spread_join, token_hashes, words
 from korpusflow.llm.components import connected_components
 
 BANDS, ROWS = 32, 5
@@ -94,6 +94,7 @@ class Signer:
 
 def features(df: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
     def run(batches):
+        give_back()
         signer = Signer(bands, rows)
         for batch in batches:
             sets = shingle_sets(batch.column(1), size)
@@ -121,6 +122,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
     rows = centres.unionByName(members).repartition("a", "part").sortWithinPartitions("a", "part", "role")
 
     def run(batches):
+        give_back()
         centre, sets_of_centre = None, []
         for batch in batches:
             a, part, role, b = (np.asarray(batch.column(k)) for k in range(4))
@@ -168,6 +170,7 @@ def cross_links(members: DataFrame, texts: DataFrame, size: int, percent: int) -
     rows = rows.repartition(*key).sortWithinPartitions(*key, "role", "rep")
 
     def run(batches):
+        give_back()
         now, tile = None, None
         for batch in batches:
             places = list(zip(*(batch.column(k).to_pylist() for k in range(3))))

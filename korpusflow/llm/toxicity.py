@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from korpusflow.llm.common import coded, fold, mix, polynomials, put_together, row_slices, words
+from korpusflow.llm.common import coded, fold, give_back, mix, polynomials, put_together, row_slices, words
 from korpusflow.llm.ngrams import best_piece, calibrate, char_grams
 from korpusflow.llm.quality import sampled
 
@@ -62,6 +62,7 @@ def letter_counts(docs: DataFrame) -> np.ndarray:
     """Counts of character trigrams over the words of all texts, as a cube of fixed size."""
 
     def run(batches):
+        give_back()
         total = np.zeros(SYMBOLS**3, np.int64)
         table = np.full(0x110000, OTHER, np.int64)
         table[[ord(c) for c in LETTERS]] = np.arange(1, OTHER)
@@ -394,6 +395,7 @@ def score(docs: DataFrame, model: dict, with_text: bool = False) -> DataFrame:
     """doc_id, score (0 to 1) and, if asked for, the restored text of every row."""
 
     def run(batches):
+        give_back()
         channel, weights = Channel(model["cube"]), np.array(model["weights"])
         for batch in batches:
             margin = look_at(batch.column(1), channel, model["odds"]) @ weights[:-1] + weights[-1]
@@ -416,6 +418,7 @@ def without_toxic(docs: DataFrame, model: dict, reject_at: float = 0.5) -> DataF
     names = docs.columns
 
     def run(batches):
+        give_back()
         channel, weights = Channel(model["cube"]), np.array(model["weights"])
         for batch in batches:
             margin = look_at(batch.column("text").cast(pa.string()), channel, model["odds"]) @ weights[:-1] + weights[-1]
