@@ -44,8 +44,7 @@ def reject_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, the ids of each text, their number, and digests of ids and of the text decoded from them."""
     bounded_batches(spark)
-    path = vocabulary_path()
-    both = bpe.decode(bpe.encode(docs.select("doc_id", "text"), path).drop("text"), path)
+    both = bpe.encode_and_decode(docs.select("doc_id", "text"), vocabulary_path())
     ids_text = F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary")
     return both.select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids_text, 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
