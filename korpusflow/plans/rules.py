@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from korpusflow.functions import text
 from korpusflow.operators import citations, corpus, court, evaluate, events, lawrefs, pack, relational, search, segment, temporal
-from korpusflow.plans.common import table
+from korpusflow.plans.common import dealt, table
 from korpusflow.sources import files
 
 QUERIES: dict = {}
@@ -38,7 +38,7 @@ CASE WHEN o_orderkey % 4 < 3 THEN (1000 + o_custkey % 9000)::VARCHAR END AS sour
 o_orderdate::DATE AS event_date, CASE WHEN o_orderkey % 4 = 3 THEN (o_orderdate::DATE + INTERVAL 5 DAY + INTERVAL 9 MONTH)::DATE END AS effective_from, 'article:2' AS legal_unit_key, 0.9 AS confidence FROM orders""")
 def change_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Notes under an article for each order: amended, repealed, added and annulled with a delay."""
-    o, key = orders(spark, sf_dir), F.col("o_orderkey")
+    o, key = dealt(orders(spark, sf_dir)), F.col("o_orderkey")
     source = F.concat(shown(), F.lit("-"), (1000 + F.col("o_custkey") % 9000).cast("string"), F.lit("/"), (1 + key % 60).cast("string"), F.lit(" md.)"))
     ruling = F.concat(F.lit("Anayasa Mahkemesinin "), shown(), F.lit(" tarihli ve E: 2010/"), key.cast("string"), F.lit(", K: 2011/7 sayılı kararı ile bu cümle iptal edilmiştir. Bu Karar Resmî Gazete'de yayımlandığı "), F.date_format(F.date_add("day", 5), "d/M/yyyy"), F.lit(" tarihinden dokuz ay sonra yürürlüğe girer."))
     note = F.when(key % 4 == 0, F.concat(F.lit("(Değişik: "), source)).when(key % 4 == 1, F.concat(F.lit("(Mülga: "), source)).when(key % 4 == 2, F.concat(F.lit("(Ek fıkra: "), source)).otherwise(ruling)
