@@ -32,10 +32,17 @@ def changes_by_chunk(changes: DataFrame, n: int = MAX_CHANGES) -> DataFrame:
 def changes_after(decisions: DataFrame, refs: DataFrame, changes: DataFrame) -> DataFrame:
     """Changes of what a decision cites that took effect after it: id, event_id, event_type, change_date. A citation of a
     paragraph is touched by changes of that paragraph or of the whole article, and by no mere addition beside it."""
-    in_force = F.coalesce("effective_from", "change_date")
-    joined = decisions.select("id", "decided").join(refs.select("id", "law", F.col("article"), F.col("paragraph").alias("cited_paragraph")), "id").join(changes, ["law", "article"])
-    concerns = F.col("cited_paragraph").isNull() | F.col("paragraph").eqNullSafe(F.col("cited_paragraph")) | (F.col("paragraph").isNull() & (F.col("event_type") != "added"))
-    return joined.filter((in_force > F.col("decided")) & concerns).select("id", "event_id", "event_type", in_force.alias("change_date")).distinct()
+    in_force = F.coalesce("effective_from", "change_date").alias("change_date")
+    part = (F.bool_or(F.col("paragraph").isNull()), F.collect_set("paragraph"))
+    cited = decisions.select("id", "decided").join(refs.select("id", "law", "article", "paragraph"), "id").groupBy("id", "law", "article").agg(F.min("decided").alias("decided"), part[0].alias("cites_all"), part[1].alias("cited"))
+    event = ["event_id", "event_type", "change_date"]
+    placed = changes.select("law", "article", "paragraph", "event_id", "event_type", in_force).groupBy(*event, "law", "article").agg(part[0].alias("all"), part[1].alias("paragraphs"))
+    places = placed.withColumn("places", F.count(F.lit(1)).over(Window.partitionBy(*event)))
+    concerns = F.col("cites_all") | F.arrays_overlap("paragraphs", "cited") | (F.col("all") & (F.col("event_type") != "added"))
+    found = lambda some: places.filter(some).join(cited, ["law", "article"]).filter((F.col("change_date") > F.col("decided")) & concerns).select("id", *event)
+    # A decision meets an event of one article once, as both sides are one row for it: the pairs, which are far more than
+    # both tables, are not sorted out by a shuffle. Only an event of several articles may meet a decision again.
+    return found("places = 1").unionByName(found("places > 1").distinct())
 
 
 def temporal_checks(citations: DataFrame, changes: DataFrame, dates: DataFrame, limit: int = MAX_CHECKS) -> DataFrame:

@@ -2,8 +2,9 @@
 
 from pyspark.sql import functions as F
 
+from korpusflow.operators import temporal
 from korpusflow.operators.markers import Line, capitals, sign_capitals
-from korpusflow.plans import common, rules
+from korpusflow.plans import common, corpus, rules
 
 
 def test_rows_of_change_events_are_dealt_out(spark):
@@ -20,3 +21,16 @@ def test_signs_of_a_rest_are_few_and_their_capitals_the_same():
     rest = line.rest(3)
     assert [s.text for s in rest.signs] == ["(", "1", ")", "BIR"] and rest.start == 10
     assert all(sign_capitals(x) == capitals(x) for x in ("iİıI", "straße", "ğüşöç"))
+
+
+def test_changes_after_does_not_shuffle_its_pairs(spark):
+    day = lambda x: F.to_date(F.lit(x))
+    decisions = spark.createDataFrame([(1,), (2,)], "id int").withColumn("decided", day("2020-01-01"))
+    refs = spark.createDataFrame([(1, "a", "1", 1), (1, "a", "1", 2), (1, "b", "1", None), (2, "a", "1", None), (2, "a", "1", 1)], "id int, law string, article string, paragraph int")
+    rows = [(10, "a", "1", 1, "amended"), (10, "a", "1", 2, "amended"), (10, "b", "1", None, "amended"), (11, "a", "1", None, "added"), (12, "a", "1", None, "repealed"), (13, "a", "1", 3, "amended")]
+    changes = spark.createDataFrame(rows, "event_id int, law string, article string, paragraph int, event_type string").withColumn("change_date", day("2021-01-01")).withColumn("effective_from", day(None))
+    found = temporal.changes_after(decisions, refs, changes)
+    assert sorted((r.id, r.event_id) for r in found.collect()) == [(1, 10), (1, 12), (2, 10), (2, 11), (2, 12), (2, 13)]
+    plan = corpus.asof_changes_after(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    top = plan.splitlines()
+    assert top[0].startswith("Union") and "Project [id" in top[1] and "Join" in top[2]  # the first branch: pairs, then no aggregate
