@@ -239,7 +239,7 @@ def visible_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     owned = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("file_id"), (key % 20).alias("workspace_id"), (key % 7).alias("conversation_id"), (key % 11).alias("case_id"), F.when(F.col("o_orderstatus") == "O", "ready").otherwise("pending").alias("status"))
     me = F.col("c_custkey")
     scopes = table(spark, sf_dir, "customer").filter("c_custkey % 50 = 0").select(me.alias("query_id"), (me % 20).alias("workspace_id"), (me % 7).alias("conversation_id"), (me % 11).alias("case_id"))
-    return search.visible_files(owned, scopes).groupBy("query_id").agg(F.count(F.lit(1)).alias("files"))
+    return search.visible_counts(owned, scopes)
 
 
 @plan("""WITH RECURSIVE c AS (SELECT l_suppkey AS q, (l_orderkey * 10 + l_linenumber)::VARCHAR AS id, l_linenumber % 3 AS part, l_partkey % 9 + 1 AS rank, (l_quantity * 10)::BIGINT AS cost, l_returnflag = 'R' AS is_file, CASE WHEN l_returnflag = 'R' THEN 3000 ELSE 9000 END AS budget

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from korpusflow.operators import temporal
+from korpusflow.operators import search, temporal
 from korpusflow.operators.markers import Line, capitals, sign_capitals
 from korpusflow.plans import common, corpus, rules
 
@@ -34,3 +34,12 @@ def test_changes_after_does_not_shuffle_its_pairs(spark):
     plan = corpus.asof_changes_after(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     top = plan.splitlines()
     assert top[0].startswith("Union") and "Project [id" in top[1] and "Join" in top[2]  # the first branch: pairs, then no aggregate
+
+
+def test_visible_counts_are_those_of_the_pairs(spark):
+    files = spark.range(600).select(F.col("id").alias("file_id"), (F.col("id") % 3).alias("workspace_id"), F.expr("nullif(id % 7, 0)").alias("conversation_id"), F.expr("nullif(id % 5, 0)").alias("case_id"), F.expr("if(id % 2 = 0, 'ready', 'pending')").alias("status"))
+    scopes = spark.range(90).select(F.col("id").alias("query_id"), (F.col("id") % 4).alias("workspace_id"), F.expr("nullif(id % 8, 1)").alias("conversation_id"), F.expr("nullif(id % 6, 2)").alias("case_id"))
+    pairs = search.visible_files(files, scopes).groupBy("query_id").agg(F.count(F.lit(1)).alias("files"))
+    counted = search.visible_counts(files, scopes)
+    assert {tuple(r) for r in counted.collect()} == {tuple(r) for r in pairs.collect()}
+    assert "file_id" not in counted._jdf.queryExecution().optimizedPlan().toString()
