@@ -1,8 +1,8 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 Texts are cut into passages (windows) of words. Document frequencies of hashed terms are counted over all passages; a
-randomised SVD of the TF-IDF matrix (two passes of A'(A X), summed over tasks) is fitted on a bounded sample of documents
-(those whose hash is least) and gives every term a latent vector, scaled so that all directions weigh the same. Benchmark
+randomised SVD of the TF-IDF matrix (two passes of A'(A X), summed over tasks) is fitted on all of them and gives every
+term a latent vector, scaled so that all directions weigh the same. Benchmark
 items are the stated query set: in blocks of bounded size they meet every window of every text, in the task that holds
 the text. Candidates are the windows that are near by cosine, and those around a place where the item's answer stands word
 for word. They are checked on words: the longest common subsequence of the item and the text around the window must hold
@@ -28,14 +28,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from korpusflow.llm.common import give_back, materialize, mix, token_hashes, words
+from korpusflow.llm.common import give_back, mix, token_hashes, words
 
 TERM_BITS = 15
 RANK = 32
 SPARE = 8
-#: The SVD is fitted on so many documents at most (or all, if fewer).
-FIT_DOCS = 8000
-FIT_TASKS = 12
+#: Tasks of a product for each core.
+FIT_TASKS = 2
 BLOCK_ITEMS = 2000
 LENGTHS = (16, 8, 4, 2, 1)
 ANSWER_WORDS = 5
@@ -91,51 +90,50 @@ def document_frequencies(docs: DataFrame, length: int) -> tuple[np.ndarray, int]
     return total[:size], int(total[size])
 
 
-def normal_product(sample: DataFrame, idf: np.ndarray, x: np.ndarray, length: int) -> np.ndarray:
-    """A'(A x) for the TF-IDF matrix A of the sample's passages: each task sums its own, blocks of rows are added up."""
+def normal_product(texts: DataFrame, idf: np.ndarray, x: np.ndarray, length: int) -> np.ndarray:
+    """A'(A x) for the TF-IDF matrix A of all passages: each task sums its own, blocks of rows are added up. A task sends
+    one sum however many texts it reads, so there are FIT_TASKS tasks for each core, and what is sent does not grow."""
     size, block = 1 << TERM_BITS, 1 << 10
     weighted = np.vstack([idf[:, None] * x, np.zeros((1, x.shape[1]))]).astype(np.float32)
 
     def run(batches):
         give_back()
-        total = np.zeros((size + 1, x.shape[1]), np.float32)
+        total = np.zeros((size + 1, x.shape[1]))
         for batch in batches:
             flat, ends = words(batch.column(0))
             if not len(flat):
                 continue
-            rows = in_steps(terms_of(token_hashes(flat)), ends, length, size)[0]
-            for a in range(0, len(rows), 4096):
-                part = rows[a : a + 4096]
+            rows = in_steps(terms_of(token_hashes(flat)).astype(np.uint16), ends, length, size)[0]
+            for a in range(0, len(rows), 1024):
+                part = rows[a : a + 1024]
                 y = weighted[part].sum(axis=1)
-                order = np.argsort(part.ravel(), kind="stable")
+                order = np.argsort(part.ravel(), kind="stable")  # by radix, as terms have 16 bits
                 sorted_terms = part.ravel()[order]
                 starts = np.flatnonzero(np.append(True, sorted_terms[1:] != sorted_terms[:-1]))
                 total[sorted_terms[starts]] += np.add.reduceat(y[order // length], starts)
         for k in range(size // block):
-            yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([total[k * block : (k + 1) * block].tobytes()], pa.binary())], ["block", "part"])
+            yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([total[k * block : (k + 1) * block].astype(np.float32).tobytes()], pa.binary())], ["block", "part"])
 
     def add(key, table):
         total = sum(np.frombuffer(p, np.float32).astype(np.float64) for p in table["part"].to_pylist())
         return pa.table({"block": pa.array([key[0].as_py()]), "part": pa.array([total.tobytes()], pa.binary())})
 
-    got = sample.select("text").mapInArrow(run, "block long, part binary").groupBy("block").applyInArrow(add, "block long, part binary").toArrow()
+    tasks = FIT_TASKS * texts.sparkSession.sparkContext.defaultParallelism
+    got = texts.select("text").coalesce(tasks).mapInArrow(run, "block long, part binary").groupBy("block").applyInArrow(add, "block long, part binary").toArrow()
     out = np.zeros((size, x.shape[1]))
     for k, part in zip(got["block"].to_pylist(), got["part"].to_pylist()):
         out[k * block : (k + 1) * block] = np.frombuffer(part).reshape(block, -1)
     return idf[:, None] * out
 
 
-def latent_terms(docs: DataFrame, benchmark: DataFrame, length: int = LENGTHS[0], rank: int = RANK, fit_docs: int = FIT_DOCS) -> np.ndarray:
-    """A latent vector for each hashed term (the last row, for padding, is zero)."""
+def latent_terms(docs: DataFrame, benchmark: DataFrame, length: int = LENGTHS[0], rank: int = RANK) -> np.ndarray:
+    """A latent vector for each hashed term, from all passages of all texts (the last row, for padding, is zero)."""
     df, passages = document_frequencies(docs, length)
     idf = np.where(df > 0, np.log((1 + passages) / (1 + df)), 0.0) if passages else np.zeros(1 << TERM_BITS)
-    texts = docs.select("doc_id", F.col("text").cast("string")).filter("doc_id is not null")
-    ids = texts.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_docs)
-    # Written once, of a bounded number of documents: few partitions then, but the search for them is spread out.
-    sample = materialize(texts.join(F.broadcast(ids), "doc_id", "left_semi").select("text"), "lsa-sample").coalesce(FIT_TASKS)
+    texts = docs.select(F.col("text").cast("string"))
     rng = np.random.default_rng(7)
-    x = np.linalg.qr(normal_product(sample, idf, rng.standard_normal((1 << TERM_BITS, rank + SPARE)), length))[0]
-    y = normal_product(sample, idf, x, length)
+    x = np.linalg.qr(normal_product(texts, idf, rng.standard_normal((1 << TERM_BITS, rank + SPARE)), length))[0]
+    y = normal_product(texts, idf, x, length)
     values, vectors = np.linalg.eigh((x.T @ y + y.T @ x) / 2)
     best = np.argsort(values)[::-1][:rank]
     scale = np.sqrt(np.maximum(values[best], 1e-12 * max(1.0, values.max(initial=0))))
