@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from korpusflow.functions.text import drop_boilerplate, join_wrapped_lines, readable_letters, turkish_lower
-from korpusflow.operators.markers import Marker, markers_of, nested
+from korpusflow.operators.markers import Marker, Unit, markers_of, nested
 
 #: Abbreviations, limits in characters.
 ABBREVIATIONS = frozenset("av dr prof doç yrd md mad vd vb vs bkz s sy no nr ltd şti a.ş t.c tic san cad sok mah apt e k hmk tbk ik tmk hgk ygk ibk ör yy hd cd".split())
@@ -55,6 +55,17 @@ def unit_rows(document_id, text, given=None):
         yield document_id, m.start, m.level, m.unit_type, m.label, m.last, m.heading, m.represented, m.repaired, i, m.start + len(body), path, body
 
 
+def unit_keys(found: list[Unit]) -> list[str]:
+    """The key of each unit of a text, as `units` gives it: one that comes again gets ~2, ~3."""
+    seen: dict[str, int] = {}
+    out = []
+    for unit in found:
+        key = "/".join(unit.path)
+        seen[key] = seen.get(key, 0) + 1
+        out.append(key if seen[key] == 1 else f"{key}~{seen[key]}")
+    return out
+
+
 def units(docs: DataFrame, markers: DataFrame | None = None) -> DataFrame:
     """Units with interval, text, key, parent and path. A unit ends where the next of its level or above begins; its
     parent is the nearest unit above of a lower level; a key that comes again gets ~2, ~3 and is for review. Markers,
@@ -444,3 +455,18 @@ def breadcrumbs(found: DataFrame) -> DataFrame:
     steps = found.select("document_id", "unit_key", F.posexplode(F.transform(F.sequence(F.lit(1), F.size("unit_path")), lambda i: F.array_join(F.slice("unit_path", F.lit(1), i), "/"))).alias("depth", "k"))
     rows = F.array_sort(F.collect_list(F.struct("depth", "name")))
     return steps.join(names, ["document_id", "k"]).groupBy("document_id", "unit_key").agg(F.array_distinct(F.transform(rows, lambda x: x["name"])).alias("breadcrumb"))
+
+
+def breadcrumb_rows(document_id, text):
+    found = nested(markers_of(text or ""), len(text or ""))
+    keys = unit_keys(found)
+    names = {key: unit.marker.heading if unit.marker.heading is not None else " ".join(x for x in (unit.marker.unit_type, unit.marker.label) if x is not None) for unit, key in zip(found, keys)}
+    for unit, key in zip(found, keys):
+        yield document_id, key, list(dict.fromkeys(names[k] for k in itertools.accumulate(unit.path, "{}/{}".format)))
+
+
+def text_breadcrumbs(docs: DataFrame) -> DataFrame:
+    """`breadcrumbs` of the units of (document_id, text) rows, a document_id being one text: a text holds all of a unit's
+    ancestors, so the way to each unit is read where the text is, and nothing of it is shuffled."""
+    schema = "document_id string, unit_key string, breadcrumb array<string>"
+    return docs.select(F.col("document_id").cast("string"), F.col("text").cast("string")).mapInArrow(in_batches(schema, breadcrumb_rows), schema)

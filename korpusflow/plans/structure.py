@@ -140,7 +140,7 @@ def law_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     table(spark, sf_dir, "orders").createOrReplaceTempView("chunk_orders")
     lines = spark.sql(f"SELECT o_custkey, n AS chunk_index, {CHUNK_TEXT} AS text FROM (SELECT o_custkey, o_custkey AS c, o_orderkey AS k, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM chunk_orders)")
     docs = relational.document_text(lines, "o_custkey").select(F.col("o_custkey").cast("string").alias("document_id"), F.col("body").alias("text"))
-    cut = chunking.structured_chunks(docs, segment.units(docs), MOST)
+    cut = chunking.structured_chunks(docs, max_chars=MOST)
     return cut.select("document_id", "chunk_index", F.md5("text").alias("text_md5"), "label", "unit_key", F.size("unit_keys").cast("long").alias("n_units"))
 
 

@@ -5,7 +5,7 @@ import re
 import numpy as np
 from pyspark.sql import functions as F
 
-from korpusflow.operators import search, temporal
+from korpusflow.operators import chunks, search, segment, temporal
 from korpusflow.operators.markers import Line, capitals, sign_capitals
 from korpusflow.plans import common, corpus, rules
 
@@ -74,3 +74,24 @@ def test_hits_of_a_chunk_are_summed_where_its_terms_lie(spark):
         assert sorted(map(tuple, few.collect())) == sorted(map(tuple, many.collect())) != []
     finally:
         search.BROADCAST_TERMS = most
+
+
+LAWS = (
+    "Ön söz\n\nİKİNCİ BÖLÜM\nGenel Hükümler\nAmaç\nMADDE 1 - Metin. Bir cümle daha.\n(1) Fıkra.\nm) bent\n1) alt bent\n(2) İkinci fıkra.\nMADDE 1 - Yine bir.\n(1) Fıkra.\nKapsam\nMadde\n7 - Alt satır",
+    "EK-1\nBirinci\nMADDE 2 - Uzun bir metin. Sonu da gelir, gelmez de.\n( 3 ) Ara.\n4857 SAYILI KANUNA İŞLENEMEYEN HÜKÜMLER\nMADDE 9 - Sayılmaz", "Yalnız\n\nparagraflar.", "", None,
+)
+
+
+def test_chunks_of_a_text_are_cut_where_its_units_are_found(spark):
+    docs = spark.createDataFrame([(str(i), t) for i, t in enumerate(LAWS)], "document_id string, text string")
+    got = chunks.structured_chunks(docs, max_chars=30)
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    want = chunks.structured_chunks(docs, segment.units(docs), 30)
+    assert sorted(got.collect()) == sorted(want.select(got.columns).collect()) and got.filter("unit_key like '%~2%'").count() > 0
+
+
+def test_breadcrumbs_are_read_where_the_text_is(spark):
+    docs = spark.createDataFrame([(str(i), t) for i, t in enumerate(LAWS)], "document_id string, text string")
+    got = segment.text_breadcrumbs(docs)
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    assert sorted(got.collect()) == sorted(segment.breadcrumbs(segment.units(docs)).select(got.columns).collect()) and got.count() > 10
