@@ -215,4 +215,4 @@ def unit_breadcrumbs(spark: SparkSession, sf_dir: str) -> DataFrame:
     head = F.when(number == 1, "İKİNCİ BÖLÜM\nGenel Hükümler\n").otherwise("")
     lines = table(spark, sf_dir, "orders").select("o_custkey", number.alias("chunk_index"), F.concat(head, F.lit("Konu "), k, F.lit("\nMADDE "), number.cast("string"), F.lit(" - Metin.\n(1) Fıkra.")).alias("text"))
     docs = relational.document_text(lines, "o_custkey").select(F.col("o_custkey").cast("string").alias("document_id"), F.col("body").alias("text"))
-    return segment.breadcrumbs(segment.units(docs)).select("document_id", "unit_key", F.array_join("breadcrumb", "|").alias("breadcrumb"))
+    return segment.text_breadcrumbs(docs).select("document_id", "unit_key", F.array_join("breadcrumb", "|").alias("breadcrumb"))
