@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 
 #: How often a character can be taken apart in two.
 ROUNDS = 3
+#: A text's distinct clusters that are looked up by a walk over them; with more, each cluster is composed by itself.
+LOOKED_UP = 128
 HANGUL = range(0xAC00, 0xD7A4)
 
 
@@ -88,6 +90,27 @@ def composed_cluster(cluster: Column) -> Column:
     return F.aggregate(F.array_sort(placed), begin, step, lambda s: F.concat(s["letter"], s["rest"]))
 
 
+def once(value: Column, body) -> Column:
+    """body of a value that is worked out once for a row, however often the body's own lambdas read it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def composed_clusters(clusters: Column) -> Column:
+    """from and to for each cluster of a text, to being its canonical composition: few are distinct, and each of those is
+    composed once."""
+    both = lambda c, to: F.struct(c.alias("from"), to.alias("to"))
+
+    def looked_up(all_of: Column) -> Column:
+        def by_map(few: Column) -> Column:
+            known = F.map_from_arrays(few, F.transform(few, composed_cluster))
+            own = F.transform(all_of, lambda c: both(c, F.when(c == "", c).otherwise(composed_cluster(c))))
+            return F.when(F.size(few) <= LOOKED_UP, once(known, lambda m: F.transform(all_of, lambda c: both(c, m[c])))).otherwise(own)
+
+        return once(F.array_distinct(all_of), by_map)
+
+    return once(clusters, looked_up)
+
+
 def among(chars: str, least: int = 0x300) -> str:
     """A pattern for the characters of a class that has none below a code point: plain letters are told apart by that alone."""
     return f"[\\x{{{least:X}}}-\\x{{10FFFF}}&&[{chars}]]"
@@ -98,9 +121,15 @@ def compose(text: Column) -> Column:
     t = tables()
     mark, never = among(t.marks), among(t.never)
     letter = f"[\\x{{0}}-\\x{{2FF}}[^{t.marks}]]"
-    pattern = rf"{never}{mark}*|{letter}{mark}+|{mark}+"
-    plain = F.translate(text, *t.single)
-    gaps, clusters = F.split(plain, pattern, -1), F.regexp_extract_all(plain, F.lit(pattern), F.lit(0))
-    whole = F.array_join(F.zip_with(gaps, F.transform(clusters, composed_cluster), lambda g, c: F.concat(g, F.coalesce(c, F.lit("")))), "")
+    # Letters below all marks are passed in one run, but for the last where a higher one follows.
+    pattern = rf"(?s)(?:[\x{{0}}-\x{{2FF}}]+(?![\x{{300}}-\x{{10FFFF}}]))?(?:({never}{mark}*|{letter}{mark}+|{mark}+)|.|\z)"
+    plain = F.when(text.rlike(among(in_class(list(t.single[0])))), F.translate(text, *t.single)).otherwise(text)
+
+    def joined(of: Column) -> Column:
+        pieces, clusters = (F.regexp_extract_all(of, F.lit(pattern), F.lit(group)) for group in (0, 1))
+        apart = F.zip_with(pieces, composed_clusters(clusters), lambda p, c: F.when(c["from"] == "", p).otherwise(F.concat(F.substring(p, F.lit(1), F.length(p) - F.length(c["from"])), c["to"])))
+        return F.array_join(apart, "")
+
+    whole = once(plain, joined)
     needs = text.rlike(among(f"{t.never}{t.marks}{in_class(list(t.single[0]))}"))
     return F.when(needs, whole).otherwise(text)

@@ -38,8 +38,8 @@ def composed_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Canonical composition of texts that need it and of texts that don't."""
     table(spark, sf_dir, "documents").createOrReplaceTempView("apart_documents")
     apart = spark.sql(f"SELECT doc_id, {APART.replace('chr(', 'chr_(')} AS text FROM apart_documents".replace("chr_(769)", "'\u0301'").replace("chr_(770)", "'\u0302'").replace("chr_(803)", "'\u0323'").replace("chr_(774)", "'\u0306'").replace("chr_(8491)", "'\u212b'"))
-    both = apart.select("doc_id", compose(F.col("text")).alias("text"), lexical_form(F.col("text")).alias("lexical"))
-    return both.select("doc_id", F.md5("text").alias("text_md5"), F.length("text").cast("long").alias("n"), F.md5("lexical").alias("lexical_md5"))
+    whole = apart.select("doc_id", compose(F.col("text")).alias("text"))
+    return whole.select("doc_id", F.md5("text").alias("text_md5"), F.length("text").cast("long").alias("n"), F.md5(lexical_form(F.col("text"), composed=True)).alias("lexical_md5"))
 
 
 # --- citations -----------------------------------------------------------------------------------------------------

@@ -33,3 +33,12 @@ def test_every_character_that_is_made_of_others(spark):
 def test_normalized_text_is_composed(spark):
     row = spark.createDataFrame([("é  x\r\n\r\n\r\n\r\ny",)], "t string").select(normalize(F.col("t"))).first()
     assert row[0] == "é x\n\ny"
+
+
+def test_distinct_clusters_are_composed_once_whatever_their_number(spark):
+    few = "abc e\u0301\n" * 300 + "жa\u0323\u0302ж文\n"
+    many = "".join(f"{chr(97 + i % 26)}{chr(0x300 + i // 26)}x文" for i in range(26 * 12))
+    long = "ж" * 50_000 + "e\u0301" + "a" * 50_000
+    df = spark.createDataFrame([(x,) for x in (few, many, long, "\n", "e\u0301\n", "\u0301\n\n")], "t string").select("t", compose(F.col("t")).alias("c"))
+    assert "map_from_arrays" in df._jdf.queryExecution().optimizedPlan().toString()
+    assert all(r.c == unicodedata.normalize("NFC", r.t) for r in df.collect())
