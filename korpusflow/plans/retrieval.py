@@ -46,8 +46,7 @@ def bm25_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @plan(f"WITH t AS (SELECT doc_id, unnest({sql_stems('text')}) AS term FROM documents) SELECT term, count(DISTINCT doc_id) AS df, count(*) AS cf FROM t GROUP BY term")
 def index_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    postings, _ = search.bm25_index(chunks(spark, sf_dir), "prefix5")
-    return postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
+    return search.term_counts(chunks(spark, sf_dir), "prefix5")
 
 
 DENSE = """WITH s AS (SELECT q.vec_id AS query_id, e.vec_id AS chunk_id, round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 6) AS score

@@ -95,3 +95,13 @@ def test_breadcrumbs_are_read_where_the_text_is(spark):
     got = segment.text_breadcrumbs(docs)
     assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
     assert sorted(got.collect()) == sorted(segment.breadcrumbs(segment.units(docs)).select(got.columns).collect()) and got.count() > 10
+
+
+def test_terms_are_counted_where_their_text_is_read(spark):
+    rows = [(1, "ev ev okul"), (2, "ev yol"), (None, "yol yol"), (4, None), (5, "")]
+    want = {"ev": (2, 3), "okul": (1, 1), "yol": (1, 3)}
+    counts = lambda r: {x.term: (x.df, x.cf) for x in search.term_counts(spark.createDataFrame(r, "chunk_id long, text string")).collect()}
+    assert counts(rows) == want
+    assert counts([*rows, (2, "ev"), (None, "okul")]) == {"ev": (2, 4), "okul": (1, 2), "yol": (1, 3)}
+    plan = search.term_counts(spark.createDataFrame(rows, "chunk_id long, text string"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate") == 1
