@@ -35,6 +35,8 @@ RANK = 32
 SPARE = 8
 #: Tasks of a product for each core.
 FIT_TASKS = 2
+#: Passages that a product takes at once.
+FIT_ROWS = 1 << 14
 BLOCK_ITEMS = 2000
 LENGTHS = (16, 8, 4, 2, 1)
 ANSWER_WORDS = 5
@@ -98,19 +100,19 @@ def normal_product(texts: DataFrame, idf: np.ndarray, x: np.ndarray, length: int
 
     def run(batches):
         give_back()
-        total = np.zeros((size + 1, x.shape[1]))
+        total = np.zeros((x.shape[1], size + 1))
         for batch in batches:
             flat, ends = words(batch.column(0))
             if not len(flat):
                 continue
             rows = in_steps(terms_of(token_hashes(flat)).astype(np.uint16), ends, length, size)[0]
-            for a in range(0, len(rows), 1024):
-                part = rows[a : a + 1024]
-                y = weighted[part].sum(axis=1)
-                order = np.argsort(part.ravel(), kind="stable")  # by radix, as terms have 16 bits
-                sorted_terms = part.ravel()[order]
-                starts = np.flatnonzero(np.append(True, sorted_terms[1:] != sorted_terms[:-1]))
-                total[sorted_terms[starts]] += np.add.reduceat(y[order // length], starts)
+            for a in range(0, len(rows), FIT_ROWS):
+                part = rows[a : a + FIT_ROWS]
+                y = np.concatenate([weighted[part[b : b + 1024]].sum(axis=1) for b in range(0, len(part), 1024)]).T.astype(np.float64)
+                terms = part.ravel().astype(np.intp)
+                for k, column in enumerate(y):  # a column's sums by term stay in the cache
+                    total[k] += np.bincount(terms, np.repeat(column, length), size + 1)
+        total = total.T
         for k in range(size // block):
             yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([total[k * block : (k + 1) * block].astype(np.float32).tobytes()], pa.binary())], ["block", "part"])
 

@@ -1,6 +1,7 @@
 import os
 import random
 
+import numpy as np
 import pytest
 
 from korpusflow.llm import contamination as c
@@ -143,3 +144,16 @@ def test_recall_against_brute_force(spark):
         text = b" " + b" ".join(c.item_words(r.text)) + b" "
         truth |= {(r.doc_id, k) for k, v in items.items() if v in text}
     assert truth and truth <= got
+
+
+def test_product_equals_its_definition(spark):
+    texts = ["a b c a", "b b d", "", None, "c " * 40]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    rng = np.random.default_rng(1)
+    idf, x = rng.random(1 << c.TERM_BITS), rng.standard_normal((1 << c.TERM_BITS, 3))
+    passages = [w[k : k + 4] for t in texts for w in [(t or "").split()] for k in range(0, len(w), 4)]
+    want = np.zeros_like(x)
+    for p in passages:
+        at = c.terms_of(c.word_hashes([w.encode() for w in p]))
+        np.add.at(want, at, (idf[at, None] * x[at]).sum(axis=0) * idf[at, None])
+    assert np.allclose(c.normal_product(docs, idf, x, 4), want, atol=1e-4)
