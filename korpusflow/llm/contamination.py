@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from korpusflow.llm.common import give_back, mix, token_hashes, words
+from korpusflow.llm.common import discard, give_back, materialize, mix, token_hashes, words
 
 TERM_BITS = 15
 RANK = 32
@@ -66,27 +66,57 @@ def in_steps(of_token: np.ndarray, ends: np.ndarray, step: int, pad: int) -> tup
     return out.reshape(-1, step), rows
 
 
+def term_table(docs: DataFrame) -> DataFrame:
+    """A row for each text with the hashed terms of all its words, two bytes each: words are told apart and hashed once
+    for all passes of a fit."""
+
+    def run(batches):
+        give_back()
+        for batch in batches:
+            flat, ends = words(batch.column(0))
+            terms = terms_of(token_hashes(flat)).astype(np.uint16)
+            column = pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer((2 * ends).astype(np.int32)), pa.py_buffer(terms)])
+            yield pa.RecordBatch.from_arrays([column], ["terms"])
+
+    return materialize(docs.select(F.col("text").cast("string")).mapInArrow(run, "terms binary"), "lsa-terms")
+
+
+def read_once(texts: DataFrame) -> DataFrame:
+    """The column that passages() reads: terms, or else texts."""
+    return texts.select("terms") if "terms" in texts.columns else texts.select(F.col("text").cast("string"))
+
+
+def passages(column: pa.Array, length: int) -> np.ndarray:
+    """The terms of all passages of a batch of texts, or of their terms, a row each; the last rows of texts are filled up."""
+    if pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type):
+        _, ends, data = column.cast(pa.large_binary()).buffers()
+        ends = np.frombuffer(ends, np.int64)[column.offset : column.offset + len(column) + 1] // 2 if len(column) else np.zeros(1, np.int64)
+        terms = np.frombuffer(data, np.uint16)[ends[0] : ends[-1]] if data is not None else np.zeros(0, np.uint16)
+        ends = ends - ends[0]
+    else:
+        flat, ends = words(column)
+        terms = terms_of(token_hashes(flat)).astype(np.uint16)
+    return in_steps(terms, ends, length, 1 << TERM_BITS)[0]
+
+
 def document_frequencies(docs: DataFrame, length: int) -> tuple[np.ndarray, int]:
     """In how many passages each hashed term occurs, and how many passages there are: over all texts."""
     size = 1 << TERM_BITS
 
     def run(batches):
         give_back()
-        total, passages = np.zeros(size + 1, np.int64), 0
+        total, n = np.zeros(size + 1, np.int64), 0
         for batch in batches:
-            flat, ends = words(batch.column(0))
-            if not len(flat):
-                continue
-            rows = np.sort(in_steps(terms_of(token_hashes(flat)).astype(np.uint16), ends, length, size)[0], axis=1)
+            rows = np.sort(passages(batch.column(0), length), axis=1)
             first = np.ones(rows.shape, bool)
             first[:, 1:] = rows[:, 1:] != rows[:, :-1]
             total += np.bincount(rows[first], minlength=size + 1)
-            passages += len(rows)
-        total[size] = passages
+            n += len(rows)
+        total[size] = n
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["at", "n"])
 
-    got = docs.select(F.col("text").cast("string")).mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    got = read_once(docs).mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
     total = np.zeros(size + 1, np.int64)
     total[np.asarray(got["at"])] = np.asarray(got["n"])
     return total[:size], int(total[size])
@@ -102,10 +132,7 @@ def normal_product(texts: DataFrame, idf: np.ndarray, x: np.ndarray, length: int
         give_back()
         total = np.zeros((x.shape[1], size + 1))
         for batch in batches:
-            flat, ends = words(batch.column(0))
-            if not len(flat):
-                continue
-            rows = in_steps(terms_of(token_hashes(flat)).astype(np.uint16), ends, length, size)[0]
+            rows = passages(batch.column(0), length)
             for a in range(0, len(rows), FIT_ROWS):
                 part = rows[a : a + FIT_ROWS]
                 y = np.concatenate([weighted[part[b : b + 1024]].sum(axis=1) for b in range(0, len(part), 1024)]).T.astype(np.float64)
@@ -121,7 +148,7 @@ def normal_product(texts: DataFrame, idf: np.ndarray, x: np.ndarray, length: int
         return pa.table({"block": pa.array([key[0].as_py()]), "part": pa.array([total.tobytes()], pa.binary())})
 
     tasks = FIT_TASKS * texts.sparkSession.sparkContext.defaultParallelism
-    got = texts.select("text").coalesce(tasks).mapInArrow(run, "block long, part binary").groupBy("block").applyInArrow(add, "block long, part binary").toArrow()
+    got = read_once(texts).coalesce(tasks).mapInArrow(run, "block long, part binary").groupBy("block").applyInArrow(add, "block long, part binary").toArrow()
     out = np.zeros((size, x.shape[1]))
     for k, part in zip(got["block"].to_pylist(), got["part"].to_pylist()):
         out[k * block : (k + 1) * block] = np.frombuffer(part).reshape(block, -1)
@@ -130,12 +157,13 @@ def normal_product(texts: DataFrame, idf: np.ndarray, x: np.ndarray, length: int
 
 def latent_terms(docs: DataFrame, benchmark: DataFrame, length: int = LENGTHS[0], rank: int = RANK) -> np.ndarray:
     """A latent vector for each hashed term, from all passages of all texts (the last row, for padding, is zero)."""
-    df, passages = document_frequencies(docs, length)
-    idf = np.where(df > 0, np.log((1 + passages) / (1 + df)), 0.0) if passages else np.zeros(1 << TERM_BITS)
-    texts = docs.select(F.col("text").cast("string"))
+    texts = term_table(docs)
+    df, n = document_frequencies(texts, length)
+    idf = np.where(df > 0, np.log((1 + n) / (1 + df)), 0.0) if n else np.zeros(1 << TERM_BITS)
     rng = np.random.default_rng(7)
     x = np.linalg.qr(normal_product(texts, idf, rng.standard_normal((1 << TERM_BITS, rank + SPARE)), length))[0]
     y = normal_product(texts, idf, x, length)
+    discard(texts)
     values, vectors = np.linalg.eigh((x.T @ y + y.T @ x) / 2)
     best = np.argsort(values)[::-1][:rank]
     scale = np.sqrt(np.maximum(values[best], 1e-12 * max(1.0, values.max(initial=0))))
