@@ -31,6 +31,8 @@ from korpusflow.operators.search import rank_hits, unit_rows
 #: stretch and codewords for it. Rows of a part and queries of a block. Rounds of k-means.
 FIT_ROWS, FIT_PER_CELL, STRETCH, CODEWORDS, PART_ROWS, BLOCK_QUERIES, ROUNDS = 20_000, 40, 4, 256, 8192, 2048, 12
 MOST_CELLS, MARGIN, DIGITS = 4096, 3.0, 6
+#: Numbers that a product holds at most, however many rows, cells or queries meet in a task.
+SLICE_VALUES = 1 << 20
 
 
 class Model(NamedTuple):
@@ -63,9 +65,15 @@ class Index(NamedTuple):
     cells: DataFrame
 
 
+def slices(n: int, width: int) -> list[slice]:
+    """n rows of `width` numbers, cut so that SLICE_VALUES numbers or one row are held at once."""
+    step = max(1, SLICE_VALUES // max(1, width))
+    return [slice(a, min(n, a + step)) for a in range(0, n, step)]
+
+
 def nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
     square = (centres * centres).sum(1)
-    return np.concatenate([np.argmin(square - 2 * x[a : a + 4096] @ centres.T, axis=1) for a in range(0, len(x), 4096)] or [np.zeros(0, np.int64)])
+    return np.concatenate([np.argmin(square - 2 * x[s] @ centres.T, axis=1) for s in slices(len(x), len(centres))] or [np.zeros(0, np.int64)])
 
 
 def k_means(x: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
@@ -188,24 +196,27 @@ def ann_search(queries: DataFrame, index: Index, limit: int = 10, margin: float
             for batch in batches:
                 if not batch.num_rows:
                     continue
-                near = matrix(batch.column(1)) @ model.centres.T
-                if first:
-                    order = np.argsort(-near, axis=1)
-                    before = np.cumsum(size[order], axis=1) - size[order]
-                    wanted = (before < 4 * limit) | (np.arange(len(size)) < len(size) / 8)
-                    chosen = np.zeros_like(wanted)
-                    np.put_along_axis(chosen, order, wanted, axis=1)
-                else:
-                    chosen = near + radius + 1e-6 >= np.asarray(batch.column(2))[:, None]
-                q, cell = np.nonzero(chosen & (size > 0))
-                yield pa.RecordBatch.from_arrays([c.take(pa.array(q)) for c in batch.columns] + [pa.array(cell, pa.int32())], ["query_id", "vec", "floor", "cell"])
+                x, floor = matrix(batch.column(1)), np.asarray(batch.column(2))
+                for s in slices(len(x), max(len(size), x.shape[1] * len(size) // 8)):  # a query's vector goes out with each of its cells
+                    near = x[s] @ model.centres.T
+                    if first:
+                        order = np.argsort(-near, axis=1)
+                        before = np.cumsum(size[order], axis=1) - size[order]
+                        wanted = (before < 4 * limit) | (np.arange(len(size)) < len(size) / 8)
+                        chosen = np.zeros_like(wanted)
+                        np.put_along_axis(chosen, order, wanted, axis=1)
+                    else:
+                        chosen = near + radius + 1e-6 >= floor[s, None]
+                    q, cell = np.nonzero(chosen & (size > 0))
+                    yield pa.RecordBatch.from_arrays([c.take(pa.array(q + s.start)) for c in batch.columns] + [pa.array(cell, pa.int32())], ["query_id", "vec", "floor", "cell"])
 
         return run
 
     def opened(left: pa.Table, right: pa.Table):
         x, floor = matrix(left["vec"]), left["floor"].to_numpy()
         codes = np.frombuffer(b"".join(right["codes"].to_pylist()), np.uint8).reshape(right.num_rows, -1)
-        return x, floor, model.estimates(x, right["cell"].to_numpy(), codes)
+        cells = right["cell"].to_numpy()
+        return x, floor, ((s, model.estimates(x[s], cells, codes)) for s in slices(len(x), max(len(codes), len(model.centres))))
 
     def result(left, right, q, row, score, scored):
         return pa.table([left["query_id"].take(pa.array(q)), right["chunk_id"].take(pa.array(row)), pa.array(score, pa.float64()), pa.array(scored, pa.int64())], ["query_id", "chunk_id", "score", "scored"])
@@ -216,25 +227,29 @@ def ann_search(queries: DataFrame, index: Index, limit: int = 10, margin: float
     def by_estimate(left, right):
         if not left.num_rows or not right.num_rows:
             return empty(left, right)
-        _, _, estimate = opened(left, right)
-        top = np.argsort(-estimate, axis=1, kind="stable")[:, :limit]
-        q = np.repeat(np.arange(len(top)), top.shape[1])
-        return result(left, right, q, top.ravel(), np.take_along_axis(estimate, top, 1).ravel(), np.zeros(len(q)))
+        found = []
+        for s, estimate in opened(left, right)[2]:
+            top = np.argsort(-estimate, axis=1, kind="stable")[:, :limit]
+            found.append((np.repeat(np.arange(s.start, s.stop), top.shape[1]), top.ravel(), np.take_along_axis(estimate, top, 1).ravel()))
+        q, row, score = (np.concatenate([f[k] for f in found]) for k in range(3))
+        return result(left, right, q, row, score, np.zeros(len(q)))
 
     def exactly(left, right):
         if not left.num_rows or not right.num_rows:
             return empty(left, right)
-        x, floor, estimate = opened(left, right)
-        reach = estimate + right["error"].to_numpy() * deviation >= floor[:, None] - 10.0**-DIGITS
+        x, floor, estimates = opened(left, right)
+        error = right["error"].to_numpy() * deviation
         ids, copies, rows = right["chunk_id"].to_numpy(zero_copy_only=False), right["copy"].to_numpy(), matrix(right["vec"])
         found: list[tuple] = []
-        for q in range(len(x)):
-            near = np.flatnonzero(reach[q])
-            if len(near):
-                near = near[first_of_copies(ids[near], copies[near], limit)]
-                score = np.round(rows[near] @ x[q], DIGITS) + 0.0
-                best = np.lexsort((ids[near], -score))[:limit]
-                found.append((np.full(len(best), q), near[best], score[best], np.where(np.arange(len(best)) == 0, len(near), 0)))
+        for s, estimate in estimates:
+            reach = estimate + error >= floor[s, None] - 10.0**-DIGITS
+            for q in range(s.start, s.stop):
+                near = np.flatnonzero(reach[q - s.start])
+                if len(near):
+                    near = near[first_of_copies(ids[near], copies[near], limit)]
+                    score = np.round(rows[near] @ x[q], DIGITS) + 0.0
+                    best = np.lexsort((ids[near], -score))[:limit]
+                    found.append((np.full(len(best), q), near[best], score[best], np.where(np.arange(len(best)) == 0, len(near), 0)))
         return result(left, right, *(np.concatenate([f[k] for f in found]) for k in range(4))) if found else empty(left, right)
 
     none = asked.withColumn("floor", F.lit(-2.0))
