@@ -18,11 +18,14 @@ def connected_components(edges: DataFrame) -> DataFrame:
         if state == seen or state[0] == 0:
             break
         seen = state
-        after = materialize(_small_star(_large_star(now)), "components-edges")
-        discard(now)
+        larger, tied = _large_star(now)
+        after, tied_again = _small_star(larger)
+        discard(now, larger, tied, tied_again)
         now = after
     roots = now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-    return materialize(now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots), "components")
+    found = materialize(now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots), "components")
+    discard(now)
+    return found
 
 
 def _spread(edges: DataFrame, least: DataFrame) -> DataFrame:
@@ -30,15 +33,18 @@ def _spread(edges: DataFrame, least: DataFrame) -> DataFrame:
     return spread_join(edges, least.select("u", "m"), ["u"], hot_keys(least, ["u"]), F.xxhash64("v"))
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
-    """Each node's larger neighbours are tied to its least neighbour (or itself)."""
+def _large_star(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Each node's larger neighbours are tied to its least neighbour (or itself). What a star gives and the least neighbours
+    that it goes by are stored: plans stay short, and no star is worked out again to find hot nodes."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).withColumn("m", F.least("u", "m"))
-    return _spread(both.filter("v > u"), least).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u > v").distinct()
+    least = materialize(least, "components-least")
+    moved = _spread(both.filter("v > u"), least).select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return materialize(moved.filter("u > v").distinct(), "components-edges"), least
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
-    """Each node and its smaller neighbours are tied to the least of them."""
-    least = edges.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+def _small_star(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Each node and its smaller neighbours are tied to the least of them; also the least of each, as above."""
+    least = materialize(edges.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")), "components-least")
     moved = _spread(edges, least).select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.unionByName(least.select("u", F.col("m").alias("v"))).filter("u > v").distinct()
+    return materialize(moved.unionByName(least.select("u", F.col("m").alias("v"))).filter("u > v").distinct(), "components-edges"), least
